@@ -14,9 +14,9 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    """Round the named columns (all doubles when none is named)."""
+    """Round the named columns (all doubles when none is named); -0.0 becomes 0.0."""
     names = cols or [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in names})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
 
 
 def null_safe_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -34,6 +34,12 @@ def feature_vectors(df: DataFrame, features: list[str], out: str = "vec") -> Dat
     return df.withColumn(out, F.array(*[F.col(f).cast("double") for f in features]))
 
 
+def space_vectors(df: DataFrame, keys: list[str], spaces: dict[str, list[str]]) -> DataFrame:
+    """One row per item and feature space, so all spaces share one shuffle."""
+    structs = [F.struct(F.lit(s).alias("space"), F.array(*[F.col(c).cast("double") for c in cols]).alias("vec")) for s, cols in spaces.items()]
+    return df.select(*keys, F.inline(F.array(*structs)))
+
+
 def steps(df: DataFrame, keys: list[str], order: list[str], vec: str = "vec") -> DataFrame:
     """Distance and direction change of every step; one sort serves all of it."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])

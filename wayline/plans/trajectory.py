@@ -300,7 +300,7 @@ def f10(spark, sf):
 
 
 @query("F11_direction_consistency", f"""WITH {ORDERS_SQL}, {ROUND_TRIP}, {path_sql('author_id')}
- SELECT author_id, n_years, round(direction_consistency, 6) AS direction_consistency FROM g""")
+ SELECT author_id, n_years, round(direction_consistency, 6) + 0.0 AS direction_consistency FROM g""")
 def f11(spark, sf):
     df = geometry.path_metrics(round_trips(spark, sf), ["author_id"], ["t"])
     return rounded(df.select("author_id", "n_years", "direction_consistency"), 6)
