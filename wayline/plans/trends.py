@@ -14,6 +14,21 @@ from wayline.sources.bindings import (
     EVENTS_SQL, FEATURES, ITEMS_SQL, event_series, supplier_items, table, with_supplier_domain,
 )
 
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    """Two-sided Student p for whole degrees of freedom by its finite trigonometric sums."""
+    th = f"atan(abs({t}) / sqrt({dof}))"
+    even = f"sin({th}) * list_sum(list_transform(range(0, CAST({dof} // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos({th}) ** (2 * k)))"
+    odd = f"2 / pi() * ({th} + coalesce(sin({th}) * list_sum(list_transform(range(0, CAST(({dof} - 1) // 2 AS BIGINT)), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos({th}) ** (2 * k + 1))), 0))"
+    return f"(1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal p by the error function's power series (for moderate z)."""
+    return f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln({z} / sqrt(2::DOUBLE)) - lgamma(i + 1)) / (2 * i + 1))))"
+
+
 LAYER = {"Size": ["quantity", "price"], "Rate": ["discount", "tax"]}
 LAYER_SQL = "CASE WHEN feature IN ('quantity', 'price') THEN 'Size' ELSE 'Rate' END"
 IL = f"""{ITEMS_SQL}, il AS (SELECT domain, model, year, 'quantity' AS feature, quantity AS v FROM items UNION ALL SELECT domain, model, year, 'price', price FROM items
@@ -34,9 +49,9 @@ def effects(spark, sf):
     return trend.yearly_effects(yearly_moments(spark, sf), ["domain", "feature"], is_human())
 
 
-@query("E4_yearly_mean_per_source", f"WITH {IL} SELECT domain, model, feature, year, round(mean, 6) AS mean, n FROM mo WHERE feature <> 'price'")
+@query("E4_yearly_mean_per_source", f"WITH {IL} SELECT domain, model, feature, year, round(mean, 9) AS mean, n FROM mo WHERE feature <> 'price'")
 def e4(spark, sf):
-    return rounded(yearly_moments(spark, sf).where("feature <> 'price'").select("domain", "model", "feature", "year", "mean", "n"), 6)
+    return rounded(yearly_moments(spark, sf).where("feature <> 'price'").select("domain", "model", "feature", "year", "mean", "n"), 9)
 
 
 @query("E5_static_mean_per_label", f"WITH {IL} SELECT model, feature, round(avg(v), 5) AS mean, count(*) AS n FROM il GROUP BY ALL")
@@ -105,7 +120,7 @@ def i6(spark, sf):
     return rounded(effects(spark, sf).select("domain", "model", "feature", "year", "t_statistic"), 6)
 
 
-@query("I6_student_t_p_value")
+@query("I6_student_t_p_value", f"""WITH {EFF} SELECT domain, model, feature, year, round(t_statistic, 6) + 0.0 AS t_statistic, round({t_p_sql('t_statistic', '(human_n + llm_n - 2)')}, 6) AS p_value FROM yd""")
 def i6p(spark, sf):
     return rounded(effects(spark, sf).select("domain", "model", "feature", "year", "t_statistic", "p_value"), 6)
 
@@ -118,7 +133,8 @@ def i7(spark, sf):
 
 
 TR = EFF + """, ym AS (SELECT domain, feature, model, year, 'mean_difference' AS measure, abs(mean_difference) AS v FROM yd UNION ALL SELECT domain, feature, model, year, 'cohens_d', abs(cohens_d) FROM yd),
- tr AS (SELECT domain, feature, model, measure, CASE WHEN var_pop(v) = 0 THEN 0 ELSE regr_slope(v, year) END AS slope, CASE WHEN var_pop(v) = 0 THEN 0 ELSE corr(v, year) END AS correlation FROM ym GROUP BY ALL HAVING count(*) >= 2)"""
+ tr AS (SELECT domain, feature, model, measure, CASE WHEN var_pop(v) = 0 THEN 0 ELSE regr_slope(v, year) END AS slope, CASE WHEN var_pop(v) = 0 THEN 0 ELSE corr(v, year) END AS correlation FROM ym GROUP BY ALL HAVING count(*) >= 2),
+ tp AS (SELECT *, correlation * sqrt(5 / nullif(1 - correlation ** 2, 0)) AS t FROM tr), tq AS (SELECT *, """ + t_p_sql("t", "5") + """ AS p FROM tp)"""
 
 
 def effect_trend_table(spark, sf):
@@ -131,12 +147,16 @@ def i8(spark, sf):
     return rounded(effect_trend_table(spark, sf).drop("p_value", "significant"), 6)
 
 
-@query("I8_effect_trend_significance")
+SIG = """SELECT domain, feature, model, measure, round(slope, 6) + 0.0 AS slope, round(correlation, 6) AS correlation, round(p, 6) AS p_value, p < 0.05 AS significant,
+ CASE WHEN slope < 0 THEN 'converging' WHEN slope > 0 THEN 'diverging' ELSE 'stable' END AS trend FROM tq"""
+
+
+@query("I8_effect_trend_significance", f"WITH {TR} {SIG}")
 def i8p(spark, sf):
     return rounded(effect_trend_table(spark, sf), 6)
 
 
-@query("G7_significant_trends_in_order")
+@query("G7_significant_trends_in_order", f"WITH {TR} {SIG} WHERE p < 0.05")
 def g7(spark, sf):
     return rounded(effect_trend_table(spark, sf).where("significant").orderBy("trend", "p_value", "domain", "feature", "model", "measure"), 6)
 
@@ -176,7 +196,10 @@ def accuracy_trend(spark, sf):
     return rounded(rounded(rounded(t, 8, "slope", "std_err"), 4, "intercept"), 7, "correlation", "p_value")
 
 
-@query("I11_accuracy_trend_p_value")
+@query("I11_accuracy_trend_p_value", f"""WITH {ACC}, r AS (SELECT domain, count(*) AS n, regr_slope(accuracy, year) AS slope, regr_intercept(accuracy, year) AS i, corr(accuracy, year) AS c, var_pop(accuracy) AS vy, var_pop(year) AS vx FROM ac GROUP BY 1),
+ t AS (SELECT *, c * sqrt((n - 2) / (1 - c * c)) AS t, n - 2 AS dof FROM r)
+ SELECT domain, n, round(slope, 8) + 0.0 AS slope, round(i, 4) AS intercept, round(c, 7) AS correlation, round({t_p_sql('t', 'dof')}, 7) AS p_value, round(sqrt((1 - c * c) * vy / vx / dof), 8) AS std_err,
+  CASE WHEN slope < 0 THEN 'decreasing' WHEN slope > 0 THEN 'increasing' ELSE 'stable' END AS trend FROM t""")
 def i11p(spark, sf):
     return accuracy_trend(spark, sf)
 
@@ -216,7 +239,8 @@ def mann_whitney(spark, sf):
     return ranks.mann_whitney(purchases_and_views(spark, sf), ["grp"], "value", F.col("field") == "click")
 
 
-@query("I12_mann_whitney_p_value")
+@query("I12_mann_whitney_p_value", f"""WITH {TWO}, {MWU}, zz AS (SELECT *, greatest(abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5, 0) / sd AS z FROM u)
+ SELECT grp, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round({normal_p_sql('z')}, 6) AS p_value FROM zz""")
 def i12p(spark, sf):
     return rounded(mann_whitney(spark, sf), 6)
 
@@ -246,7 +270,10 @@ def kolmogorov(spark, sf):
     return ranks.kolmogorov_smirnov(purchases_and_views(spark, sf), ["grp"], "value", F.col("field") == "click")
 
 
-@query("I13_kolmogorov_smirnov_p_value")
+@query("I13_kolmogorov_smirnov_p_value", f"""WITH {TWO}, s AS (SELECT grp, count(*) FILTER (field = 'click') AS n1, count(*) FILTER (field = 'view') AS n2 FROM tv GROUP BY 1),
+ c AS (SELECT grp, value, sum(CASE WHEN field = 'click' THEN 1 ELSE 0 END) OVER w AS c1, sum(CASE WHEN field = 'view' THEN 1 ELSE 0 END) OVER w AS c2 FROM tv WINDOW w AS (PARTITION BY grp ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ d AS (SELECT grp, n1, n2, max(abs(c1 / n1 - c2 / n2)) AS d FROM c JOIN s USING (grp) GROUP BY ALL), l AS (SELECT *, d * sqrt(n1 * n2 / CAST(n1 + n2 AS DOUBLE)) AS l FROM d)
+ SELECT grp, n1, n2, round(d, 6) AS d, round(least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * l * l)))), 6) AS p_value FROM l""")
 def i13p(spark, sf):
     return rounded(kolmogorov(spark, sf), 6)
 
