@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.vectors import dot, l2, minus, norm
+from wayline.operators.series import previous_value
 
 METRICS = ["mean_distance", "std_distance", "net_displacement", "path_length", "tortuosity", "direction_consistency"]
 
@@ -111,6 +112,11 @@ def document_path(df: DataFrame, keys: list[str], order: list[str], block: str,
     )
 
 
+def adjacent_distances(df: DataFrame, keys: list[str], order: list[str], block: str, vec: str = "vec") -> DataFrame:
+    """Distance of every item to the one before it in a series of any length."""
+    return previous_value(df, keys, order, vec, block, "_p").withColumn("distance", l2(F.col(vec), F.col("_p"))).drop("_p")
+
+
 def pair_spread(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Number of pairs and mean squared pair distance per group, without making pairs.
 

@@ -20,32 +20,46 @@ def _order(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def successive_differences(df: DataFrame, keys: list[str], order: list[str], value: str = "value",
-                           block: str | None = None, out: str = "diff") -> DataFrame:
-    """Difference to the previous non-NULL value of the series (NULL at its start)."""
-    part = keys + ([block] if block else [])
-    before = Window.partitionBy(*part).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last(value, ignorenulls=True).over(before)
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, block: str | None = None,
+                   out: str = "prev") -> DataFrame:
+    """Last non-NULL value before each row of its series.
+
+    With ``block`` each block is ordered on its own, and the last values of the
+    earlier blocks (one row per block) fill in at the block's start. The key is
+    a struct, so NULL keys form a series and the join reuses the window's
+    partitioning.
+    """
+    k = F.struct(*keys, *([block] if block else []))
+    keyed = df.withColumn("_k", k)
+    before = Window.partitionBy("_k").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.withColumn("_prev", F.last(value, ignorenulls=True).over(before))
     if not block:
-        return df.withColumn(out, F.col(value) - prev)
-    ends = _block_ends(df, keys, order, value, block)
-    heads = ends.select(*[F.col(c).alias(f"_k_{c}") for c in part], "_before")
-    local = df.withColumn("_prev", prev)
-    cond = F.lit(True)
-    for c in part:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = local.join(heads, cond, "left")
-    return joined.withColumn(out, F.col(value) - F.coalesce("_prev", "_before")).drop("_prev", "_before", *[f"_k_{c}" for c in part])
-
-
-def _block_ends(df, keys, order, value, block):
-    """Per block the last value seen in earlier blocks of the series."""
+        return local.withColumnRenamed("_prev", out).drop("_k")
     at = F.when(F.col(value).isNotNull(), F.struct(*order))
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.groupBy(*keys, block).agg(F.max_by(value, at).alias("_last"))
-        .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
+    earlier = Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy(f"_k.{block}").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (
+        keyed.groupBy("_k").agg(F.max_by(value, at).alias("_last"))
+        .select("_k", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
     )
+    return local.join(ends, "_k").withColumn(out, F.coalesce("_prev", "_before")).drop("_k", "_prev", "_before")
+
+
+def successive_differences(df: DataFrame, keys: list[str], order: list[str], value: str = "value",
+                           block: str | None = None, out: str = "diff") -> DataFrame:
+    """Difference to the previous non-NULL value of the series (NULL at its start)."""
+    return previous_value(df, keys, order, value, block, "_p").withColumn(out, F.col(value) - F.col("_p")).drop("_p")
+
+
+def position(df: DataFrame, keys: list[str], order: list[str], block: str, out: str = "position") -> DataFrame:
+    """1-based position in the series: rank inside the block plus the rows of earlier blocks.
+
+    A NULL block comes last.
+    """
+    keyed = df.withColumn("_k", F.struct(*keys, block))
+    local = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*_order(order))))
+    earlier = Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy(F.col(f"_k.{block}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")).select("_k", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"))
+    return local.join(sizes, "_k").withColumn(out, F.col("_r") + F.col("_o")).drop("_k", "_r", "_o")
 
 
 def _partials(df, keys, order, value, block):

@@ -192,13 +192,10 @@ def m14(spark, sf):
     return genplan.run_statistics(expected(spark, sf).withColumn("status", status), ["processed", "skipped", "failed"])
 
 
-@query("E26_length_compliance", f"""WITH {MESSAGES_SQL}, w AS (SELECT author_id, item, label, len(regexp_extract_all(text, '\\S+')) AS n FROM msgs),
- p AS (SELECT a.label, a.n AS actual, coalesce(lag(a.n) OVER (PARTITION BY author_id ORDER BY item), 0) AS target FROM w a),
+@query("E26_length_compliance", f"""WITH {MESSAGES_SQL}, p AS (SELECT label, len(regexp_extract_all(text, '\\S+')) AS actual, CAST(length(text) // 6 AS INTEGER) AS target FROM msgs),
  d AS (SELECT label, coalesce(abs(actual - target) * 100.0::DOUBLE / nullif(target, 0), 0) AS d FROM p)
  SELECT label, count(*) AS total, count(*) FILTER (d <= 5) AS within_5pct, count(*) FILTER (d <= 10) AS within_10pct, round(avg(d), 7) AS avg_diff, round(list_sort(list(d))[count(*) // 2 + 1], 7) AS median_diff FROM d GROUP BY 1""")
 def e26(spark, sf):
-    from pyspark.sql import Window
-
-    w = message_texts(spark, sf).withColumn("actual", F.regexp_count("text", F.lit(r"\S+")))
-    w = w.withColumn("target", F.coalesce(F.lag("actual").over(Window.partitionBy("author_id").orderBy("item")), F.lit(0)))
+    w = message_texts(spark, sf).select(
+        "label", F.regexp_count("text", F.lit(r"\S+")).alias("actual"), F.floor(F.length("text") / 6).alias("target"))
     return rounded(report.length_compliance(w, ["label"], "actual", "target"), 7)

@@ -383,7 +383,8 @@ def f16(spark, sf):
 @query("F16_adjacent_distances", f"""WITH {VECTORS_SQL} SELECT author_id, item, round(list_distance(vec, lag(vec) OVER (PARTITION BY author_id ORDER BY item)), 6) AS distance
  FROM vecs QUALIFY lag(item) OVER (PARTITION BY author_id ORDER BY item) IS NOT NULL""")
 def f16a(spark, sf):
-    df = geometry.steps(vector_items(spark, sf), ["author_id"], ["item"]).where("distance IS NOT NULL")
+    df = vector_items(spark, sf).withColumn("block", F.floor(F.col("item") / 64))
+    df = geometry.adjacent_distances(df, ["author_id"], ["item"], "block").where("distance IS NOT NULL")
     return rounded(df.select("author_id", "item", "distance"), 6)
 
 
@@ -396,10 +397,5 @@ def f19(spark, sf):
 @query("G1_time_order", f"""WITH {ORDERS_SQL}, m AS (SELECT *, CASE WHEN item % 9 = 0 THEN NULL ELSE year END AS y FROM f2)
  SELECT author_id, item, row_number() OVER (PARTITION BY author_id ORDER BY y ASC NULLS LAST, item) AS position FROM m""")
 def g1(spark, sf):
-    from pyspark.sql import Window
-
     df = order_series(spark, sf).withColumn("y", F.when(F.col("item") % 9 != 0, F.col("year")))
-    w = Window.partitionBy("author_id").orderBy(F.col("y").asc_nulls_last(), "item")
-    return df.select("author_id", "item", F.row_number().over(w).cast("bigint").alias("position"))
-
-
+    return series.position(df, ["author_id"], ["y", "item"], "y").select("author_id", "item", "position")
