@@ -6,6 +6,9 @@ lazy. A feature table is checkpointed once before it is fitted repeatedly.
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 from wayline.operators import evaluate, ranks
 from wayline.operators.ordered import global_rank
 from wayline.operators.split import folds, id_hash, split, with_class_weights
-from wayline.session import materialize
+from wayline.session import materialize, materialize_spread
+
+PARALLEL_FITS = 5
 
 
 def impute_scale_logistic(features: list[str], n_rows: int, impute: str = "median", weighted: bool = True, max_iter: int = 200,
@@ -58,10 +63,10 @@ def static_validation(df: DataFrame, features: list[str], target: str, key: str,
     if d.select("label").distinct().count() < 2:
         return d.sparkSession.createDataFrame([], "tp long, fp long, fn long, tn long, accuracy double, precision double, recall double, f1 double, auc double, cv_mean double, cv_std double, n_train long, n_test long")
     d = folds(split(d, key, "label", train_share, seed, exact=True), key, "label", k, seed + 1, exact=True)
-    d = materialize(with_class_weights(d, "label"))
+    d = materialize_spread(with_class_weights(d, "label"))
     train, test = d.where("is_train"), d.where("NOT is_train")
     n = train.count()
-    pred = _score(impute_scale_logistic(features, n, impute, weighted).fit(train).transform(test)).select(key, "label", "prediction", "score")
+    pred = materialize(_score(impute_scale_logistic(features, n, impute, weighted).fit(train).transform(test)).select(key, "label", "prediction", "score"))
     rep = evaluate.binary_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"], F.col("label") == 1, F.col("prediction") == 1)
     auc = ranks.roc_auc(pred.withColumn("g", F.lit(1)), ["g"], "score", F.col("label") == 1).select("g", "auc")
     cv = fold_predictions(d, "fold", k, lambda t: impute_scale_logistic(features, t.count(), impute, weighted))
@@ -73,15 +78,19 @@ def static_validation(df: DataFrame, features: list[str], target: str, key: str,
 
 def fold_predictions(d: DataFrame, fold: str, k: int, make, importances: list | None = None) -> DataFrame:
     """Out-of-fold predictions of k fits, pooled; ``make(train)`` builds the estimator."""
-    out = None
-    for i in range(k):
-        train, test = d.where(F.col(fold) != i), d.where(F.col(fold) == i)
-        fitted = make(train).fit(train)
-        if importances is not None:
-            importances.append(fitted)
-        p = _score(fitted.transform(test)).select("label", "prediction", "score", F.lit(i).alias(fold))
-        out = p if out is None else out.unionByName(p)
-    return out
+    def fit(i):
+        train = d.where(F.col(fold) != i)
+        return make(train).fit(train)
+
+    with ThreadPool(min(k, PARALLEL_FITS)) as pool:  # folds are independent, as in ml.tuning's parallelism
+        fitted = pool.map(fit, range(k))
+    if importances is not None:
+        importances.extend(fitted)
+    parts = [
+        _score(m.transform(d.where(F.col(fold) == i))).select("label", "prediction", "score", F.lit(i).alias(fold)) for i, m in enumerate(fitted)
+    ]
+    # several metrics read the predictions; score each row once
+    return materialize(reduce(DataFrame.unionByName, parts))
 
 
 def sliced_validation(df: DataFrame, slices: list[str], features: list[str], target: str, key: str, seed: int = 42) -> DataFrame:
@@ -91,8 +100,7 @@ def sliced_validation(df: DataFrame, slices: list[str], features: list[str], tar
     """
     d = materialize(_labelled(df.fillna(0.0, subset=features), target))
     keys = [tuple(r) for r in d.groupBy(*slices).agg(F.count_distinct("label").alias("_k")).where("_k >= 2").drop("_k").orderBy(*slices).collect()]
-    out = None
-    for values in keys:
+    def one(values):
         cond = F.lit(True)
         for c, v in zip(slices, values):
             cond = cond & F.col(c).eqNullSafe(F.lit(v))
@@ -101,9 +109,10 @@ def sliced_validation(df: DataFrame, slices: list[str], features: list[str], tar
         n = train.count()
         pred = impute_scale_logistic(features, n, "zero", max_iter=50).fit(train).transform(test)
         m = pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"))
-        m = m.select(*[F.lit(v).alias(c) for c, v in zip(slices, values)], F.lit(n).alias("n_train"), "n_test", "test_accuracy")
-        out = m if out is None else out.unionByName(m)
-    return out
+        return m.select(*[F.lit(v).alias(c) for c, v in zip(slices, values)], F.lit(n).alias("n_train"), "n_test", "test_accuracy")
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, keys))
 
 
 def year_split(df: DataFrame, year: str, train_years: list[int], test_years: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -150,11 +159,12 @@ def scaled(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[Data
 def evaluate_panel(train: DataFrame, test: DataFrame, features: list[str], models: dict | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1 and AUC of every model on one shared split."""
     tr, te = scaled(train, test, features)
-    tr, te = materialize(tr.select("label", "features")), materialize(te.select("label", "features"))
-    out = None
-    for name, est in (models or panel(len(features))).items():
-        p = _score(est.fit(tr).transform(te)).select(F.lit(name).alias("model"), "label", "prediction", "score")
-        out = p if out is None else out.unionByName(p)
+    tr, te = materialize_spread(tr.select("label", "features")), materialize(te.select("label", "features"))
+    named = list((models or panel(len(features))).items())
+    with ThreadPool(PARALLEL_FITS) as pool:
+        fitted = pool.map(lambda x: x[1].fit(tr), named)
+    out = materialize(reduce(DataFrame.unionByName, [
+        _score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]))
     rep = evaluate.binary_report(evaluate.confusion(out, ["model"]), ["model"], F.col("label") == 1, F.col("prediction") == 1)
     return rep.join(ranks.roc_auc(out, ["model"], "score", F.col("label") == 1).select("model", "auc"), "model")
 
@@ -168,7 +178,7 @@ def forest_folds(df: DataFrame, features: list[str], target: str, key: str, tree
     """Out-of-fold predictions of a balanced random forest; NULL features become 0."""
     d = _labelled(df.fillna(0.0, subset=features), target)
     d = with_class_weights(folds(d, key, "label", k, seed, exact=True), "label")
-    d = materialize(VectorAssembler(inputCols=features, outputCol="features").transform(d).select(key, "label", "fold", "weight", "features"))
+    d = materialize_spread(VectorAssembler(inputCols=features, outputCol="features").transform(d).select(key, "label", "fold", "weight", "features"))
     return fold_predictions(d, "fold", k, lambda _: forest(trees, seed), importances)
 
 

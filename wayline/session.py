@@ -38,3 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for a table that several actions read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_spread(df: DataFrame) -> DataFrame:
+    """Checkpoint for a table that is fitted repeatedly.
+
+    Adaptive execution packs small tables into few partitions; a fit is bound
+    by computation, so such a table is spread over all cores. Large tables
+    already have more partitions than cores and stay as they are.
+    """
+    out = materialize(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < cores:
+        out = materialize(out.repartition(cores))
+    return out
