@@ -145,7 +145,7 @@ def clean_answer(answer: Column) -> Column:
     c = answer
     for old, new in (("```json", ""), ("```", ""), ("\\'", "'"), ("\\t", " "), ("\\n", " ")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.regexp_replace(P.strip_space(c), r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    c = F.regexp_replace(P.strip_space(c), r'\\(?!["\\/bfnrtu])', r"\\\\")
     return F.replace(F.replace(c, F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}"))
 
 

@@ -21,7 +21,7 @@ MAX_GROUP_ROWS = 4_000_000
 
 def _large_groups(df: DataFrame, groups: list[str], max_rows: int) -> list:
     """Groups above ``max_rows``: at most (all rows / max_rows) of them, so safe to collect."""
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).collect()
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows).collect()
 
 
 def _group_table(df: DataFrame, groups: list[str], rows: list, extra: T.StructField) -> DataFrame:
@@ -43,8 +43,8 @@ def value_blocks(df: DataFrame, groups: list[str], value: str, max_rows: int = M
     large = _large_groups(df, groups, max_rows)
     if not large:
         return df.withColumn("_blk", F.lit(0)), False
-    k = min(2 * math.ceil(max(r["_n"] for r in large) / max_rows), 4096)
-    keys = _group_table(df, groups, [tuple(r) for r in large], T.StructField("_n", T.LongType()))
+    k = min(2 * math.ceil(max(r["_rows"] for r in large) / max_rows), 4096)
+    keys = _group_table(df, groups, [tuple(r) for r in large], T.StructField("_rows", T.LongType()))
     probs = [i / k for i in range(1, k)]
     splits = (
         df.join(F.broadcast(keys), null_safe_equal(df, keys, groups), "left_semi")
