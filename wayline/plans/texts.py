@@ -8,6 +8,7 @@ from wayline.functions import text as X
 from wayline.functions.columns import rounded
 from wayline.operators import lexicon, scorer
 from wayline.plans.registry import query
+from wayline.session import spread
 from wayline.sources.bindings import DOCS_SQL, MESSAGES_SQL, document_texts, message_texts
 
 # Lexicon of the demonstration queries: tokens of the synthetic corpora with (valence, polarity, subjectivity, class).
@@ -27,7 +28,7 @@ def lexicon_table(spark):
 
 
 def docs(spark, sf):
-    return document_texts(spark, sf).select("doc_id", "text")
+    return spread(document_texts(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 TOK = f"tk AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{X.TOKEN}') AS tok FROM docs)"
@@ -160,8 +161,9 @@ def c16(spark, sf):
 
 
 def document_features(df, keys, lex, entries):
-    """All fifteen features: one column pass and one token pass, joined on the keys."""
-    return X.style_features(df).drop("text").join(lexicon.all_scores(df, keys, lex, entries), keys)
+    """All fifteen features in one pass: style columns ride along while the tokens meet the lexicon."""
+    styled = X.style_features(df)
+    return lexicon.all_scores(styled, keys, lex, entries, carry=[c for c in styled.columns if c not in [*keys, "text"]])
 
 
 @query("C17_all_features", DC.rstrip() + f""", {LEX_SQL}, x AS (SELECT doc_id, unnest(tok) AS token FROM tk), j AS (SELECT * FROM x LEFT JOIN lex USING (token)),

@@ -52,3 +52,13 @@ def materialize_spread(df: DataFrame) -> DataFrame:
     if out.rdd.getNumPartitions() < cores:
         out = materialize(out.repartition(cores))
     return out
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores by key before heavy per-row work.
+
+    Only inputs with fewer partitions than cores are shuffled (a few files with
+    one row group each); a large scan keeps its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
