@@ -129,12 +129,21 @@ def test_matching_drops_null_keys_and_values(spark):
     assert [(r["model"], r["human_wins"]) for r in got] == [("A", 1)]
 
 
-def test_moments_merge_to_the_whole(spark):
-    df = spark.range(100).select((F.col("id") % 7).alias("part"), (F.col("id") * F.col("id") % 13 + 1e6).alias("x"))
-    parts = trend.moments(df.withColumn("k", F.lit(1)), ["k", "part"], ["x"])
-    got = trend.merge_moments(parts, ["k", "feature"]).first()
-    want = df.agg(F.avg("x"), F.var_pop("x")).first()
-    assert got["mean"] == pytest.approx(want[0]) and got["m2"] / 100 == pytest.approx(want[1])
+def test_moments_are_stable_for_large_means(spark):
+    df = spark.range(100).select(F.lit(1).alias("k"), (F.col("id") * F.col("id") % 13 + 1e9).alias("x")).repartition(7)
+    got = trend.moments(df, ["k"], ["x"]).first()
+    v = [i * i % 13 for i in range(100)]
+    assert got["m2"] / 100 == pytest.approx(np.var(v)) and got["mean"] == pytest.approx(1e9 + np.mean(v))
+
+
+def test_top_n_equals_the_plain_window(spark):
+    from wayline.operators.ordered import top_n
+
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 37 % 101).alias("v"))
+    got = top_n(df, ["g"], [F.desc("v"), F.col("id")], 30, salt="id").collect()
+    want = {g: sorted(((-(i * 37 % 101), i) for i in range(2000) if i % 2 == g))[:30] for g in (0, 1)}
+    for g in (0, 1):
+        assert [r["id"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["_rank"])] == [i for _, i in want[g]]
 
 
 def test_exact_splits_keep_class_shares(spark):

@@ -114,20 +114,29 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
 def global_rank(df: DataFrame, groups: list[str], hash_col: str, out: str = "_rank") -> DataFrame:
     """0-based rank of every row inside its group by a uniform hex hash.
 
-    The first three hex digits are the block, so no task orders a whole group.
-    Block totals per group number at most 4096 rows.
+    The first four hex digits are the block, so no task orders a whole group.
+    Block totals number at most 65,536 rows per group. The struct key lets the
+    join reuse the window's partitioning and matches NULL groups.
     """
-    pre = df.withColumn("_blk", F.substring(hash_col, 1, 3))
-    w = Window.partitionBy(*groups, "_blk").orderBy(hash_col)
-    local = pre.withColumn("_local", F.row_number().over(w) - 1)
-    before = Window.partitionBy(*groups).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    pre = df.withColumn("_gk", F.struct(*groups, F.substring(hash_col, 1, 4).alias("_blk")))
+    local = pre.withColumn("_local", F.row_number().over(Window.partitionBy("_gk").orderBy(hash_col)) - 1)
+    before = Window.partitionBy(*[f"_gk.{g}" for g in groups]).orderBy("_gk._blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        pre.groupBy(*groups, "_blk").agg(F.count(F.lit(1)).alias("_t"))
-        .withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-        .select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_blk").alias("_b"), "_off")
+        pre.groupBy("_gk").agg(F.count(F.lit(1)).alias("_t"))
+        .select("_gk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
     )
-    cond = F.col("_blk") == F.col("_b")
-    for g in groups:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    drop = ["_blk", "_b", "_off", "_local", *[f"_g_{g}" for g in groups]]
-    return local.join(totals, cond).withColumn(out, F.col("_off") + F.col("_local")).drop(*drop)
+    return local.join(totals, "_gk").withColumn(out, F.col("_off") + F.col("_local")).drop("_gk", "_off", "_local")
+
+
+def top_n(df: DataFrame, groups: list[str], order: list, n: int, salt: str, out: str = "_rank", salts: int = 64) -> DataFrame:
+    """First n rows per group in a total order.
+
+    Every salted part of a group is cut to n rows first, so the last step sees
+    at most ``salts * n`` rows of a group, whatever the group's size.
+    """
+    part = Window.partitionBy(*groups, "_salt").orderBy(*order)
+    cut = (
+        df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts))).withColumn("_pre", F.row_number().over(part))
+        .where(F.col("_pre") <= n).drop("_pre", "_salt")
+    )
+    return cut.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(out) <= n)

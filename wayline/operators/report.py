@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import MAX_GROUP_ROWS, quantiles
+from wayline.operators.ordered import MAX_GROUP_ROWS, cumulative, quantiles, top_n
 
 
 def trend_code_pivot(t: DataFrame, domains: list[str]) -> DataFrame:
@@ -28,8 +28,8 @@ def sequential_rank(df: DataFrame, groups: list[str], value: str, tiebreak: str,
 
 
 def top_per_group(df: DataFrame, groups: list[str], value: str, tiebreak: str, n: int) -> DataFrame:
-    """First n rows per group; the limit is applied before the shuffle as well."""
-    return sequential_rank(df, groups, value, tiebreak).where(F.col("rank") <= n)
+    """First n rows per group."""
+    return top_n(df, groups, [F.desc(value), F.col(tiebreak)], n, salt=tiebreak, out="rank")
 
 
 def importance_summary(ranked: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def dispersion(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
     """Spread of 2-D points around their label's centroid; below two points the measures are NULL."""
     c = df.groupBy(label).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"))
     dx, dy = F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy")
-    out = df.join(F.broadcast(c), label).withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy(label).agg(
+    out = df.join(c, label).withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy(label).agg(
         F.count(F.lit(1)).alias("n_samples"), F.var_pop(x).alias("variance_1"), F.var_pop(y).alias("variance_2"),
         (F.var_pop(x) + F.var_pop(y)).alias("total_variance"), F.avg("_d").alias("mean_distance"), F.stddev_pop("_d").alias("std_distance"),
         F.max("_d").alias("max_distance"))
@@ -115,8 +115,6 @@ def length_compliance(df: DataFrame, groups: list[str], actual: str, target: str
     """How close lengths are to their targets; the median is the upper one for even counts."""
     diff = F.coalesce(F.abs(F.col(actual) - F.col(target)) * 100.0 / F.nullif(F.col(target), F.lit(0)), F.lit(0.0))
     d = df.withColumn("_d", diff)
-    from wayline.operators.ordered import cumulative
-
     agg = d.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("_d") <= 5).alias("within_5pct"), F.count_if(F.col("_d") <= 10).alias("within_10pct"),
         F.avg("_d").alias("avg_diff"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import global_rank
+from wayline.operators.ordered import global_rank, top_n
 
 
 def id_hash(key: Column, seed: int) -> Column:
@@ -38,8 +38,7 @@ def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, exact
 def sample_per_group(df: DataFrame, groups: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows per group by hash order; the limit is applied before the shuffle as well."""
     h = df.withColumn("_h", id_hash(F.col(key), seed))
-    w = Window.partitionBy(*groups).orderBy("_h", key)
-    return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
+    return top_n(h, groups, [F.col("_h"), F.col(key)], n, salt=key, out="_r").drop("_h", "_r")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

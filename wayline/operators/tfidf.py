@@ -8,6 +8,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators.ordered import top_n
 from wayline.session import materialize
 
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -32,8 +33,7 @@ def vocabulary(counts: DataFrame, docs: DataFrame, domain: str, max_features: in
     """Most frequent terms of a domain with their smooth idf; ties go by term."""
     v = counts.groupBy(domain, "term").agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
     if max_features:
-        w = Window.partitionBy(domain).orderBy(F.desc("_total"), "term")
-        v = v.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_features)
+        v = top_n(v, [domain], [F.desc("_total"), F.col("term")], max_features, salt="term")
     n = docs.groupBy(domain).agg(F.count(F.lit(1)).alias("_n"))
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     return v.join(n, domain).select(domain, "term", "df", idf.alias("idf"))

@@ -22,16 +22,6 @@ def moments(df: DataFrame, groups: list[str], features: list[str]) -> DataFrame:
     return df.groupBy(*groups).agg(*aggs).select(*groups, F.inline(rows)).where("n > 0")
 
 
-def merge_moments(parts: DataFrame, groups: list[str]) -> DataFrame:
-    """Combine partial moments of finer groups."""
-    w = Window.partitionBy(*groups)
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
-    return parts.withColumn("_g", grand).groupBy(*groups).agg(
-        F.sum("n").alias("n"), F.first("_g").alias("mean"),
-        F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_g")) * (F.col("mean") - F.col("_g"))).alias("m2"),
-    )
-
-
 def yearly_effects(m: DataFrame, keys: list[str], reference: Column, model: str = "model", year: str = "year") -> DataFrame:
     """Means, difference, Cohen's d and Student's t per (keys, model, year).
 

@@ -318,7 +318,7 @@ def g6(spark, sf):
 def e29(spark, sf):
     e = event_series(spark, sf)
     b = e.groupBy("field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return report.fixed_bins(e.join(F.broadcast(b), "field"), ["field"], "value", F.col("lo"), F.col("hi"), 30)
+    return report.fixed_bins(e.join(b, "field"), ["field"], "value", F.col("lo"), F.col("hi"), 30)
 
 
 @query("E29_adaptive_range", f"""WITH {EVENTS_SQL}, q AS (SELECT field, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_pop(value) AS sd, quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95 FROM f3 GROUP BY 1),

@@ -129,10 +129,12 @@ def _load_encoder():
     return encode
 
 
-@query("C14_document_embedding")
+@query("C14_document_embedding", f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM docs), k AS (SELECT doc_id, unicode(ch) % 16 AS dim, count(*) AS n FROM c GROUP BY ALL),
+ g AS (SELECT doc_id, unnest(range(16)) AS dim FROM docs), f AS (SELECT g.doc_id, g.dim, coalesce(n, 0) AS n FROM g LEFT JOIN k USING (doc_id, dim))
+ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(n / greatest(sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 1e-12), 8) AS value FROM f""")
 def c14(spark, sf):
     v = scorer.map_texts(docs(spark, sf), ["doc_id"], _load_encoder)
-    return v.select("doc_id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+    return v.select("doc_id", F.posexplode("vec").alias("dim", "value")).select("doc_id", "dim", F.round("value", 8).alias("value"))
 
 
 @query("C15_legacy_features", f"""WITH {DOCS_SQL}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS lt FROM docs),

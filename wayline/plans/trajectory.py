@@ -185,7 +185,8 @@ def macro_variability(spark, sf):
  SELECT field, count(*) AS n_values, round(stddev_pop(value) / avg(value), 8) AS cv, round(sqrt(avg(d * d)) / avg(value), 8) AS rmssd_norm,
   round(avg(abs(d)) / avg(value), 8) AS masd_norm FROM d GROUP BY ALL""")
 def f6r(spark, sf):
-    df = series.variability(event_series(spark, sf), ["field"], ["ts", "item"], block="day", mode="macro")
+    df = event_series(spark, sf).withColumn("minute", F.date_trunc("minute", "ts"))
+    df = series.variability(df, ["field"], ["ts", "item"], block="minute", mode="macro")
     return rounded(df.select("field", "n_values", "cv", "rmssd_norm", "masd_norm"), 8)
 
 

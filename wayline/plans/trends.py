@@ -40,9 +40,8 @@ EFF = IL + """, ye AS (SELECT l.domain, l.model, l.feature, l.year, h.mean AS hu
 
 
 def yearly_moments(spark, sf):
-    """Moments per (domain, model, feature, year), merged from supplier-level partials."""
-    parts = trend.moments(supplier_items(spark, sf), ["author_id", "model", "year"], FEATURES)
-    return trend.merge_moments(with_supplier_domain(spark, sf, parts), ["domain", "model", "feature", "year"])
+    """Moments per (domain, model, feature, year); combined in the map tasks, so a large domain is no hot group."""
+    return trend.moments(with_supplier_domain(spark, sf, supplier_items(spark, sf)), ["domain", "model", "year"], FEATURES)
 
 
 def effects(spark, sf):

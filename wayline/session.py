@@ -28,10 +28,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "wayl
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-ckpt-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayline-ckpt-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
