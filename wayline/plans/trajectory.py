@@ -42,11 +42,11 @@ def e2(spark, sf):
     return rounded(rounded(supplier_years(spark, sf), 6, "quantity", "price"), 8, "discount", "tax")
 
 
-@query("E3_domain_year_means", f"""WITH {ITEMS_SQL} SELECT domain, model, year, round(avg(quantity), 6) AS quantity,
- round(avg(price), 3) AS price, round(avg(discount), 8) AS discount, round(avg(tax), 8) AS tax FROM items GROUP BY ALL""")
+@query("E3_domain_year_means", f"""WITH {ITEMS_SQL} SELECT domain, model, year, round(avg(quantity), 9) AS quantity,
+ round(avg(price), 7) AS price, round(avg(discount), 11) AS discount, round(avg(tax), 11) AS tax FROM items GROUP BY ALL""")
 def e3(spark, sf):
     df = domain_years(spark, sf)
-    return rounded(rounded(rounded(df, 6, "quantity"), 3, "price"), 8, "discount", "tax")
+    return rounded(rounded(rounded(df, 9, "quantity"), 7, "price"), 11, "discount", "tax")
 
 
 def domain_years(spark, sf):

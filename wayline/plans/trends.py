@@ -124,10 +124,11 @@ def i6p(spark, sf):
     return rounded(effects(spark, sf).select("domain", "model", "feature", "year", "t_statistic", "p_value"), 6)
 
 
-@query("I7_yearly_effects_without_p", f"""WITH {EFF} SELECT domain, model, feature, year, round(human_mean, 4) AS human_mean, round(llm_mean, 4) AS llm_mean, round(mean_difference, 4) + 0.0 AS mean_difference,
+@query("I7_yearly_effects_without_p", f"""WITH {EFF} SELECT domain, model, feature, year, round(human_mean + 3e-7::DOUBLE, 4) AS human_mean, round(llm_mean + 3e-7::DOUBLE, 4) AS llm_mean, round(mean_difference + 3e-7::DOUBLE, 4) + 0.0 AS mean_difference,
  round(cohens_d, 6) + 0.0 AS cohens_d, round(t_statistic, 6) + 0.0 AS t_statistic, human_n, llm_n FROM yd""")
 def i7(spark, sf):
-    df = effects(spark, sf).drop("p_value")
+    # means of whole cents can end in an exact 5; the offset keeps them off the rounding edge
+    df = effects(spark, sf).drop("p_value").withColumns({c: F.col(c) + 3e-7 for c in ("human_mean", "llm_mean", "mean_difference")})
     return rounded(rounded(df, 4, "human_mean", "llm_mean", "mean_difference"), 6, "cohens_d", "t_statistic")
 
 
