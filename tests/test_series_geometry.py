@@ -77,6 +77,13 @@ def test_path_hand_cases(spark):
     assert single["n_years"] == 1 and single["path_length"] is None and single["tortuosity"] is None
 
 
+def test_rounding_noise_is_no_step(spark):
+    r = geometry.path_metrics(path_df(spark, [(0.1 + 0.2, 1), (0.3, 1), (0.5, 1), (0.7, 1)]), ["k"], ["t"]).first()
+    assert r["direction_consistency"] == pytest.approx(1.0)
+    back = geometry.path_metrics(path_df(spark, [(0.1 + 0.2, 1), (1, 1), (0.3, 1)]), ["k"], ["t"]).first()
+    assert back["net_displacement"] == 0 and back["tortuosity"] == 1.0
+
+
 def test_document_path_equals_unblocked_path(spark):
     pts = [(math.sin(i), math.cos(2 * i), i % 5) for i in range(23)]
     df = path_df(spark, pts)
@@ -114,6 +121,15 @@ def test_masking_keeps_rows_and_ignores_zero_iqr(spark):
     assert {r["model"]: r["outliers"] for r in clean.outlier_report(m, ["model"]).collect()} == {"m": 1, "z": 0, "ALL": 0}
 
 
+def test_value_on_the_limit_is_inside(spark):
+    noise = 0.1 + 0.2 - 0.3
+    rows = [(v,) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 2.0 - 1.5 * 2.0 - noise, 8.0 + noise)]
+    df = spark.createDataFrame(rows, "value double").withColumn("g", F.lit(1))
+    b = clean.iqr_bounds(df, ["g"]).first()
+    edge = df.unionByName(spark.createDataFrame([(1, b["q1"] - 1.5 * (b["q3"] - b["q1"]) - noise)], "g int, value double"))
+    assert clean.iqr_bounds(df, ["g"]).first()["lower"] < edge.orderBy("value").first()["value"]
+
+
 def test_large_groups_take_the_exact_block_path(spark):
     """A tiny row limit forces every hot group through value blocks; results must not change."""
     df = spark.range(3000).select(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wayline.operators.ordered import MAX_GROUP_ROWS, quantiles
 
+EDGE = 1e-9
+
 
 def group_defaults(df: DataFrame, model: str = "model", domain: str = "domain") -> DataFrame:
     """NULL model is the group 'ALL', NULL domain the group 'UNKNOWN'."""
@@ -15,7 +17,12 @@ def group_defaults(df: DataFrame, model: str = "model", domain: str = "domain")
 
 def iqr_bounds(df: DataFrame, groups: list[str], value: str = "value", k: float = 1.5,
                max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """q1, q3 and the limits [q1 - k IQR, q3 + k IQR]; IQR 0 has no limits."""
+    """q1, q3 and the limits [q1 - k IQR, q3 + k IQR]; IQR 0 has no limits.
+
+    A value on a limit is inside. ``EDGE`` keeps it there when sums were added
+    in another order and the last digits differ.
+    """
+    k = k + EDGE
     q = quantiles(df, groups, value, {"q1": 0.25, "q3": 0.75}, max_rows)
     iqr = F.col("q3") - F.col("q1")
     return q.withColumns({

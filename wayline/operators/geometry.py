@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from wayline.functions.vectors import dot, l2, minus, norm
 from wayline.operators.series import previous_value
 
+REST = 1e-12
+
 METRICS = ["mean_distance", "std_distance", "net_displacement", "path_length", "tortuosity", "direction_consistency"]
 
 
@@ -41,12 +43,17 @@ def space_vectors(df: DataFrame, keys: list[str], spaces: dict[str, list[str]])
     return df.select(*keys, F.inline(F.array(*structs)))
 
 
+def _at_rest(distance: Column, vec: Column) -> Column:
+    """Distances below rounding noise (relative to the vector) are 0, so the order of summation does not matter."""
+    return F.when(distance <= REST * norm(vec), F.lit(0.0)).otherwise(distance)
+
+
 def steps(df: DataFrame, keys: list[str], order: list[str], vec: str = "vec") -> DataFrame:
     """Distance and direction change of every step; one sort serves all of it."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return (
         df.withColumn("step", minus(F.col(vec), F.lag(vec).over(w)))
-        .withColumn("distance", norm(F.col("step")))
+        .withColumn("distance", _at_rest(norm(F.col("step")), F.col(vec)))
         .withColumns({"_ps": F.lag("step").over(w), "_pd": F.lag("distance").over(w)})
         .withColumn("cosine", dot(F.col("step"), F.col("_ps")) / F.nullif(F.col("distance") * F.col("_pd"), F.lit(0.0)))
         .drop("_ps", "_pd")
@@ -69,7 +76,7 @@ def path_metrics(df: DataFrame, keys: list[str], order: list[str], vec: str = "v
         F.sum("distance").alias("path_length"), F.avg("cosine").alias("direction_consistency"),
         F.count(F.lit(1)).alias("n_years"), F.min_by(vec, t).alias("_a"), F.max_by(vec, t).alias("_b"),
     )
-    net = F.when(F.col("n_years") >= 2, l2(F.col("_a"), F.col("_b")))
+    net = F.when(F.col("n_years") >= 2, _at_rest(l2(F.col("_a"), F.col("_b")), F.col("_b")))
     agg = agg.withColumn("net_displacement", net)
     agg = agg.withColumn("tortuosity", _tortuosity(F.col("path_length"), F.col("net_displacement"), zero_net))
     return agg.select(*keys, *[F.col(m).alias(prefix + m) for m in METRICS], F.col("n_years").alias(prefix + "n_years"))
@@ -104,7 +111,7 @@ def document_path(df: DataFrame, keys: list[str], order: list[str], block: str,
         F.sum(z(F.col("_nd") * F.col("_md")) + z(F.col("_link"))).alias("path_length"),
         F.min_by("_a", block).alias("_a"), F.max_by("_z", block).alias("_z"),
     ).where(F.col("n_years") >= 2)
-    out = out.withColumn("net_displacement", l2(F.col("_a"), F.col("_z")))
+    out = out.withColumn("net_displacement", _at_rest(l2(F.col("_a"), F.col("_z")), F.col("_z")))
     return out.select(
         *keys, "mean_yearly_distance", F.sqrt(F.col("_ss") / F.col("_steps")).alias("std_yearly_distance"),
         "path_length", "net_displacement",

@@ -79,7 +79,7 @@ def f1(spark, sf):
 
 
 MASK_SQL = """qb AS (SELECT field, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f3 GROUP BY field),
- mk AS (SELECT f3.author_id, f3.field, f3.ts, f3.item, f3.day, CASE WHEN q3 - q1 = 0 OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)
+ mk AS (SELECT f3.author_id, f3.field, f3.ts, f3.item, f3.day, CASE WHEN q3 - q1 = 0 OR value BETWEEN q1 - 1.500000001::DOUBLE * (q3 - q1) AND q3 + 1.500000001::DOUBLE * (q3 - q1)
    THEN value END AS value FROM f3 JOIN qb USING (field))"""
 
 
@@ -200,7 +200,7 @@ def e8(spark, sf):
 
 
 MASK_LONG = """qb AS (SELECT model, domain, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f1l GROUP BY ALL),
- mk AS (SELECT f1l.*, q3 - q1 <> 0 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS is_outlier FROM f1l JOIN qb USING (model, domain, feature))"""
+ mk AS (SELECT f1l.*, q3 - q1 <> 0 AND (value < q1 - 1.500000001::DOUBLE * (q3 - q1) OR value > q3 + 1.500000001::DOUBLE * (q3 - q1)) AS is_outlier FROM f1l JOIN qb USING (model, domain, feature))"""
 
 
 def masked_years(spark, sf):
@@ -227,11 +227,13 @@ def e11(spark, sf):
 # --------------------------------------------------------------------- geometry
 
 PATH_SQL = """st AS (SELECT {keys}, t, vec, lag(vec) OVER w AS p, lag(vec, 2) OVER w AS pp FROM pt WINDOW w AS (PARTITION BY {keys} ORDER BY t)),
- sd AS (SELECT *, list_distance(vec, p) AS dist, list_distance(p, pp) AS pdist,
+ sd AS (SELECT *, CASE WHEN list_distance(vec, p) <= 1e-12 * sqrt(list_dot_product(vec, vec)) THEN 0 ELSE list_distance(vec, p) END AS dist,
+   CASE WHEN list_distance(p, pp) <= 1e-12 * sqrt(list_sum(list_transform(p, lambda x: x * x))) THEN 0 ELSE list_distance(p, pp) END AS pdist,
    list_sum(list_transform(range(1, len(vec) + 1), lambda i: (vec[i] - p[i]) * (p[i] - pp[i]))) AS dp FROM st),
  sc AS (SELECT *, CASE WHEN pp IS NOT NULL THEN dp / nullif(dist * pdist, 0) END AS cosine FROM sd),
  pm AS (SELECT {keys}, avg(dist) AS mean_distance, stddev_pop(dist) AS std_distance, sum(dist) AS path_length, avg(cosine) AS direction_consistency,
-   count(*) AS n_years, CASE WHEN count(*) >= 2 THEN list_distance(min_by(vec, t), max_by(vec, t)) END AS net_displacement FROM sc GROUP BY ALL),
+   count(*) AS n_years, CASE WHEN count(*) >= 2 THEN CASE WHEN list_distance(min_by(vec, t), max_by(vec, t)) <= 1e-12 * sqrt(list_dot_product(max_by(vec, t), max_by(vec, t)))
+     THEN 0 ELSE list_distance(min_by(vec, t), max_by(vec, t)) END END AS net_displacement FROM sc GROUP BY ALL),
  g AS (SELECT *, CASE WHEN net_displacement > 0 THEN path_length / net_displacement WHEN net_displacement = 0 THEN {zero} END AS tortuosity FROM pm)"""
 
 
