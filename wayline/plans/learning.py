@@ -49,10 +49,15 @@ def j1v(spark, sf):
 
 @query("J2_truncated_svd")
 def j2(spark, sf):
-    scores, s, _ = tfidf.truncated_svd(corpus_weights(spark, sf).where("domain = 'fr'"), "doc_id", 10)
-    total = scores.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("score_norm"))
-    known = spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
-    return rounded(total.join(known, "component"), 6)
+    """Singular values per domain, next to the length of the score columns, which must equal them."""
+    weights, out = materialize(corpus_weights(spark, sf)), None
+    for d in LANGS:
+        scores, s, _ = tfidf.truncated_svd(weights.where(F.col("domain") == d), "doc_id", 10)
+        total = scores.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("score_norm"))
+        known = spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
+        part = total.join(known, "component").withColumn("domain", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)
 
 
 @query("J3_domain_vectors_path")
