@@ -15,13 +15,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from wayline.llm.common import scratch
 from wayline.llm.encode import encoder
 
 GROUP_ROWS = 256
-#: A block holds the lengths with the same square root, rounded down: n lengths make about sqrt(n) blocks of sqrt(n).
-BLOCK = F.floor(F.sqrt("n_tokens"))
 
 
 def encoded_lengths(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -49,7 +47,8 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     total when every document is cut at the limit), quantile (share of documents that fit). No row for an empty input.
     Limits between two lengths behave as the lower one, with truncated_tokens growing by docs_longer for each token.
     """
-    h = histogram.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": BLOCK})
+    # A block holds the lengths with the same square root, rounded down: n lengths make about sqrt(n) blocks of sqrt(n).
+    h = scratch(histogram, "histogram").withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.sqrt("n_tokens"))})
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.partitionBy(F.lit(0)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
@@ -70,6 +69,3 @@ def quantile_lengths(limits: DataFrame, shares: list[float]) -> DataFrame:
     """share, n_tokens: the smallest length that at least this share of documents does not exceed."""
     each = limits.select("n_tokens", "quantile", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
     return each.where(F.col("quantile") >= F.col("share") - 1e-12).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
-
-
-LENGTHS = T.StructType([T.StructField("n_tokens", T.LongType())])
