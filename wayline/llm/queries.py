@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, packing, token_counts
+from wayline.llm import exact_dedup, language, ngram_join, packing, token_counts, toxicity
+from wayline.llm.common import bucket_of
 from wayline.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -50,3 +51,39 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return exact_dedup.classify(docs).select("row.id", *exact_dedup.ADDED).withColumnRenamed("id", "doc_id")
+
+
+_OP1 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op1_ngram_jaccard_join", _OP1)
+def op1(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"), width=3, share=90)
+
+
+@query("op3_toxicity")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where(bucket_of("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"))
+
+
+@query("op5_language_id")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(bucket_of("doc_id", 5) != 0))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
