@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, language, ngram_join, packing, token_counts, toxicity
+from wayline.llm import exact_dedup, html_text, language, ngram_join, packing, token_counts, topk_search, toxicity
 from wayline.llm.common import bucket_of
 from wayline.plans.registry import Query
 
@@ -87,3 +87,21 @@ def op5(spark, sf):
     model = language.fit(docs.where(bucket_of("doc_id", 5) != 0))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_topk_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""")
+def op9(spark, sf):
+    return topk_search.search(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op7_html_extraction")
+def op7(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
