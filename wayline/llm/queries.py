@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, html_text, language, ngram_join, packing, token_counts, topk_search, toxicity
+from wayline.llm import exact_dedup, html_text, language, mixing, ngram_join, packing, token_counts, topk_search, toxicity
 from wayline.llm.common import bucket_of
 from wayline.plans.registry import Query
 
@@ -105,3 +105,19 @@ def op9(spark, sf):
 def op7(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+#: Target shares of the domains that the labels table tells apart.
+WEIGHTS = {"good": 0.9, "poor": 0.1}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    kind = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+@query("op4_mixing")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, domain_labels(table(spark, sf, "labels")), WEIGHTS)
+    return mixed.select("doc_id", "tokens", F.round(F.col("posteriors")["good"], 6).alias("good"), F.round("rate", 6).alias("rate"), "copies")
