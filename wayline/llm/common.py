@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/wayline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    # Spark's cleaner removes the shuffle files of plans that the driver's garbage collection has found unused.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, html_text, language, mixing, ngram_join, packing, token_counts, topk_search, toxicity
+from wayline.llm import exact_dedup, html_text, language, mixing, ngram_join, packing, suffix_dedup, token_counts, topk_search, toxicity
 from wayline.llm.common import bucket_of
 from wayline.plans.registry import Query
 
@@ -121,3 +121,8 @@ def op4(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     mixed = mixing.mix(docs, domain_labels(table(spark, sf, "labels")), WEIGHTS)
     return mixed.select("doc_id", "tokens", F.round(F.col("posteriors")["good"], 6).alias("good"), F.round("rate", 6).alias("rate"), "copies")
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf):
+    return suffix_dedup.dedup_substrings(table(spark, sf, "documents"), with_text=False)
