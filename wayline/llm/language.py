@@ -107,11 +107,12 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn every non-null language of ``docs`` from at most SAMPLE_DOCS of its documents; no language, no predictions."""
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = docs.where("lang IS NOT NULL").select("lang", "id")
     # The window's rank limit is applied in the map tasks, so no task gathers a language.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS).select("id", F.col("lang").alias("of"))
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id")).select("of", F.col(text_col).alias("text"))
+    picked = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS).select("id", "lang").distinct()
+    sample = docs.join(F.broadcast(picked), ["id", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -70,6 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     An id with several labels counts with the smallest. Without labels there is one domain, ``all``.
     """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(id_col).agg(F.min(F.col("domain").cast("string")).alias("domain"))
     known = known.withColumnRenamed(id_col, "__id").select("__id", "domain")
     domains = sorted(r.domain for r in known.select("domain").distinct().collect())
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for d in domains:  # a handful of domains
         part = known.where(F.col("domain") == d).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
         picked = part if picked is None else picked.union(part)
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("domain", F.col(text_col).alias("text"))
+    sample = docs.join(F.broadcast(picked), F.col("id") == F.col("__id")).select("domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -104,7 +104,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = labels.where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1)).groupBy(id_col).agg(F.max("label").alias("label"))
     part = lambda label, most: known.where(F.col("label") == label).orderBy(F.xxhash64(id_col), id_col).limit(most)
     picked = part(1, SAMPLE_TOXIC).union(part(0, SAMPLE_OTHER)).withColumnRenamed(id_col, "__id")
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("label", F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(picked), F.col("id") == F.col("__id")).select("label", "text")
     return rows.mapInArrow(_keyed, "label int, text string, family long").dropDuplicates(["label", "family"]).select("label", "text")
 
 
