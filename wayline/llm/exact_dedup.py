@@ -11,6 +11,8 @@ text.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 def normalised(text):
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    return functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, F.coalesce(text, F.lit("")))
 
 
 def _sorted(dealt: DataFrame) -> DataFrame:
