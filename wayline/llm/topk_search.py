@@ -85,10 +85,10 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
     batch = F.pmod(F.xxhash64("id", F.lit(2)), F.col("batches"))
     row = F.struct("id", "v")
-    # One row for each block and each batch; then every block meets every batch by the batch's number.
+    # One row for each block and each batch; every block meets every batch under a key of their own, so the work spreads.
     blocks = whole.groupBy("dim", "batches", block.alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows")).withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
-    asked = whole.where(queries).groupBy("dim", batch.alias("batch")).agg(F.sort_array(F.collect_list(row)).alias("asked"))
-    met = blocks.join(asked, ["dim", "batch"]).select("rows", "asked")
+    asked = whole.where(queries).groupBy("dim", "blocks", batch.alias("batch")).agg(F.sort_array(F.collect_list(row)).alias("asked")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = blocks.join(asked, ["dim", "block", "batch"]).select("rows", "asked")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
