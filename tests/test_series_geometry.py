@@ -130,22 +130,41 @@ def test_value_on_the_limit_is_inside(spark):
     assert clean.iqr_bounds(df, ["g"]).first()["lower"] < edge.orderBy("value").first()["value"]
 
 
-def test_large_groups_take_the_exact_block_path(spark):
-    """A tiny row limit forces every hot group through value blocks; results must not change."""
+def test_groups_that_span_stretches_are_exact(spark):
+    """Groups are spread over all partitions of the range exchange; results must equal numpy's."""
+    import numpy as np
+
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"),
         ((F.col("id") * 7919) % 501 / 10.0).alias("v"))
+    values = {}
+    for r in df.collect():
+        values.setdefault(r["g"], []).append(r["v"])
     probs = {"q1": 0.25, "q2": 0.5, "q9": 0.93}
-    small = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs).collect()}
-    split = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs, max_rows=100).collect()}
-    assert small.keys() == split.keys()
-    for g in small:
-        for p in probs:
-            assert split[g][p] == pytest.approx(small[g][p]), (g, p)
-    w = {"n": F.lit(1)}
-    a = {(r["g"], r["v"]): (r["n"], r["n_below"]) for r in ordered.cumulative(df, ["g"], "v", w).collect()}
-    b = {(r["g"], r["v"]): (r["n"], r["n_below"]) for r in ordered.cumulative(df, ["g"], "v", w, max_rows=64).collect()}
-    assert a == b
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["g"]: r for r in ordered.quantiles(df, ["g"], "v", probs).collect()}
+        below = {(r["g"], r["v"]): r["n_below"] for r in ordered.cumulative(df, ["g"], "v", {"n": F.lit(1)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, own in values.items():
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(own, p)), (g, p)
+        for v in set(own):
+            assert below[g, v] == sum(x < v for x in own)
+
+
+def test_null_times_come_last(spark):
+    """Blocks and plain windows agree on items without a time or block."""
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 12.0), ("a", 3, 20.0), ("a", None, 50.0)], "k string, t int, value double")
+    for block in (None, "t"):
+        got = series.variability(df, ["k"], ["t"], block=block).first()
+        assert got["rmssd"] == pytest.approx(((4 + 64 + 900) / 3) ** 0.5)
+        diffs = {r["t"]: r["diff"] for r in series.successive_differences(df, ["k"], ["t"], block=block).collect()}
+        assert diffs == {1: None, 2: 2.0, 3: 8.0, None: 30.0}
+    points = df.withColumn("vec", F.array("value"))
+    assert geometry.path_metrics(points, ["k"], ["t"]).first()["net_displacement"] == pytest.approx(40)
+    assert geometry.document_path(points, ["k"], ["t"], "t").first()["net_displacement"] == pytest.approx(40)
 
 
 def test_global_rank_is_a_permutation(spark):

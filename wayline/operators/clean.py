@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import MAX_GROUP_ROWS, quantiles
+from wayline.operators.ordered import quantiles
 
 EDGE = 1e-9
 
@@ -15,25 +15,23 @@ def group_defaults(df: DataFrame, model: str = "model", domain: str = "domain")
     return df.withColumns({model: F.coalesce(model, F.lit("ALL")), domain: F.coalesce(domain, F.lit("UNKNOWN"))})
 
 
-def iqr_bounds(df: DataFrame, groups: list[str], value: str = "value", k: float = 1.5,
-               max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def iqr_bounds(df: DataFrame, groups: list[str], value: str = "value", k: float = 1.5) -> DataFrame:
     """q1, q3 and the limits [q1 - k IQR, q3 + k IQR]; IQR 0 has no limits.
 
     A value on a limit is inside. ``EDGE`` keeps it there when sums were added
     in another order and the last digits differ.
     """
     k = k + EDGE
-    q = quantiles(df, groups, value, {"q1": 0.25, "q3": 0.75}, max_rows)
+    q = quantiles(df, groups, value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return q.withColumns({
         "lower": F.when(iqr != 0, F.col("q1") - k * iqr), "upper": F.when(iqr != 0, F.col("q3") + k * iqr),
     })
 
 
-def mask_outliers(df: DataFrame, groups: list[str], value: str = "value", k: float = 1.5,
-                  max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def mask_outliers(df: DataFrame, groups: list[str], value: str = "value", k: float = 1.5) -> DataFrame:
     """Set cells outside the limits to NULL and flag them; no row is dropped."""
-    b = iqr_bounds(df, groups, value, k, max_rows).select(*[F.col(g).alias(f"_g_{g}") for g in groups], "lower", "upper")
+    b = iqr_bounds(df, groups, value, k).select(*[F.col(g).alias(f"_g_{g}") for g in groups], "lower", "upper")
     cond = F.lit(True)
     for g in groups:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.columns import safe_div
 from wayline.functions.pvalues import binomial_p, stars
-from wayline.operators.ordered import MAX_GROUP_ROWS, cumulative, quantiles
+from wayline.operators.ordered import cumulative, quantiles
 
 ALTERNATIVES = {"TF-IDF-GEO": "two-sided"}
 
@@ -63,7 +63,7 @@ def pair_difference_summary(df: DataFrame, groups: list[str], reference: Column,
 
 
 def pair_difference_histogram(df: DataFrame, groups: list[str], reference: Column, value: str, low: str, width: str,
-                              bins: int, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                              bins: int) -> DataFrame:
     """Exact histogram of all pairwise differences without making a pair.
 
     ``low`` and ``width`` are columns, constant per group. For every edge the
@@ -77,7 +77,7 @@ def pair_difference_histogram(df: DataFrame, groups: list[str], reference: Colum
     events = shifted.select(*groups, "_x", "_j", "_w", F.lit(0).cast("bigint").alias("_m")).unionByName(
         m.select(*groups, F.col(value).cast("double").alias("_x"), F.lit(-1).alias("_j"), F.lit(0).cast("bigint").alias("_w"), "_m"))
     weights = {"_m": F.col("_m"), **{f"_e{j}": F.when(F.col("_j") == j, F.col("_w")).otherwise(0) for j in range(bins + 1)}}
-    cum = cumulative(events, groups, "_x", weights, max_rows)
+    cum = cumulative(events, groups, "_x", weights)
     # pairs with difference >= edge j have a model value at or below the shifted value
     at_least = cum.groupBy(*groups).agg(*[
         F.sum(F.col(f"_e{j}") * (F.col("_m_below") + F.col("_m"))).alias(f"_g{j}") for j in range(bins + 1)])
@@ -133,8 +133,7 @@ def side_statistics(long: DataFrame, groups: list[str], reference: Column, value
         "ratio", F.when(F.col("llm_mean") > 0, F.col("human_mean") / F.col("llm_mean")))
 
 
-def descriptive_comparison(long: DataFrame, groups: list[str], reference: Column, value: str = "value",
-                           max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def descriptive_comparison(long: DataFrame, groups: list[str], reference: Column, value: str = "value") -> DataFrame:
     """Mean, population sd, median, CV and shape per side, and the mean difference."""
     side = F.when(reference, F.lit("human")).otherwise("llm")
     rows = long.withColumn("_side", side)
@@ -142,7 +141,7 @@ def descriptive_comparison(long: DataFrame, groups: list[str], reference: Column
     moments = rows.groupBy(*groups, "_side").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
         F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
-    med = quantiles(rows, [*groups, "_side"], value, {"median": 0.5}, max_rows)
+    med = quantiles(rows, [*groups, "_side"], value, {"median": 0.5})
     both = moments.join(med, [*groups, "_side"]).withColumn("cv", safe_div(F.col("std"), F.abs(F.col("mean"))))
     stats = ["n", "mean", "std", "median", "cv", "skewness", "kurtosis"]
     wide = both.groupBy(*groups).pivot("_side", ["human", "llm"]).agg(*[F.first(s).alias(s) for s in stats])

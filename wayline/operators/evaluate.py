@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.columns import safe_div
-from wayline.operators.ordered import MAX_GROUP_ROWS, quantiles
+from wayline.operators.ordered import quantiles
 
 
 def confusion(pred: DataFrame, groups: list[str], label: str = "label", predicted: str = "prediction") -> DataFrame:
@@ -70,13 +70,13 @@ def threshold_sweep(pred: DataFrame, groups: list[str], score: str, positive: Co
     return r.withColumn("best", first == 1)
 
 
-def probability_distribution(pred: DataFrame, groups: list[str], score: str, label: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def probability_distribution(pred: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:
     """Mean, median, sd, min and max of scores per class, and the share within 0.1 of 0.5."""
     p = F.col(score)
     a = pred.groupBy(*groups, label).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"),
         F.count_if(F.abs(p - 0.5) < 0.1).alias("near"))
-    return a.join(quantiles(pred, [*groups, label], score, {"median": 0.5}, max_rows), [*groups, label]).withColumn(
+    return a.join(quantiles(pred, [*groups, label], score, {"median": 0.5}), [*groups, label]).withColumn(
         "near_share", F.col("near") / F.col("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.vectors import dot, l2, minus, norm
-from wayline.operators.series import previous_value
+from wayline.operators.series import previous_value, time_key
 
 REST = 1e-12
 
@@ -70,7 +70,7 @@ def path_metrics(df: DataFrame, keys: list[str], order: list[str], vec: str = "v
 
     ``zero_net`` is the tortuosity of a path that ends where it began.
     """
-    t = F.struct(*order)
+    t = time_key(order)
     agg = steps(df, keys, order, vec).groupBy(*keys).agg(
         F.avg("distance").alias("mean_distance"), F.stddev_pop("distance").alias("std_distance"),
         F.sum("distance").alias("path_length"), F.avg("cosine").alias("direction_consistency"),
@@ -88,8 +88,8 @@ def document_path(df: DataFrame, keys: list[str], order: list[str], block: str,
 
     Blocks are measured on their own and linked by one step each.
     """
-    w = Window.partitionBy(*keys, block).orderBy(*order)
-    t = F.struct(*order)
+    w = Window.partitionBy(*keys, block).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    t = time_key(order)
     d = F.col("_d")
     parts = (
         df.withColumn("_d", l2(F.col(vec), F.lag(vec).over(w))).groupBy(*keys, block).agg(
@@ -97,7 +97,7 @@ def document_path(df: DataFrame, keys: list[str], order: list[str], block: str,
             F.min_by(vec, t).alias("_a"), F.max_by(vec, t).alias("_z"),
         )
     )
-    series, seq = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(block)
+    series, seq = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col(block).asc_nulls_last())
     z = lambda c: F.coalesce(c, F.lit(0.0))
     linked = parts.withColumn("_link", l2(F.col("_a"), F.lag("_z").over(seq)))
     count = F.sum("_nd").over(series) + F.count("_link").over(series)
@@ -109,7 +109,7 @@ def document_path(df: DataFrame, keys: list[str], order: list[str], block: str,
         F.sum("_n").alias("n_years"), F.first("_mean").alias("mean_yearly_distance"),
         (F.sum("_nd") + F.count("_link")).alias("_steps"), m2.alias("_ss"),
         F.sum(z(F.col("_nd") * F.col("_md")) + z(F.col("_link"))).alias("path_length"),
-        F.min_by("_a", block).alias("_a"), F.max_by("_z", block).alias("_z"),
+        F.min_by("_a", time_key([block])).alias("_a"), F.max_by("_z", time_key([block])).alias("_z"),
     ).where(F.col("n_years") >= 2)
     out = out.withColumn("net_displacement", _at_rest(l2(F.col("_a"), F.col("_z")), F.col("_z")))
     return out.select(

@@ -237,7 +237,7 @@ def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], key: str, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Mean drop in accuracy when a feature is shuffled, normalised by the sum of absolute drops.
+    """Mean drop in accuracy when a feature is shuffled, divided by the signed sum of all where that is positive.
 
     ``model`` transforms raw feature columns into ``prediction``.
     """
@@ -250,6 +250,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
             a = model.transform(permuted(test, key, f, seed + r)).agg(acc.alias("acc")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "acc")
             out = a if out is None else out.unionByName(a)
     drops = out.join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("acc")).alias("importance"), F.stddev_pop("acc").alias("std"))
-    return drops.withColumn("normalised", F.abs("importance") / F.nullif(F.sum(F.abs("importance")).over(Window.partitionBy()), F.lit(0.0)))
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))
+    return drops.withColumn("normalised", F.when(total > 0, F.col("importance") / total).otherwise(F.col("importance")))
 
 

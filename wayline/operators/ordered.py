@@ -1,77 +1,33 @@
 """Order statistics over groups of any size.
 
-A group that fits in one task is handled by a plain window or ``percentile``.
-A larger group is cut into value blocks at approximate quantiles: each block is
-ordered on its own and the block totals, a handful of rows, are added back, so
-results stay exact and no task holds a whole group.
+A group is first reduced to its distinct values. These are dealt out by Spark's range partitioning on (group, value), so
+every partition holds a stretch of values and a group of any size spans as many partitions as it needs. Each stretch is
+ordered on its own, and the totals of a group's earlier stretches, one row each, are added back.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayline.functions.columns import null_safe_equal
-
-MAX_GROUP_ROWS = 4_000_000
-
-
-def _large_groups(df: DataFrame, groups: list[str], max_rows: int) -> list:
-    """Groups above ``max_rows``: at most (all rows / max_rows) of them, so safe to collect."""
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows).collect()
-
-
-def _group_table(df: DataFrame, groups: list[str], rows: list, extra: T.StructField) -> DataFrame:
-    fields = [df.schema[g] for g in groups] + [extra]
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
-
-
-def _bisect(splits: Column, value: Column, n: int) -> Column:
-    """Number of split points below ``value`` by binary search."""
-    steps = F.array(*[F.lit(2**b) for b in range(max(n, 1).bit_length() - 1, -1, -1)])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda pos, step: F.when(F.get(splits, pos + step - 1) < value, pos + step).otherwise(pos),
-    )
-
-
-def value_blocks(df: DataFrame, groups: list[str], value: str, max_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, bool]:
-    """Add ``_blk``, a block number that grows with ``value`` inside each group."""
-    large = _large_groups(df, groups, max_rows)
-    if not large:
-        return df.withColumn("_blk", F.lit(0)), False
-    k = min(2 * math.ceil(max(r["_rows"] for r in large) / max_rows), 4096)
-    keys = _group_table(df, groups, [tuple(r) for r in large], T.StructField("_rows", T.LongType()))
-    probs = [i / k for i in range(1, k)]
-    splits = (
-        df.join(F.broadcast(keys), null_safe_equal(df, keys, groups), "left_semi")
-        .groupBy(*groups).agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("_splits")).collect()
-    )
-    table = _group_table(df, groups, [tuple(r) for r in splits], T.StructField("_splits", T.ArrayType(T.DoubleType())))
-    joined = df.join(F.broadcast(table), null_safe_equal(df, table, groups), "left").select(df["*"], "_splits")
-    block = F.coalesce(_bisect(F.col("_splits"), F.col(value).cast("double"), k), F.lit(0))
-    return joined.withColumn("_blk", block).drop("_splits"), True
+from wayline.session import materialize
 
 
-def cumulative(df: DataFrame, groups: list[str], value: str, weights: dict[str, Column],
-               max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def cumulative(df: DataFrame, groups: list[str], value: str, weights: dict[str, Column]) -> DataFrame:
     """Distinct values per group with each weight's sum and its sum over smaller values.
 
-    Returns ``groups, value, <w>, <w>_below``.
+    Returns ``groups, value, <w>, <w>_below``. The stretches are fixed by a checkpoint, because splitters are sampled
+    anew whenever a plan runs again.
     """
-    blocked, split = value_blocks(df, groups, value, max_rows)
-    distinct = blocked.groupBy(*groups, "_blk", value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+    distinct = df.groupBy(*groups, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+    placed = materialize(distinct.repartitionByRange(*groups, value).withColumn("_blk", F.spark_partition_id()))
     below = Window.partitionBy(*groups, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = distinct.withColumns({f"{n}_below": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in weights})
-    if not split:
-        return local.drop("_blk")
+    local = placed.withColumns({f"{n}_below": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in weights})
     before = Window.partitionBy(*groups).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*groups, "_blk").agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-        .withColumns({f"_off_{n}": F.sum(n).over(before) for n in weights}).where(F.col("_blk") > 0)
+        placed.groupBy(*groups, "_blk").agg(*[F.sum(n).alias(n) for n in weights])
+        .withColumns({f"_off_{n}": F.sum(n).over(before) for n in weights}).where(F.col(f"_off_{next(iter(weights))}").isNotNull())
         .select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_blk").alias("_b"), *[f"_off_{n}" for n in weights])
     )
     cond = F.col("_blk") == F.col("_b")
@@ -83,19 +39,12 @@ def cumulative(df: DataFrame, groups: list[str], value: str, weights: dict[str,
     )
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
-              max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation; NULL values are ignored."""
     valued = df.select(*groups, value).where(F.col(value).isNotNull())
-    large = _large_groups(valued, groups, max_rows)
-    exact = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
-    plain_cols = [F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)]
-    if not large:
-        return valued.groupBy(*groups).agg(exact.alias("_q")).select(*groups, *plain_cols)
-    keys = F.broadcast(_group_table(valued, groups, [tuple(r) for r in large], T.StructField("_n", T.LongType())))
-    small = valued.join(keys, null_safe_equal(valued, keys, groups), "left_anti")
-    big = valued.join(keys, null_safe_equal(valued, keys, groups)).select(valued["*"], "_n")
-    cum = cumulative(big, [*groups, "_n"], value, {"_c": F.lit(1)}, max_rows)
+    cum = cumulative(valued, groups, value, {"_c": F.lit(1)})
+    sizes = cum.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    placed = cum.join(sizes, null_safe_equal(cum, sizes, groups)).select(cum["*"], "_n") if groups else cum.crossJoin(sizes)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_c_below") <= rank) & (rank < F.col("_c_below") + F.col("_c")), F.col(value).cast("double")))
@@ -104,11 +53,9 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
         outs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}")]
-    big_q = cum.groupBy(*groups, "_n").agg(*outs).select(*groups, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))))).alias(n)
-        for n, p in probs.items()
-    ])
-    return small.groupBy(*groups).agg(exact.alias("_q")).select(*groups, *plain_cols).unionByName(big_q)
+    found = placed.groupBy(*groups, "_n").agg(*outs)
+    part = lambda p: (F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))
+    return found.select(*groups, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(p)).alias(n) for n, p in probs.items()])
 
 
 def global_rank(df: DataFrame, groups: list[str], hash_col: str, out: str = "_rank") -> DataFrame:

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.pvalues import ks_p, normal_p
-from wayline.operators.ordered import MAX_GROUP_ROWS, cumulative
+from wayline.operators.ordered import cumulative
 
 
-def _two_sides(df: DataFrame, groups: list[str], value: str, first: Column, max_rows: int) -> DataFrame:
+def _two_sides(df: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
     one = {"a": F.when(first, 1).otherwise(0).cast("bigint"), "b": F.when(first, 0).otherwise(1).cast("bigint")}
-    return cumulative(df.where(F.col(value).isNotNull()), groups, value, one, max_rows)
+    return cumulative(df.where(F.col(value).isNotNull()), groups, value, one)
 
 
-def mann_whitney(df: DataFrame, groups: list[str], value: str, first: Column, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def mann_whitney(df: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
     """U of the first side, two-sided normal p with tie and continuity correction."""
-    c = _two_sides(df, groups, value, first, max_rows)
+    c = _two_sides(df, groups, value, first)
     t = (F.col("a") + F.col("b")).cast("double")
     s = c.groupBy(*groups).agg(
         F.sum("a").alias("n1"), F.sum("b").alias("n2"),
@@ -29,9 +29,9 @@ def mann_whitney(df: DataFrame, groups: list[str], value: str, first: Column, ma
     return s.select(*groups, "n1", "n2", "u", z.alias("z")).withColumn("p_value", normal_p(F.col("z")))
 
 
-def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Column, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
     """Largest distance between the two empirical distributions, asymptotic p."""
-    c = _two_sides(df, groups, value, first, max_rows)
+    c = _two_sides(df, groups, value, first)
     sizes = c.groupBy(*groups).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")).select(
         *[F.col(g).alias(f"_g_{g}") for g in groups], "n1", "n2")
     cond = F.lit(True)
@@ -42,18 +42,18 @@ def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Colu
     return d.withColumn("p_value", ks_p(F.col("d"), F.col("n1"), F.col("n2")))
 
 
-def roc_auc(df: DataFrame, groups: list[str], score: str, positive: Column, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, groups: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve; ties count half."""
-    c = _two_sides(df, groups, score, positive, max_rows)
+    c = _two_sides(df, groups, score, positive)
     s = c.groupBy(*groups).agg(
         F.sum("a").alias("positives"), F.sum("b").alias("negatives"), F.sum(F.col("a") * (F.col("b_below") + 0.5 * F.col("b"))).alias("_u"))
     pairs = F.nullif(F.col("positives").cast("double") * F.col("negatives"), F.lit(0.0))
     return s.select(*groups, "positives", "negatives", (F.col("_u") / pairs).alias("auc"))
 
 
-def roc_segments(df: DataFrame, groups: list[str], score: str, positive: Column, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def roc_segments(df: DataFrame, groups: list[str], score: str, positive: Column) -> DataFrame:
     """One curve segment per distinct score: counts above it and at or above it."""
-    c = _two_sides(df, groups, score, positive, max_rows)
+    c = _two_sides(df, groups, score, positive)
     sizes = c.groupBy(*groups).agg(F.sum("a").alias("p"), F.sum("b").alias("n")).select(
         *[F.col(g).alias(f"_g_{g}") for g in groups], "p", "n")
     cond = F.lit(True)

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import MAX_GROUP_ROWS, cumulative, quantiles, top_n
+from wayline.operators.ordered import cumulative, quantiles, top_n
 
 
 def trend_code_pivot(t: DataFrame, domains: list[str]) -> DataFrame:
-    """Feature x domain table: -1 converging, +1 diverging, times 1.5 when significant, 0 when absent."""
-    code = F.when(F.col("trend") == "converging", -1.0).when(F.col("trend") == "diverging", 1.0).otherwise(0.0)
+    """Feature x model rows, a column per domain: +1 converging, -1 diverging, times 1.5 when significant, 0 when absent."""
+    code = F.when(F.col("trend") == "converging", 1.0).when(F.col("trend") == "diverging", -1.0).otherwise(0.0)
     weight = F.when(F.col("significant"), 1.5).otherwise(1.0)
     return (
-        t.withColumn("_code", code * weight).groupBy("layer", "feature").pivot("domain", domains).agg(F.first("_code"))
-        .fillna(0.0, subset=domains).orderBy("layer", "feature")
+        t.withColumn("_code", code * weight).groupBy("layer", "feature", "model").pivot("domain", domains).agg(F.first("_code"))
+        .fillna(0.0, subset=domains)
     )
 
 
@@ -66,37 +66,12 @@ def fixed_bins(df: DataFrame, groups: list[str], value: str, low: Column, high:
     return inside.groupBy(*groups, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def adaptive_range(df: DataFrame, groups: list[str], value: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Plot range and bin count per group from quantiles.
-
-    Fixed values of the rule: ranges above 1000 and 500 use quartile whiskers
-    (2.0 and 1.5 IQR), above 100 the 5th to 95th percentile, else the data range.
-    """
-    q = quantiles(df, groups, value, {"q5": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}, max_rows)
-    m = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.stddev_pop(value).alias("sd"))
-    j = m.join(q, groups)
-    span, iqr = F.col("hi") - F.col("lo"), F.col("q75") - F.col("q25")
-    low = (
-        F.when(span > 1000, F.greatest(F.col("lo"), F.col("q25") - 2.0 * iqr)).when(span > 500, F.greatest(F.col("lo"), F.col("q25") - 1.5 * iqr))
-        .when(span > 100, F.col("q5")).otherwise(F.col("lo"))
-    )
-    high = (
-        F.when(span > 1000, F.least(F.col("hi"), F.col("q75") + 2.0 * iqr)).when(span > 500, F.least(F.col("hi"), F.col("q75") + 1.5 * iqr))
-        .when(span > 100, F.col("q95")).otherwise(F.col("hi"))
-    )
-    j = j.withColumns({"_l": low, "_h": high})
-    width = F.col("_h") - F.col("_l")
-    pad = (
-        F.when(span > 1000, F.greatest(width * 0.02, F.col("sd") * 0.15)).when(span > 500, F.greatest(width * 0.03, F.col("sd") * 0.2))
-        .when(span > 100, F.greatest(width * 0.04, F.col("sd") * 0.25)).otherwise(F.greatest(span * 0.06, F.col("sd") * 0.4))
-    )
-    root = F.sqrt(F.col("n"))
-    bins = (
-        F.when(span > 1000, F.least(F.lit(100), F.greatest(F.lit(70), F.floor(root * 3.0)))).when(span > 500, F.least(F.lit(120), F.greatest(F.lit(80), F.floor(root * 3.2))))
-        .otherwise(F.least(F.lit(140), F.greatest(F.lit(100), F.floor(root * 3.6))))
-    )
-    return j.select(*groups, (F.col("_l") - pad).alias("x_min"), (F.col("_h") + pad).alias("x_max"), bins.cast("int").alias("bins"))
+def quantile_histogram(df: DataFrame, groups: list[str], value: str, bins: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Histogram of equal bins between two quantiles of each group; values outside are clipped out."""
+    q = quantiles(df, groups, value, {"x_min": low, "x_max": high})
+    inside = df.join(q, groups)
+    counts = fixed_bins(inside, [*groups, "x_min", "x_max"], value, F.col("x_min"), F.col("x_max"), bins)
+    return counts.select(*groups, "x_min", "x_max", "bin", "n")
 
 
 def dispersion(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
@@ -111,14 +86,14 @@ def dispersion(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
     return out.withColumns({m: F.when(F.col("n_samples") >= 2, F.col(m)) for m in measures})
 
 
-def length_compliance(df: DataFrame, groups: list[str], actual: str, target: str, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def length_compliance(df: DataFrame, groups: list[str], actual: str, target: str) -> DataFrame:
     """How close lengths are to their targets; the median is the upper one for even counts."""
     diff = F.coalesce(F.abs(F.col(actual) - F.col(target)) * 100.0 / F.nullif(F.col(target), F.lit(0)), F.lit(0.0))
     d = df.withColumn("_d", diff)
     agg = d.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("_d") <= 5).alias("within_5pct"), F.count_if(F.col("_d") <= 10).alias("within_10pct"),
         F.avg("_d").alias("avg_diff"))
-    cum = cumulative(d, groups, "_d", {"_c": F.lit(1)}, max_rows).join(agg.select(*groups, "total"), groups)
+    cum = cumulative(d, groups, "_d", {"_c": F.lit(1)}).join(agg.select(*groups, "total"), groups)
     mid = F.floor(F.col("total") / 2)
     med = cum.where((F.col("_c_below") <= mid) & (mid < F.col("_c_below") + F.col("_c"))).select(*groups, F.col("_d").alias("median_diff"))
     return agg.join(med, groups)

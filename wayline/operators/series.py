@@ -20,6 +20,11 @@ def _order(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
+def time_key(order: list[str]) -> Column:
+    """Sort key for min_by and max_by that agrees with the windows: NULLs come last."""
+    return F.struct(*[c for i, name in enumerate(order) for c in (F.col(name).isNull().alias(f"n{i}"), F.col(name).alias(f"v{i}"))])
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, block: str | None = None,
                    out: str = "prev") -> DataFrame:
     """Last non-NULL value before each row of its series.
@@ -35,8 +40,8 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
     local = keyed.withColumn("_prev", F.last(value, ignorenulls=True).over(before))
     if not block:
         return local.withColumnRenamed("_prev", out).drop("_k")
-    at = F.when(F.col(value).isNotNull(), F.struct(*order))
-    earlier = Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy(f"_k.{block}").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col(value).isNotNull(), time_key(order))
+    earlier = Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy(F.col(f"_k.{block}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         keyed.groupBy("_k").agg(F.max_by(value, at).alias("_last"))
         .select("_k", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
@@ -67,7 +72,7 @@ def _partials(df, keys, order, value, block):
     part = keys + ([block] if block else [])
     before = Window.partitionBy(*part).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
     d = F.col("_d")
-    at = F.when(F.col(value).isNotNull(), F.struct(*order))
+    at = F.when(F.col(value).isNotNull(), time_key(order))
     return (
         df.withColumn("_d", F.col(value) - F.last(value, ignorenulls=True).over(before))
         .groupBy(*part).agg(
@@ -92,7 +97,7 @@ def variability(df: DataFrame, keys: list[str], order: list[str], value: str = "
     p = _partials(df, keys, order, value, block)
     z = lambda c: F.coalesce(c, F.lit(0.0))
     if block:
-        series, seq = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(block)
+        series, seq = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col(block).asc_nulls_last())
         earlier = seq.rowsBetween(Window.unboundedPreceding, -1)
         p = p.withColumn("_b", F.col("_first") - F.last("_last", ignorenulls=True).over(earlier))
         grand = F.sum(F.col("_n") * F.col("_mean")).over(series) / F.nullif(F.sum("_n").over(series), F.lit(0))

@@ -111,11 +111,10 @@ def d2(spark, sf):
 
 
 @query("D3_unified_left_join", UNI + f"SELECT {K4}, " + ", ".join(
-    f"round(max(CASE WHEN feature = '{c}' THEN value END), 5) + 0.0 AS {c}" for c in UNI_COLS if "displacement" not in c and "distance" not in c and "length" not in c
+    f"round(max(CASE WHEN feature = '{c}' THEN value END), 6) + 0.0 AS {c}" for c in UNI_COLS
 ) + " FROM ul GROUP BY ALL")
 def d3(spark, sf):
-    cols = [c for c in UNI_COLS if "displacement" not in c and "distance" not in c and "length" not in c]
-    return rounded(unified(spark, sf).select(*KEYS4, *cols), 5)
+    return rounded(unified(spark, sf).select(*KEYS4, *UNI_COLS), 6)
 
 
 @query("D3_null_keys_match", f"""WITH {YEARS_SQL}, a AS (SELECT CASE WHEN author_id % 4 = 0 THEN NULL ELSE domain END AS domain, field, author_id, year, avg(price) AS price FROM f1 WHERE year < 2001 GROUP BY ALL),
@@ -130,12 +129,10 @@ def d3n(spark, sf):
     return rounded(rounded(left_null_safe(a, b, keys), 5, "price"), 8, "tax")
 
 
-@query("D4_matched_comparison", UNI + """SELECT domain, field, author_id, feature, feature_type, model, round(human_value + 3e-7::DOUBLE, 3) + 0.0 AS human_value,
- round(llm_value + 3e-7::DOUBLE, 3) + 0.0 AS llm_value, human_wins FROM cmp""")
+@query("D4_matched_comparison", UNI + """SELECT domain, field, author_id, feature, feature_type, model, round(human_value, 6) + 0.0 AS human_value,
+ round(llm_value, 6) + 0.0 AS llm_value, human_wins FROM cmp""")
 def d4(spark, sf):
-    # distances of two-decimal means can end in an exact 5; the offset keeps them off the rounding edge
-    c = comparisons(spark, sf).withColumns({v: F.col(v) + 3e-7 for v in ("human_value", "llm_value")})
-    return rounded(c, 3)
+    return rounded(comparisons(spark, sf), 6)
 
 
 LOOSE = f"""lo AS (SELECT domain, CASE WHEN author_id % 10 = 0 AND model = 'N' THEN NULL ELSE field END AS field,
@@ -149,14 +146,13 @@ LOOSE = f"""lo AS (SELECT domain, CASE WHEN author_id % 10 = 0 AND model = 'N' T
 
 @query("D5_matched_difference_with_fallback", YL.rstrip() + f""", {LOOSE}
  SELECT domain, field, author_id, year, feature, model, round(human_value, 4) AS human_value, n_matched,
-   round(human_value - llm_value, 2) + 0.0 AS difference FROM (SELECT * FROM kd UNION ALL SELECT * FROM ld)
- WHERE feature IN ('discount', 'tax')""".replace("round(human_value, 4)", "round(human_value, 8)").replace(", 2) + 0.0", ", 8) + 0.0"))
+   round(human_value - llm_value, 2) + 0.0 AS difference FROM (SELECT * FROM kd UNION ALL SELECT * FROM ld)""".replace("round(human_value, 4)", "round(human_value, 6)").replace(", 2) + 0.0", ", 6) + 0.0"))
 def d5(spark, sf):
     loose = (F.pmod("author_id", F.lit(10)) == 0) & is_human()
-    long = unpivot(supplier_years(spark, sf), [*KEYS4, "year"], ["discount", "tax"]).withColumns({
+    long = unpivot(supplier_years(spark, sf), [*KEYS4, "year"], FEATURES).withColumns({
         "field": F.when(~loose, F.col("field")), "author_id": F.when(~loose, F.col("author_id"))})
     out = compare.matched_differences(long, ["field", "author_id", "year"], "domain", is_human())
-    return rounded(out.drop("llm_value"), 8)
+    return rounded(out.drop("llm_value"), 6)
 
 
 def message_lengths(spark, sf):
@@ -231,16 +227,14 @@ def d11(spark, sf):
     return rounded(compare.win_summary(comparisons(spark, sf), ["domain", "model"]), 8)
 
 
-@query("D15_difference_from_baseline", f"""WITH {ITEMS_SQL}, m AS (SELECT domain, model, avg(quantity) AS quantity, avg(discount) AS discount FROM items GROUP BY ALL)
- SELECT a.domain, a.model, round(a.quantity - b.quantity, 7) + 0.0 AS quantity, round(a.discount - b.discount, 9) + 0.0 AS discount FROM m a JOIN m b USING (domain) WHERE a.model <> 'N' AND b.model = 'N'""")
+@query("D15_difference_from_baseline", f"WITH {ITEMS_SQL}, m AS (SELECT domain, model, " + ", ".join(f"avg({f}) AS {f}" for f in FEATURES) + " FROM items GROUP BY ALL) SELECT a.domain, a.model, " + ", ".join(
+    f"round(a.{f} - b.{f}, 6) + 0.0 AS {f}" for f in FEATURES) + " FROM m a JOIN m b USING (domain) WHERE a.model <> 'N' AND b.model = 'N'")
 def d15(spark, sf):
     from wayline.sources.bindings import supplier_items, with_supplier_domain
 
-    part = supplier_items(spark, sf).groupBy("author_id", "model").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("quantity").alias("q"), F.sum("discount").alias("d"))
-    m = with_supplier_domain(spark, sf, part).groupBy("domain", "model").agg(
-        (F.sum("q") / F.sum("c")).alias("quantity"), (F.sum("d") / F.sum("c")).alias("discount"))
-    return rounded(rounded(compare.baseline_difference(m, "domain", is_human(), ["quantity", "discount"]), 7, "quantity"), 9, "discount")
+    part = supplier_items(spark, sf).groupBy("author_id", "model").agg(F.count(F.lit(1)).alias("c"), *[F.sum(f).alias(f) for f in FEATURES])
+    m = with_supplier_domain(spark, sf, part).groupBy("domain", "model").agg(*[(F.sum(f) / F.sum("c")).alias(f) for f in FEATURES])
+    return rounded(compare.baseline_difference(m, "domain", is_human(), FEATURES), 6)
 
 
 # ------------------------------------------------------------------ aggregates
@@ -265,14 +259,13 @@ def e12m(spark, sf):
     return rounded(rounded(rounded(df, 3, "human_median", "llm_median"), 6, "human_cv", "llm_cv"), 5, "pct_diff")
 
 
-@query("E13_skewness_kurtosis", UNI + """, z AS (SELECT feature, CASE WHEN model = 'N' THEN 'human' ELSE 'llm' END AS side, value FROM ul WHERE value IS NOT NULL AND feature NOT LIKE '%std%'),
+@query("E13_skewness_kurtosis", UNI + """, z AS (SELECT feature, CASE WHEN model = 'N' THEN 'human' ELSE 'llm' END AS side, value FROM ul WHERE value IS NOT NULL),
  m AS (SELECT *, avg(value) OVER (PARTITION BY feature, side) AS mu FROM z),
  c AS (SELECT feature, side, avg((value - mu) ** 3) / avg((value - mu) ** 2) ** 1.5 AS sk, avg((value - mu) ** 4) / avg((value - mu) ** 2) ** 2 - 3 AS ku FROM m GROUP BY ALL)
  SELECT feature, round(max(CASE WHEN side = 'human' THEN sk END), 5) AS human_skewness, round(max(CASE WHEN side = 'llm' THEN sk END), 5) AS llm_skewness,
   round(max(CASE WHEN side = 'human' THEN ku END), 5) AS human_kurtosis, round(max(CASE WHEN side = 'llm' THEN ku END), 5) AS llm_kurtosis FROM c GROUP BY 1""")
 def e13(spark, sf):
-    long = unified_long(spark, sf).where(~F.col("feature").contains("std"))
-    df = compare.descriptive_comparison(long, ["feature"], is_human())
+    df = compare.descriptive_comparison(unified_long(spark, sf), ["feature"], is_human())
     return rounded(df.select("feature", "human_skewness", "llm_skewness", "human_kurtosis", "llm_kurtosis"), 5)
 
 

@@ -321,14 +321,11 @@ def e29(spark, sf):
     return report.fixed_bins(e.join(b, "field"), ["field"], "value", F.col("lo"), F.col("hi"), 30)
 
 
-@query("E29_adaptive_range", f"""WITH {EVENTS_SQL}, q AS (SELECT field, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_pop(value) AS sd, quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95 FROM f3 GROUP BY 1),
- s AS (SELECT *, hi - lo AS span, q75 - q25 AS iqr FROM q),
- r AS (SELECT *, CASE WHEN span > 1000 THEN greatest(lo, q25 - 2 * iqr) WHEN span > 500 THEN greatest(lo, q25 - 1.5 * iqr) WHEN span > 100 THEN q5 ELSE lo END AS l,
-   CASE WHEN span > 1000 THEN least(hi, q75 + 2 * iqr) WHEN span > 500 THEN least(hi, q75 + 1.5 * iqr) WHEN span > 100 THEN q95 ELSE hi END AS h FROM s),
- p AS (SELECT *, CASE WHEN span > 1000 THEN greatest((h - l) * 0.02, sd * 0.15) WHEN span > 500 THEN greatest((h - l) * 0.03, sd * 0.2) WHEN span > 100 THEN greatest((h - l) * 0.04, sd * 0.25) ELSE greatest(span * 0.06, sd * 0.4) END AS pad FROM r)
- SELECT field, round(l - pad, 5) AS x_min, round(h + pad, 5) AS x_max, CAST(CASE WHEN span > 1000 THEN least(100, greatest(70, floor(sqrt(n) * 3.0))) WHEN span > 500 THEN least(120, greatest(80, floor(sqrt(n) * 3.2))) ELSE least(140, greatest(100, floor(sqrt(n) * 3.6))) END AS INTEGER) AS bins FROM p""")
-def e29a(spark, sf):
-    return rounded(report.adaptive_range(event_series(spark, sf), ["field"], "value"), 5)
+@query("E29_quantile_histogram", f"""WITH {EVENTS_SQL}, q AS (SELECT field, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM f3 GROUP BY 1)
+ SELECT field, round(lo, 6) AS x_min, round(hi, 6) AS x_max, CAST(least(floor((value - lo) / ((hi - lo) / 50.0::DOUBLE)), 49) AS INTEGER) AS bin, count(*) AS n
+ FROM f3 JOIN q USING (field) WHERE value BETWEEN lo AND hi GROUP BY ALL""")
+def e29q(spark, sf):
+    return rounded(report.quantile_histogram(event_series(spark, sf), ["field"], "value", 50), 6, "x_min", "x_max")
 
 
 @query("E31_mean_over_family", f"WITH {YEARS_SQL} SELECT {K4}, year, round(CASE WHEN author_id % 3 = 0 THEN tax ELSE (discount + tax) / 2 END, 8) AS rate_mean FROM f1")

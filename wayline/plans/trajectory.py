@@ -324,14 +324,24 @@ def embedding_geometry(spark, sf):
     return geometry.path_metrics(yearly, ["author_id"], ["year"])
 
 
-@query("F13_scalar_feature_geometry", f"""WITH {YEARS_SQL}, mu AS (SELECT avg(quantity) AS a, stddev_pop(quantity) AS b, avg(price) AS c, stddev_pop(price) AS d FROM f1),
- pt AS (SELECT {K4}, year AS t, [(quantity - a) / b, (price - c) / d] AS vec FROM f1, mu), {path_sql(K4)}
- SELECT {K4}, {GEO6}, n_years FROM g""")
+@query("F13_scalar_feature_geometry", SUPP_PT + f"SELECT {K4}, {GEO_SEL} FROM g")
 def f13(spark, sf):
-    from wayline.operators.linear import zscore
+    """All scalar features as they are; ``linear.zscore`` before ``feature_vectors`` gives the scaled space."""
+    points = geometry.feature_vectors(supplier_years(spark, sf), FEATURES)
+    return _geo_round(geometry.path_metrics(points, KEYS4, ["year"]))
 
-    scaled = zscore(supplier_years(spark, sf), ["quantity", "price"])
-    return rounded(geometry.path_metrics(geometry.feature_vectors(scaled, ["quantity", "price"]), KEYS4, ["year"]), 6)
+
+NULL_TIMES = f"""WITH {EVENTS_SQL}, nt AS (SELECT author_id, field, value, item, CASE WHEN item % 11 <> 0 THEN ts END AS ts FROM f3),
+ d AS (SELECT *, value - lag(value) OVER (PARTITION BY {EV} ORDER BY ts NULLS LAST, item) AS d FROM nt WHERE value IS NOT NULL)
+ SELECT author_id, field, count(*) AS n_values, round(sqrt(avg(d * d)), 6) AS rmssd, round(avg(abs(d)), 6) AS masd FROM d GROUP BY ALL"""
+
+
+@query("F2_null_times_last", NULL_TIMES)
+def f2_null(spark, sf):
+    """Items without a time come after all others, in blocks and across them."""
+    df = event_series(spark, sf).withColumn("ts", F.when(F.col("item") % 11 != 0, F.col("ts"))).withColumn("day", F.to_date("ts"))
+    out = series.variability(df, ["author_id", "field"], ["ts", "item"], block="day")
+    return rounded(out.select("author_id", "field", "n_values", "rmssd", "masd"), 6)
 
 
 @query("F14_document_path", f"""WITH {VECTORS_SQL}, pt AS (SELECT author_id, item AS t, vec FROM vecs), {path_sql('author_id', 'NULL')}

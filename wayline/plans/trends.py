@@ -48,9 +48,9 @@ def effects(spark, sf):
     return trend.yearly_effects(yearly_moments(spark, sf), ["domain", "feature"], is_human())
 
 
-@query("E4_yearly_mean_per_source", f"WITH {IL} SELECT domain, model, feature, year, round(mean, 9) AS mean, n FROM mo WHERE feature <> 'price'")
+@query("E4_yearly_mean_per_source", f"WITH {IL} SELECT domain, model, feature, year, round(mean, 6) AS mean, n FROM mo")
 def e4(spark, sf):
-    return rounded(yearly_moments(spark, sf).where("feature <> 'price'").select("domain", "model", "feature", "year", "mean", "n"), 9)
+    return rounded(yearly_moments(spark, sf).select("domain", "model", "feature", "year", "mean", "n"), 6)
 
 
 @query("E5_static_mean_per_label", f"WITH {IL} SELECT model, feature, round(avg(v), 5) AS mean, count(*) AS n FROM il GROUP BY ALL")
@@ -124,12 +124,10 @@ def i6p(spark, sf):
     return rounded(effects(spark, sf).select("domain", "model", "feature", "year", "t_statistic", "p_value"), 6)
 
 
-@query("I7_yearly_effects_without_p", f"""WITH {EFF} SELECT domain, model, feature, year, round(human_mean + 3e-7::DOUBLE, 4) AS human_mean, round(llm_mean + 3e-7::DOUBLE, 4) AS llm_mean, round(mean_difference + 3e-7::DOUBLE, 4) + 0.0 AS mean_difference,
+@query("I7_yearly_effects_without_p", f"""WITH {EFF} SELECT domain, model, feature, year, round(human_mean, 6) AS human_mean, round(llm_mean, 6) AS llm_mean, round(mean_difference, 6) + 0.0 AS mean_difference,
  round(cohens_d, 6) + 0.0 AS cohens_d, round(t_statistic, 6) + 0.0 AS t_statistic, human_n, llm_n FROM yd""")
 def i7(spark, sf):
-    # means of whole cents can end in an exact 5; the offset keeps them off the rounding edge
-    df = effects(spark, sf).drop("p_value").withColumns({c: F.col(c) + 3e-7 for c in ("human_mean", "llm_mean", "mean_difference")})
-    return rounded(rounded(df, 4, "human_mean", "llm_mean", "mean_difference"), 6, "cohens_d", "t_statistic")
+    return rounded(effects(spark, sf).drop("p_value"), 6, "human_mean", "llm_mean", "mean_difference", "cohens_d", "t_statistic")
 
 
 TR = EFF + """, ym AS (SELECT domain, feature, model, year, 'mean_difference' AS measure, abs(mean_difference) AS v FROM yd UNION ALL SELECT domain, feature, model, year, 'cohens_d', abs(cohens_d) FROM yd),
@@ -161,15 +159,17 @@ def g7(spark, sf):
     return rounded(effect_trend_table(spark, sf).where("significant").orderBy("trend", "p_value", "domain", "feature", "model", "measure"), 6)
 
 
-@query("H6_trend_code_pivot", f"""WITH {CONV}, c AS (SELECT feature, domain, CASE trend WHEN 'converging' THEN -1.0::DOUBLE WHEN 'diverging' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * CASE WHEN abs(slope_abs) > 0.01 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS code FROM ct WHERE model = 'A'
-   AND NOT (feature = 'tax' AND domain = 'ASIA'))
- SELECT """ + LAYER_SQL + """ AS layer, feature, coalesce(max(CASE WHEN domain = 'AFRICA' THEN code END), 0) AS "AFRICA", coalesce(max(CASE WHEN domain = 'AMERICA' THEN code END), 0) AS "AMERICA",
-  coalesce(max(CASE WHEN domain = 'ASIA' THEN code END), 0) AS "ASIA", coalesce(max(CASE WHEN domain = 'EUROPE' THEN code END), 0) AS "EUROPE", coalesce(max(CASE WHEN domain = 'MIDDLE EAST' THEN code END), 0) AS "MIDDLE EAST" FROM c GROUP BY ALL""")
+DOMAINS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query("H6_trend_code_pivot", f"""WITH {TR}, c AS (SELECT feature, domain, model, CASE WHEN slope < 0 THEN 1.0::DOUBLE WHEN slope > 0 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END * CASE WHEN p < 0.05 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS code
+   FROM tq WHERE measure = 'mean_difference') SELECT """ + LAYER_SQL + " AS layer, feature, model, " + ", ".join(
+    f"coalesce(max(CASE WHEN domain = '{d}' THEN code END), 0) AS \"{d}\"" for d in DOMAINS) + " FROM c GROUP BY ALL")
 def h6(spark, sf):
     from wayline.operators.report import trend_code_pivot
 
-    t = layered(spark, sf).where("model = 'A' AND NOT (feature = 'tax' AND domain = 'ASIA')").withColumn("significant", F.abs("slope_abs") > 0.01)
-    return trend_code_pivot(t, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    t = effect_trend_table(spark, sf).where("measure = 'mean_difference'")
+    return trend_code_pivot(feat.with_layer(t, feat.feature_dim(spark, LAYER)), DOMAINS)
 
 
 ACC = """ac AS (SELECT c_mktsegment AS domain, CAST(year(o_orderdate) AS INTEGER) AS year, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy,
