@@ -27,7 +27,7 @@ from wayline.session import materialize, materialize_spread
 PARALLEL_FITS = 5
 
 
-def impute_scale_logistic(features: list[str], n_rows: int, impute: str = "median", weighted: bool = True, max_iter: int = 200,
+def impute_scale_logistic(features: list[str], n_rows: int, impute: str = "median", weighted: bool = True, max_iter: int = 2000,
                           family: str = "auto") -> Pipeline:
     """Impute, standardise, logistic regression with unit ridge strength (regParam = 1 / rows).
 
@@ -62,14 +62,13 @@ def static_validation(df: DataFrame, features: list[str], target: str, key: str,
     d = materialize(_labelled(df, target).select(key, "label", *features))
     if d.select("label").distinct().count() < 2:
         return d.sparkSession.createDataFrame([], "tp long, fp long, fn long, tn long, accuracy double, precision double, recall double, f1 double, auc double, cv_mean double, cv_std double, n_train long, n_test long")
-    d = folds(split(d, key, "label", train_share, seed, exact=True), key, "label", k, seed + 1, exact=True)
-    d = materialize_spread(with_class_weights(d, "label"))
-    train, test = d.where("is_train"), d.where("NOT is_train")
+    d = materialize_spread(with_class_weights(split(d, key, "label", train_share, seed, exact=True), "label"))
+    train, test = materialize(folds(d.where("is_train"), key, "label", k, seed + 1, exact=True)), d.where("NOT is_train")
     n = train.count()
     pred = materialize(_score(impute_scale_logistic(features, n, impute, weighted).fit(train).transform(test)).select(key, "label", "prediction", "score"))
     rep = evaluate.binary_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"], F.col("label") == 1, F.col("prediction") == 1)
     auc = ranks.roc_auc(pred.withColumn("g", F.lit(1)), ["g"], "score", F.col("label") == 1).select("g", "auc")
-    cv = fold_predictions(d, "fold", k, lambda t: impute_scale_logistic(features, t.count(), impute, weighted))
+    cv = fold_predictions(train, "fold", k, lambda t: impute_scale_logistic(features, t.count(), impute, weighted))
     acc = cv.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).agg(
         F.avg("a").alias("cv_mean"), F.stddev_pop("a").alias("cv_std")).withColumn("g", F.lit(1))
     sizes = d.agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test")).withColumn("g", F.lit(1))
@@ -107,7 +106,7 @@ def sliced_validation(df: DataFrame, slices: list[str], features: list[str], tar
         part = with_class_weights(split(d.where(cond), key, "label", 0.7, seed), "label")
         train, test = part.where("is_train"), part.where("NOT is_train")
         n = train.count()
-        pred = impute_scale_logistic(features, n, "zero", max_iter=50).fit(train).transform(test)
+        pred = impute_scale_logistic(features, n, "zero").fit(train).transform(test)
         m = pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"))
         return m.select(*[F.lit(v).alias(c) for c, v in zip(slices, values)], F.lit(n).alias("n_train"), "n_test", "test_accuracy")
 

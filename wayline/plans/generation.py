@@ -89,10 +89,10 @@ def _style_sql():
 
 
 @query("M4_generation_prompts", f"""WITH {GEN}, l AS (SELECT *, unnest([1, 2, 3]) AS level FROM gd)
- SELECT path, level, md5('Here is a summary of a human-written ' || lower(genre) || ' text:\n\nKeywords: ' || subfield || ', ' || year || '\nSummary: ' || left({TRIM}, 40) || '\n' || '\n\n' || {_case(P.template_rows(P.PREAMBLES))} || '\n\n' || {_style_sql()}) AS digest FROM l""")
+ SELECT path, level, md5('Here is a summary of a human-written ' || lower(genre) || ' text:\n\nKeywords: ' || subfield || ', ' || year || '\nSummary: ' || {TRIM} || '\n' || '\n\n' || {_case(P.template_rows(P.PREAMBLES))} || '\n\n' || {_style_sql()}) AS digest FROM l""")
 def m4(spark, sf):
     rows = generation_docs(spark, sf).dropDuplicates(["path", "level"]).withColumns({
-        "keywords": F.array("subfield", "year"), "summary": F.left(P.strip_space(F.col("text")), F.lit(40)),
+        "keywords": F.array("subfield", "year"), "summary": P.strip_space(F.col("text")),
         "word_count": F.regexp_count("text", F.lit(r"\S+"))})
     return genplan.generation_requests(rows).select("path", "level", F.md5("prompt").alias("digest"))
 

@@ -14,7 +14,11 @@ from wayline.plans.trajectory import K4, KEYS4
 from wayline.session import materialize
 from wayline.sources.bindings import DOCS_SQL, FEATURES, YEARS_SQL, document_texts, supplier_years, table
 
-LANGS = ["de", "en", "es", "fr"]
+
+
+def domains_of(docs):
+    """The domains of a corpus, few by nature."""
+    return sorted(r[0] for r in docs.select("domain").where("domain IS NOT NULL").distinct().collect())
 STOPS = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
 
 # ---------------------------------------------------------------------- vectors
@@ -33,7 +37,7 @@ def corpus(spark, sf):
 
 
 def corpus_weights(spark, sf):
-    return tfidf.tfidf(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS, n_domains=len(LANGS))
+    return tfidf.tfidf(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS, n_domains=len(domains_of(corpus(spark, sf))))
 
 
 @query("J1_tfidf_weights", f"WITH {TFIDF_SQL} SELECT domain, doc_id, term, round(weight, 8) AS weight FROM nw")
@@ -51,7 +55,7 @@ def j1v(spark, sf):
 def j2(spark, sf):
     """Singular values per domain, next to the length of the score columns, which must equal them."""
     weights, out = materialize(corpus_weights(spark, sf)), None
-    for d in LANGS:
+    for d in domains_of(corpus(spark, sf)):
         scores, s, _ = tfidf.truncated_svd(weights.where(F.col("domain") == d), "doc_id", 10)
         total = scores.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("score_norm"))
         known = spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
@@ -63,16 +67,16 @@ def j2(spark, sf):
 @query("J3_domain_vectors_path")
 def j3(spark, sf):
     docs = corpus(spark, sf)
-    vec = tfidf.domain_vectors(docs, "domain", "doc_id", LANGS, 10, stop_words=FUNCTION_WORDS)
+    vec = tfidf.domain_vectors(docs, "domain", "doc_id", domains_of(docs), 10, stop_words=FUNCTION_WORDS)
     meta = document_texts(spark, sf).select("doc_id", "author_id", "year")
     yearly = geometry.yearly_vectors(vec.join(meta, "doc_id"), ["domain", "author_id", "year"])
     return rounded(geometry.path_metrics(yearly, ["domain", "author_id"], ["year"]), 6)
 
 
-@query("J4_zscore", f"""WITH {YEARS_SQL}, m AS (SELECT avg(quantity) AS a, stddev_pop(quantity) AS b, avg(discount) AS c, stddev_pop(discount) AS d FROM f1)
- SELECT {K4}, year, round((quantity - a) / b, 7) + 0.0 AS quantity, round((discount - c) / d, 7) + 0.0 AS discount FROM f1, m""")
+@query("J4_zscore", f"WITH {YEARS_SQL}, m AS (SELECT " + ", ".join(f"avg({f}) AS {f}_m, stddev_pop({f}) AS {f}_s" for f in FEATURES) + f" FROM f1) SELECT {K4}, year, " + ", ".join(
+    f"round(({f} - {f}_m) / {f}_s, 7) + 0.0 AS {f}" for f in FEATURES) + " FROM f1, m")
 def j4(spark, sf):
-    return rounded(linear.zscore(supplier_years(spark, sf), ["quantity", "discount"]).select(*KEYS4, "year", "quantity", "discount"), 7)
+    return rounded(linear.zscore(supplier_years(spark, sf), FEATURES).select(*KEYS4, "year", *FEATURES), 7)
 
 
 PAIRS = {"size": ("quantity", "price"), "rate": ("discount", "tax"), "mixed": ("price", "tax")}

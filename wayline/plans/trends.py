@@ -221,10 +221,11 @@ def e30(spark, sf):
 
 def purchases_and_views(spark, sf):
     """Events of two types, compared by value per day; many users, few ties."""
-    return event_series(spark, sf).where(F.col("field").isin("click", "view")).withColumn("grp", F.pmod("author_id", F.lit(5)).cast("int"))
+    side = F.when(F.col("field") == "click", "click").otherwise("view")
+    return event_series(spark, sf).withColumns({"field": side, "grp": F.pmod("author_id", F.lit(5)).cast("int")})
 
 
-TWO = EVENTS_SQL + ", tv AS (SELECT *, CAST(author_id % 5 AS INTEGER) AS grp FROM f3 WHERE field IN ('click', 'view'))"
+TWO = EVENTS_SQL + ", tv AS (SELECT * REPLACE (CASE WHEN field = 'click' THEN 'click' ELSE 'view' END AS field), CAST(author_id % 5 AS INTEGER) AS grp FROM f3)"
 MWU = """r AS (SELECT grp, field, value, rank() OVER (PARTITION BY grp ORDER BY value) + (count(*) OVER (PARTITION BY grp, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY grp, value) AS t FROM tv),
  q AS (SELECT grp, count(*) FILTER (field = 'click') AS n1, count(*) FILTER (field = 'view') AS n2, CAST(sum(rk) FILTER (field = 'click') AS DOUBLE) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY 1),
  u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS sd FROM q)"""
