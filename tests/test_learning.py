@@ -61,10 +61,11 @@ def test_pca_is_centred(spark):
 
 def test_permutation_keeps_values(spark):
     df = spark.range(200).select("id", (F.col("id") * 3).cast("double").alias("x"))
-    p = models.permuted(df, "id", "x", 7).cache()
-    assert p.count() == 200
-    assert sorted(r["x"] for r in p.collect()) == sorted(r["x"] for r in df.collect())
-    assert p.where(F.col("x") != F.col("id") * 3).count() > 150
+    p = models.permuted(df, "id", ["x"], 3, 7).cache()
+    assert p.count() == 600
+    for repeat in range(3):
+        assert sorted(r["x"] for r in p.where(F.col("repeat") == repeat).select("_other.x").collect()) == sorted(r["x"] for r in df.collect())
+    assert p.where(F.col("_other.x") != F.col("x")).count() > 500
 
 
 def test_wald_table_finds_the_signal(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import evaluate, ranks
 from wayline.operators.ordered import global_rank
-from wayline.operators.split import folds, id_hash, split, with_class_weights
+from wayline.operators.split import folds, split, with_class_weights
 from wayline.session import materialize, materialize_spread
 
 PARALLEL_FITS = 5
@@ -226,28 +226,32 @@ def wald_folds(df: DataFrame, features: list[str], target: str, key: str, k: int
         F.min("p_value").alias("p_min"), F.max("p_value").alias("p_max"), F.min_by("odds_ratio", "fold").alias("first_odds_ratio"))
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """Shuffle one column over the rows: two hash orders are matched by rank, without a global sort."""
+def permuted(df: DataFrame, key: str, features: list[str], repeats: int, seed: int) -> DataFrame:
+    """Every row once for each repeat, with ``_other``: the features of the row that a random permutation puts in its place.
+
+    Two hash orders of each repeat are matched by rank, so nothing is sorted as a whole; one join serves all features and
+    repeats.
+    """
     k = F.col(key).cast("string")
-    a = global_rank(df.withColumns({"_g": F.lit(0), "_h": F.concat(id_hash(k, seed), k)}), ["_g"], "_h", "_i").drop("_h")
-    b = global_rank(
-        df.select(F.lit(0).alias("_g"), F.concat(id_hash(k, seed + 7919), k).alias("_h"), F.col(column).alias("_v")), ["_g"], "_h", "_i").select("_i", "_v")
-    return a.join(b, "_i").withColumn(column, F.col("_v")).drop("_i", "_v", "_g")
+    each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = lambda salt: F.concat(F.md5(F.concat_ws("#", k, F.lit(seed + salt), F.col("repeat"))), k)
+    a = global_rank(each.withColumn("_h", order(0)), ["repeat"], "_h", "_i").drop("_h")
+    b = global_rank(each.select("repeat", order(7919).alias("_h"), F.struct(*features).alias("_other")), ["repeat"], "_h", "_i")
+    return a.join(b.select("repeat", "_i", "_other"), ["repeat", "_i"]).drop("_i")
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], key: str, repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean drop in accuracy when a feature is shuffled, divided by the signed sum of all where that is positive.
 
-    ``model`` transforms raw feature columns into ``prediction``.
+    ``model`` transforms raw feature columns into ``prediction``; the shuffled rows of all features and repeats are scored
+    in one pass.
     """
     test = materialize(test)
     acc = F.avg((F.col("label") == F.col("prediction")).cast("double"))
     base = model.transform(test).agg(acc.alias("base"))
-    out = None
-    for f in features:
-        for r in range(repeats):
-            a = model.transform(permuted(test, key, f, seed + r)).agg(acc.alias("acc")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "acc")
-            out = a if out is None else out.unionByName(a)
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"_other.{c}" if c == f else c).alias(c) for c in features]) for f in features]))
+    rows = permuted(test.select(key, "label", *features), key, features, repeats, seed).select("repeat", "label", variants.alias("_v")).select("repeat", "label", "_v.*")
+    out = model.transform(rows).groupBy("feature", "repeat").agg(acc.alias("acc"))
     drops = out.join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("acc")).alias("importance"), F.stddev_pop("acc").alias("std"))
     total = F.sum("importance").over(Window.partitionBy(F.lit(0)))
     return drops.withColumn("normalised", F.when(total > 0, F.col("importance") / total).otherwise(F.col("importance")))

@@ -340,19 +340,19 @@ def k9(spark, sf):
 def k15(spark, sf):
     d = split.split(doc_rows(spark, sf).withColumn("label", F.col("quality").cast("double")), "doc_id", "label", 0.8, exact=True)
     d = materialize(d)
-    cols = ["num_words", "word_diversity", "gunning_fog"]
+    cols = DOC_FEATURES
     model = models.impute_scale_logistic(cols, d.count(), weighted=False).fit(d.where("is_train"))
     return rounded(models.permutation_importance(model, d.where("NOT is_train"), cols, "doc_id", repeats=10), 6)
 
 
 @query("I15_logistic_wald_table")
 def i15(spark, sf):
-    return rounded(models.wald_table(materialize(doc_rows(spark, sf)), ["num_words", "word_diversity", "average_word_length", "gunning_fog"], "quality"), 5)
+    return rounded(models.wald_table(materialize(doc_rows(spark, sf)), DOC_FEATURES, "quality"), 5)
 
 
 @query("I16_fold_wald_table")
 def i16(spark, sf):
-    return rounded(models.wald_folds(doc_rows(spark, sf), ["num_words", "word_diversity", "average_word_length"], "quality", "doc_id"), 5)
+    return rounded(models.wald_folds(doc_rows(spark, sf), DOC_FEATURES, "quality", "doc_id"), 5)
 
 
 K19 = f"""f AS (SELECT {K4}, feature, value FROM ul WHERE feature LIKE '%\\_cv' ESCAPE '\\')"""

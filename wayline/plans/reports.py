@@ -9,6 +9,7 @@ from wayline.functions.columns import rounded, unpivot
 from wayline.functions.pvalues import stars, trend_class
 from wayline.operators import evaluate, report
 from wayline.plans.comparison import UNI, comparisons, is_human, per_feature_tests, unified, unified_long
+from wayline.operators.ordered import top_n
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4, YL, long_years, yearly_stats
 from wayline.sources.bindings import (
@@ -286,10 +287,13 @@ def e24(spark, sf):
 @query("E25_importance_by_type", IMP + """ SELECT statistic, round(avg(importance), 7) AS mean, round(stddev_samp(importance), 7) AS std, max(importance) AS max, count(*) AS n,
  array_to_string(list(feature || '/' || model ORDER BY feature, model)[1:3], ', ') AS first_names FROM im GROUP BY 1""")
 def e25(spark, sf):
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("feature", "model"))), lambda x: F.concat_ws("/", x["feature"], x["model"])), 1, 3)
-    return rounded(importances(spark, sf).groupBy("statistic").agg(
-        F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"), F.max("importance").alias("max"), F.count(F.lit(1)).alias("n"),
-        F.array_join(names, ", ").alias("first_names")), 7)
+    rows = importances(spark, sf)
+    name = F.concat_ws("/", "feature", "model")
+    first = top_n(rows.withColumn("name", name), ["statistic"], [F.col("feature"), F.col("model")], 3, salt="name")
+    first = first.groupBy("statistic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "name"))), lambda x: x["name"]), ", ").alias("first_names"))
+    stats = rows.groupBy("statistic").agg(
+        F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"), F.max("importance").alias("max"), F.count(F.lit(1)).alias("n"))
+    return rounded(stats.join(first, "statistic"), 7)
 
 
 @query("K14_normalised_importance", IMP + " SELECT statistic, model, feature, round(abs(importance) / sum(abs(importance)) OVER (PARTITION BY statistic, model), 8) AS importance FROM im")
