@@ -333,6 +333,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal = held.where("n = 1").join(segments.where("n > 1").select("key", "d1", "d2"), ["key", "d1", "d2"]).select(*place)
     nothing = [F.lit(0).cast("long").alias(c) for c in ("open", "key", "n", "pieces", "m")]
     mixed = segments.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("lone")).where("m > 1 AND lone > 0")
+    mixed = scratch(mixed, "mixed")  # read back, so that Spark may split a hot anchor's side of the join
     opened = segments.join(mixed, "key").select("at.*", F.lit(1).cast("long").alias("open"), "key", "n", F.ceil(F.col("m") / shard).cast("long").alias("pieces"), "m")
     marks = known.union(equal).select(*place, *nothing).union(opened)
     info = marks.groupBy("rk", "id").agg(F.collect_list(F.struct("start", "stop", "open", "key", "n", "pieces", "m")).alias("found"))
