@@ -9,6 +9,8 @@ the k best of all chunks are merged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,7 +19,15 @@ from pyspark.sql import types as T
 
 from wayline.session import materialize
 
-MAX_PIVOTS = 256
+#: Numbers in the largest array of differences.
+CUBE = 4_000_000
+#: Relative slack of distances by norms and products; candidates within it are measured again by differences.
+SLACK = 1e-9
+
+
+def _rough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by norms and a matrix product: fast, and exact but for rounding."""
+    return np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T))
 
 
 def _pivots(train: DataFrame, key: str, vec: str, n: int) -> np.ndarray:
@@ -33,7 +43,8 @@ def _assign(df: DataFrame, key: str, vec: str, pivots: np.ndarray, all_distances
     def run(batches):
         for b in batches:
             x = np.stack(b[vec].to_numpy()).astype(float) if len(b) else np.zeros((0, pivots.shape[1]))
-            d = np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
+            rows = max(1, CUBE // max(1, pivots.size))
+            d = np.concatenate([np.sqrt(((x[i:i + rows, None, :] - pivots[None, :, :]) ** 2).sum(-1)) for i in range(0, len(x), rows)] or [np.zeros((0, len(pivots)))])
             cell = d.argmin(1)
             keep = list(d) if all_distances else [[v] for v in d[np.arange(len(cell)), cell]]
             yield b.assign(_cell=cell.astype("int32"), _pd=[list(map(float, v)) for v in keep])
@@ -57,13 +68,15 @@ def _search(test: DataFrame, train: DataFrame, key: str, vec: str, label: str, k
         for start in range(0, len(q), 512):
             part = q.iloc[start:start + 512]
             x = np.stack(part[vec].to_numpy()).astype(float)
-            d = np.sqrt(((x[:, None, :] - tx[None, :, :]) ** 2).sum(-1))
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            m = best.shape[1]
-            out.append(pd.DataFrame({
-                key: np.repeat(part[key].to_numpy(), m), "_nid": ids[best].ravel(), "_nlabel": labels[best].ravel(),
-                "_d": np.take_along_axis(d, best, 1).ravel()}))
-        return pd.concat(out)
+            rough, m = _rough(x, tx), min(k, len(tx))
+            limit = np.partition(rough, m - 1, axis=1)[:, m - 1]
+            slack = SLACK * ((x * x).sum(1) + (tx * tx).sum(1).max())
+            for i, key_value in enumerate(part[key].to_numpy()):
+                near = np.flatnonzero(rough[i] <= limit[i] + slack[i])
+                d = np.sqrt(((tx[near] - x[i]) ** 2).sum(1))
+                order = np.argsort(d, kind="stable")[:m]
+                out.extend(zip([key_value] * m, ids[near[order]], labels[near[order]], d[order]))
+        return pd.DataFrame(out, columns=schema.names)
 
     g = ["_cell", "_tc", "_qc"]
     return test.groupBy(*g).cogroup(train.groupBy(*g)).applyInPandas(run, schema)
@@ -77,7 +90,7 @@ def _paired(test: DataFrame, train: DataFrame, key: str, chunk: int) -> tuple[Da
     """Give both sides chunk numbers and copy each side to the chunks of the other."""
     tn = train.groupBy("_cell").agg(F.count(F.lit(1)).alias("_tn"))
     qn = test.groupBy("_cell").agg(F.count(F.lit(1)).alias("_qn"))
-    size = F.broadcast(tn.join(qn, "_cell"))  # one row per cell, at most MAX_PIVOTS
+    size = F.broadcast(tn.join(qn, "_cell"))  # one row per cell, as many as pivots
     other = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)).cast("int") - 1))
     q = test.join(size, "_cell").withColumn("_qc", _chunk_of(key, "_qn", chunk)).withColumn("_tc", other("_tn")).drop("_tn", "_qn")
     t = train.join(size, "_cell").withColumn("_tc", _chunk_of(key, "_tn", chunk)).withColumn("_qc", other("_qn")).drop("_tn", "_qn")
@@ -89,9 +102,12 @@ def _best(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
 
 
-def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int = 16, chunk: int = 4096) -> DataFrame:
-    """(key, _nid, _nlabel, _d, _r): the exact k nearest training rows of every test row."""
-    pivots = _pivots(train, key, vec, min(n_pivots, MAX_PIVOTS))
+def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None, chunk: int = 4096) -> DataFrame:
+    """(key, _nid, _nlabel, _d, _r): the exact k nearest training rows of every test row.
+
+    Pivots, and with them cells, grow with the square root of the training rows unless their number is given.
+    """
+    pivots = _pivots(train, key, vec, n_pivots or max(1, math.isqrt(train.count())))
     t = _assign(train.select(key, label, vec), key, vec, pivots, all_distances=False).withColumn("_pd", F.col("_pd")[0])
     q = _assign(test.select(key, vec), key, vec, pivots, all_distances=True)
     t, q = materialize(t), materialize(q)  # both are read by several searches
