@@ -7,11 +7,13 @@ letters, with at most one full stop or comma at the end, skip the normaliser; al
 
 from __future__ import annotations
 
+import array
 import functools
 import re
+import sys
 
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 PLAIN = re.compile(rb"([a-z]+)([.,]?)")
 JOINED = 1000
 
@@ -32,14 +34,13 @@ class WordEncoder:
         if self.full.get_vocab_size() >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.known: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _pack(self.full.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, pieces: set[bytes]) -> None:
         found = {p: m for p in pieces if (m := PLAIN.fullmatch(p))}
-        stems = [s for s in {m[1] for m in found.values()} if s not in self.plain]
+        stems = list({m[1] for m in found.values()}.difference(self.known))
         for i in range(0, len(stems), JOINED):
             part = stems[i : i + JOINED]
             own: list[list[int]] = [[]]
@@ -49,16 +50,15 @@ class WordEncoder:
                     own.append([])
             if len(own) != len(part) + 1 or own[-1]:  # a word without an ending id: take each by itself
                 own = [self.full.encode(s.decode(), add_special_tokens=False).ids for s in part]
-            self.plain.update((s, _pack(x)) for s, x in zip(part, own))
+            self.known.update((s, _pack(x)) for s, x in zip(part, own))
         end = {b"": b"", b".": self._whole("."), b",": self._whole(",")}
-        self.known.update((p, self.plain[m[1]] + end[m[2]]) for p, m in found.items())
+        self.known.update([(p, self.known[m[1]] + end[m[2]]) for p, m in found.items()])
         self.known.update((p, self._whole(p.decode())) for p in pieces if p not in found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.plain.clear()
         raw = [(t or "").encode() for t in texts]
         # A special token is matched before lower-casing, so a text that may hold one keeps its case.
         pieces = [(t if b"<|" in t else t.lower()).split() for t in raw]
@@ -69,7 +69,10 @@ class WordEncoder:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([x.to_bytes(2, "little") for x in ids])
+    packed = array.array("H", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @functools.lru_cache(maxsize=1)
