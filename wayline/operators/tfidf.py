@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.ordered import top_n
@@ -13,7 +13,6 @@ from wayline.session import materialize
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 20_000
-MAX_BROADCAST_TERMS = 500_000
 
 
 def term_counts(docs: DataFrame, domain: str, doc: str, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
@@ -40,16 +39,13 @@ def vocabulary(counts: DataFrame, docs: DataFrame, domain: str, max_features: in
 
 
 def tfidf(docs: DataFrame, domain: str, doc: str, text: str = "text", stop_words: list[str] | None = None,
-          max_features: int | None = MAX_FEATURES, n_domains: int | None = None) -> DataFrame:
+          max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(domain, doc, term, weight) with L2-normalised documents.
 
-    The vocabulary is broadcast when its bound max_features x n_domains is
-    known and small; otherwise the join is left to the optimizer.
+    Whether the vocabulary is broadcast is left to Spark, which knows its measured size.
     """
     tf = term_counts(docs, domain, doc, text, stop_words)
     vocab = vocabulary(tf, docs, domain, max_features).select(domain, "term", "idf")
-    if max_features and n_domains and max_features * n_domains <= MAX_BROADCAST_TERMS:
-        vocab = F.broadcast(vocab)
     w = tf.join(vocab, [domain, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return w.select(domain, doc, "term", (F.col("_w") / norm).alias("weight"))
@@ -87,15 +83,10 @@ def truncated_svd(weights: DataFrame, doc: str, k: int = 10, max_features: int =
 def domain_vectors(docs: DataFrame, domain: str, doc: str, domains: list[str], k: int = 10, text: str = "text",
                    stop_words: list[str] | None = None, max_features: int = MAX_FEATURES) -> DataFrame:
     """k-dimensional TF-IDF vectors of every domain; domains are few and named."""
-    weights = materialize(tfidf(docs, domain, doc, text, stop_words, max_features, len(domains)))
+    weights = materialize(tfidf(docs, domain, doc, text, stop_words, max_features))
     out = None
     for d in domains:
         scores, _, _ = truncated_svd(weights.where(F.col(domain) == d), doc, k, max_features)
         part = scores.select(F.lit(d).alias(domain), doc, "vec")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def text_limit(text: Column, max_chars: int | None = None) -> Column:
-    """Whole text, or its first ``max_chars`` characters where a caller asks for that."""
-    return text if max_chars is None else F.substring(text, 1, max_chars)

@@ -37,7 +37,7 @@ def corpus(spark, sf):
 
 
 def corpus_weights(spark, sf):
-    return tfidf.tfidf(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS, n_domains=len(domains_of(corpus(spark, sf))))
+    return tfidf.tfidf(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS)
 
 
 @query("J1_tfidf_weights", f"WITH {TFIDF_SQL} SELECT domain, doc_id, term, round(weight, 8) AS weight FROM nw")

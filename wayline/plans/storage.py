@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from wayline.functions import features as feat
 from wayline.functions.columns import rounded
-from wayline.operators.tfidf import text_limit
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4
 from wayline.plans.trends import DIFF, differences
@@ -44,8 +43,8 @@ def a2(spark, sf):
 
 @query("A4_whole_text", f"WITH {DOCS_SQL} SELECT domain, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (length(text) > 8000) AS longer_than_8000 FROM docs GROUP BY 1")
 def a4(spark, sf):
-    """Texts are processed whole; the reader's optional character limit stays off."""
-    d = document_texts(spark, sf).withColumn("text", text_limit(F.col("text")))
+    """Texts are processed whole; how many a limit of 8,000 characters would have cut."""
+    d = document_texts(spark, sf)
     return d.groupBy("domain").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.length("text") > 8000).alias("longer_than_8000"))
 
 

@@ -24,7 +24,8 @@ STOPS = ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS)
 
 
 def lexicon_table(spark):
-    return spark.createDataFrame(LEXICON, "token string, valence double, polarity double, subjectivity double, class string")
+    # A constant of a few rows; a lexicon read from a table is left to Spark's own measure.
+    return F.broadcast(spark.createDataFrame(LEXICON, "token string, valence double, polarity double, subjectivity double, class string"))
 
 
 def docs(spark, sf):
@@ -91,19 +92,19 @@ VSEL = """round(coalesce(p / nullif(p + g + z, 0), 0), 8) AS vader_pos, round(co
 @query("C8_token_class_ratio", LEXJ + ", r AS (SELECT doc_id, count(*) FILTER (class = 'VB') / count(*) AS v FROM j GROUP BY 1) "
        "SELECT docs.doc_id, round(coalesce(v, 0), 8) AS verb_ratio FROM docs LEFT JOIN r USING (doc_id)")
 def c8(spark, sf):
-    return rounded(lexicon.class_ratio(docs(spark, sf), ["doc_id"], lexicon_table(spark).select("token", "class"), "VB", len(LEXICON)), 8)
+    return rounded(lexicon.class_ratio(docs(spark, sf), ["doc_id"], lexicon_table(spark).select("token", "class"), "VB"), 8)
 
 
 @query("C11_valence", LEXJ + f", r AS (SELECT doc_id, {VADER} FROM j GROUP BY 1), q AS (SELECT docs.doc_id, coalesce(p, 0) AS p, coalesce(g, 0) AS g, coalesce(z, 0) AS z, coalesce(s, 0) AS s FROM docs LEFT JOIN r USING (doc_id)) SELECT doc_id, {VSEL} FROM q")
 def c11(spark, sf):
-    return rounded(lexicon.valence(docs(spark, sf), ["doc_id"], lexicon_table(spark).select("token", "valence"), len(LEXICON)), 8)
+    return rounded(lexicon.valence(docs(spark, sf), ["doc_id"], lexicon_table(spark).select("token", "valence")), 8)
 
 
 @query("C12_polarity_subjectivity", LEXJ + """, r AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM j GROUP BY 1)
  SELECT docs.doc_id, round(coalesce(p, 0), 8) + 0.0 AS polarity, round(coalesce(s, 0), 8) AS subjectivity FROM docs LEFT JOIN r USING (doc_id)""")
 def c12(spark, sf):
     lex = lexicon_table(spark).select("token", "polarity", "subjectivity")
-    return rounded(lexicon.mean_scores(docs(spark, sf), ["doc_id"], lex, len(LEXICON)), 8)
+    return rounded(lexicon.mean_scores(docs(spark, sf), ["doc_id"], lex), 8)
 
 
 @query("C13_trait_scores", D + """, h AS (SELECT doc_id, greatest(len(tok), 1) AS n, list_transform(tok, lambda t: (('0x' || md5(t)[1:2])::INTEGER) % 5) AS sl FROM tk),
@@ -162,10 +163,10 @@ def c16(spark, sf):
     return rounded(X.style_features(holed).drop("text"), 6)
 
 
-def document_features(df, keys, lex, entries):
+def document_features(df, keys, lex):
     """All fifteen features in one pass: style columns ride along while the tokens meet the lexicon."""
     styled = X.style_features(df)
-    return lexicon.all_scores(styled, keys, lex, entries, carry=[c for c in styled.columns if c not in [*keys, "text"]])
+    return lexicon.all_scores(styled, keys, lex, carry=[c for c in styled.columns if c not in [*keys, "text"]])
 
 
 @query("C17_all_features", DC.rstrip() + f""", {LEX_SQL}, x AS (SELECT doc_id, unnest(tok) AS token FROM tk), j AS (SELECT * FROM x LEFT JOIN lex USING (token)),
@@ -174,7 +175,7 @@ def document_features(df, keys, lex, entries):
  o AS (SELECT doc_id, {VSEL.replace(', 8)', ', 6)')}, round(pol, 6) + 0.0 AS polarity, round(sub, 6) AS subjectivity, round(vr, 6) AS verb_ratio FROM q)
  SELECT * FROM o JOIN (SELECT doc_id, {STYLE_SQL} FROM ct) USING (doc_id)""")
 def c17(spark, sf):
-    return rounded(document_features(docs(spark, sf), ["doc_id"], lexicon_table(spark), len(LEXICON)), 6)
+    return rounded(document_features(docs(spark, sf), ["doc_id"], lexicon_table(spark)), 6)
 
 
 @query("C18_whitespace_words", f"WITH {MESSAGES_SQL} SELECT author_id, item, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS words FROM msgs")
