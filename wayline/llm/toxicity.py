@@ -163,11 +163,15 @@ def _design(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample of the labelled rows. Without both classes every score is the share of toxic labels."""
+    """Train on a bounded sample of the labelled rows.
+
+    Without both classes, or without an n-gram that tells them apart, every score is the share of toxic labels, but at most
+    one half: nothing is rejected without evidence.
+    """
     sample = training_sample(docs, labels, id_col, text_col)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), float(min(0.0, np.log((n1 + 0.5) / (n0 + 0.5)))))
     if not n1 or not n0:
         return nothing
     t, o = F.col("toxic"), F.col("other")
