@@ -39,7 +39,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample, without repeats, in which the domains' tokens meet the target weights."""
+    """A sample, without repeats, in which the domains' tokens meet the target weights.
+
+    The domain that is scarcest next to its weight sets the size of the sample; if it is absent, little or nothing stays.
+    """
     return mixing.mixed_rows(docs, domain_labels(_labels(spark, sf_dir)), WEIGHTS, most=1.0)
 
 

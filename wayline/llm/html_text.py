@@ -388,7 +388,10 @@ def label_pages(pages: list[list[Block]], net: Network | None, steps_at_once: in
 def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Network | None:
     """Train on a bounded sample of the pages."""
     short = df.where(F.char_length(html_col).between(1, LONGEST))
-    return train([r[0] for r in short.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES).select(html_col).collect()])
+    # Ids first: every task sends its smallest ones, but only the pages chosen in the end send their html.
+    ids = [r[0] for r in short.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES).collect()]
+    picked = {r[0]: r[1] for r in short.where(F.col(id_col).isin(ids)).groupBy(id_col).agg(F.min(html_col)).collect()}
+    return train([picked[i] for i in dict.fromkeys(ids)])
 
 
 def extract(df: DataFrame, net: Network | None, html_col: str = "html") -> DataFrame:
