@@ -239,6 +239,27 @@ def test_mixing_meets_targets(spark, most):
     assert abs(a / (a + b) - 0.7) < 0.02
 
 
+@pytest.mark.parametrize("share", [0.01, 0.003])
+def test_mixing_scarce_domain(spark, share):
+    """A domain with a hundredth of the tokens reaches its tenth, though other documents seem to hold a little of it."""
+    r = random.Random(3)
+    rows = [(i, r.randrange(50, 500), [1 - p, p]) for i in range(4000) for p in [0.9 if i % round(1 / share) == 0 else 0.005]]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")
+    solution = mixing.solve(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    got = mixing.with_rates(members, solution).toPandas()
+    held = np.array([t * q * np.array(p) for t, p, q in zip(got.tokens, got.posteriors, got.rate)]).sum(axis=0)
+    assert (got.rate >= 0).all()
+    assert held / sum(t for _, t, _ in rows) == pytest.approx([0.9, 0.1], abs=1e-3)
+    assert solution.settled
+
+
+def test_mixing_says_what_is_missed(spark):
+    rows = [(i, 100, [0.99, 0.01]) for i in range(50)]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.solve(members, ["a", "b"], {"a": 0.5, "b": 0.5})
+
+
 def test_pipeline_stages(spark):
     """Each stage of the pipeline against brute force on its own input."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
