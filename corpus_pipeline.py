@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, in five stages.
 
-Toxic documents go, then exact copies, then near copies; the rest is sampled to target weights and packed into windows. Each
+Toxic documents go, then exact copies, then near copies; the rest is weighted to target shares by repeats and packed into windows. Each
 stage gets what the one before kept, as a table of documents, and returns the same columns; only the last one returns pieces.
 Empty tables pass through every stage.
 """
@@ -39,11 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample, without repeats, in which the domains' tokens meet the target weights.
-
-    The domain that is scarcest next to its weight sets the size of the sample; if it is absent, little or nothing stays.
-    """
-    return mixing.mixed_rows(docs, domain_labels(_labels(spark, sf_dir)), WEIGHTS, most=1.0)
+    """Every document at least once, and those of domains scarce next to their weight as often as the target weights ask for."""
+    return mixing.mixed_rows(docs, domain_labels(_labels(spark, sf_dir)), WEIGHTS, least=1.0)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

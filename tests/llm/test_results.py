@@ -253,6 +253,24 @@ def test_mixing_scarce_domain(spark, share):
     assert solution.settled
 
 
+@pytest.mark.parametrize("share", [0.3, 0.05, 0.003])
+def test_mixing_keeps_everything(spark, share):
+    """With a least rate of 1 nothing goes, whichever domain is the scarcer one."""
+    r = random.Random(4)
+    rows = [(i, r.randrange(50, 500), [1 - p, p]) for i in range(4000) for p in [0.9 if i % round(1 / share) == 0 else 0.005]]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")
+    got = mixing.with_rates(members, mixing.solve(members, ["a", "b"], {"a": 0.9, "b": 0.1}, least=1.0)).toPandas()
+    held = np.array([t * q * np.array(p) for t, p, q in zip(got.tokens, got.posteriors, got.rate)]).sum(axis=0)
+    assert got.rate.min() >= 1
+    assert held / held.sum() == pytest.approx([0.9, 0.1], abs=1e-3)
+
+
+def test_mixing_stage_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "/root/testdata/sf0.001")
+    assert {r.doc_id for r in mixed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_mixing_says_what_is_missed(spark):
     rows = [(i, 100, [0.99, 0.01]) for i in range(50)]
     members = spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")

@@ -6,6 +6,7 @@ documents of rate * tokens * posterior. Rates solve a least-squares problem:
 
     minimise  1/2 |E(rates) - targets|^2 / total^2  +  PULL/2 * sum tokens (rate - 1)^2 / total,   0 <= rates (<= most).
 
+With a least rate the total is free: the residual is E(rates) less its domain's share of all expected tokens.
 At its solution a rate is 1 + posteriors . push, projected to the bounds, with one push for each domain, so the search is
 for the pushes alone: Newton steps on the problem's dual, whose gradient are the residuals and whose curvature is the
 moment matrix of the documents within the bounds. Only these travel between a round's Spark job and the next, and no round
@@ -143,17 +144,20 @@ class Solution:
     push: np.ndarray  # what a rate gains for each domain's posterior
     expected: np.ndarray
     most: float = np.inf
+    least: float = 0.0
     settled: bool = True
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         """Nonnegative rates of documents with these posteriors (document x domain)."""
-        return np.clip(1 + posteriors @ self.push, 0, self.most)
+        return np.clip(1 + posteriors @ self.push, self.least, self.most)
 
 
-def solve(members: DataFrame, domains: list[str], weights: dict[str, float], most: float | None = None) -> Solution:
+def solve(members: DataFrame, domains: list[str], weights: dict[str, float], most: float | None = None, least: float = 0.0) -> Solution:
     """Rates whose expected domain totals match ``weights`` (normalised; absent domains 0) times all tokens.
 
-    With ``most`` no rate exceeds it, and the targets are as many tokens as the scarcest wanted domain then allows.
+    With ``most`` no rate exceeds it, and the targets are as many tokens as the scarcest wanted domain then allows. With
+    ``least`` no rate is below it, and the mix is as large as the weights then ask for: scarce domains are repeated. Then
+    a domain is only added by documents that hold more of it than its weight.
 
     A document's weight in the problem is its tokens, so its rate depends on its posteriors alone. A domain that no
     document can hold stays short of its target, with a warning; without tokens nothing is solved and every rate is 1.
@@ -171,10 +175,10 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float], mos
                 n = np.asarray(batch.column(0)).astype(float)
                 for out, push in zip(sums, pushes):
                     gain = p @ push
-                    rate = np.clip(1 + gain, 0, high)
+                    rate = np.clip(1 + gain, least, high)
                     out[0, :size] += (n * rate) @ p
                     out[0, size] += n @ (rate * gain - (rate - 1) ** 2 / 2)
-                    out[1:, :size] += (p * (n * ((gain >= -1) & (gain <= high - 1)))[:, None]).T @ p
+                    out[1:, :size] += (p * (n * ((gain >= least - 1) & (gain <= high - 1)))[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "v"])
 
         out = np.zeros(len(pushes) * (size + 1) ** 2)
@@ -185,7 +189,8 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float], mos
 
     push = np.zeros(size)
     expected, moments, sums = (x[0] for x in totals(push[None]))
-    first = expected / min(1.0, high) if high else expected  # at rate 1
+    held = float(np.clip(1, least, high))
+    first = expected / held if held else expected  # at rate 1
     total = float(first.sum())
     wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     if total <= 0 or wanted.sum() <= 0:
@@ -193,24 +198,31 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float], mos
     wanted = wanted / wanted.sum()
     budget = total if most is None else most * float((first[wanted > 0] / wanted[wanted > 0]).min())
     targets = wanted * budget
+    # Multipliers to pushes, and tokens by domain to residuals; posteriors sum to 1.
+    turn = np.eye(size) - wanted if least else np.eye(size)
+    goal = np.zeros(size) if least else targets
+    multipliers = np.zeros(size)
     value, settled = sums / total, False
     for _ in range(ROUNDS):
-        slope = (expected - targets) / total + PULL * push
+        slope = (expected @ turn - goal) / total + PULL * multipliers
         settled = bool(np.abs(slope).max() < SETTLED)
         if settled:
             break
-        step = np.linalg.solve(moments / total + PULL * np.eye(size), slope)
-        tried = push - PARTS[:, None] * step
-        found = totals(tried)
-        values = (found[2] - tried @ targets) / total + PULL / 2 * (tried**2).sum(axis=1)
+        step = np.linalg.solve(turn.T @ moments @ turn / total + PULL * np.eye(size), slope)
+        tried = multipliers - PARTS[:, None] * step
+        found = totals(tried @ turn.T)
+        values = (found[2] - tried @ goal) / total + PULL / 2 * (tried**2).sum(axis=1)
         best = int(values.argmin())
-        if values[best] >= value and np.abs((found[0][best] - targets) / total + PULL * tried[best]).max() >= np.abs(slope).max():
+        if values[best] >= value and np.abs((found[0][best] @ turn - goal) / total + PULL * tried[best]).max() >= np.abs(slope).max():
             break
-        push, value, expected, moments = tried[best], values[best], found[0][best], found[1][best]
+        multipliers, value, expected, moments = tried[best], values[best], found[0][best], found[1][best]
+    push = turn @ multipliers
+    if least:
+        targets = wanted * expected.sum()
     missed = {d: f"{e:.0f} of {t:.0f} tokens" for d, e, t in zip(domains, expected, targets) if abs(e - t) > MISSED * total}
     if missed or not settled:
         warnings.warn(f"mixing: targets {'missed' if missed else 'met'}, rounds {'settled' if settled else 'not settled'}: {missed}", stacklevel=2)
-    return Solution(domains, targets, push, expected, high, settled)
+    return Solution(domains, targets, push, expected, high, least, settled)
 
 
 def with_rates(members: DataFrame, solution: Solution) -> DataFrame:
@@ -248,11 +260,14 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str
     return with_rates(members, solution).withColumn("posteriors", named).withColumn("copies", copies(F.col("rate"), id_col))
 
 
-def mixed_rows(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
-    """The rows of the mix with the input's columns as they are: every row as often as its copies say."""
+def mixed_rows(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of the mix with the input's columns as they are: every row as often as its copies say.
+
+    With ``least`` of 1 every row is there at least once.
+    """
     model = fit(df, labels, id_col, text_col)
     whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     members = scratch(memberships(whole, model, "t", ["row", "id"]), "members")
-    solution = solve(members, model.domains, weights, most)
+    solution = solve(members, model.domains, weights, most, least)
     dealt = with_rates(members, solution).withColumn("copies", copies(F.col("rate"), "id"))
     return dealt.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
