@@ -120,6 +120,16 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
 
 
+def test_pages_named_head_and_title():
+    """Only the elements head and title are left out, not blocks whose attributes hold these words."""
+    page = (
+        '<html><head><title>gone</title><meta name="x"></head><body><article id="head"><h1 class="entry-title">One</h1>'
+        '<div class="post-title">Two</div><section id="title"><p>Three</section><div role="head"><p>Four</div></article></body></html>'
+    )
+    blocks = html_text.blocks_of(page)
+    assert [b.text for b in blocks] == ["One", "Two", "Three", "Four"] and all(html_text.markup_says(b) for b in blocks)
+
+
 def test_search(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [nan, 1.0]), (3, None), (4, [None, 1.0]), (5, [inf, 1.0]), (6, [-1.0, -2.0]), (7, [1.0, 2.0]), (None, [1.0, 1.0]), (50, [0.0, 0.0]), (100, [1e6, 1e6])]

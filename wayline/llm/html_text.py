@@ -51,7 +51,7 @@ BLOCKS = {
 # An element of the first kind ends open ones of the second (end tags that may be left out).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "table", "dl", "select", "td", "th", "article", "section", "div", "main", "body", "form"}
-NEVER = {"head", "title"}
+NEVER = {"head", "title"}  # as elements; class, id and role may hold these words
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -91,7 +91,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
+            if text and not any(tag in NEVER for tag, _ in stack):
                 out.append(Block(tuple(x for _, names in stack for x in names), text, linked))
             parts.clear()
         linked = 0
@@ -137,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         named = [w for a in NAMES.findall(attributes) for w in WORD.findall("".join(a).lower())] if "=" in attributes else []
         stack.append((tag, (tag, *named)) if tag in BLOCKS else (tag, ()))
     close()
-    return [b for b in out if not NEVER & set(b.path)]
+    return out
 
 
 def _imply_ends(stack: list, tag: str) -> None:
