@@ -137,6 +137,16 @@ def test_best_fit_takes_the_tightest():
     assert sum(lengths) / (4096 * len(windows)) > 0.97
 
 
+@pytest.mark.parametrize("length", [2100, 3000, 3900])
+def test_packing_of_equal_lengths(length):
+    """What is left of cut windows is packed together, so documents of one length need next to no padding."""
+    sequences = packing.pack_run([length] * 500)
+    pieces = sorted((d, s, n) for q in sequences for d, s, n in q)
+    assert [sum(n for d, _, n in pieces if d == i) for i in range(500)] == [length] * 500
+    used = [sum(n for _, _, n in q) for q in sequences]
+    assert sum(4096 - n for n in used if n & (n - 1)) < 0.01 * 500 * length
+
+
 def test_packing_padding(spark):
     pieces = QUERIES["op8_packing"].run(spark, SF).toPandas()
     used = pieces.groupby("sequence_id").length.sum()

@@ -3,8 +3,9 @@
 A document that is longer than a window is first cut into full windows. Its rest, and every shorter document, is placed
 into the open window with the least room that still holds it; pieces come longest first. The open windows are found with a
 segment tree over remaining capacities. Pieces are packed in the task that read them, over runs of at most ``RUN_TOKENS``
-tokens, so no token is shuffled and no task holds more than a run. The few windows of a run that stay less than
-``FULL_SHARE`` full are cut at powers of two, which need no padding.
+tokens, so no token is shuffled and no task holds more than a run. The windows of a run that stay less than
+``FULL_SHARE`` full are cut at powers of two, which need no padding; what is left of them is packed together, by best fit
+again, and of those windows the ones that stay less full are cut down to single tokens.
 """
 
 from __future__ import annotations
@@ -79,12 +80,12 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[list[i
     return out
 
 
-def cut_to_powers(pieces: list[tuple[int, int, int]], least: int = LEAST_CUT) -> list[list[tuple[int, int, int]]]:
-    """Pieces (row, start, length) of one window dealt over sequences whose sizes are powers of two, the last below ``least`` aside."""
+def cut_to_powers(pieces: list[tuple[int, int, int]], least: int = LEAST_CUT) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Pieces (row, start, length) of one window dealt over sequences whose sizes are powers of two, and the last below ``least`` aside."""
     left, out = sum(p[2] for p in pieces), []
     queue = list(reversed(pieces))
-    while left:
-        size = left if left < 2 * least else 1 << (left.bit_length() - 1)
+    while left >= least:
+        size = 1 << (left.bit_length() - 1)
         sequence, need = [], size
         while need:
             row, start, length = queue.pop()
@@ -94,17 +95,25 @@ def cut_to_powers(pieces: list[tuple[int, int, int]], least: int = LEAST_CUT) ->
             need -= min(length, need)
         out.append(sequence)
         left -= size
-    return out
+    return out, queue[::-1]
 
 
 def pack_run(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) for documents of these lengths."""
-    full = [[(i, at, window)] for i, n in enumerate(lengths) for at in range(0, n - window + 1, window)]
-    rest = [(i, n - n % window, n % window) for i, n in enumerate(lengths) if n % window]
-    out = full
-    for members in best_fit_decreasing([p[2] for p in rest], window):
-        pieces = [rest[m] for m in members]
-        out.extend([pieces] if sum(p[2] for p in pieces) >= FULL_SHARE * window else cut_to_powers(pieces))
+    out = [[(i, at, window)] for i, n in enumerate(lengths) for at in range(0, n - window + 1, window)]
+    units = [[(i, n - n % window, n % window)] for i, n in enumerate(lengths) if n % window]
+    for least in (LEAST_CUT, 1):
+        aside = []
+        for members in best_fit_decreasing([sum(p[2] for p in unit) for unit in units], window):
+            pieces = [p for m in members for p in units[m]]
+            if sum(p[2] for p in pieces) >= FULL_SHARE * window:
+                out.append(pieces)
+                continue
+            cut, rest = cut_to_powers(pieces, least)
+            out.extend(cut)
+            if rest:
+                aside.append(rest)
+        units = aside
     return out
 
 
