@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
@@ -33,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The result's ``scratch_path`` is what ``release`` takes.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wayline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -41,7 +44,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     # Spark's cleaner removes the shuffle files of plans that the driver's garbage collection has found unused.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    spark, path = table.sparkSession, table.scratch_path
+    _delete(spark, path)
+    _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear_scratch() -> None:
@@ -49,9 +66,7 @@ def clear_scratch() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaning of the folder takes over
             continue
 
@@ -135,16 +150,28 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, word starts, word ends, row of each word): runs of non-space bytes inside each row."""
+def words(data: np.ndarray, offsets: np.ndarray, within: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, word starts, word ends, row of each word): runs of bytes marked in ``within`` (non-space ones) inside each row."""
     low = _LOWER[data]
     n = len(low)
     if not n:
         none = np.zeros(0, np.int64)
         return low, none, none, none
-    solid = ~_SPACE[low]
+    solid = within[low]
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a row begins
     starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]) | solid & first[:n])
     ends = np.flatnonzero(solid & (np.concatenate([~solid[1:], [True]]) | first[1:])) + 1
     return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def whole_numbers(vector: str, scale: int, bits: int) -> tuple[Column, Column]:
+    """(whether a vector takes part, its components as whole numbers floor(scale * x)).
+
+    A vector takes part if it and its components are neither null nor infinite nor NaN, and if a sum of products of any two of
+    them stays under 2^bits: a component of 64 must be below 2^((bits - 6) / 2) after scaling.
+    """
+    x = lambda c: c.cast("double") * scale
+    most = F.pow(F.lit(2.0), F.floor((bits - F.ceil(F.log2(F.greatest(F.size(vector), F.lit(1))))) / 2))
+    usable = F.coalesce(F.col(vector).isNotNull() & F.forall(vector, lambda c: F.abs(x(c)) < most), F.lit(False))
+    return usable, F.transform(vector, lambda c: F.floor(x(c)).cast("int"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import exact_dedup, html_text, language, mixing, ngram_join, packing, suffix_dedup, token_counts, topk_search, toxicity
+from wayline.llm import decontaminate, exact_dedup, hard_negatives, html_text, language, mixing, ngram_join, packing, suffix_dedup, token_counts, topk_search, toxicity, vector_codes
 from wayline.llm.common import bucket_of
 from wayline.plans.registry import Query
 
@@ -126,3 +126,62 @@ def op4(spark, sf):
 @query("op2_suffix_dedup")
 def op2(spark, sf):
     return suffix_dedup.dedup_substrings(table(spark, sf, "documents"), with_text=False)
+
+
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (SELECT item, least(len(w), {decontaminate.WINDOW}) AS n, unnest(list_transform(range(1, greatest(len(w) - {decontaminate.WINDOW - 2}, 2)), lambda i: array_to_string(w[i:i + {decontaminate.WINDOW - 1}], ' '))) AS s FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, sizes WHERE len(w) >= n),
+o AS (SELECT g.doc_id, g.i, win.n, win.item FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM g) g JOIN win ON g.n = win.n AND g.s = win.s),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM o) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op12_decontamination", _OP12)
+def op12(spark, sf):
+    found = decontaminate.classify(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_hard_negatives", f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+""")
+def op11(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = hard_negatives.mine(rows, F.col("id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def _codes_sql() -> str:
+    """The plain method: six rounds over all entries, one materialised step after another."""
+    parts = [f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE}),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM v, range(8) t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x QUALIFY e < 16)"""]
+    for i in range(7):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, x.p, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT, e := e)) AS m
+ FROM x JOIN c{i} ON x.p = c{i}.p GROUP BY ALL)""")
+        if i < 6:
+            parts.append(f"""s{i} AS (SELECT x.p, m.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM x JOIN a{i} USING (vec_id, p), range(1, len(x) + 1) t(j) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(f.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY ALL) f ON c.p = f.p AND c.e = f.e)""")
+    parts.append("""r AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a6 GROUP BY 1),
+k AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)""")
+    return ",\n".join(parts) + "\nSELECT r.vec_id, code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), k"
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
