@@ -249,13 +249,14 @@ def compress(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     usable, v = whole_numbers(vector_col, scale, 60)
     rows = df.where(usable).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     order = [F.asc_nulls_last("id"), "v"]
-    schema = T.StructType([rows.schema["id"], rows.schema["label"], *T._parse_datatype_string(KEPT).fields])
+    schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in ("id", "label")), *T._parse_datatype_string(KEPT).fields])
     head = rows.orderBy(*order).limit(1).select(F.size("v")).first()
     dims = head[0] if head else 0
     rows = rows.where(F.size("v") == dims)
-    first = np.array([r["v"] for r in rows.orderBy(*order).limit(entries).select("v").collect()], np.int64).reshape(-1, dims)
+    held = rows.orderBy(*order).limit(entries).select("v").collect()
+    first = np.array([r["v"] for r in held], np.int64).reshape(len(held), dims)
     if not len(first):
-        return df.sparkSession.createDataFrame([], T.StructType([T.StructField(id_col, rows.schema["id"].dataType), rows.schema["label"], *T._parse_datatype_string("code string, error long, label_error long, codebooks_sha256 string").fields]))
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField(id_col, rows.schema["id"].dataType), schema["label"], *T._parse_datatype_string("code string, error long, label_error long, codebooks_sha256 string").fields]))
     largest = rows.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()[0] or 0
     kind = "<i2" if largest < 1 << 15 else "<i4"
     at = cuts(dims, parts)
