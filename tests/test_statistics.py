@@ -76,11 +76,10 @@ def test_rank_tests_against_brute_force(spark):
     df = spark.createDataFrame(rows, "g string, v int, first boolean")
     a, b = [v for _, v, f in rows if f], [v for _, v, f in rows if not f]
     u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
-    for limit in (10**6, 20):
-        assert ranks.mann_whitney(df, ["g"], "v", F.col("first"), limit).first()["u"] == u
-        assert ranks.roc_auc(df, ["g"], "v", F.col("first"), limit).first()["auc"] == pytest.approx(u / len(a) / len(b))
-        d = max(abs(sum(x <= t for x in a) / len(a) - sum(x <= t for x in b) / len(b)) for t in range(13))
-        assert ranks.kolmogorov_smirnov(df, ["g"], "v", F.col("first"), limit).first()["d"] == pytest.approx(d)
+    assert ranks.mann_whitney(df, ["g"], "v", F.col("first")).first()["u"] == u
+    assert ranks.roc_auc(df, ["g"], "v", F.col("first")).first()["auc"] == pytest.approx(u / len(a) / len(b))
+    d = max(abs(sum(x <= t for x in a) / len(a) - sum(x <= t for x in b) / len(b)) for t in range(13))
+    assert ranks.kolmogorov_smirnov(df, ["g"], "v", F.col("first")).first()["d"] == pytest.approx(d)
 
 
 def test_mean_roc_matches_numpy_interpolation(spark):
@@ -109,9 +108,8 @@ def test_pairwise_differences_without_pairs(spark):
     want = [0] * 28
     for d in pairs:
         want[min((d + 70) // 5, 27)] += 1
-    for limit in (10**6, 50):
-        got = compare.pair_difference_histogram(df, ["g"], F.col("h"), "value", "low", "width", 28, limit).orderBy("bin").collect()
-        assert [r["n"] for r in got] == want
+    got = compare.pair_difference_histogram(df, ["g"], F.col("h"), "value", "low", "width", 28).orderBy("bin").collect()
+    assert [r["n"] for r in got] == want
     s = compare.pair_difference_summary(df, ["g"], F.col("h")).first()
     assert s["n_pairs"] == len(pairs) and s["mean_difference"] == pytest.approx(np.mean(pairs)) and s["variance"] == pytest.approx(np.var(pairs))
 
