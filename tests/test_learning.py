@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.operators import knn, linear, models, tfidf
+from wayline.operators import batched, knn, linear, models, tfidf
 
 
 def points(spark, n, seed, dims=3, copies=0):
@@ -83,3 +83,72 @@ def test_pipeline_beats_the_majority(spark):
     r = models.static_validation(d, ["f0", "f1", "f2"], "y", "id").first()
     assert r["accuracy"] > 0.9 and r["auc"] > 0.95 and r["n_train"] + r["n_test"] == 300
     assert models.static_validation(d.where("y = 1"), ["f0"], "y", "id").count() == 0
+
+
+def irls(x, y, w, ridge):
+    z = np.c_[x, np.ones(len(x))]
+    pull, b = np.r_[np.full(x.shape[1], ridge), 0.0], np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ b))
+        h = (z.T * (w * p * (1 - p))) @ z + np.diag(pull)
+        b = b + np.linalg.solve(h, z.T @ (w * (y - p)) - pull * b)
+    return b, np.sqrt(np.diag(np.linalg.inv(h)))
+
+
+@pytest.mark.parametrize("ridge,balanced", [(1.0, True), (0.0, False)])
+def test_batched_regressions_against_one_by_one(spark, ridge, balanced):
+    """Every slice and fold next to a fit of its own, with missing values; a slice of one class is left out."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        s = "abc"[i % 3] if i % 50 else None
+        x = rng.normal([5, -2, 1e4], [1, 3, 50])
+        y = int(s != "c" and rng.random() < 1 / (1 + np.exp(-(x[0] - 5 + (s == "a") * x[1] / 3))))
+        rows.append((i, s, *[None if rng.random() < 0.1 else float(v) for v in x], y))
+    df = spark.createDataFrame(rows, "id int, s string, f0 double, f1 double, f2 double, y int")
+    parted, slices = batched.prepared(df.withColumnRenamed("s", "part"), ["part"], ["f0", "f1", "f2"], "y", "id")
+    assert slices == [("a",), ("b",)]
+    fitted = batched.regress(parted, slices, ["part"], ["f0", "f1", "f2"], 5, ridge, balanced)
+    local = parted.toPandas()
+    for key, fit in fitted.fits.items():
+        own = local[(local.s == key // 6) & (local.fold >= 0) & (local.fold != key % 6 - 1)]
+        x = np.array(own.x.tolist(), float)
+        x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+        y = own.label.to_numpy()
+        w = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum()) if balanced else np.ones(len(y))
+        b, e = irls((x - x.mean(0)) / x.std(0), y, w, ridge)
+        assert fit.n == len(y) and not fit.open and fit.beta == pytest.approx(b, abs=1e-7) and fit.errors == pytest.approx(e, rel=1e-6)
+    assert len(fitted.fits) == 12
+    assert batched.first_order(fitted, parted, ridge, balanced).agg(F.max("gradient")).first()[0] < 1e-9
+    scored = fitted.scored(parted).toPandas()
+    assert len(scored) == len(local) and ((scored.score > 0.5) == (scored.prediction == 1)).all()
+
+
+def test_a_separated_slice_is_not_settled(spark):
+    df = spark.createDataFrame([(i, "a", float(i), int(i >= 20)) for i in range(40)], "id int, s string, f double, y int")
+    rows, slices = batched.prepared(df.withColumnRenamed("s", "part"), ["part"], ["f"], "y", "id", train_share=None, k=2)
+    fitted = batched.regress(rows, slices, ["part"], ["f"], 2, ridge=0.0, balanced=False, rounds=8)
+    assert all(f.open and f.rounds == 8 for f in fitted.fits.values())
+    assert not fitted.coefficients(spark).where("settled").count()
+    assert batched.prepared(df.limit(0).withColumnRenamed("s", "part"), ["part"], ["f"], "y", "id")[1] == []
+
+
+def test_exact_selection_against_sorting(spark):
+    from wayline.operators import ordered, split
+
+    df = spark.range(30_000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
+    hashed = df.withColumn("h", F.concat(split.id_hash(F.col("id"), 1), F.col("id").cast("string")))
+    local = sorted((r.y, r.h) for r in hashed.collect())
+    for share in (0.0, 0.37, 1.0):
+        for limit in (20_000, 3):
+            before, ordered.BLOCK_ROWS = ordered.BLOCK_ROWS, limit
+            try:
+                cuts = {r["y"]: r["_cut"] for r in ordered.hash_cuts(hashed, "y", "h", share).collect()}
+                ranks_ = {r["id"]: r["_rank"] for r in ordered.global_rank(hashed, ["y"], "h").where("id % 1000 = 7").collect()}
+            finally:
+                ordered.BLOCK_ROWS = before
+            for y in (0, 1):
+                own = [h for k, h in local if k == y]
+                assert sum(h < cuts[y] for h in own) == int(len(own) * share)
+    place = {h: i for y in (0, 1) for i, h in enumerate(h for k, h in local if k == y)}
+    assert len(ranks_) == 30 and all(place[r.h] == ranks_[r.id] for r in hashed.where("id % 1000 = 7").collect())

@@ -7,6 +7,8 @@ ordered on its own, and the totals of a group's earlier stretches, one row each,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +60,19 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
     return found.select(*groups, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(p)).alias(n) for n, p in probs.items()])
 
 
+#: Rows of a block of ranked rows, and rows among which the last step of a selection looks, on average.
+BLOCK_ROWS = 20_000
+DIGITS = 4
+
+
 def global_rank(df: DataFrame, groups: list[str], hash_col: str, out: str = "_rank") -> DataFrame:
     """0-based rank of every row inside its group by a uniform hex hash.
 
-    The first four hex digits are the block, so no task orders a whole group.
-    Block totals number at most 65,536 rows per group. The struct key lets the
-    join reuse the window's partitioning and matches NULL groups.
+    The first hex digits are the block, as many as make blocks of about BLOCK_ROWS rows, so no task orders a whole group. The
+    struct key lets the join reuse the window's partitioning and matches NULL groups.
     """
-    pre = df.withColumn("_gk", F.struct(*groups, F.substring(hash_col, 1, 4).alias("_blk")))
+    digits = max(1, math.ceil(math.log(max(1, df.count() / BLOCK_ROWS), 16)))
+    pre = df.withColumn("_gk", F.struct(*groups, F.substring(hash_col, 1, digits).alias("_blk")))
     local = pre.withColumn("_local", F.row_number().over(Window.partitionBy("_gk").orderBy(hash_col)) - 1)
     before = Window.partitionBy(*[f"_gk.{g}" for g in groups]).orderBy("_gk._blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -75,6 +82,33 @@ def global_rank(df: DataFrame, groups: list[str], hash_col: str, out: str = "_ra
     return local.join(totals, "_gk").withColumn(out, F.col("_off") + F.col("_local")).drop("_gk", "_off", "_local")
 
 
+def hash_cuts(df: DataFrame, group: str, hash_col: str, share: float) -> DataFrame:
+    """(group, _cut): the hex hash below which exactly floor(rows x share) rows of the group lie.
+
+    Selection by radix: rows are counted by the next DIGITS hex digits, and only those in the bucket that holds the cut are
+    counted again by the digits after them, until that bucket is small enough to order. The rows are never shuffled; a
+    step exchanges at most 16^DIGITS counts for each group. Groups are few (classes, slices).
+    """
+    where, done = F.col(group).eqNullSafe(F.col("_g")), 0
+    state = df.groupBy(F.col(group).alias("_g")).agg(F.lit("").alias("_p"), F.floor(F.count(F.lit(1)) * share).alias("_need"), F.count(F.lit(1)).alias("_n"))
+    # A cut behind the last row lies above every hash.
+    state, whole = state.where("_need < _n"), state.where("_need >= _n").select(F.col("_g").alias(group), F.lit("~").alias("_cut"))
+    state = materialize(state)
+    while state.where(F.col("_n") > BLOCK_ROWS).limit(1).count():
+        inside = df.join(F.broadcast(state), where & F.col(hash_col).startswith(F.col("_p")))
+        counts = inside.groupBy("_g", F.substring(hash_col, 1, done + DIGITS).alias("_q"), "_need").agg(F.count(F.lit(1)).alias("_n"))
+        below = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+        state = materialize(counts.where("_below <= _need AND _need < _below + _n").select("_g", F.col("_q").alias("_p"), (F.col("_need") - F.col("_below")).alias("_need"), "_n"))
+        done += DIGITS
+        if done >= 32:  # hashes that agree in all digits of the digest are told apart by what follows them
+            break
+    last = df.join(F.broadcast(state), where & F.col(hash_col).startswith(F.col("_p")))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(hash_col)) - 1
+    found = last.select("_g", F.col(hash_col).alias("_cut"), "_need", place.alias("_i")).where("_i = _need").select(F.col("_g").alias(group), "_cut")
+    return found.union(whole)
+
+
 def top_n(df: DataFrame, groups: list[str], order: list, n: int, salt: str, out: str = "_rank", salts: int = 64) -> DataFrame:
     """First n rows per group in a total order.
 

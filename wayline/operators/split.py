@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import global_rank, top_n
+from wayline.operators.ordered import global_rank, hash_cuts, top_n
 
 
 def id_hash(key: Column, seed: int) -> Column:
@@ -18,13 +18,12 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 
 def split(df: DataFrame, key: str, label: str, train_share: float, seed: int = 42, exact: bool = False, out: str = "is_train") -> DataFrame:
-    """Train/test flag by id. Default needs no shuffle; ``exact`` meets each class share exactly."""
+    """Train/test flag by id. Default needs no shuffle; ``exact`` meets each class share exactly, by the hash that cuts it off."""
     if not exact:
         return df.withColumn(out, unit_hash(F.col(key), seed) < train_share)
-    ranked = global_rank(df.withColumn("_h", F.concat(id_hash(F.col(key), seed), F.col(key).cast("string"))), [label], "_h", "_r")
-    n = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(F.broadcast(n), F.col(label).eqNullSafe(F.col("_l"))).withColumn(
-        out, F.col("_r") < F.floor(F.col("_n") * train_share)).drop("_h", "_r", "_l", "_n")
+    hashed = df.withColumn("_h", F.concat(id_hash(F.col(key), seed), F.col(key).cast("string")))
+    cuts = hash_cuts(hashed.select(label, "_h"), label, "_h", train_share).withColumnRenamed(label, "_l")
+    return hashed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l"))).withColumn(out, F.col("_h") < F.col("_cut")).drop("_h", "_cut", "_l")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, exact: bool = False, out: str = "fold") -> DataFrame:

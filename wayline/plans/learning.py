@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from wayline.functions import features as feat
 from wayline.functions.columns import rounded
 from wayline.functions.text import FUNCTION_WORDS
-from wayline.operators import evaluate, geometry, knn, linear, models, report, split, tfidf
+from wayline.operators import batched, evaluate, geometry, knn, linear, models, report, split, tfidf
 from wayline.plans.comparison import UNI, UNI_COLS, is_human, unified
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4
+from wayline.plans.trends import normal_p_sql
 from wayline.session import materialize
 from wayline.sources.bindings import DOCS_SQL, FEATURES, YEARS_SQL, document_texts, supplier_years, table
 
@@ -285,15 +286,100 @@ def k1(spark, sf):
     return rounded(evaluate.class_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"]).drop("g"), 4)
 
 
+LEVEL_OF = {"A": "LV1", "R": "LV2"}
+
+
+def level_rows(spark, sf):
+    """Supplier years as the levels' data sets: the reference side belongs to every level, each other side to its own; domain and all."""
+    y = keyed(spark, sf).withColumn("target", (F.col("model") != "N").cast("int"))
+    levels = F.when(F.col("model") == "N", F.array(*map(F.lit, LEVEL_OF.values()))).when(F.col("model") == "A", F.array(F.lit("LV1"))).otherwise(F.array(F.lit("LV2")))
+    return y.withColumn("level", F.explode(levels)).withColumn("domain", F.explode(F.array("domain", F.lit("all"))))
+
+
+def year_rows(spark, sf):
+    """Supplier years by domain and by all domains, each year a slice; missing values are 0."""
+    return keyed(spark, sf).fillna(0.0, subset=FEATURES).withColumn("domain", F.explode(F.array("domain", F.lit("all")))).withColumn("year", F.col("year").cast("string"))
+
+
+SLICED = KEYED + """, lr AS (SELECT lv AS level, dm AS domain, id, CAST(model <> 'N' AS INTEGER) AS target, quantity, price, discount, tax, h, h3 FROM kh, (VALUES ('LV1', 'A'), ('LV2', 'R')) l(lv, md), (VALUES ('all'), (NULL)) d(dd), LATERAL (SELECT coalesce(dd, domain) AS dm) WHERE model IN ('N', md)),
+ yr AS (SELECT CAST(year AS VARCHAR) AS year, dm AS domain, id, target, quantity, price, discount, tax, h, h3 FROM kh, (VALUES ('all'), (NULL)) d(dd), LATERAL (SELECT coalesce(dd, domain) AS dm))"""
+
+
+def fold_sql(source, names):
+    """Split 70/30 by class in every slice, folds of the training rows: sp(names, id, target, features, fold), fold -1 held out; ft: rows of each fit."""
+    n = ", ".join(names)
+    return f""", ok AS (SELECT {n} FROM {source} GROUP BY ALL HAVING count(DISTINCT target) = 2),
+ s1 AS (SELECT s.*, row_number() OVER (PARTITION BY {n}, target ORDER BY h || id) - 1 < floor(count(*) OVER (PARTITION BY {n}, target) * 0.7::DOUBLE) AS is_train FROM {source} s JOIN ok USING ({n})),
+ sp AS MATERIALIZED (SELECT * EXCLUDE (h, h3), CASE WHEN is_train THEN (row_number() OVER (PARTITION BY {n}, target, is_train ORDER BY h3 || id) - 1) % 5 ELSE -1 END AS fold FROM s1),
+ ft AS (SELECT sp.*, f AS fit FROM sp, range(6) r(f) WHERE is_train AND fold <> f - 1)"""
+
+
+def conditions_sql(source, names):
+    """Sizes of every fit; at the minimum the gradient is zero."""
+    n = ", ".join(names)
+    return f"WITH {SLICED}{fold_sql(source, names)} SELECT {n}, CAST(fit AS INTEGER) AS fit, count(*) AS n_train, 0.0::DOUBLE AS gradient FROM ft GROUP BY ALL"
+
+
+def conditions(df, names):
+    rows, slices = batched.prepared(df, names, FEATURES, "target", "id")
+    return rounded(batched.first_order(batched.regress(rows, slices, names, FEATURES, 5), rows, 1.0, True), 8)
+
+
+def one_feature_sql(source, names, feature, rounds=10):
+    """The whole validation with one feature: Newton's method on two coefficients, written out round by round."""
+    n = ", ".join(names)
+    on = f"USING ({n}, fit)"
+    out = f"""WITH {SLICED}{fold_sql(source, names)},
+ mo AS MATERIALIZED (SELECT {n}, fit, avg({feature}) AS m, stddev_pop({feature}) AS s, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 0) AS w0, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 1) AS w1 FROM ft GROUP BY ALL),
+ zf AS MATERIALIZED (SELECT {n}, fit, target AS y, ({feature} - m) / s AS z, CASE WHEN target = 1 THEN w1 ELSE w0 END AS w FROM ft JOIN mo {on}),
+ b0 AS (SELECT {n}, fit, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM mo)"""
+    for i in range(rounds):
+        out += f""", g{i} AS (SELECT {n}, fit, b, c, sum(w * (y - p) * z) - b AS gb, sum(w * (y - p)) AS gc, sum(w * p * (1 - p) * z * z) + 1 AS hb, sum(w * p * (1 - p) * z) AS hm, sum(w * p * (1 - p)) AS hc
+  FROM (SELECT zf.*, b, c, 1 / (1 + exp(-(b * z + c))) AS p FROM zf JOIN b{i} {on}) GROUP BY {n}, fit, b, c),
+ b{i + 1} AS MATERIALIZED (SELECT {n}, fit, b + (hc * gb - hm * gc) / (hb * hc - hm * hm) AS b, c + (hb * gc - hm * gb) / (hb * hc - hm * hm) AS c FROM g{i})"""
+    return out + f""", sc AS (SELECT {n}, fold, target AS y, 1 / (1 + exp(-(b * ({feature} - m) / s + c))) AS score FROM sp JOIN mo USING ({n}) JOIN b{rounds} bb {on} WHERE fit = fold + 1),
+ sz AS (SELECT {n}, count(*) FILTER (fold >= 0) AS n_train, count(*) FILTER (fold < 0) AS n_test, count(*) FILTER (y = 1) AS n_positive FROM sc GROUP BY ALL),
+ te AS (SELECT *, score > 0.5 AS yes, rank() OVER (PARTITION BY {n} ORDER BY score) + (count(*) OVER (PARTITION BY {n}, score) - 1) / 2.0 AS rk FROM sc WHERE fold < 0),
+ cf AS (SELECT {n}, count(*) FILTER (y = 1 AND yes) AS tp, count(*) FILTER (y = 0 AND yes) AS fp, count(*) FILTER (y = 1 AND NOT yes) AS fn, count(*) FILTER (y = 0 AND NOT yes) AS tn, CAST(sum(rk) FILTER (y = 1) AS DOUBLE) AS r FROM te GROUP BY ALL),
+ cv AS (SELECT {n}, avg(a) AS cv_mean, stddev_pop(a) AS cv_std FROM (SELECT {n}, fold, avg(CAST((score > 0.5) = (y = 1) AS INTEGER)) AS a FROM sc WHERE fold >= 0 GROUP BY ALL) GROUP BY ALL)
+ SELECT {n}, n_train, n_test, n_positive, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 5) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 5) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 5) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 5) AS f1, round((r - (tp + fn) * (tp + fn + 1) / 2.0) / ((tp + fn) * (fp + tn)), 5) AS auc, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std
+ FROM sz JOIN cf USING ({n}) JOIN cv USING ({n})"""
+
+
 @query("K2_static_validation")
 def k2(spark, sf):
+    return rounded(batched.validation(level_rows(spark, sf), ["level", "domain"], FEATURES, "target", "id"), 5)
+
+
+@query("K2_one_feature_validation", one_feature_sql("lr", ["level", "domain"], "price"))
+def k2one(spark, sf):
+    return rounded(batched.validation(level_rows(spark, sf), ["level", "domain"], ["price"], "target", "id"), 5)
+
+
+@query("K2_first_order_conditions", conditions_sql("lr", ["level", "domain"]))
+def k2c(spark, sf):
+    return conditions(level_rows(spark, sf), ["level", "domain"])
+
+
+@query("K2_document_validation")
+def k2d(spark, sf):
     return rounded(models.static_validation(doc_rows(spark, sf), DOC_FEATURES, "quality", "doc_id"), 4)
 
 
 @query("K3_validation_per_year")
 def k3(spark, sf):
-    y = keyed(spark, sf)
-    return rounded(models.sliced_validation(y, ["year"], FEATURES, "target", "id"), 4)
+    return rounded(batched.validation(year_rows(spark, sf), ["domain", "year"], FEATURES, "target", "id"), 5)
+
+
+@query("K3_one_feature_validation", one_feature_sql("yr", ["domain", "year"], "quantity"))
+def k3one(spark, sf):
+    return rounded(batched.validation(year_rows(spark, sf), ["domain", "year"], ["quantity"], "target", "id"), 5)
+
+
+@query("K3_first_order_conditions", conditions_sql("yr", ["domain", "year"]))
+def k3c(spark, sf):
+    return conditions(year_rows(spark, sf), ["domain", "year"])
 
 
 @query("K4_year_split_binary")
@@ -350,8 +436,55 @@ def i15(spark, sf):
     return rounded(models.wald_table(materialize(doc_rows(spark, sf)), DOC_FEATURES, "quality"), 5)
 
 
+def wald_fits(spark, sf, names=("level",)):
+    """Regressions without a penalty on all rows of a level, and on all but one fold."""
+    rows = level_rows(spark, sf).where("domain = 'all'")
+    parted, slices = batched.prepared(rows, list(names), FEATURES, "target", "id", train_share=None)
+    return batched.regress(parted, slices, list(names), FEATURES, 5, ridge=0.0, balanced=False), parted
+
+
+@query("I15_wald_table_per_level")
+def i15l(spark, sf):
+    t = wald_fits(spark, sf)[0].coefficients(spark).where("fit = 0")
+    return rounded(t.select("level", "n_train", "feature", "coef", "std_err", "z", "p_value", "odds_ratio", "settled"), 6)
+
+
 @query("I16_fold_wald_table")
 def i16(spark, sf):
+    return rounded(batched.fold_summary(wald_fits(spark, sf)[0].coefficients(spark), ["level"]), 6)
+
+
+WALD = f"WITH {SLICED}, wr AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY level, target ORDER BY h3 || id) - 1) % 5 AS fold FROM lr WHERE domain = 'all'), wf AS MATERIALIZED (SELECT wr.*, f AS fit FROM wr, range(6) r(f) WHERE fold <> f - 1)"
+
+
+@query("I16_first_order_conditions", f"{WALD} SELECT level, CAST(fit AS INTEGER) AS fit, count(*) AS n_train, 0.0::DOUBLE AS gradient FROM wf GROUP BY ALL")
+def i16c(spark, sf):
+    fitted, rows = wald_fits(spark, sf)
+    return rounded(batched.first_order(fitted, rows, 0.0, False), 8)
+
+
+def _wald_sql(feature, rounds=8):
+    """Fold-wise Wald tables of one feature: Newton's method on two coefficients; errors from the inverse of the second derivatives."""
+    out = f"""{WALD}, mo AS MATERIALIZED (SELECT level, fit, avg({feature}) AS m, stddev_pop({feature}) AS s FROM wf GROUP BY ALL),
+ zf AS MATERIALIZED (SELECT level, fit, target AS y, ({feature} - m) / s AS z FROM wf JOIN mo USING (level, fit)), b0 AS (SELECT level, fit, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM mo)"""
+    for i in range(rounds + 1):
+        out += f""", g{i} AS (SELECT level, fit, b, c, sum((y - p) * z) AS gb, sum(y - p) AS gc, sum(p * (1 - p) * z * z) AS hb, sum(p * (1 - p) * z) AS hm, sum(p * (1 - p)) AS hc FROM (SELECT zf.*, b, c, 1 / (1 + exp(-(b * z + c))) AS p FROM zf JOIN b{i} USING (level, fit)) GROUP BY level, fit, b, c),
+ b{i + 1} AS MATERIALIZED (SELECT level, fit, b + (hc * gb - hm * gc) / (hb * hc - hm * hm) AS b, c + (hb * gc - hm * gb) / (hb * hc - hm * hm) AS c, sqrt(hc / (hb * hc - hm * hm)) AS eb, sqrt(hb / (hb * hc - hm * hm)) AS ec FROM g{i})"""
+    p = f"CASE WHEN abs(z) > 5 THEN 0 ELSE {normal_p_sql('abs(z)')} END"  # beyond 5 it is under 1e-6
+    return out + f""", co AS (SELECT level, fit, '{feature}' AS feature, b AS coef, eb AS std_err FROM b{rounds + 1} UNION ALL SELECT level, fit, 'intercept', c, ec FROM b{rounds + 1}), zt AS (SELECT *, coef / std_err AS z FROM co WHERE fit > 0),
+ pt AS (SELECT *, {p} AS p FROM zt)
+ SELECT level, feature, round(avg(coef), 5) + 0.0 AS coef_mean, round(stddev_samp(coef), 5) AS coef_std, round(avg(p), 5) AS p_mean, round(stddev_samp(p), 5) AS p_std, round(min(p), 5) AS p_min, round(max(p), 5) AS p_max,
+  round(exp(min_by(coef, fit)), 5) AS first_odds_ratio FROM pt GROUP BY ALL"""
+
+
+@query("I16_one_feature_fold_wald_table", _wald_sql("tax"))
+def i16one(spark, sf):
+    rows, slices = batched.prepared(level_rows(spark, sf).where("domain = 'all'"), ["level"], ["tax"], "target", "id", train_share=None)
+    return rounded(batched.fold_summary(batched.regress(rows, slices, ["level"], ["tax"], 5, ridge=0.0, balanced=False).coefficients(spark), ["level"]), 5)
+
+
+@query("I16_document_fold_wald_table")
+def i16d(spark, sf):
     return rounded(models.wald_folds(doc_rows(spark, sf), DOC_FEATURES, "quality", "doc_id"), 5)
 
 
