@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -154,3 +155,48 @@ def test_exact_splits_keep_class_shares(spark):
         assert max(sizes) - min(sizes) <= 1
     again = split.split(df.repartition(5), "id", "y", 0.7, exact=True).where("is_train").select("id")
     assert again.exceptAll(split.split(df, "id", "y", 0.7, exact=True).where("is_train").select("id")).count() == 0
+
+
+def test_rank_sum_tail_against_all_subsets():
+    for n1 in range(1, 9):
+        for n2 in (1, 2, 3, 5, 8):
+            if n1 + n2 > 13:
+                continue
+            sums = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+            for u in range(0, n1 * n2 + 1):
+                assert pvalues.rank_sum_tail(n1, n2, u) == pytest.approx(sum(x <= u for x in sums) / len(sums), rel=1e-12)
+    assert pvalues.rank_sum_tail(8, 900, 3600) == pytest.approx(0.5, abs=1e-3)
+
+
+def test_paths_inside_against_all_orders():
+    for m, n in ((1, 1), (2, 3), (3, 3), (4, 6), (5, 4), (7, 5)):
+        gaps = []
+        for c in itertools.combinations(range(m + n), m):
+            i = j = most = 0
+            for t in range(m + n):
+                i, j = (i + 1, j) if t in c else (i, j + 1)
+                most = max(most, abs(i * n - j * m))
+            gaps.append(most)
+        for h in range(1, m * n + 1):
+            assert pvalues.paths_inside(m, n, h) == pytest.approx(sum(g < h for g in gaps) / len(gaps), rel=1e-12, abs=1e-15)
+
+
+def test_finite_distance_distribution():
+    """Known exact values, agreement of the forms where they meet, and of large samples with the limit."""
+    assert 1 - pvalues._matrix_form(10, 0.274) == pytest.approx(1 - 0.6284796154565, abs=1e-10)
+    assert pvalues._matrix_form(1, 0.75) == pytest.approx(0.5) and pvalues._matrix_form(2, 0.5) == pytest.approx(0.5)
+    for d in (0.05, 0.08, 0.1, 0.14):
+        assert pvalues._expansion(140, d) == pytest.approx(pvalues._matrix_form(140, d), abs=2e-5)
+    assert 2 * pvalues._one_sided_tail(140, 0.17) == pytest.approx(1 - pvalues._matrix_form(140, 0.17), rel=1e-3)
+    z = 0.9
+    limit = 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * z * z) for j in range(1, 50))
+    assert pvalues.kolmogorov_tail(10**8, z / 10**4) == pytest.approx(limit, abs=1e-4)
+
+
+def test_exact_p_of_groups(spark):
+    rows = [("a", 1.0, True), ("a", 2.0, False), ("a", 3.0, False), ("b", 1.0, True), ("b", 1.0, False), ("c", 5.0, True)]
+    df = spark.createDataFrame(rows, "g string, v double, first boolean")
+    mw = {r["g"]: r["p_value"] for r in ranks.mann_whitney(df, ["g"], "v", F.col("first")).collect()}
+    ks = {r["g"]: r["p_value"] for r in ranks.kolmogorov_smirnov(df, ["g"], "v", F.col("first")).collect()}
+    assert mw["a"] == pytest.approx(2 / 3) and mw["c"] is None
+    assert ks["a"] == pytest.approx(2 / 3) and ks["b"] == 1.0 and ks["c"] is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.pvalues import ks_p, normal_p
+from wayline.functions.pvalues import ks_limit_p, ks_p, mann_whitney_p
 from wayline.operators.ordered import cumulative
 
 
@@ -15,7 +15,7 @@ def _two_sides(df: DataFrame, groups: list[str], value: str, first: Column) -> D
 
 
 def mann_whitney(df: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
-    """U of the first side, two-sided normal p with tie and continuity correction."""
+    """U of the first side and its two-sided p: exact for few values without ties, else normal with tie and continuity correction."""
     c = _two_sides(df, groups, value, first)
     t = (F.col("a") + F.col("b")).cast("double")
     s = c.groupBy(*groups).agg(
@@ -26,11 +26,12 @@ def mann_whitney(df: DataFrame, groups: list[str], value: str, first: Column) ->
     n = n1 + n2
     sd = F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     z = F.greatest(F.abs(F.col("u") - n1 * n2 / 2.0) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
-    return s.select(*groups, "n1", "n2", "u", z.alias("z")).withColumn("p_value", normal_p(F.col("z")))
+    p = mann_whitney_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("_ties") > 0, z)
+    return s.select(*groups, "n1", "n2", "u", z.alias("z"), p.alias("p_value"))
 
 
-def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Column) -> DataFrame:
-    """Largest distance between the two empirical distributions, asymptotic p."""
+def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Column, limit: bool = False) -> DataFrame:
+    """Largest distance between the two empirical distributions and its p: exact or finite, on request of the limit distribution."""
     c = _two_sides(df, groups, value, first)
     sizes = c.groupBy(*groups).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")).select(
         *[F.col(g).alias(f"_g_{g}") for g in groups], "n1", "n2")
@@ -39,7 +40,7 @@ def kolmogorov_smirnov(df: DataFrame, groups: list[str], value: str, first: Colu
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     gap = F.abs((F.col("a_below") + F.col("a")) / F.nullif("n1", F.lit(0)) - (F.col("b_below") + F.col("b")) / F.nullif("n2", F.lit(0)))
     d = c.join(sizes, cond).groupBy(*groups, "n1", "n2").agg(F.max(gap).alias("d"))
-    return d.withColumn("p_value", ks_p(F.col("d"), F.col("n1"), F.col("n2")))
+    return d.withColumn("p_value", (ks_limit_p if limit else ks_p)(F.col("d"), F.col("n1"), F.col("n2")))
 
 
 def roc_auc(df: DataFrame, groups: list[str], score: str, positive: Column) -> DataFrame:

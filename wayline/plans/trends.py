@@ -276,7 +276,46 @@ def kolmogorov(spark, sf):
  d AS (SELECT grp, n1, n2, max(abs(c1 / n1 - c2 / n2)) AS d FROM c JOIN s USING (grp) GROUP BY ALL), l AS (SELECT *, d * sqrt(n1 * n2 / CAST(n1 + n2 AS DOUBLE)) AS l FROM d)
  SELECT grp, n1, n2, round(d, 6) AS d, round(least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * l * l)))), 6) AS p_value FROM l""")
 def i13p(spark, sf):
-    return rounded(kolmogorov(spark, sf), 6)
+    df = ranks.kolmogorov_smirnov(purchases_and_views(spark, sf), ["grp"], "value", F.col("field") == "click", limit=True)
+    return rounded(df, 6)
+
+
+PER_USER = EVENTS_SQL + """, tv AS (SELECT author_id AS grp, CASE WHEN field = 'click' THEN 'click' ELSE 'view' END AS field, value FROM f3)"""
+
+
+def per_user(spark, sf):
+    """Events of two types for each user: small samples."""
+    return event_series(spark, sf).select(F.col("author_id").alias("grp"), (F.col("field") == "click").alias("click"), "value")
+
+
+def _counted_sql() -> str:
+    """P(U <= u) by counting: one factor (1 - q^(b + i)) / (1 - q^i) of the partitions' polynomial after the other, cut at u."""
+    steps = ""
+    for i in range(1, 9):
+        cut = f"list_transform(range(0, j + 1), lambda t: w[t + 1] - CASE WHEN t >= b + {i} THEN w[t - b - {i} + 1] ELSE 0 END)"
+        steps += f""", d{i} AS (SELECT * EXCLUDE (w), CASE WHEN a < {i} THEN w ELSE {cut} END AS w FROM w{i - 1}),
+ w{i} AS (SELECT * EXCLUDE (w), CASE WHEN a < {i} THEN w ELSE list_transform(range(0, j + 1), lambda t: list_sum(list_transform(range(0, t // {i} + 1), lambda s: w[t - s * {i} + 1]))) END AS w FROM d{i})"""
+    return steps
+
+
+@query("I12_exact_p_per_user", f"""WITH {PER_USER}, {MWU}, zz AS (SELECT *, greatest(abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5, 0) / sd AS z FROM u WHERE n1 > 0 AND n2 > 0),
+ w0 AS (SELECT grp, n1, n2, u, z, ties, least(n1, n2) AS a, greatest(n1, n2) AS b, CAST(least(u, n1 * n2 - u) AS BIGINT) AS j, list_transform(range(0, CAST(least(u, n1 * n2 - u) AS BIGINT) + 1), lambda t: CASE WHEN t = 0 THEN 1::DOUBLE ELSE 0 END) AS w FROM zz){_counted_sql()}
+ SELECT grp, n1, n2, u, round(CASE WHEN ties = 0 AND a <= 8 THEN least(1, 2 * list_sum(w) / round(exp(lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1)))) ELSE {normal_p_sql('greatest(z, 1e-12)')} END, 5) AS p_value FROM w8""")
+def i12e(spark, sf):
+    df = ranks.mann_whitney(per_user(spark, sf), ["grp"], "value", F.col("click"))
+    return rounded(df.where("n1 > 0 AND n2 > 0").drop("z"), 5, "p_value")
+
+
+@query("I13_exact_p_per_user", f"""WITH RECURSIVE {PER_USER}, s AS (SELECT grp, count(*) FILTER (field = 'click') AS n1, count(*) FILTER (field = 'view') AS n2 FROM tv GROUP BY 1),
+ c AS (SELECT grp, value, sum(CASE WHEN field = 'click' THEN 1 ELSE 0 END) OVER w AS c1, sum(CASE WHEN field = 'view' THEN 1 ELSE 0 END) OVER w AS c2 FROM tv WINDOW w AS (PARTITION BY grp ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ d AS (SELECT grp, n1, n2, CAST(max(abs(c1 * n2 - c2 * n1)) AS BIGINT) AS h FROM c JOIN s USING (grp) WHERE n1 > 0 AND n2 > 0 GROUP BY ALL),
+ p AS (SELECT grp, n1, n2, h, 0::BIGINT AS i, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j * n1 < h THEN 1::DOUBLE ELSE 0 END) AS w FROM d
+  UNION ALL SELECT grp, n1, n2, h, i + 1, list_transform(range(0, n2 + 1), lambda j: CASE WHEN abs((i + 1) * n2 - j * n1) < h THEN
+   list_sum(list_transform(range(0, j + 1), lambda t: CASE WHEN abs((i + 1) * n2 - t * n1) < h THEN w[t + 1] ELSE 0 END)) * (i + 1) / (n2 + i + 1) ELSE 0 END) FROM p WHERE i < n1)
+ SELECT grp, n1, n2, round(h / (n1 * n2)::DOUBLE, 8) AS d, round(CASE WHEN h = 0 THEN 1 ELSE 1 - w[n2 + 1] END, 7) AS p_value FROM p WHERE i = n1""")
+def i13e(spark, sf):
+    df = ranks.kolmogorov_smirnov(per_user(spark, sf), ["grp"], "value", F.col("click"))
+    return rounded(rounded(df.where("n1 > 0 AND n2 > 0"), 8, "d"), 7, "p_value")
 
 
 @query("I18_effect_table_moments_part", UNI + """, z AS (SELECT feature, avg(value) FILTER (model = 'N') AS hm, avg(value) FILTER (model <> 'N') AS lm, stddev_pop(value) FILTER (model = 'N') AS hs,
