@@ -30,6 +30,35 @@ def matched_comparison(long: DataFrame, keys: list[str], reference: Column, mode
         "human_wins", (F.col("human_value") > F.col("llm_value")).cast("int"))
 
 
+def with_reference(wide: DataFrame, keys: list[str], features: list[str], reference: Column, model: str = "model") -> DataFrame:
+    """Every model's wide row with ``_h``, its key's reference values: one row per key and model carries all features.
+
+    NULL keys never match. A key holds one reference row.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    h = F.max(F.when(reference, F.struct(*features))).over(Window.partitionBy(*keys))
+    return wide.where(known).withColumn("_h", h).where(~reference & F.col("_h").isNotNull())
+
+
+def matched_wide(wide: DataFrame, keys: list[str], features: list[str], reference: Column, model: str = "model") -> DataFrame:
+    """``matched_comparison`` of wide rows: the values meet before they are turned long."""
+    both = with_reference(wide, keys, features, reference, model)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_h.{f}").alias("human_value"), F.col(f).alias("llm_value")) for f in features])
+    long = both.select(*keys, F.col(model), F.inline(pairs)).where("human_value IS NOT NULL AND llm_value IS NOT NULL")
+    return long.select(*keys, "feature", model, "human_value", "llm_value").withColumn("human_wins", (F.col("human_value") > F.col("llm_value")).cast("int"))
+
+
+def win_counts(wide: DataFrame, keys: list[str], features: list[str], reference: Column, by: list[str], model: str = "model") -> DataFrame:
+    """(by, feature, n, human_wins): wins counted on wide rows, so only a few numbers per group are ever long."""
+    both = with_reference(wide, keys, features, reference, model)
+    n = [F.count(F.when(F.col(f"_h.{f}").isNotNull() & F.col(f).isNotNull(), 1)).alias(f"_n_{f}") for f in features]
+    won = [F.count(F.when(F.col(f"_h.{f}") > F.col(f), 1)).alias(f"_w_{f}") for f in features]
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_n_{f}").alias("n"), F.col(f"_w_{f}").alias("human_wins")) for f in features])
+    return both.groupBy(*by).agg(*n, *won).select(*by, F.inline(rows)).where("n > 0")
+
+
 def matched_differences(long: DataFrame, keys: list[str], domain: str, reference: Column, model: str = "model") -> DataFrame:
     """human - model per matched key and model.
 
@@ -52,6 +81,14 @@ def matched_differences(long: DataFrame, keys: list[str], domain: str, reference
     return keyed.select(*cols).unionByName(loose.select(*cols)).withColumn("difference", F.col("human_value") - F.col("llm_value"))
 
 
+def side_by_side(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Columns of tables with one row per key, joined on the keys that all of them hold; a column that an earlier table has stays out."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t.select(*keys, *[c for c in t.columns if c not in out.columns]), keys)
+    return out
+
+
 def pair_difference_summary(df: DataFrame, groups: list[str], reference: Column, value: str = "value") -> DataFrame:
     """Mean, variance, minimum and maximum of all pairwise differences, in closed form."""
     h, m = F.when(reference, F.col(value)), F.when(~reference, F.col(value))
@@ -85,27 +122,29 @@ def pair_difference_histogram(df: DataFrame, groups: list[str], reference: Colum
     return at_least.select(*groups, F.posexplode(F.array(*counts)).alias("bin", "n"))
 
 
-def win_summary(cmp: DataFrame, groups: list[str]) -> DataFrame:
-    return cmp.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n_comparisons"), F.sum("human_wins").alias("human_wins"),
-        F.avg("human_wins").alias("human_win_rate"),
-    )
+def _wins(counted: bool) -> list[Column]:
+    n = F.sum("n") if counted else F.count(F.lit(1))
+    rate = F.sum("human_wins") / F.sum("n") if counted else F.avg("human_wins")
+    return [n.alias("n_comparisons"), F.sum("human_wins").alias("human_wins"), rate.alias("human_win_rate")]
+
+
+def win_summary(cmp: DataFrame, groups: list[str], counted: bool = False) -> DataFrame:
+    """Comparisons, wins and rate per group; ``counted``: rows are those of ``win_counts``."""
+    return cmp.groupBy(*groups).agg(*_wins(counted))
 
 
-def win_summary_with_overall(cmp: DataFrame, group: str) -> DataFrame:
+def win_summary_with_overall(cmp: DataFrame, group: str, counted: bool = False) -> DataFrame:
     """Groups plus an OVERALL row in one pass."""
-    return cmp.rollup(group).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n_comparisons"), F.sum("human_wins").alias("human_wins"),
-        F.avg("human_wins").alias("human_win_rate"),
-    ).withColumn(group, F.when(F.col("_gid") == 1, "OVERALL").otherwise(F.col(group))).drop("_gid")
+    return cmp.rollup(group).agg(F.grouping_id().alias("_gid"), *_wins(counted)).withColumn(
+        group, F.when(F.col("_gid") == 1, "OVERALL").otherwise(F.col(group))).drop("_gid")
 
 
 def binomial_table(cmp: DataFrame, group: str, alternatives: dict[str, str] | None = None, overall: str = "greater",
-                   alpha: float = 0.05) -> DataFrame:
+                   alpha: float = 0.05, counted: bool = False) -> DataFrame:
     """Exact binomial test per group and OVERALL; ``alternatives`` overrides one-sided greater."""
     alts = {**(alternatives or {}), "OVERALL": overall}
     table = F.create_map(*[F.lit(x) for kv in alts.items() for x in kv])
-    t = win_summary_with_overall(cmp, group)
+    t = win_summary_with_overall(cmp, group, counted)
     t = t.withColumn("test_direction", F.coalesce(table[F.col(group)], F.lit("greater")))
     k, n = F.col("human_wins"), F.col("n_comparisons")
     t = t.withColumns({

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from wayline.functions import features as feat
 from wayline.functions.columns import null_safe_equal, rounded, unpivot
-from wayline.operators import compare, geometry, series
+from wayline.operators import compare, geometry, profile
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4, YL, path_sql, supplier_years, yearly_stats
-from wayline.sources.bindings import FEATURES, ITEMS_SQL, MESSAGES_SQL, YEARS_SQL, message_texts
+from wayline.sources.bindings import FEATURES, ITEMS_SQL, MESSAGES_SQL, YEARS_SQL, message_texts, supplier_year_means, with_supplier_domain
 
 AK = ["domain", "field", "author_id"]
 STATS3 = ["cv", "rmssd_norm", "masd_norm"]
@@ -22,10 +22,9 @@ def is_human():
 
 
 def unified(spark, sf):
-    """Variability and three path geometries per author key, one row each (D3)."""
-    base = series.stats_table(yearly_stats(spark, sf), KEYS4, FEATURES, STATS3)
-    geo = space_geometry(spark, sf).groupBy(*KEYS4).pivot("space", list(SPACE_COLS)).agg(*[F.first(m).alias(m) for m in geometry.METRICS])
-    return left_null_safe(base, geo, KEYS4)
+    """Variability and three path geometries per author key, one row each (D3): one scan, one window, one aggregate."""
+    wide = profile.wide_profile(supplier_year_means(spark, sf), ["field", "author_id", "model"], ["year"], FEATURES, SPACE_COLS, STATS3)
+    return with_supplier_domain(spark, sf, wide).select(*KEYS4, *UNI_COLS)
 
 
 def space_geometry(spark, sf):
@@ -44,14 +43,18 @@ UNI_COLS = [f"{f}_{s}" for f in FEATURES for s in STATS3] + [f"{s}_{m}" for s in
 
 
 def unified_long(spark, sf):
-    stats = unpivot(yearly_stats(spark, sf), [*KEYS4, "feature"], STATS3, feature="stat")
-    geo = unpivot(space_geometry(spark, sf), [*KEYS4, "space"], geometry.METRICS, feature="metric")
-    return stats.select(*KEYS4, F.concat_ws("_", "feature", "stat").alias("feature"), "value").unionByName(
-        geo.select(*KEYS4, F.concat_ws("_", "space", "metric").alias("feature"), "value"))
+    return unpivot(unified(spark, sf), KEYS4, UNI_COLS)
 
 
 def comparisons(spark, sf):
-    c = compare.matched_comparison(unified_long(spark, sf), AK, is_human())
+    c = compare.matched_wide(unified(spark, sf), AK, UNI_COLS, is_human())
+    return c.withColumn("feature_type", feat.feature_group(F.col("feature")))
+
+
+def win_counts(spark, sf, *by):
+    """Wins by feature and the columns in ``by``, a small table that every report of rates starts from."""
+    wide = unified(spark, sf).withColumn("level", F.concat(F.lit("LV"), F.pmod("author_id", F.lit(3)) + 1))
+    c = compare.win_counts(wide, AK, UNI_COLS, is_human(), list(by))
     return c.withColumn("feature_type", feat.feature_group(F.col("feature")))
 
 
@@ -214,17 +217,21 @@ def d8(spark, sf):
     return rounded(rows.join(complete, KEYS4, "left_semi"), 6)
 
 
-@query("D9_statistics_side_by_side", YL + f"""SELECT {K4}, round(max(CASE WHEN feature = 'quantity' THEN sqrt(variance) / abs(mean) END), 6) AS quantity,
- round(max(CASE WHEN feature = 'price' THEN rmssd / abs(mean) END), 6) AS price, round(max(CASE WHEN feature = 'tax' THEN masd / abs(mean) END), 6) AS tax FROM s GROUP BY ALL""")
+D9_STATS = {"cv": "sqrt(variance) / nullif(abs(mean), 0)", "rmssd_norm": "rmssd / nullif(abs(mean), 0)", "masd_norm": "masd / nullif(abs(mean), 0)"}
+
+
+@query("D9_statistics_side_by_side", YL + f"SELECT {K4}, " + ", ".join(
+    f"round(max(CASE WHEN feature = '{f}' THEN {e} END), 6) AS {f}_{n}" for n, e in D9_STATS.items() for f in FEATURES) + " FROM s GROUP BY ALL")
 def d9(spark, sf):
+    """One table per statistic, as they are kept, put side by side by the author's key."""
     st = yearly_stats(spark, sf)
-    pick = F.when(F.col("feature") == "quantity", F.col("cv")).when(F.col("feature") == "price", F.col("rmssd_norm")).otherwise(F.col("masd_norm"))
-    return rounded(st.withColumn("v", pick).groupBy(*KEYS4).pivot("feature", ["quantity", "price", "tax"]).agg(F.first("v")), 6)
+    tables = [st.groupBy(*KEYS4).pivot("feature", FEATURES).agg(F.first(n)).withColumnsRenamed({f: f"{f}_{n}" for f in FEATURES}) for n in D9_STATS]
+    return rounded(compare.side_by_side(tables, KEYS4), 6)
 
 
 @query("D11_win_rate_by_domain_and_model", UNI + """SELECT domain, model, count(*) AS n_comparisons, CAST(sum(human_wins) AS BIGINT) AS human_wins, round(avg(human_wins), 8) AS human_win_rate FROM cmp GROUP BY ALL""")
 def d11(spark, sf):
-    return rounded(compare.win_summary(comparisons(spark, sf), ["domain", "model"]), 8)
+    return rounded(compare.win_summary(win_counts(spark, sf, "domain", "model"), ["domain", "model"], True), 8)
 
 
 @query("D15_difference_from_baseline", f"WITH {ITEMS_SQL}, m AS (SELECT domain, model, " + ", ".join(f"avg({f}) AS {f}" for f in FEATURES) + " FROM items GROUP BY ALL) SELECT a.domain, a.model, " + ", ".join(
@@ -311,7 +318,7 @@ def e15(spark, sf):
 
 @query("E17_wins_per_group", UNI + """SELECT feature, count(*) AS n_comparisons, CAST(sum(human_wins) AS BIGINT) AS human_wins, round(avg(human_wins), 8) AS human_win_rate FROM cmp GROUP BY 1""")
 def e17(spark, sf):
-    return rounded(compare.win_summary(comparisons(spark, sf), ["feature"]), 8)
+    return rounded(compare.win_summary(win_counts(spark, sf), ["feature"], True), 8)
 
 
 OVER = """SELECT coalesce(feature_type, 'OVERALL') AS feature_type, count(*) AS n_comparisons, CAST(sum(human_wins) AS BIGINT) AS human_wins, round(avg(human_wins), 8) AS human_win_rate FROM cmp GROUP BY ROLLUP (feature_type)"""
@@ -319,7 +326,7 @@ OVER = """SELECT coalesce(feature_type, 'OVERALL') AS feature_type, count(*) AS
 
 @query("E18_groups_and_overall", UNI + OVER)
 def e18(spark, sf):
-    return rounded(compare.win_summary_with_overall(comparisons(spark, sf), "feature_type"), 8)
+    return rounded(compare.win_summary_with_overall(win_counts(spark, sf), "feature_type", True), 8)
 
 
 @query("E19_distinct_counts", UNI + """SELECT count(DISTINCT author_id) AS authors, count(DISTINCT feature) AS features, count(DISTINCT model) AS models,
@@ -350,19 +357,19 @@ def _binom_oracle(g, cmp2, two_sided):
 
 @query("I1_binomial_per_metric", _binom_oracle("metric", "SELECT *, regexp_extract(feature, '(cv|rmssd_norm|masd_norm)$', 1) AS metric FROM cmp WHERE feature_type = 'CE-VAR'", "'none'"))
 def i1(spark, sf):
-    c = comparisons(spark, sf).where("feature_type = 'CE-VAR'").withColumn("metric", feat.stat_suffix(F.col("feature")))
-    return rounded(compare.binomial_table(c, "metric"), 8)
+    c = win_counts(spark, sf).where("feature_type = 'CE-VAR'").withColumn("metric", feat.stat_suffix(F.col("feature")))
+    return rounded(compare.binomial_table(c, "metric", counted=True), 8)
 
 
 @query("I2_binomial_per_feature_group", _binom_oracle("feature_type", "SELECT * FROM cmp", "'TF-IDF-GEO'"))
 def i2(spark, sf):
-    return rounded(compare.binomial_table(comparisons(spark, sf), "feature_type", compare.ALTERNATIVES), 8)
+    return rounded(compare.binomial_table(win_counts(spark, sf), "feature_type", compare.ALTERNATIVES, counted=True), 8)
 
 
 @query("I3_binomial_two_sided_overall", _binom_oracle("model", "SELECT * FROM cmp WHERE feature_type <> 'CE-VAR'", "'OVERALL'"))
 def i3(spark, sf):
-    c = comparisons(spark, sf).where("feature_type <> 'CE-VAR'")
-    return rounded(compare.binomial_table(c, "model", overall="two-sided"), 8)
+    c = win_counts(spark, sf, "model").where("feature_type <> 'CE-VAR'")
+    return rounded(compare.binomial_table(c, "model", overall="two-sided", counted=True), 8)
 
 
 @query("I4_binomial_per_feature", UNI.rstrip() + f""", t AS (SELECT feature, feature_type, count(*) AS n, CAST(sum(human_wins) AS BIGINT) AS k FROM cmp GROUP BY ALL)
@@ -375,20 +382,20 @@ def i4(spark, sf):
 def per_feature_tests(spark, sf):
     from wayline.functions.pvalues import binomial_p
 
-    t = compare.win_summary(comparisons(spark, sf), ["feature", "feature_type"])
+    t = compare.win_summary(win_counts(spark, sf), ["feature", "feature_type"], True)
     return t.withColumn("pvalue", binomial_p(F.col("human_wins"), F.col("n_comparisons")))
 
 
 @query("G5_report_order", UNI + """, r AS (""" + OVER + """) SELECT row_number() OVER (ORDER BY CASE feature_type WHEN 'CE-VAR' THEN 1 WHEN 'CE-GEO' THEN 2
  WHEN 'TF-IDF-GEO' THEN 3 WHEN 'SBERT-GEO' THEN 4 WHEN 'OVERALL' THEN 5 ELSE 6 END) AS position, feature_type, n_comparisons FROM r""")
 def g5(spark, sf):
-    t = compare.win_summary_with_overall(comparisons(spark, sf), "feature_type")
+    t = compare.win_summary_with_overall(win_counts(spark, sf), "feature_type", True)
     return t.select(feat.group_rank(F.col("feature_type")).cast("bigint").alias("position"), "feature_type", "n_comparisons").orderBy("position")
 
 
 @query("G2_top_features_by_win_rate", UNI + """SELECT feature, round(avg(human_wins), 8) AS human_win_rate FROM cmp GROUP BY 1 ORDER BY human_win_rate DESC, feature LIMIT 10""")
 def g2(spark, sf):
-    t = rounded(compare.win_summary(comparisons(spark, sf), ["feature"]), 8).select("feature", "human_win_rate")
+    t = rounded(compare.win_summary(win_counts(spark, sf), ["feature"], True), 8).select("feature", "human_win_rate")
     return t.orderBy(F.desc("human_win_rate"), "feature").limit(10)
 
 

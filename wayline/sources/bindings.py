@@ -43,12 +43,16 @@ def with_supplier_domain(spark: SparkSession, sf: str, df: DataFrame) -> DataFra
     return df.join(dim, "author_id")
 
 
-def supplier_years(spark: SparkSession, sf: str) -> DataFrame:
-    """Yearly feature means per (domain, field, author, model); aggregated below the join."""
-    yearly = supplier_items(spark, sf).groupBy("field", "author_id", "model", "year").agg(
+def supplier_year_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly feature means per (field, author, model); the domain follows from the author."""
+    return supplier_items(spark, sf).groupBy("field", "author_id", "model", "year").agg(
         *[F.avg(f).alias(f) for f in FEATURES], F.count(F.lit(1)).alias("n")
     )
-    return with_supplier_domain(spark, sf, yearly)
+
+
+def supplier_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly feature means per (domain, field, author, model); aggregated below the join."""
+    return with_supplier_domain(spark, sf, supplier_year_means(spark, sf))
 
 
 ITEMS_SQL = """items AS (
