@@ -152,3 +152,44 @@ def test_exact_selection_against_sorting(spark):
                 assert sum(h < cuts[y] for h in own) == int(len(own) * share)
     place = {h: i for y in (0, 1) for i, h in enumerate(h for k, h in local if k == y)}
     assert len(ranks_) == 30 and all(place[r.h] == ranks_[r.id] for r in hashed.where("id % 1000 = 7").collect())
+
+
+@pytest.mark.parametrize("summary,distinct,most", [(4, 1_000_000, 30), (1, 40, 30), (1, 5, 7), (4, 1_000_000, 1000)])
+def test_vocabulary_from_summaries(spark, monkeypatch, summary, distinct, most):
+    """Small summaries leave terms out; the vocabulary is still the exact one."""
+    monkeypatch.setattr(tfidf, "SUMMARY", summary)
+    monkeypatch.setattr(tfidf, "DISTINCT", distinct)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"t{min(int(v), 400)}" for v in rng.zipf(1.3, 60)) for _ in range(90)]
+    rows = [("de"[i % 2], i, t) for i, t in enumerate(texts)] + [("d", 100, None), ("d", 101, ""), (None, 102, "ab cd")]
+    docs = spark.createDataFrame(rows, "domain string, id int, text string").repartition(6)
+    lists = tfidf.term_lists(docs, "domain", "id").cache()
+    got = {(r["domain"], r["term"]): r["df"] for r in tfidf.vocabulary(lists, "domain", most).collect() if r["domain"]}
+    for d in "de":
+        total, df = {}, {}
+        for dom, _, t in rows:
+            if dom == d:
+                for w in (t or "").split():
+                    total[w] = total.get(w, 0) + 1
+                for w in set((t or "").split()):
+                    df[w] = df.get(w, 0) + 1
+        want = sorted(total, key=lambda w: (-total[w], w))[:most]
+        assert {t: n for (x, t), n in got.items() if x == d} == {w: df[w] for w in want}
+
+
+def test_svd_of_all_domains_at_once(spark):
+    rng = np.random.default_rng(5)
+    shapes, rows, whole = {"a": (60, 35), "b": (8, 50), "c": (30, 4), "d": (5, 1)}, [], {}
+    for d, (n, m) in shapes.items():
+        whole[d] = rng.random((n, m)) * (rng.random((n, m)) < 0.5)
+        rows += [(d, i, [int(j) for j in np.flatnonzero(whole[d][i])], [float(x) for x in whole[d][i][whole[d][i] > 0]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "domain string, id int, at array<int>, weight array<double>").repartition(5)
+    svd = tfidf.sparse_svd(df, "domain", {d: list(map(str, range(m))) for d, (_, m) in shapes.items()}, 6)
+    vec = {(r["domain"], r["id"]): r["vec"] for r in tfidf.projected(df, "domain", "id", svd).collect()}
+    for d, x in whole.items():
+        u, s, vt = np.linalg.svd(x, full_matrices=False)
+        k = min(6, x.shape[1])
+        assert svd.values[d][: len(s)] == pytest.approx(s[:k], abs=1e-7) and len(svd.values[d]) == k
+        assert svd.vectors[d].T @ svd.vectors[d] == pytest.approx(np.eye(k), abs=1e-8)
+        got = np.array([vec[d, i] for i in range(len(x))])
+        assert got @ got.T == pytest.approx((u[:, :k] * s[:k]) @ (u[:, :k] * s[:k]).T, abs=1e-6)

@@ -45,40 +45,17 @@ def with_reference(wide: DataFrame, keys: list[str], features: list[str], refere
 def matched_wide(wide: DataFrame, keys: list[str], features: list[str], reference: Column, model: str = "model") -> DataFrame:
     """``matched_comparison`` of wide rows: the values meet before they are turned long."""
     both = with_reference(wide, keys, features, reference, model)
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_h.{f}").alias("human_value"), F.col(f).alias("llm_value")) for f in features])
-    long = both.select(*keys, F.col(model), F.inline(pairs)).where("human_value IS NOT NULL AND llm_value IS NOT NULL")
-    return long.select(*keys, "feature", model, "human_value", "llm_value").withColumn("human_wins", (F.col("human_value") > F.col("llm_value")).cast("int"))
+    pairs = ", ".join(f"struct('{f}' AS feature, _h.{f} AS human_value, {f} AS llm_value)" for f in features)
+    long = both.selectExpr(*keys, model, f"inline(array({pairs}))").where("human_value IS NOT NULL AND llm_value IS NOT NULL")
+    return long.selectExpr(*keys, "feature", model, "human_value", "llm_value", "CAST(human_value > llm_value AS INT) AS human_wins")
 
 
 def win_counts(wide: DataFrame, keys: list[str], features: list[str], reference: Column, by: list[str], model: str = "model") -> DataFrame:
     """(by, feature, n, human_wins): wins counted on wide rows, so only a few numbers per group are ever long."""
     both = with_reference(wide, keys, features, reference, model)
-    n = [F.count(F.when(F.col(f"_h.{f}").isNotNull() & F.col(f).isNotNull(), 1)).alias(f"_n_{f}") for f in features]
-    won = [F.count(F.when(F.col(f"_h.{f}") > F.col(f), 1)).alias(f"_w_{f}") for f in features]
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_n_{f}").alias("n"), F.col(f"_w_{f}").alias("human_wins")) for f in features])
-    return both.groupBy(*by).agg(*n, *won).select(*by, F.inline(rows)).where("n > 0")
-
-
-def matched_differences(long: DataFrame, keys: list[str], domain: str, reference: Column, model: str = "model") -> DataFrame:
-    """human - model per matched key and model.
-
-    Rows whose key is incomplete fall back to their domain: they are compared
-    with the mean of each model's values there (``n_matched`` of them), which
-    keeps the result one row per model instead of one per pair.
-    """
-    full = F.lit(True)
-    for k in keys:
-        full = full & F.col(k).isNotNull()
-    rows = long.where(F.col("value").isNotNull())
-    h = rows.where(reference).withColumnRenamed("value", "human_value").drop(model)
-    m = rows.where(~reference)
-    keyed = h.where(full).join(
-        m.where(full).select(domain, *keys, "feature", F.col(model), F.col("value").alias("llm_value")), [domain, *keys, "feature"]
-    ).withColumn("n_matched", F.lit(1).cast("bigint"))
-    by_domain = m.groupBy(domain, "feature", model).agg(F.avg("value").alias("llm_value"), F.count(F.lit(1)).alias("n_matched"))
-    loose = h.where(~full).join(by_domain, [domain, "feature"])
-    cols = [domain, *keys, "feature", model, "human_value", "llm_value", "n_matched"]
-    return keyed.select(*cols).unionByName(loose.select(*cols)).withColumn("difference", F.col("human_value") - F.col("llm_value"))
+    counts = [F.expr(x) for f in features for x in (f"count(_h.{f} + {f}) AS _n_{f}", f"count_if(_h.{f} > {f}) AS _w_{f}")]
+    rows = ", ".join(f"struct('{f}' AS feature, _n_{f} AS n, _w_{f} AS human_wins)" for f in features)
+    return both.groupBy(*by).agg(*counts).selectExpr(*by, f"inline(array({rows}))").where("n > 0")
 
 
 def side_by_side(tables: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -5,13 +5,10 @@ One window orders a series (an author's years), one aggregate reduces it; nothin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.columns import safe_div
-from wayline.functions.vectors import l2
-from wayline.operators.geometry import METRICS, _at_rest, _tortuosity
-from wayline.operators.series import time_key
+from wayline.operators.geometry import METRICS, REST
 
 
 def wide_profile(df: DataFrame, keys: list[str], order: list[str], features: list[str], spaces: dict[str, list[str]], stats: list[str]) -> DataFrame:
@@ -20,36 +17,33 @@ def wide_profile(df: DataFrame, keys: list[str], order: list[str], features: lis
     ``stats``: among variance, cv, rmssd, masd, rmssd_norm, masd_norm. NULL values are skipped by the statistics; a step whose
     ends are not both known is no step of a path. Series are of bounded length.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    by, at = ", ".join(keys), ", ".join(f"{c} ASC NULLS LAST" for c in order)
+    last = ", ".join(f"{c} IS NULL, {c}" for c in order)
+    over, before = f"OVER (PARTITION BY {by} ORDER BY {at})", f"OVER (PARTITION BY {by} ORDER BY {at} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     used = sorted({f for cols in spaces.values() for f in cols} | set(features))
-    rows = df.select(*keys, *order, *[F.col(f).cast("double").alias(f) for f in used])
-    rows = rows.withColumns({f"_s_{f}": F.col(f) - F.lag(f).over(w) for f in used} | {f"_d_{f}": F.col(f) - F.last(f, ignorenulls=True).over(before) for f in features})
-    square = lambda cols: sum((c * c for c in cols[1:]), cols[0] * cols[0])
-    vec = {s: F.array(*[F.col(c) for c in cols]) for s, cols in spaces.items()}
-    rows = rows.withColumns({f"_l_{s}": _at_rest(F.sqrt(square([F.col(f"_s_{c}") for c in cols])), vec[s]) for s, cols in spaces.items()})
-    past = {f"_q_{f}": F.lag(f"_s_{f}").over(w) for f in used} | {f"_m_{s}": F.lag(f"_l_{s}").over(w) for s in spaces}
-    rows = rows.withColumns(past)
-    along = lambda cols: sum((F.col(f"_s_{c}") * F.col(f"_q_{c}") for c in cols[1:]), F.col(f"_s_{cols[0]}") * F.col(f"_q_{cols[0]}"))
-    rows = rows.withColumns({f"_c_{s}": along(cols) / F.nullif(F.col(f"_l_{s}") * F.col(f"_m_{s}"), F.lit(0.0)) for s, cols in spaces.items()})
-    t = time_key(order)
-    aggregates = [F.count(F.lit(1)).alias("_n")]
+    rows = df.selectExpr(*keys, *order, *(f"CAST({f} AS DOUBLE) AS {f}" for f in used))
+    rows = rows.selectExpr("*", *(f"{f} - lag({f}) {over} AS _s_{f}" for f in used), *(f"{f} - last({f}, true) {before} AS _d_{f}" for f in features))
+    square = lambda cols, mark="": " + ".join(f"{mark}{c} * {mark}{c}" for c in cols)
+    # Distances below rounding noise count as none, as in geometry.
+    rest = lambda distance, size: f"CASE WHEN {distance} <= {REST} * sqrt({size}) THEN 0.0D ELSE {distance} END"
+    rows = rows.selectExpr("*", *(f"{rest(f'sqrt({square(cols, "_s_")})', square(cols))} AS _l_{s}" for s, cols in spaces.items()))
+    rows = rows.selectExpr("*", *("(" + " + ".join(f"_s_{c} * lag(_s_{c}) {over}" for c in cols) + f") / nullif(_l_{s} * lag(_l_{s}) {over}, 0.0D) AS _c_{s}" for s, cols in spaces.items()))
+    sums = ["count(*) AS _n"]
     for f in features:
-        d = F.col(f"_d_{f}")
-        aggregates += [F.avg(f).alias(f"_avg_{f}"), F.var_samp(f).alias(f"_var_{f}"), F.avg(d * d).alias(f"_sq_{f}"), F.avg(F.abs(d)).alias(f"_abs_{f}")]
+        sums += [f"avg({f}) AS _avg_{f}", f"var_samp({f}) AS _var_{f}", f"avg(_d_{f} * _d_{f}) AS _sq_{f}", f"avg(abs(_d_{f})) AS _abs_{f}"]
+    sums += [f"min_by(struct({', '.join(used)}), struct({last})) AS _a", f"max_by(struct({', '.join(used)}), struct({last})) AS _z"]
     for s in spaces:
-        aggregates += [F.avg(f"_l_{s}").alias(f"_mean_{s}"), F.stddev_pop(f"_l_{s}").alias(f"_std_{s}"), F.sum(f"_l_{s}").alias(f"_sum_{s}"), F.avg(f"_c_{s}").alias(f"_cos_{s}"),
-                       F.min_by(vec[s], t).alias(f"_a_{s}"), F.max_by(vec[s], t).alias(f"_z_{s}")]
-    g = rows.groupBy(*keys).agg(*aggregates)
-    out = {}
+        sums += [f"avg(_l_{s}) AS _mean_{s}", f"stddev_pop(_l_{s}) AS _std_{s}", f"sum(_l_{s}) AS _sum_{s}", f"avg(_c_{s}) AS _cos_{s}"]
+    g = rows.groupBy(*keys).agg(*map(F.expr, sums))
+    out, nets = [], []
     for f in features:
-        by = F.abs(f"_avg_{f}")
-        rmssd = F.sqrt(f"_sq_{f}")
-        known = {"variance": F.col(f"_var_{f}"), "cv": safe_div(F.sqrt(f"_var_{f}"), by), "rmssd": rmssd, "masd": F.col(f"_abs_{f}"),
-                 "rmssd_norm": safe_div(rmssd, by), "masd_norm": safe_div(F.col(f"_abs_{f}"), by)}
-        out |= {f"{f}_{name}": known[name] for name in stats}
-    for s in spaces:
-        net = F.when(F.col("_n") >= 2, _at_rest(l2(F.col(f"_a_{s}"), F.col(f"_z_{s}")), F.col(f"_z_{s}")))
-        known = [F.col(f"_mean_{s}"), F.col(f"_std_{s}"), net, F.col(f"_sum_{s}"), _tortuosity(F.col(f"_sum_{s}"), net, 1.0), F.col(f"_cos_{s}")]
-        out |= {f"{s}_{m}": c for m, c in zip(METRICS, known)}
-    return g.select(*keys, *[c.alias(name) for name, c in out.items()])
+        known = {"variance": f"_var_{f}", "cv": f"sqrt(_var_{f}) / nullif(abs(_avg_{f}), 0.0D)", "rmssd": f"sqrt(_sq_{f})", "masd": f"_abs_{f}",
+                 "rmssd_norm": f"sqrt(_sq_{f}) / nullif(abs(_avg_{f}), 0.0D)", "masd_norm": f"_abs_{f} / nullif(abs(_avg_{f}), 0.0D)"}
+        out += [f"{known[name]} AS {f}_{name}" for name in stats]
+    for s, cols in spaces.items():
+        net = f"sqrt({' + '.join(f'(_a.{c} - _z.{c}) * (_a.{c} - _z.{c})' for c in cols)})"
+        nets.append(f"CASE WHEN _n >= 2 THEN {rest(net, square(cols, '_z.'))} END AS _net_{s}")
+        tortuosity = f"CASE WHEN _net_{s} > 0 THEN _sum_{s} / _net_{s} WHEN _net_{s} = 0 THEN 1.0D END"
+        known = [f"_mean_{s}", f"_std_{s}", f"_net_{s}", f"_sum_{s}", tortuosity, f"_cos_{s}"]
+        out += [f"{c} AS {s}_{m}" for m, c in zip(METRICS, known)]
+    return g.selectExpr("*", *nets).selectExpr(*keys, *out)

@@ -16,10 +16,6 @@ from wayline.session import materialize
 from wayline.sources.bindings import DOCS_SQL, FEATURES, YEARS_SQL, document_texts, supplier_years, table
 
 
-
-def domains_of(docs):
-    """The domains of a corpus, few by nature."""
-    return sorted(r[0] for r in docs.select("domain").where("domain IS NOT NULL").distinct().collect())
 STOPS = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
 
 # ---------------------------------------------------------------------- vectors
@@ -46,34 +42,81 @@ def j1(spark, sf):
     return rounded(corpus_weights(spark, sf), 8)
 
 
+@query("J1_weights_of_cut_texts", f"WITH {TFIDF_SQL.replace('lower(text)', 'lower(substring(text, 1, 8000))')} SELECT domain, doc_id, term, round(weight, 8) AS weight FROM nw")
+def j1cut(spark, sf):
+    """The optional cut of long texts (A4) before their terms are counted."""
+    return rounded(tfidf.tfidf(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS, limit=8000), 8)
+
+
 @query("J1_vocabulary", f"WITH {TFIDF_SQL} SELECT domain, term, df, round(idf, 8) AS idf FROM iw")
 def j1v(spark, sf):
-    docs = corpus(spark, sf)
-    return rounded(tfidf.vocabulary(tfidf.term_counts(docs, "domain", "doc_id", stop_words=FUNCTION_WORDS), docs, "domain"), 8)
+    lists = materialize(tfidf.term_lists(corpus(spark, sf), "domain", "doc_id", stop_words=FUNCTION_WORDS))
+    return rounded(tfidf.vocabulary(lists, "domain"), 8)
+
+
+def corpus_svd(spark, sf, k=10):
+    rows, terms = tfidf.numbered_rows(corpus(spark, sf), "domain", "doc_id", "text", FUNCTION_WORDS, tfidf.MAX_FEATURES)
+    return rows, tfidf.sparse_svd(rows, "domain", terms, k)
 
 
 @query("J2_truncated_svd")
 def j2(spark, sf):
     """Singular values per domain, next to the length of the score columns, which must equal them."""
-    weights, out = materialize(corpus_weights(spark, sf)), None
-    for d in domains_of(corpus(spark, sf)):
-        scores, s, _ = tfidf.truncated_svd(weights.where(F.col("domain") == d), "doc_id", 10)
-        total = scores.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("score_norm"))
-        known = spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
-        part = total.join(known, "component").withColumn("domain", F.lit(d))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 6)
+    rows, svd = corpus_svd(spark, sf)
+    total = tfidf.projected(rows, "domain", "doc_id", svd).select("domain", F.posexplode("vec").alias("component", "x")).groupBy("domain", "component").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("score_norm"))
+    known = spark.createDataFrame([(d, i, float(s)) for d, v in svd.values.items() for i, s in enumerate(v)], "domain string, component int, singular_value double")
+    return rounded(total.join(F.broadcast(known), ["domain", "component"]), 6)
+
+
+@query("J2_svd_conditions", """SELECT lang AS domain, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS vectors, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS scores
+ FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), range(10) a(i), range(10) b(j) WHERE i <= j""")
+def j2c(spark, sf):
+    """Products of right vectors, and of score columns over the product of their singular values: both are those of an orthonormal set."""
+    rows, svd = corpus_svd(spark, sf)
+    loadings = spark.createDataFrame([(d, [float(x) for x in r]) for d, v in svd.vectors.items() for r in v], "domain string, v array<double>")
+    known = spark.createDataFrame([(d, [float(x) for x in s]) for d, s in svd.values.items()], "domain string, s array<double>")
+    pairs = [(i, j) for i in range(10) for j in range(i, 10)]
+
+    def products(df, name):
+        sums = [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}_{j}") for i, j in pairs]
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias(name)) for i, j in pairs])
+        return df.groupBy("domain").agg(*sums).select("domain", F.inline(cells))
+
+    scores = products(tfidf.projected(rows, "domain", "doc_id", svd).withColumnRenamed("vec", "v"), "scores").join(F.broadcast(known), "domain")
+    scores = scores.select("domain", "i", "j", (F.col("scores") / (F.element_at("s", F.col("i") + 1) * F.element_at("s", F.col("j") + 1))).alias("scores"))
+    return rounded(products(loadings, "vectors").join(scores, ["domain", "i", "j"]), 6)
+
+
+def _power_sql(rounds=40):
+    """The first singular value by repeated multiplication with the weights and their transpose."""
+    out = f"WITH {TFIDF_SQL}, m AS MATERIALIZED (SELECT domain, doc_id, term, weight FROM nw), v0 AS MATERIALIZED (SELECT domain, term, 1.0::DOUBLE AS x FROM m GROUP BY ALL)"
+    for i in range(rounds):
+        out += f""", y{i} AS MATERIALIZED (SELECT m.domain, doc_id, sum(weight * x) AS y FROM m JOIN v{i} v ON m.domain = v.domain AND m.term = v.term GROUP BY ALL),
+ z{i} AS (SELECT m.domain, term, sum(weight * y) AS z FROM m JOIN y{i} y ON m.doc_id = y.doc_id GROUP BY ALL), v{i + 1} AS MATERIALIZED (SELECT domain, term, z / sqrt(sum(z * z) OVER (PARTITION BY domain)) AS x, sqrt(sum(z * z) OVER (PARTITION BY domain)) AS n FROM z{i})"""
+    return out + f" SELECT domain, round(sqrt(max(n)), 5) AS singular_value FROM v{rounds} GROUP BY 1"
+
+
+@query("J2_first_singular_value", _power_sql())
+def j2f(spark, sf):
+    _, svd = corpus_svd(spark, sf, 1)
+    return rounded(spark.createDataFrame([(d, float(v[0])) for d, v in svd.values.items()], "domain string, singular_value double"), 5)
 
 
 @query("J3_domain_vectors_path")
 def j3(spark, sf):
-    docs = corpus(spark, sf)
-    vec = tfidf.domain_vectors(docs, "domain", "doc_id", domains_of(docs), 10, stop_words=FUNCTION_WORDS)
+    vec = tfidf.domain_vectors(corpus(spark, sf), "domain", "doc_id", 10, stop_words=FUNCTION_WORDS)
     meta = document_texts(spark, sf).select("doc_id", "author_id", "year")
     yearly = geometry.yearly_vectors(vec.join(meta, "doc_id"), ["domain", "author_id", "year"])
     return rounded(geometry.path_metrics(yearly, ["domain", "author_id"], ["year"]), 6)
 
 
+@query("J3_domain_vectors_norms", f"""WITH {TFIDF_SQL} SELECT domain, doc_id, round(sqrt(sum(weight * weight)), 6) AS length FROM nw GROUP BY ALL""")
+def j3n(spark, sf):
+    """The sparse rows that the decomposition reads have the weights' lengths."""
+    rows, terms = tfidf.numbered_rows(corpus(spark, sf), "domain", "doc_id", "text", FUNCTION_WORDS, tfidf.MAX_FEATURES)
+    return rounded(rows.where(F.size("at") > 0).select("domain", "doc_id", F.sqrt(F.aggregate("weight", F.lit(0.0), lambda a, x: a + x * x)).alias("length")), 6)
+
+
 @query("J4_zscore", f"WITH {YEARS_SQL}, m AS (SELECT " + ", ".join(f"avg({f}) AS {f}_m, stddev_pop({f}) AS {f}_s" for f in FEATURES) + f" FROM f1) SELECT {K4}, year, " + ", ".join(
     f"round(({f} - {f}_m) / {f}_s, 7) + 0.0 AS {f}" for f in FEATURES) + " FROM f1, m")
 def j4(spark, sf):
