@@ -25,7 +25,7 @@ MAX_FEATURES = 20_000
 #: Entries of a vocabulary that is sent to all tasks; a larger one is joined.
 SENT_TERMS = 2_000_000
 #: Terms of a task's summary, as a multiple of the vocabulary's size, and distinct terms that a task counts before it hands on a summary.
-SUMMARY = 4
+SUMMARY = 16
 DISTINCT = 1_000_000
 
 
@@ -63,40 +63,38 @@ def _summaries(lists: DataFrame, domain: str, size: int) -> DataFrame:
     schema = T.StructType([T.StructField(domain, lists.schema[domain].dataType), *T._parse_datatype_string("term string, total long, df long, kept_least long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[object, dict[str, list[int]]] = {}
+        held: dict[object, list[pa.Table]] = {}
+
+        def merged(tables: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(tables).group_by("term").aggregate([("n", "sum"), ("k", "sum")]).rename_columns(["term", "n", "k"])
 
         def out() -> pa.RecordBatch:
-            rows = []
-            for d, counts in held.items():
-                order = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))
-                dropped = order[size][1][0] if len(order) > size else 0
-                rows += [(d, t, n, k, dropped) for t, (n, k) in order[:size]]
-                rows.append((d, None, dropped, 0, dropped))
+            parts = []
+            for d, tables in held.items():
+                whole = merged(tables).sort_by([("n", "descending"), ("term", "ascending")])
+                left = whole["n"][size].as_py() if whole.num_rows > size else 0
+                kept = whole.slice(0, size)
+                n = kept.num_rows + 1
+                parts.append(pa.table({domain: pa.array([d] * n, pa.string()), "term": pa.chunked_array([*kept["term"].chunks, pa.nulls(1, pa.string())], pa.string()), "total": pa.chunked_array([*kept["n"].chunks, pa.array([left], pa.int64())], pa.int64()),
+                                       "df": pa.chunked_array([*kept["k"].chunks, pa.array([0], pa.int64())], pa.int64()), "kept_least": pa.array([left] * n, pa.int64())}))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (x.type for x in arrow))], names=[domain, "term", "total", "df", "kept_least"])
+            return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
-        arrow = pa.schema([(domain, pa.string()), ("term", pa.string()), ("total", pa.int64()), ("df", pa.int64()), ("kept_least", pa.int64())])
         for batch in batches:
-            lists_, tf = batch.column(1), np.asarray(batch.column(2).flatten())
-            sizes = np.diff(np.asarray(lists_.offsets))
-            names = batch.column(0).to_pylist()
-            coded = lists_.flatten().dictionary_encode()
-            words, code = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
-            domains = {d: i for i, d in enumerate(dict.fromkeys(names))}
-            of = np.repeat([domains[d] for d in names], sizes).astype(np.int64)
-            pair, back, df = np.unique(of * max(1, len(words)) + code, return_inverse=True, return_counts=True)
-            total = np.bincount(back, weights=tf, minlength=len(pair)).astype(np.int64)
-            back_to = list(domains)
-            for p, n, k in zip(pair.tolist(), total.tolist(), df.tolist()):
-                own = held.setdefault(back_to[p // len(words)], {})
-                have = own.get(words[p % len(words)])
-                if have:
-                    have[0] += n
-                    have[1] += k
-                else:
-                    own[words[p % len(words)]] = [n, k]
-            if sum(map(len, held.values())) > DISTINCT:
-                yield out()
+            tf, words = np.asarray(batch.column(2).flatten()), batch.column(1).flatten()
+            sizes = np.diff(np.asarray(batch.column(1).offsets))
+            coded = batch.column(0).dictionary_encode()
+            of = np.asarray(coded.indices.fill_null(-1), np.int64)
+            for i, d in [*enumerate(coded.dictionary.to_pylist()), (-1, None)]:
+                use = np.flatnonzero(np.repeat(of == i, sizes))
+                if len(use):
+                    part = pa.table({"term": words.take(pa.array(use)), "n": tf[use], "k": np.ones(len(use), np.int64)})
+                    held.setdefault(d, []).append(part.group_by("term").aggregate([("n", "sum"), ("k", "sum")]).rename_columns(["term", "n", "k"]))
+            if sum(t.num_rows for tables in held.values() for t in tables) > DISTINCT:
+                for d, tables in held.items():
+                    held[d] = [merged(tables)]
+                if sum(t.num_rows for (t,) in held.values()) > DISTINCT // 2:
+                    yield out()
         if held:
             yield out()
 
@@ -109,7 +107,7 @@ def _counted(lists: DataFrame, domain: str, max_features: int | None) -> DataFra
     Terms whose upper bound (their counts in the summaries, and the bound of every summary without them) reaches the last
     place's sure count are counted exactly. If a term that no summary holds could still be among them, the summaries grow.
     """
-    size = SUMMARY * max_features if max_features else 1 << 62
+    size = SUMMARY * max_features if max_features else (1 << 62)
     exact = lists.select(domain, F.explode(F.arrays_zip("terms", "tf")).alias("x")).select(domain, F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
     while True:
         parts = materialize(_summaries(lists, domain, size))
