@@ -78,6 +78,19 @@ def test_answers_and_rejects(spark):
     assert {r["id"]: r["reason"] for r in bad.collect()} == {2: "empty response", 3: "no object found", 4: "unparsable", 5: "moderation flag"}
 
 
+def test_well_formed_answers_need_no_repair(spark):
+    """Answers read in the JVM give what the repair would give, and the plan keeps Python to the broken ones."""
+    texts = ['{"keywords": ["A", "b c"], "summary": "one \\n two", "word_count": 7}', 'Sure: {"keywords": "x, y", "summary": "s"} and {more}', '{"summary": "q", "keywords": null, "word_count": null}',
+             '{"keywords": ["a", {"b": 1}], "summary": "nested"}', '{"keywords": ["a"], "summary": "br}ace", "word_count": 1.5}', '{"keywords": 5, "summary": 6}', '[{"keywords": ["in"], "summary": "list"}]',
+             '"{"keywords": ["quoted"], "summary": "z"}"', "{}", '{"keywords": ["a", null]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, answer string")
+    cleaned = df.select("id", genplan.clean_answer(F.col("answer")).alias("c"))
+    fast = {r["id"]: r["r"] for r in cleaned.select("id", genplan._read(F.col("c")).alias("r")).collect() if r["r"]}
+    slow = {r["id"]: r["r"] for r in cleaned.select("id", F.from_json(genplan._repair(F.col("c")), genplan.ANSWER).alias("r")).collect()}
+    assert {0, 1, 2, 7, 8} <= set(fast) and not {3, 4, 9} & set(fast)
+    assert all(fast[i] == slow[i] for i in fast)
+
+
 def test_fallback_summary(spark):
     df = spark.createDataFrame([("Your task is to read. Rates fell today.", "Orig one. Two."), ("Not applicable.", "Orig one. Two."), ("w " * 40, "")], "a string, o string")
     got = [r["s"] for r in df.select(P.fallback_summary(F.col("a"), F.col("o")).alias("s")).collect()]

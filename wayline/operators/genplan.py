@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from wayline.functions import names as N
 from wayline.functions import prompts as P
+from wayline.session import materialize
 
 
 def expected_outputs(docs: DataFrame, levels: list[int], provider: str, domain_level: bool = False) -> DataFrame:
@@ -140,27 +141,58 @@ def _repair(cleaned: pd.Series) -> pd.Series:
     return cleaned.map(one)
 
 
+# Marks of a code fence, escapes that models write by mistake, and phrases of a refusal.
+FENCE = "```(json)?"
+BLANKS = r"\\[tn]"
+QUOTE = r"\\'"
+REFUSALS = "Meta moderation|not generated"
+#: A backslash that begins no escape of the format.
+STRAY = r'\\(?!["\\/bfnrtu])'
+#: The first object if it holds no other and no brace in a string.
+FLAT = r"^[^{]*(\{[^{}]*\})"
+
+
 def clean_answer(answer: Column) -> Column:
-    """Drop code fences and the escapes that models emit by mistake."""
-    c = answer
-    for old, new in (("```json", ""), ("```", ""), ("\\'", "'"), ("\\t", " "), ("\\n", " ")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.regexp_replace(P.strip_space(c), r'\\(?!["\\/bfnrtu])', r"\\\\")
-    return F.replace(F.replace(c, F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}"))
+    """The answer without fences, with mistaken escapes resolved and objects taken out of quotes.
+
+    Fences go before escapes are read, and a backslash that means nothing is made a written one.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(answer, FENCE, ""), BLANKS, " "), QUOTE, "'")
+    written = F.regexp_replace(P.strip_space(bare), STRAY, r"\\\\")
+    return F.regexp_replace(F.regexp_replace(written, r'"(?=\{)', ""), r'(?<=\})"', "")
+
+
+def _read(text: Column) -> Column:
+    """The record in a well-formed flat object, read in the JVM; NULL where that does not say all and the repair must look."""
+    v = F.try_parse_json(F.nullif(F.regexp_extract(text, FLAT, 1), F.lit("")))
+    names = F.try_variant_get(v, "$.keywords", "array<string>")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.keywords", "variant"))
+    joined = F.when(kind == "STRING", F.try_variant_get(v, "$.keywords", "string"))
+    count, summary = F.try_variant_get(v, "$.word_count", "string"), F.try_variant_get(v, "$.summary", "string")
+    # Nested values, numbers with a point and the like are left to the repair.
+    plain = F.coalesce(count, F.lit("0")).rlike(r"^-?\d+$") & (names.isNotNull() | ~F.coalesce(kind, F.lit("")).rlike("^(ARRAY|OBJECT)")) & ~F.coalesce(summary, F.lit("")).rlike(r"^[\[{]")
+    known = v.isNotNull() & plain & F.forall(F.coalesce(names, F.array().cast("array<string>")), lambda k: k.isNotNull() & ~k.rlike(r"^[\[{]"))
+    keywords = F.coalesce(names, F.split(joined, ","), F.array().cast("array<string>"))
+    return F.when(known, F.struct(keywords.alias("keywords"), summary.alias("summary"), count.alias("word_count")))
 
 
 def parse_answers(df: DataFrame, keys: list[str], answer: str = "answer") -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejected): records with normalised keywords, summary and raw word_count; rejects carry a reason."""
-    c = df.withColumn("_c", clean_answer(F.col(answer)))
-    flagged = F.contains(F.col("_c"), F.lit("Meta moderation")) | F.contains(F.col("_c"), F.lit("not generated"))
-    c = c.withColumn("_pre", F.when(F.coalesce(F.col(answer), F.lit("")).rlike(r"^\s*$"), "empty response").when(flagged, "moderation flag")
-                     .when(F.instr("_c", "{") == 0, "no object found"))
-    c = c.withColumn("_json", F.when(F.col("_pre").isNull(), _repair(F.col("_c"))))
-    c = c.withColumn("reason", F.coalesce("_pre", F.when(F.col("_json").isNull(), "unparsable")))
-    good = c.where("reason IS NULL").withColumn("_r", F.from_json("_json", ANSWER)).select(
+    """(parsed, rejected): records with normalised keywords, summary and raw word_count; rejects carry a reason.
+
+    Well-formed answers are read in the JVM. Only the others go through the repair, in a branch of its own; both outputs read the
+    one table that is kept of the result.
+    """
+    c = df.select(*keys, answer, clean_answer(F.col(answer)).alias("_c"))
+    pre = F.when(F.coalesce(F.col(answer), F.lit("")).rlike(r"^\s*$"), "empty response").when(F.col("_c").rlike(REFUSALS), "moderation flag").when(~F.contains(F.col("_c"), F.lit("{")), "no object found")
+    c = c.withColumn("reason", pre).withColumn("_r", F.when(F.col("reason").isNull(), _read(F.col("_c"))))
+    broken = F.col("reason").isNull() & F.col("_r").isNull()
+    columns = [*keys, answer, "reason", "_r"]
+    mended = c.where(broken).withColumn("_r", F.from_json(_repair(F.col("_c")), ANSWER)).withColumn("reason", F.when(F.col("_r").isNull(), "unparsable"))
+    result = materialize(c.where(~broken).select(*columns).union(mended.select(*columns)))
+    good = result.where("reason IS NULL").select(
         *keys, P.normal_keywords(F.col("_r.keywords")).alias("keywords"), P.strip_space(F.coalesce("_r.summary", F.lit(""))).alias("summary"),
         F.col("_r.word_count").alias("word_count"))
-    return good, c.where("reason IS NOT NULL").select(*keys, "reason", answer)
+    return good, result.where("reason IS NOT NULL").select(*keys, "reason", answer)
 
 
 def flag_report(outputs: DataFrame, phrase: str, groups: list[str], text: str = "text") -> DataFrame:
