@@ -193,3 +193,16 @@ def test_svd_of_all_domains_at_once(spark):
         assert svd.vectors[d].T @ svd.vectors[d] == pytest.approx(np.eye(k), abs=1e-8)
         got = np.array([vec[d, i] for i in range(len(x))])
         assert got @ got.T == pytest.approx((u[:, :k] * s[:k]) @ (u[:, :k] * s[:k]).T, abs=1e-6)
+
+
+def test_keyed_bijection():
+    from wayline.operators.permute import permuted_numbers
+
+    for n in (1, 2, 3, 7, 64, 65, 1000):
+        for key in range(4):
+            assert sorted(permuted_numbers(np.arange(n), n, key).tolist()) == list(range(n))
+    a, b = permuted_numbers(np.arange(5000), 5000, 1), permuted_numbers(np.arange(5000), 5000, 2)
+    assert (a != b).mean() > 0.99 and abs(np.corrcoef(a, np.arange(5000))[0, 1]) < 0.06 and abs(np.corrcoef(a, b)[0, 1]) < 0.06
+    # Each place is about as often the image of a number as any other.
+    first = np.array([permuted_numbers(np.array([0]), 10, k)[0] for k in range(4000)])
+    assert np.abs(np.bincount(first, minlength=10) / 400 - 1).max() < 0.2

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import evaluate, ranks
-from wayline.operators.ordered import global_rank
+from wayline.operators.permute import shuffled_partners
 from wayline.operators.split import folds, split, with_class_weights
 from wayline.session import materialize, materialize_spread
 
@@ -227,17 +227,9 @@ def wald_folds(df: DataFrame, features: list[str], target: str, key: str, k: int
 
 
 def permuted(df: DataFrame, key: str, features: list[str], repeats: int, seed: int) -> DataFrame:
-    """Every row once for each repeat, with ``_other``: the features of the row that a random permutation puts in its place.
-
-    Two hash orders of each repeat are matched by rank, so nothing is sorted as a whole; one join serves all features and
-    repeats.
-    """
-    k = F.col(key).cast("string")
-    each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = lambda salt: F.concat(F.md5(F.concat_ws("#", k, F.lit(seed + salt), F.col("repeat"))), k)
-    a = global_rank(each.withColumn("_h", order(0)), ["repeat"], "_h", "_i").drop("_h")
-    b = global_rank(each.select("repeat", order(7919).alias("_h"), F.struct(*features).alias("_other")), ["repeat"], "_h", "_i")
-    return a.join(b.select("repeat", "_i", "_other"), ["repeat", "_i"]).drop("_i")
+    """Every row once for each repeat, with ``_other``: the features of the row that a random permutation puts in its place."""
+    met = shuffled_partners(df, key, features, repeats, seed)
+    return met.withColumn("_o", F.explode("_others")).select("*", F.col("_o.repeat").alias("repeat"), F.col("_o.row").alias("_other")).drop("_o", "_others")
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], key: str, repeats: int = 10, seed: int = 42) -> DataFrame:

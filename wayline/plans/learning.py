@@ -474,6 +474,14 @@ def k15(spark, sf):
     return rounded(models.permutation_importance(model, d.where("NOT is_train"), cols, "doc_id", repeats=10), 6)
 
 
+@query("K15_permuted_columns", f"""WITH {YEARS_SQL} SELECT CAST(r AS INTEGER) AS repeat, count(*) AS n, count(*) AS partners, round(sum(price), 2) AS price, round(sum(price * price) / 1e6, 3) AS squares, round(sum(tax), 6) AS tax FROM f1, range(10) t(r) GROUP BY 1""")
+def k15p(spark, sf):
+    """Every repeat meets every row once: sums over the partners are those over the rows."""
+    d = keyed(spark, sf).select("id", "price", "tax")
+    p = models.permuted(d, "id", ["price", "tax", "id"], 10, 42).select("repeat", "_other.*")
+    return rounded(rounded(rounded(p.groupBy("repeat").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("partners"), F.sum("price").alias("price"), (F.sum(F.col("price") * F.col("price")) / 1e6).alias("squares"), F.sum("tax").alias("tax")), 2, "price"), 3, "squares"), 6, "tax")
+
+
 @query("I15_logistic_wald_table")
 def i15(spark, sf):
     return rounded(models.wald_table(materialize(doc_rows(spark, sf)), DOC_FEATURES, "quality"), 5)
