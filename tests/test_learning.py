@@ -206,3 +206,51 @@ def test_keyed_bijection():
     # Each place is about as often the image of a number as any other.
     first = np.array([permuted_numbers(np.array([0]), 10, k)[0] for k in range(4000)])
     assert np.abs(np.bincount(first, minlength=10) / 400 - 1).max() < 0.2
+
+
+def clusters(rng, n, groups, dims=4):
+    return np.concatenate([rng.normal(c, 0.05, (n // groups, dims)) for c in rng.normal(0, 10, (groups, dims))])
+
+
+def test_pivot_tree_against_all_distances():
+    rng = np.random.default_rng(8)
+    for points_ in (rng.normal(size=(70, 3)), clusters(rng, 90, 9), np.zeros((20, 2)), rng.normal(size=(1, 5))):
+        x = np.concatenate([points_[:10], rng.normal(0, 8, (40, points_.shape[1]))])
+        tree = knn.PivotTree(points_)
+        far = np.sqrt(((x[:, None] - points_[None]) ** 2).sum(-1))
+        cell, d = tree.nearest(x)
+        assert d == pytest.approx(far.min(1)) and far[np.arange(len(x)), cell] == pytest.approx(far.min(1))
+        radius = {i: (float(rng.random()), int(rng.integers(1, 9))) for i in range(len(points_))}
+        row, cell, looked = tree.filled(radius).reach(x, far.min(1) + 0.5, 5)
+        got = set(zip(row.tolist(), cell.tolist()))
+        upper = np.array([min([far[i].min() + 0.5] + [far[i, c] + r for c, (r, n) in radius.items() if n >= 5]) for i in range(len(x))])
+        must = {(i, c) for i in range(len(x)) for c, (r, _) in radius.items() if far[i, c] - r <= min(upper[i], far[i].min() + 0.5) - 1e-6 and far[i, c] <= far[i].min() + 0.5}
+        assert {(i, c) for i, c in must if far[i, c] + radius[c][0] <= upper[i]} <= got and (looked > 0).all()
+
+
+def test_neighbours_in_clusters_visit_few_cells(spark):
+    rng = np.random.default_rng(3)
+    a = clusters(rng, 4000, 40)
+    b = clusters(np.random.default_rng(3), 400, 40)
+    frame = lambda x: spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "id long, vec array<double>, y int")
+    train, test = frame(a), frame(b)
+    near = {}
+    for r in knn.nearest(train, test, "id", "vec", "y").collect():
+        near.setdefault(r["id"], []).append((r["_d"], r["_nid"]))
+    for i in range(0, 400):
+        d = np.sqrt(((a - b[i]) ** 2).sum(1))
+        assert [x[1] for x in sorted(near[i])] == [x[1] for x in sorted(zip(d, range(4000)))[:5]]
+    means = []
+    for n_pivots in (63, 250):
+        v = knn.visited_cells(train, test, "id", "vec", "y", n_pivots=n_pivots).toPandas()
+        assert len(v) == 400
+        means.append((v["visited"].mean() / v["cells"].iloc[0], v["measured"].mean() / v["cells"].iloc[0]))
+    assert means[1][0] < 0.1 and means[1][1] < means[0][1] < 1.2 and means[1][1] < 0.6
+
+
+def test_neighbours_when_cells_are_smaller_than_k(spark):
+    x, train = points(spark, 30, 9)
+    got = knn.nearest(train, train.limit(10), "id", "vec", "y", k=8, n_pivots=15).groupBy("id").count().collect()
+    assert len(got) == 10 and all(r["count"] == 8 for r in got)
+    few = knn.nearest(train.limit(3), train.limit(2), "id", "vec", "y", k=8).groupBy("id").count().collect()
+    assert [r["count"] for r in few] == [3, 3]

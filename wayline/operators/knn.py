@@ -1,15 +1,15 @@
 """Exact k-nearest-neighbour vote without a cross join.
 
-Training rows are assigned to their nearest pivot. A query first searches its
-own cell, which bounds its k-th distance; it then visits only cells that the
-triangle inequality cannot rule out. Large cells are cut into chunks on both
-sides, so a task sees at most ``chunk`` training and ``chunk`` query rows, and
-the k best of all chunks are merged.
+Training rows are assigned to their nearest pivot; a metric tree over the pivots finds it without measuring them all. A query
+first searches its own cell, which bounds its k-th distance; it then goes down the tree, whose nodes know the radius around all
+rows below them, and visits only cells that the triangle inequality cannot rule out. Large cells are cut into chunks on both
+sides, so a task sees at most ``chunk`` training and ``chunk`` query rows, and the k best of all chunks are merged.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,23 +35,143 @@ def _pivots(train: DataFrame, key: str, vec: str, n: int) -> np.ndarray:
     return np.array([r[vec] for r in rows], dtype=float)
 
 
-def _assign(df: DataFrame, key: str, vec: str, pivots: np.ndarray, all_distances: bool) -> DataFrame:
-    """Nearest pivot and distance to it (or to every pivot)."""
-    schema = T.StructType([df.schema[c] for c in df.columns] + [
-        T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.ArrayType(T.DoubleType()))])
+#: Pivots of a leaf of the tree.
+LEAF = 8
+
+
+class PivotTree:
+    """Metric tree over pivots: nodes with a centre and the radius around everything below them."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.nodes = pivots, []
+        self.radius, self.count = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        self._build(np.arange(len(pivots)))
+
+    def _build(self, at: np.ndarray) -> int:
+        x = self.pivots[at]
+        centre = x.mean(axis=0)
+        far = np.sqrt(((x - centre) ** 2).sum(1))
+        place = len(self.nodes)
+        self.nodes.append([centre, float(far.max(initial=0)), 0, at, None])
+        if len(at) > LEAF:
+            one = x[far.argmax()]
+            two = x[((x - one) ** 2).sum(1).argmax()]
+            along = x @ (two - one)
+            order = np.argsort(along, kind="stable")
+            half = len(at) // 2
+            self.nodes[place][4] = (self._build(at[order[:half]]), self._build(at[order[half:]]))
+        return place
+
+    def filled(self, radius: dict[int, tuple[float, int]]) -> PivotTree:
+        """Radii and row counts of the cells, carried up the tree; the widened radii cover rounding."""
+        for cell, (r, n) in radius.items():
+            self.radius[cell], self.count[cell] = r * (1 + SLACK), n
+        for node in reversed(self.nodes):
+            centre, _, _, at, parts = node
+            d = np.sqrt(((self.pivots[at] - centre) ** 2).sum(1))
+            has = self.count[at] > 0
+            node[1], node[2] = float((d + self.radius[at])[has].max(initial=0)) * (1 + SLACK), int(self.count[at].sum())
+        return self
+
+    def _far(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x - y) ** 2).sum(-1))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each row and the distance to it."""
+        best, cell = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+
+        def visit(place: int, rows: np.ndarray) -> None:
+            at, parts = self.nodes[place][3:]
+            if parts is None:
+                for p in at:
+                    d = self._far(x[rows], self.pivots[p])
+                    closer = d < best[rows]
+                    best[rows[closer]], cell[rows[closer]] = d[closer], p
+                return
+            for mine, d, side in self._nearer_first(x, rows, parts):
+                mine = mine[d - self.nodes[side][1] <= best[mine] * (1 + SLACK)]
+                if len(mine):
+                    visit(side, mine)
+
+        if len(x):
+            visit(0, np.arange(len(x)))
+        return cell, best
+
+    def _nearer_first(self, x: np.ndarray, rows: np.ndarray, parts: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(rows, distances to the centre, node): each row goes down its nearer side first, so its best distance rules out more."""
+        to = [self._far(x[rows], self.nodes[c][0]) for c in parts]
+        left = to[0] <= to[1]
+        for first in (True, False):
+            for side in (0, 1):
+                pick = (left if side == 0 else ~left) == first
+                yield rows[pick], to[side][pick], parts[side]
+
+    def reach(self, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) for every cell that may hold one of a row's k nearest, and how many nodes and pivots each row was measured against.
+
+        ``bound`` is the distance of a row's k-th best so far, or infinite; a node with k rows bounds it as well.
+        """
+        bound, looked, out = bound.copy(), np.zeros(len(x), np.int64), []
+
+        def visit(place: int, rows: np.ndarray) -> None:
+            at, parts = self.nodes[place][3:]
+            if parts is None:
+                for p in at[self.count[at] > 0]:
+                    d = self._far(x[rows], self.pivots[p])
+                    looked[rows] += 1
+                    if self.count[p] >= k:
+                        bound[rows] = np.minimum(bound[rows], d + self.radius[p])
+                    out.append(np.stack([rows, np.full(len(rows), p)])[:, d - self.radius[p] <= bound[rows] * (1 + SLACK)])
+                return
+            looked[rows] += 2
+            for mine, d, side in self._nearer_first(x, rows, parts):
+                _, radius, count, _, _ = self.nodes[side]
+                if count >= k:
+                    bound[mine] = np.minimum(bound[mine], d + radius)
+                mine = mine[(d - radius <= bound[mine] * (1 + SLACK)) & (count > 0)]
+                if len(mine):
+                    visit(side, mine)
+
+        if len(x):
+            visit(0, np.arange(len(x)))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pairs[0], pairs[1], looked
+
+
+def _assign(df: DataFrame, vec: str, sent) -> DataFrame:
+    """Every row with its nearest pivot and the distance to it."""
+    schema = T.StructType([df.schema[c] for c in df.columns] + [T.StructField("_cell", T.IntegerType()), T.StructField("_pd", T.DoubleType())])
 
     def run(batches):
         for b in batches:
-            x = np.stack(b[vec].to_numpy()).astype(float) if len(b) else np.zeros((0, pivots.shape[1]))
-            rows = max(1, CUBE // max(1, pivots.size))
-            d = np.concatenate([np.sqrt(((x[i:i + rows, None, :] - pivots[None, :, :]) ** 2).sum(-1)) for i in range(0, len(x), rows)] or [np.zeros((0, len(pivots)))])
-            cell = d.argmin(1)
-            keep = list(d) if all_distances else [[v] for v in d[np.arange(len(cell)), cell]]
-            yield b.assign(_cell=cell.astype("int32"), _pd=[list(map(float, v)) for v in keep])
+            x = np.stack(b[vec].to_numpy()).astype(float) if len(b) else np.zeros((0, sent.value.pivots.shape[1]))
+            cell, d = sent.value.nearest(x)
+            yield b.assign(_cell=cell.astype("int32"), _pd=d)
 
     return df.mapInPandas(run, schema)
 
 
+def _visits(queries: DataFrame, key: str, vec: str, sent, k: int) -> DataFrame:
+    """(key, vec, _cell, _looked): the cells beside its own that a query must visit; a NULL cell says that there are none."""
+    schema = T.StructType([queries.schema[key], queries.schema[vec], T.StructField("_cell", T.IntegerType()), T.StructField("_looked", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b[vec].to_numpy()).astype(float)
+            row, cell, looked = sent.value.reach(x, b["_bound"].fillna(np.inf).to_numpy(float), k)
+            away = cell != b["_home"].to_numpy()[row]
+            row, cell = row[away], cell[away]
+            alone = np.setdiff1d(np.arange(len(x)), row)
+            at = np.concatenate([row, alone])
+            cells = pd.array(np.concatenate([cell, np.zeros(len(alone), np.int64)]), dtype="Int32")
+            cells[len(row):] = pd.NA
+            yield pd.DataFrame({key: b[key].to_numpy()[at], vec: b[vec].to_numpy()[at], "_cell": cells, "_looked": looked[at]})
+
+    return queries.mapInPandas(run, schema)
+
+
 def _search(test: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int) -> DataFrame:
     """k best training rows per query and chunk pair; both sides carry (_cell, _tc, _qc)."""
     kt = next(f.dataType for f in train.schema if f.name == key)
@@ -107,21 +227,31 @@ def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k
 
     Pivots, and with them cells, grow with the square root of the training rows unless their number is given.
     """
-    pivots = _pivots(train, key, vec, n_pivots or max(1, math.isqrt(train.count())))
-    t = _assign(train.select(key, label, vec), key, vec, pivots, all_distances=False).withColumn("_pd", F.col("_pd")[0])
-    q = _assign(test.select(key, vec), key, vec, pivots, all_distances=True)
-    t, q = materialize(t), materialize(q)  # both are read by several searches
-    home = _best(_search(*_paired(q.select(key, vec, "_cell"), t.select(key, label, vec, "_cell"), key, chunk), key, vec, label, k), key, k)
+    return _nearest(train, test, key, vec, label, k, n_pivots, chunk)[0]
+
+
+def visited_cells(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None) -> DataFrame:
+    """(key, visited, measured, cells): how many cells each query searches, how many nodes and pivots it is measured against on
+    the way, and how many cells there are."""
+    return _nearest(train, test, key, vec, label, k, n_pivots, 4096)[1]
+
+
+def _nearest(train, test, key, vec, label, k, n_pivots, chunk):
+    sc = train.sparkSession.sparkContext
+    tree = PivotTree(_pivots(train, key, vec, n_pivots or max(1, math.isqrt(train.count()))))
+    bare = sc.broadcast(tree)
+    t = materialize(_assign(train.select(key, label, vec), vec, bare))
+    q = materialize(_assign(test.select(key, vec), vec, bare))  # both are read by several searches
+    home = materialize(_best(_search(*_paired(q.select(key, vec, "_cell"), t.select(key, label, vec, "_cell"), key, chunk), key, vec, label, k), key, k))
     bound = home.groupBy(key).agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).alias("_bound"))
-    radius = t.groupBy("_cell").agg(F.max("_pd").alias("_radius"))
-    # a cell can hold a nearer row only if distance to its pivot - radius <= bound
-    cells = q.join(bound, key, "left").select(key, vec, "_bound", F.col("_cell").alias("_home"), F.posexplode("_pd").alias("_cell", "_dist"))
-    more = (
-        cells.where(F.col("_cell") != F.col("_home")).join(F.broadcast(radius), "_cell")
-        .where(F.col("_bound").isNull() | (F.col("_dist") - F.col("_radius") <= F.col("_bound"))).select(key, vec, "_cell")
-    )
+    cells = t.groupBy("_cell").agg(F.max("_pd").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot
+    full = sc.broadcast(tree.filled({r["_cell"]: (r["r"], r["n"]) for r in cells}))
+    queries = q.join(bound, key, "left").select(key, vec, "_bound", F.col("_cell").alias("_home"))
+    visits = materialize(_visits(queries, key, vec, full, k))
+    more = visits.where("_cell IS NOT NULL").select(key, vec, "_cell")
     away = _search(*_paired(more, t.select(key, label, vec, "_cell"), key, chunk), key, vec, label, k)
-    return _best(home.drop("_r").unionByName(away), key, k)
+    counts = visits.groupBy(key).agg((F.count("_cell") + 1).alias("visited"), F.first("_looked").alias("measured"), F.lit(len(cells)).alias("cells"))
+    return _best(home.drop("_r").unionByName(away), key, k), counts
 
 
 def vote(neighbours: DataFrame, key: str) -> DataFrame:
