@@ -14,12 +14,12 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators import evaluate, ranks
+from wayline.operators import evaluate, knn, ranks
 from wayline.operators.permute import shuffled_partners
 from wayline.operators.split import folds, split, with_class_weights
 from wayline.session import materialize, materialize_spread
@@ -136,18 +136,21 @@ def multiclass_experiment(train: DataFrame, test: DataFrame, features: list[str]
     return evaluate.class_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"]).drop("g")
 
 
-def panel(n_features: int, trees: int = 100, seed: int = 42) -> dict:
-    """The classifiers of the panel that Spark ML offers."""
+def panel(n_features: int, n_rows: int, trees: int = 100, seed: int = 42) -> dict:
+    """The classifiers of the panel that Spark ML offers; unlimited depth is 30 there, unit ridge strength is 1 / rows."""
     return {
-        "Logistic Regression": LogisticRegression(maxIter=200, standardization=False, regParam=1e-3),
-        "Random Forest": RandomForestClassifier(numTrees=trees, seed=seed),
-        "Gradient Boosting": GBTClassifier(maxIter=20, maxDepth=3, seed=seed),
+        "Logistic Regression": LogisticRegression(maxIter=1000, standardization=False, regParam=1.0 / max(n_rows, 1)),
+        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed),
+        "Gradient Boosting": GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
         "Decision Tree": DecisionTreeClassifier(maxDepth=10, seed=seed),
-        "Neural Network": MultilayerPerceptronClassifier(layers=[n_features, 50, 2], maxIter=100, seed=seed),
+        "Neural Network": MultilayerPerceptronClassifier(layers=[n_features, 50, 2], maxIter=500, seed=seed),
     }
 
 
+NEIGHBOURS = "K-Nearest Neighbors"
+
+
 def scaled(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)])
@@ -155,20 +158,86 @@ def scaled(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[Data
     return m.transform(train).drop("_raw"), m.transform(test).drop("_raw")
 
 
-def evaluate_panel(train: DataFrame, test: DataFrame, features: list[str], models: dict | None = None) -> DataFrame:
-    """Accuracy, precision, recall, F1 and AUC of every model on one shared split."""
+def _neighbour_scores(train: DataFrame, test: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """keys, label, prediction, score of the k-nearest vote; both sides have ``features``, and ``_id`` tells their rows apart."""
+    vec = lambda d: d.withColumn("_vec", vector_to_array("features")).drop("features")
+    near = knn.nearest(vec(train).select("_id", "_vec", "label"), vec(test).select("_id", "_vec"), "_id", "_vec", "label", k)
+    score = near.groupBy("_id").agg(F.avg("_nlabel").alias("score"))
+    return test.select("_id", "label", *keys).join(score, "_id").withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop("_id")
+
+
+def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str, models: dict | None = None, neighbours: bool = True, importance: bool = False,
+              repeats: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
+    """(model, label, prediction, score) of the test rows, and on request (model, feature, importance).
+
+    Importances sum to one: those of trees as they are, absolute coefficients, and for models without either the mean loss of
+    accuracy when a feature is permuted (negative ones stay; a sum of zero or less leaves them unscaled).
+    """
+    spark = train.sparkSession
     tr, te = scaled(train, test, features)
-    tr, te = materialize_spread(tr.select("label", "features")), materialize(te.select("label", "features"))
-    named = list((models or panel(len(features))).items())
+    tr, te = (materialize_spread(d.select(F.col(key).cast("string").alias("_id"), "label", "features")) for d in (tr, te))
+    named = list((models or panel(len(features), tr.count())).items())
     with ThreadPool(PARALLEL_FITS) as pool:
-        fitted = pool.map(lambda x: x[1].fit(tr), named)
-    out = materialize(reduce(DataFrame.unionByName, [
-        _score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]))
-    rep = evaluate.binary_report(evaluate.confusion(out, ["model"]), ["model"], F.col("label") == 1, F.col("prediction") == 1)
-    return rep.join(ranks.roc_auc(out, ["model"], "score", F.col("label") == 1).select("model", "auc"), "model")
+        fitted = pool.map(lambda x: x[1].fit(tr.select("label", "features")), named)
+    columns = ["model", "label", "prediction", "score"]
+    parts = [_score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]
+    if neighbours:
+        parts.append(_neighbour_scores(tr, te, []).withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
+    scores = materialize(reduce(DataFrame.unionByName, parts))
+    if not importance:
+        return scores, None
+    rows, permuted_for = [], []
+    for (name, _), m in zip(named, fitted):
+        if hasattr(m, "featureImportances"):
+            v = m.featureImportances.toArray()
+        elif hasattr(m, "coefficients"):
+            v = abs(m.coefficients.toArray())
+            v = v / v.sum() if v.sum() > 0 else v
+        else:
+            permuted_for.append((name, m))
+            continue
+        rows += [(name, f, float(x)) for f, x in zip(features, v)]
+    # Each permuted feature of each repeat is one variant of the test rows; all models score the same variants.
+    met = shuffled_partners(te.withColumn("_a", vector_to_array("features")), "_id", ["_a"], repeats, seed)
+    other = met.withColumn("_o", F.explode("_others")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    mixed = F.transform("_a", lambda x, i: F.when(i == F.col("_j"), F.col("_o.row._a")[i]).otherwise(x))
+    variants = materialize(other.select(F.concat_ws("#", "_id", "_o.repeat", "_j").alias("_id"), "label", F.col("_j"), F.col("_o.repeat").alias("_rep"), array_to_vector(mixed).alias("features")))
+    each = [m.transform(variants).select(F.lit(n).alias("model"), "_j", "_rep", "label", "prediction") for n, m in permuted_for]
+    if neighbours:
+        each.append(_neighbour_scores(tr, variants, ["_j", "_rep"]).select(F.lit(NEIGHBOURS).alias("model"), "_j", "_rep", "label", "prediction"))
+    hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    base = scores.groupBy("model").agg(hit.alias("_base"))
+    drops = reduce(DataFrame.unionByName, each).groupBy("model", "_j", "_rep").agg(hit.alias("_acc")).groupBy("model", "_j").agg(F.avg("_acc").alias("_acc"))
+    drops = drops.join(F.broadcast(base), "model").select("model", "_j", (F.col("_base") - F.col("_acc")).alias("v"))
+    total = F.sum("v").over(Window.partitionBy("model"))
+    names = F.array(*map(F.lit, features))
+    lost = drops.select("model", names[F.col("_j")].alias("feature"), F.when(total > 0, F.col("v") / total).otherwise(F.col("v")).alias("importance"))
+    return scores, spark.createDataFrame(rows, "model string, feature string, importance double").unionByName(lost)
+
+
+def panel_report(scores: DataFrame, groups: list[str]) -> DataFrame:
+    """Counts, accuracy, precision, recall, F1 and AUC of every group of scored rows."""
+    rep = evaluate.binary_report(evaluate.confusion(scores, groups), groups, F.col("label") == 1, F.col("prediction") == 1)
+    return rep.join(ranks.roc_auc(scores, groups, "score", F.col("label") == 1).select(*groups, "auc"), groups)
+
+
+def evaluate_panel(train: DataFrame, test: DataFrame, features: list[str], key: str, models: dict | None = None) -> DataFrame:
+    """Accuracy, precision, recall, F1 and AUC of every model on one shared split."""
+    return panel_report(fit_panel(train, test, features, key, models)[0], ["model"])
+
 
+def author_experiment(df: DataFrame, sets: dict[str, list[str]], key: str) -> tuple[DataFrame, DataFrame]:
+    """The panel on every statistic's features over one shared split (``label``, ``is_train``): (statistic, model, label, prediction,
+    score) of the test rows, and (statistic, model, feature, importance)."""
+    train, test = df.where("is_train"), df.where("NOT is_train")
+    with ThreadPool(PARALLEL_FITS) as pool:  # statistics are independent
+        made = pool.map(lambda x: fit_panel(train, test, x[1], key, importance=True), sets.items())
+    scores = [s.select(F.lit(name).alias("statistic"), "*") for name, (s, _) in zip(sets, made)]
+    weights = [w.select(F.lit(name).alias("statistic"), "*") for name, (_, w) in zip(sets, made)]
+    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, weights)
 
-def forest(trees: int, seed: int = 42, max_depth: int = 10) -> RandomForestClassifier:
+
+def forest(trees: int, seed: int = 42, max_depth: int = 30) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, weightCol="weight", featuresCol="features")
 
 
@@ -181,20 +250,35 @@ def forest_folds(df: DataFrame, features: list[str], target: str, key: str, tree
     return fold_predictions(d, "fold", k, lambda _: forest(trees, seed), importances)
 
 
-def evaluate_feature_sets(df: DataFrame, sets: dict[str, list[str]], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> DataFrame:
-    """Mean and sd over folds of accuracy, AUC and F1 per feature set."""
+def forest_sets(df: DataFrame, sets: dict[str, list[str]], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold predictions of a forest on every feature set, and the importances of every fold's forest."""
     d = materialize(df)
-    out = None
-    for name, cols in sets.items():
-        p = forest_folds(d, cols, target, key, trees, k, seed).select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), "*")
-        out = p if out is None else out.unionByName(p)
+
+    def one(item):
+        fitted: list = []
+        p = forest_folds(d, item[1], target, key, trees, k, seed, fitted)
+        return p, importance_rows(df.sparkSession, fitted, item[1])
+
+    with ThreadPool(PARALLEL_FITS) as pool:  # feature sets are independent
+        made = pool.map(one, sets.items())
+    tag = lambda d, name: d.select(F.lit(name).alias("feature_set"), F.lit(len(sets[name])).alias("n_features"), "*")
+    return tuple(reduce(DataFrame.unionByName, [tag(m[i], name) for name, m in zip(sets, made)]) for i in (0, 1))
+
+
+def feature_set_report(predictions: DataFrame) -> DataFrame:
+    """Mean and sd over folds of accuracy, AUC and F1 per feature set."""
     g = ["feature_set", "n_features", "fold"]
-    rep = evaluate.binary_report(evaluate.confusion(out, g), g, F.col("label") == 1, F.col("prediction") == 1)
-    per_fold = rep.join(ranks.roc_auc(out, g, "score", F.col("label") == 1).select(*g, "auc"), g)
+    rep = evaluate.binary_report(evaluate.confusion(predictions, g), g, F.col("label") == 1, F.col("prediction") == 1)
+    per_fold = rep.join(ranks.roc_auc(predictions, g, "score", F.col("label") == 1).select(*g, "auc"), g)
     return per_fold.groupBy("feature_set", "n_features").agg(
         *[x for m in ("accuracy", "auc", "f1") for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])
 
 
+def evaluate_feature_sets(df: DataFrame, sets: dict[str, list[str]], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> DataFrame:
+    """Mean and sd over folds of accuracy, AUC and F1 per feature set."""
+    return feature_set_report(forest_sets(df, sets, target, key, trees, k, seed)[0])
+
+
 def importance_rows(spark, models: list, features: list[str]) -> DataFrame:
     """Tree importances of fitted models as rows (one per fold and feature)."""
     rows = [(i, f, float(m.featureImportances[j])) for i, m in enumerate(models) for j, f in enumerate(features)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayline.functions import features as feat
 from wayline.functions.columns import rounded
 from wayline.functions.text import FUNCTION_WORDS
-from wayline.operators import batched, evaluate, geometry, knn, linear, models, report, split, tfidf
+from wayline.operators import batched, evaluate, geometry, knn, linear, models, report, split, store, tfidf
 from wayline.plans.comparison import UNI, UNI_COLS, is_human, unified
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4
@@ -323,9 +323,11 @@ def doc_rows(spark, sf):
 
 @query("K1_impute_scale_logistic")
 def k1(spark, sf):
-    d = materialize(split.with_class_weights(doc_rows(spark, sf).withColumn("label", F.col("quality").cast("double")), "label"))
-    holed = d.withColumn("gunning_fog", F.when(F.col("doc_id") % 7 != 0, F.col("gunning_fog")))
-    pred = models.impute_scale_logistic(DOC_FEATURES, holed.count()).fit(holed).transform(holed)
+    """Fitted on the training rows, reported on the held-out ones."""
+    d = split.split(doc_rows(spark, sf).withColumn("label", F.col("quality").cast("double")), "doc_id", "label", 0.7, exact=True)
+    d = materialize(split.with_class_weights(d.withColumn("gunning_fog", F.when(F.col("doc_id") % 7 != 0, F.col("gunning_fog"))), "label"))
+    train = d.where("is_train")
+    pred = models.impute_scale_logistic(DOC_FEATURES, train.count()).fit(train).transform(d.where("NOT is_train"))
     return rounded(evaluate.class_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"]).drop("g"), 4)
 
 
@@ -368,19 +370,24 @@ def conditions(df, names):
     return rounded(batched.first_order(batched.regress(rows, slices, names, FEATURES, 5), rows, 1.0, True), 8)
 
 
-def one_feature_sql(source, names, feature, rounds=10):
-    """The whole validation with one feature: Newton's method on two coefficients, written out round by round."""
+def one_feature_sql(source, names, feature, rounds=10, known="true"):
+    """The whole validation with one feature: Newton's method on two coefficients, written out round by round.
+
+    Where ``known`` does not hold the feature is missing, and becomes the median of each fit's training rows.
+    """
     n = ", ".join(names)
     on = f"USING ({n}, fit)"
-    out = f"""WITH {SLICED}{fold_sql(source, names)},
- mo AS MATERIALIZED (SELECT {n}, fit, avg({feature}) AS m, stddev_pop({feature}) AS s, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 0) AS w0, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 1) AS w1 FROM ft GROUP BY ALL),
- zf AS MATERIALIZED (SELECT {n}, fit, target AS y, ({feature} - m) / s AS z, CASE WHEN target = 1 THEN w1 ELSE w0 END AS w FROM ft JOIN mo {on}),
+    value = f"coalesce({feature}, md)"
+    out = f"""WITH {SLICED}, hr AS (SELECT * REPLACE (CASE WHEN {known} THEN {feature} END AS {feature}) FROM {source}){fold_sql("hr", names)},
+ vt AS (SELECT ft.*, median({feature}) OVER (PARTITION BY {n}, fit) AS md FROM ft),
+ mo AS MATERIALIZED (SELECT {n}, fit, max(md) AS md, avg({value}) AS m, stddev_pop({value}) AS s, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 0) AS w0, count(*) / 2.0::DOUBLE / count(*) FILTER (target = 1) AS w1 FROM vt GROUP BY {n}, fit),
+ zf AS MATERIALIZED (SELECT {n}, fit, target AS y, (coalesce({feature}, mo.md) - m) / s AS z, CASE WHEN target = 1 THEN w1 ELSE w0 END AS w FROM ft JOIN mo {on}),
  b0 AS (SELECT {n}, fit, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM mo)"""
     for i in range(rounds):
         out += f""", g{i} AS (SELECT {n}, fit, b, c, sum(w * (y - p) * z) - b AS gb, sum(w * (y - p)) AS gc, sum(w * p * (1 - p) * z * z) + 1 AS hb, sum(w * p * (1 - p) * z) AS hm, sum(w * p * (1 - p)) AS hc
   FROM (SELECT zf.*, b, c, 1 / (1 + exp(-(b * z + c))) AS p FROM zf JOIN b{i} {on}) GROUP BY {n}, fit, b, c),
  b{i + 1} AS MATERIALIZED (SELECT {n}, fit, b + (hc * gb - hm * gc) / (hb * hc - hm * hm) AS b, c + (hb * gc - hm * gb) / (hb * hc - hm * hm) AS c FROM g{i})"""
-    return out + f""", sc AS (SELECT {n}, fold, target AS y, 1 / (1 + exp(-(b * ({feature} - m) / s + c))) AS score FROM sp JOIN mo USING ({n}) JOIN b{rounds} bb {on} WHERE fit = fold + 1),
+    return out + f""", sc AS (SELECT {n}, fold, target AS y, 1 / (1 + exp(-(b * ({value} - m) / s + c))) AS score FROM sp JOIN mo USING ({n}) JOIN b{rounds} bb {on} WHERE fit = fold + 1),
  sz AS (SELECT {n}, count(*) FILTER (fold >= 0) AS n_train, count(*) FILTER (fold < 0) AS n_test, count(*) FILTER (y = 1) AS n_positive FROM sc GROUP BY ALL),
  te AS (SELECT *, score > 0.5 AS yes, rank() OVER (PARTITION BY {n} ORDER BY score) + (count(*) OVER (PARTITION BY {n}, score) - 1) / 2.0 AS rk FROM sc WHERE fold < 0),
  cf AS (SELECT {n}, count(*) FILTER (y = 1 AND yes) AS tp, count(*) FILTER (y = 0 AND yes) AS fp, count(*) FILTER (y = 1 AND NOT yes) AS fn, count(*) FILTER (y = 0 AND NOT yes) AS tn, CAST(sum(rk) FILTER (y = 1) AS DOUBLE) AS r FROM te GROUP BY ALL),
@@ -400,6 +407,12 @@ def k2one(spark, sf):
     return rounded(batched.validation(level_rows(spark, sf), ["level", "domain"], ["price"], "target", "id"), 5)
 
 
+@query("K1_median_imputed_validation", one_feature_sql("lr", ["level", "domain"], "price", known="quantity >= 24"))
+def k1one(spark, sf):
+    holed = level_rows(spark, sf).withColumn("price", F.when(F.col("quantity") >= 24, F.col("price")))
+    return rounded(batched.validation(holed, ["level", "domain"], ["price"], "target", "id"), 5)
+
+
 @query("K2_first_order_conditions", conditions_sql("lr", ["level", "domain"]))
 def k2c(spark, sf):
     return conditions(level_rows(spark, sf), ["level", "domain"])
@@ -440,14 +453,23 @@ def k5(spark, sf):
 @query("K6_classifier_panel")
 def k6(spark, sf):
     d = split.split(doc_rows(spark, sf).withColumn("label", F.col("quality").cast("double")), "doc_id", "label", 0.8, exact=True)
-    return rounded(models.evaluate_panel(d.where("is_train"), d.where("NOT is_train"), DOC_FEATURES), 4)
+    return rounded(models.evaluate_panel(d.where("is_train"), d.where("NOT is_train"), DOC_FEATURES, "doc_id"), 4)
+
+
+def forest_results(spark, sf):
+    """Predictions and importances of the forests on every feature set, kept under a key of the author table."""
+    t = materialize(author_table(spark, sf))
+
+    def make():
+        predictions, weights = models.forest_sets(t, feat.feature_sets(t), "target", "id")
+        return {"predictions": predictions, "importances": weights}
+
+    return store.stored(spark, "forests", store.fingerprint(t), make)
 
 
 @query("K8_forest_feature_sets")
 def k8(spark, sf):
-    t = author_table(spark, sf)
-    sets = {k: v for k, v in feat.feature_sets(t).items() if k in ("variability", "geometry_all", "unified")}
-    return rounded(models.evaluate_feature_sets(t, sets, "target", "id", trees=100), 4)
+    return rounded(models.feature_set_report(forest_results(spark, sf)["predictions"]), 4)
 
 
 @query("K18_space_separation")
@@ -459,12 +481,18 @@ def k18(spark, sf):
 
 @query("K9_out_of_fold_importance")
 def k9(spark, sf):
-    t, fitted = author_table(spark, sf), []
-    models.forest_folds(t, UNI_COLS, "target", "id", trees=100, importances=fitted)
-    rows = models.importance_rows(spark, fitted, UNI_COLS)
+    rows = forest_results(spark, sf)["importances"].where("feature_set = 'unified'")
     return rounded(rows.groupBy("feature").agg(F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("std")), 6)
 
 
+@query("K9_fold_sizes", f"""WITH {KEYED}, a AS (SELECT DISTINCT domain, field, author_id, model FROM f1), i AS (SELECT domain || '_' || field || '_' || author_id || '_' || model AS id, CAST(model = 'N' AS DOUBLE) AS label FROM a),
+ f AS (SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(id || '#42') || id) - 1) % 5 AS INTEGER) AS fold FROM i), s AS (SELECT unnest(['variability', 'geometry_ce', 'geometry_tfidf', 'geometry_sbert', 'geometry_all', 'unified']) AS feature_set)
+ SELECT feature_set, fold, label, count(*) AS n FROM f, s GROUP BY ALL""")
+def k9n(spark, sf):
+    """Every row is predicted once for every feature set, by the forest that left out its fold."""
+    return forest_results(spark, sf)["predictions"].groupBy("feature_set", "fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("K15_permutation_importance")
 def k15(spark, sf):
     d = split.split(doc_rows(spark, sf).withColumn("label", F.col("quality").cast("double")), "doc_id", "label", 0.8, exact=True)
@@ -556,18 +584,55 @@ def author_dataset(spark, sf, stat):
     return t.select(*KEYS4, is_human().cast("int").alias("target"), *[F.col(c).alias(c.removesuffix(f"_{stat}")) for c in cols])
 
 
+STATISTICS = ("cv", "rmssd_norm", "masd_norm")
+
+
+def author_results(spark, sf):
+    """Predictions and importances of the whole author experiment: ids complete in every statistic, one shared split, the panel on each
+    statistic and on all side by side. Kept under a key of the author table."""
+    t = materialize(author_table(spark, sf).dropna(how="any", subset=[f"{f}_{s}" for f in FEATURES for s in STATISTICS]))
+
+    def make():
+        d = materialize(split.split(t.withColumn("label", F.col("target").cast("double")), "id", "label", 0.8, exact=True))
+        sets = {s: [f"{f}_{s}" for f in FEATURES] for s in STATISTICS}
+        sets["all"] = [c for cols in sets.values() for c in cols]
+        scores, weights = models.author_experiment(d, sets, "id")
+        return {"scores": scores, "importances": weights}
+
+    return store.stored(spark, "author-experiment", store.fingerprint(t), make)
+
+
 @query("K20_author_experiment")
 def k20(spark, sf):
-    """Ids complete in every statistic, one shared split, a panel per statistic and on all side by side."""
-    t = materialize(author_table(spark, sf).dropna(how="any", subset=[f"{f}_{s}" for f in FEATURES for s in ("cv", "rmssd_norm", "masd_norm")]))
-    d = materialize(split.split(t.withColumn("label", F.col("target").cast("double")), "id", "label", 0.8, exact=True))
-    sets = {s: [f"{f}_{s}" for f in FEATURES] for s in ("cv", "rmssd_norm", "masd_norm")}
-    sets["all"] = [c for cols in sets.values() for c in cols]
-    out = None
-    for name, cols in sets.items():
-        panel = {k: v for k, v in models.panel(len(cols)).items() if k in ("Logistic Regression", "Random Forest", "Decision Tree")}
-        r = models.evaluate_panel(d.where("is_train"), d.where("NOT is_train"), cols, panel).select(F.lit(name).alias("statistic"), "*")
-        out = r if out is None else out.unionByName(r)
-    return rounded(out, 4)
+    return rounded(models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]), 4)
+
+
+def model_importances(spark, sf):
+    """(statistic, model, feature, importance) of the fitted panel, features by their bare names."""
+    w = author_results(spark, sf)["importances"].where("statistic <> 'all'")
+    return w.withColumn("feature", F.regexp_replace("feature", "_(cv|rmssd_norm|masd_norm)$", ""))
+
+
+@query("K14_panel_importances")
+def k14p(spark, sf):
+    return rounded(model_importances(spark, sf), 6)
+
+
+@query("K14_importance_sums", f"""SELECT s AS statistic, m AS model, 4::BIGINT AS n_features, 1.0::DOUBLE AS total FROM (VALUES ('cv'), ('rmssd_norm'), ('masd_norm')) a(s), (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'), ('Decision Tree')) b(m)""")
+def k14s(spark, sf):
+    """Importances of trees and coefficients are shares of one."""
+    w = model_importances(spark, sf).where(F.col("model").isin("Logistic Regression", "Random Forest", "Gradient Boosting", "Decision Tree"))
+    return rounded(w.groupBy("statistic", "model").agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total")), 6)
+
+
+@query("F17_panel_competition_rank")
+def f17p(spark, sf):
+    return rounded(report.competition_rank(model_importances(spark, sf), ["statistic", "model"], "importance"), 6)
 
 
+@query("G4_best_panel_model")
+def g4p(spark, sf):
+    """The most accurate model of each statistic, and overall; ties go by name."""
+    acc = models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]).select("statistic", "model", "accuracy")
+    best = acc.groupBy("statistic").agg(F.min_by("model", F.struct(-F.col("accuracy"), "model")).alias("model"), F.max("accuracy").alias("accuracy"))
+    return rounded(best, 4)

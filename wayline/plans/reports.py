@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from wayline.functions import features as feat
 from wayline.functions.columns import rounded, unpivot
 from wayline.functions.pvalues import stars, trend_class
-from wayline.operators import evaluate, report
-from wayline.plans.comparison import UNI, comparisons, is_human, per_feature_tests, unified, unified_long, win_counts
+from wayline.operators import evaluate, models, report
 from wayline.operators.ordered import top_n
+from wayline.plans.comparison import UNI, comparisons, is_human, per_feature_tests, unified, unified_long, win_counts
+from wayline.plans.learning import author_results, model_importances
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4, YL, long_years, yearly_stats
 from wayline.sources.bindings import (
@@ -283,13 +284,58 @@ def e24(spark, sf):
 @query("E25_importance_by_type", IMP + """ SELECT statistic, round(avg(importance), 7) AS mean, round(stddev_samp(importance), 7) AS std, max(importance) AS max, count(*) AS n,
  array_to_string(list(feature || '/' || model ORDER BY feature, model)[1:3], ', ') AS first_names FROM im GROUP BY 1""")
 def e25(spark, sf):
-    rows = importances(spark, sf)
+    return rounded(importance_by_type(importances(spark, sf)), 7)
+
+
+def importance_by_type(rows):
+    """Mean, deviation, largest and number of importances per statistic, and its first three names."""
     name = F.concat_ws("/", "feature", "model")
     first = top_n(rows.withColumn("name", name), ["statistic"], [F.col("feature"), F.col("model")], 3, salt="name")
     first = first.groupBy("statistic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "name"))), lambda x: x["name"]), ", ").alias("first_names"))
     stats = rows.groupBy("statistic").agg(
         F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std"), F.max("importance").alias("max"), F.count(F.lit(1)).alias("n"))
-    return rounded(stats.join(first, "statistic"), 7)
+    return stats.join(first, "statistic")
+
+
+# The same reports over the importances of the fitted panel, which the author experiment keeps.
+
+
+def panel_ranked(spark, sf):
+    return report.competition_rank(model_importances(spark, sf), ["statistic", "model"], "importance")
+
+
+@query("F18_panel_sequential_rank")
+def f18p(spark, sf):
+    return report.sequential_rank(model_importances(spark, sf), ["statistic", "model"], "importance", "feature").drop("importance")
+
+
+@query("G3_panel_top_per_group")
+def g3p(spark, sf):
+    return report.top_per_group(model_importances(spark, sf), ["statistic", "model"], "importance", "feature", 2).select("statistic", "model", "feature")
+
+
+@query("E23_panel_importance_summary")
+def e23p(spark, sf):
+    return rounded(report.importance_summary(panel_ranked(spark, sf)), 6)
+
+
+@query("E23_panel_importance_consistency")
+def e23pc(spark, sf):
+    return rounded(report.importance_consistency(report.importance_summary(panel_ranked(spark, sf))), 6)
+
+
+@query("E24_panel_importance_of_best_models")
+def e24p(spark, sf):
+    acc = models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]).where("statistic <> 'all'")
+    best = report.best_model(acc, ["statistic"]).select("statistic", "model")
+    f = model_importances(spark, sf).join(best, ["statistic", "model"]).groupBy("feature").agg(F.avg("importance").alias("importance"))
+    return rounded(feat.with_layer(f, feat.feature_dim(spark, LAYER)).groupBy("layer").agg(
+        F.sum("importance").alias("total"), F.avg("importance").alias("mean"), F.count(F.lit(1)).alias("n")), 6)
+
+
+@query("E25_panel_importance_by_type")
+def e25p(spark, sf):
+    return rounded(importance_by_type(model_importances(spark, sf)), 6)
 
 
 @query("K14_normalised_importance", IMP + " SELECT statistic, model, feature, round(abs(importance) / sum(abs(importance)) OVER (PARTITION BY statistic, model), 8) AS importance FROM im")

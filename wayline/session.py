@@ -42,18 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize_spread(df: DataFrame) -> DataFrame:
-    """Checkpoint for a table that is fitted repeatedly.
+#: Rows of a partition of a table that is fitted repeatedly.
+FIT_ROWS = 20_000
 
-    Adaptive execution packs small tables into few partitions; a fit is bound
-    by computation, so such a table is spread over all cores. Large tables
-    already have more partitions than cores and stay as they are.
-    """
+
+def materialize_spread(df: DataFrame) -> DataFrame:
+    """Checkpoint for a table that is fitted repeatedly, dealt evenly into partitions of about FIT_ROWS rows."""
     out = materialize(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < cores:
-        out = materialize(out.repartition(cores))
-    return out
+    return materialize(out.repartition(max(1, -(-out.count() // FIT_ROWS))))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
