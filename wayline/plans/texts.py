@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from wayline.functions import text as X
 from wayline.functions.columns import rounded
-from wayline.operators import lexicon, scorer
+from wayline.operators import lexicon, scorer, valence
 from wayline.plans.registry import query
 from wayline.session import spread
-from wayline.sources.bindings import DOCS_SQL, MESSAGES_SQL, document_texts, message_texts
+from wayline.sources.bindings import DOCS_SQL, MESSAGES_SQL, document_texts, message_texts, table
 
 # Lexicon of the demonstration queries: tokens of the synthetic corpora with (valence, polarity, subjectivity, class).
 LEXICON = [
@@ -100,6 +100,72 @@ def c11(spark, sf):
     return rounded(lexicon.valence(docs(spark, sf), ["doc_id"], lexicon_table(spark).select("token", "valence")), 8)
 
 
+# A lexicon learned from the labelled documents, and words of these corpora beside the rules' own.
+LEARNED = f"""{DOCS_SQL}, kd AS (SELECT quality AS y, list_distinct(regexp_extract_all(lower(text), '{X.TOKEN}')) AS t FROM docs JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+ sz AS (SELECT count(*) FILTER (y = 1) AS g, count(*) FILTER (y = 0) AS p FROM kd), ke AS (SELECT token, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM (SELECT y, unnest(t) AS token FROM kd) GROUP BY 1 HAVING count(*) >= 3),
+ lx AS MATERIALIZED (SELECT token, floor(40 * (a / g - b / p) / (a / g + b / p) + 0.5::DOUBLE) / 10 AS valence FROM ke, sz)"""
+OWN = {"the": valence.STRONGER, "und": valence.STRONGER, "les": -valence.STRONGER}
+RULES = valence.Rules(valence.Rules().boosters | OWN, [*valence.NEGATIONS, "der", "que"])
+
+
+def learned(spark, sf):
+    d = document_texts(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return valence.learned_lexicon(d, "quality")
+
+
+def loud(text):
+    """Texts with shouted words, exclamation marks, and "but" in place of a word."""
+    shouted = F.regexp_replace(F.regexp_replace(text, r"\bis\b", "but"), r"\b(was|and|der)\b", "OH")
+    return F.regexp_replace(F.regexp_replace(shouted, r"\.", "!"), "OH", "AND")
+
+
+LOUD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bis\b', 'but', 'g'), '\b(was|and|der)\b', 'OH', 'g'), '\.', '!', 'g'), 'OH', 'AND', 'g')"
+
+
+def _context_sql() -> str:
+    """The rules by position: every word next to the three before it."""
+    boosts = ", ".join(f"('{w}', {b}::DOUBLE)" for w, b in RULES.boosters.items())
+    negated = ", ".join(f"'{w}'" for w in RULES.negations)
+    cap = "CASE WHEN v > 0 THEN 0.733::DOUBLE ELSE -0.733::DOUBLE END"
+    out = f"""WITH {LEARNED}, bo(w, b) AS (VALUES {boosts}), tx AS (SELECT doc_id, {LOUD} AS text FROM docs),
+ ws AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:''\\p{{L}}+)?') AS w FROM tx), ux AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM ws),
+ a AS (SELECT doc_id, i, lower(u.w) AS w, valence, coalesce(b, 0) AS b, upper(u.w) = u.w AND lower(u.w) <> u.w AS caps, lower(u.w) IN ({negated}) OR contains(lower(u.w), 'n''t') AS neg FROM ux u LEFT JOIN lx ON lx.token = lower(u.w) LEFT JOIN bo ON bo.w = lower(u.w)),
+ m AS (SELECT *, count(*) FILTER (caps) OVER d BETWEEN 1 AND count(*) OVER d - 1 AS mixed, min(CASE WHEN w = 'but' THEN i END) OVER d AS bi,
+   valence IS NOT NULL AND b = 0 AND NOT (w = 'kind' AND coalesce(lead(w) OVER o, '') = 'of') AS scored, """ + ", ".join(
+        f"lag(w, {k}) OVER o AS w{k}, lag(valence, {k}) OVER o AS k{k}, lag(b, {k}) OVER o AS b{k}, lag(caps, {k}) OVER o AS c{k}, lag(neg, {k}) OVER o AS n{k}" for k in (1, 2, 3)) + f"""
+   FROM a WINDOW d AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY i)),
+ v0 AS (SELECT *, CASE WHEN scored THEN valence ELSE 0 END AS v FROM m), s0 AS (SELECT * EXCLUDE (v), CASE WHEN scored AND caps AND mixed THEN v + {cap} ELSE v END AS v FROM v0)"""
+    lifts = {1: "false", 2: "w2 = 'never' AND w1 IN ('so', 'this')", 3: "w3 = 'never' AND (w1 IN ('so', 'this') OR w2 IN ('so', 'this'))"}
+    for k in (1, 2, 3):
+        near, lift = {1: 1.0, 2: 0.95, 3: 0.9}[k], {1: 1.0, 2: 1.5, 3: 1.25}[k]
+        out += f""", t{k} AS (SELECT * EXCLUDE (v), scored AND i >= {k} AND k{k} IS NULL AS here, v + CASE WHEN scored AND i >= {k} AND k{k} IS NULL THEN {near}::DOUBLE * ((CASE WHEN v < 0 THEN -b{k} ELSE b{k} END) + CASE WHEN b{k} <> 0 AND c{k} AND mixed THEN {cap} ELSE 0 END) ELSE 0 END AS v FROM s{k - 1}),
+ s{k} AS (SELECT * EXCLUDE (v, here), CASE WHEN here AND ({lifts[k]}) THEN v * {lift}::DOUBLE WHEN here AND n{k} THEN v * -0.74::DOUBLE ELSE v END AS v FROM t{k})"""
+    return out + """, e AS (SELECT *, CASE WHEN scored AND i >= 1 AND k1 IS NULL AND w1 = 'least' AND NOT (i >= 2 AND w2 IN ('at', 'very')) THEN v * -0.74::DOUBLE ELSE v END AS x FROM s3),
+ f AS (SELECT doc_id, CASE WHEN bi IS NULL OR i = bi THEN x WHEN i < bi THEN x * 0.5::DOUBLE ELSE x * 1.5::DOUBLE END AS x FROM e),
+ r AS (SELECT doc_id, sum(x) AS s, sum(CASE WHEN x > 0 THEN x + 1 ELSE 0 END) AS p, sum(CASE WHEN x < 0 THEN 1 - x ELSE 0 END) AS g, count(*) FILTER (x = 0) AS z FROM f GROUP BY 1),
+ q AS (SELECT doc_id, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::DOUBLE + CASE WHEN k > 3 THEN 0.96::DOUBLE WHEN k > 1 THEN k * 0.18::DOUBLE ELSE 0 END AS more FROM (SELECT *, length(text) - length(replace(text, '?', '')) AS k FROM tx)),
+ h AS (SELECT doc_id, coalesce(s, 0) + sign(coalesce(s, 0)) * more AS s, coalesce(p, 0) + CASE WHEN p > g THEN more ELSE 0 END AS p, coalesce(g, 0) + CASE WHEN g > p THEN more ELSE 0 END AS g, coalesce(z, 0) AS z FROM q LEFT JOIN r USING (doc_id))
+ SELECT doc_id, """ + VSEL.replace(", 8)", ", 6)") + " FROM h"
+
+
+@query("C11_learned_lexicon", f"WITH {LEARNED} SELECT token, valence, valence / 4 AS polarity, abs(valence / 4) AS subjectivity FROM lx")
+def c11l(spark, sf):
+    return learned(spark, sf)
+
+
+@query("C11_valence_in_context", _context_sql())
+def c11c(spark, sf):
+    d = document_texts(spark, sf).select("doc_id", loud(F.col("text")).alias("text"))
+    return rounded(valence.lexicon_scores(d, learned(spark, sf), rules=RULES).select("doc_id", *valence.SCORES[:4]), 6)
+
+
+@query("C12_learned_polarity", f"""WITH {LEARNED}, x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{X.TOKEN}')) AS token FROM docs), r AS (SELECT doc_id, avg(valence / 4) AS p, avg(abs(valence / 4)) AS s FROM x LEFT JOIN lx USING (token) GROUP BY 1)
+ SELECT docs.doc_id, round(coalesce(p, 0), 7) + 0.0 AS polarity, round(coalesce(s, 0), 7) AS subjectivity FROM docs LEFT JOIN r USING (doc_id)""")
+def c12l(spark, sf):
+    d = document_texts(spark, sf).select("doc_id", "text")
+    return rounded(valence.lexicon_scores(d, learned(spark, sf)).select("doc_id", "polarity", "subjectivity"), 7)
+
+
 @query("C12_polarity_subjectivity", LEXJ + """, r AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM j GROUP BY 1)
  SELECT docs.doc_id, round(coalesce(p, 0), 8) + 0.0 AS polarity, round(coalesce(s, 0), 8) AS subjectivity FROM docs LEFT JOIN r USING (doc_id)""")
 def c12(spark, sf):
@@ -151,6 +217,16 @@ def c15(spark, sf):
     return rounded(X.legacy_features(docs(spark, sf)).drop("text"), 6)
 
 
+@query("C15_legacy_nine_features", f"""WITH {LEARNED}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS lt FROM docs),
+ w AS (SELECT doc_id, list_filter(string_split(lt, ' '), lambda x: x <> '') AS w FROM t), x AS (SELECT doc_id, unnest(list_transform(w, lambda x: lower(x))) AS token FROM w),
+ r AS (SELECT doc_id, avg(valence / 4) AS p, avg(abs(valence / 4)) AS s FROM x LEFT JOIN lx USING (token) GROUP BY 1)
+ SELECT doc_id, CASE WHEN len(w) < 10 THEN 0.0::DOUBLE ELSE len(w) END AS num_words, CASE WHEN len(w) < 10 THEN 0 ELSE round(coalesce(p, 0), 6) + 0.0 END AS polarity, CASE WHEN len(w) < 10 THEN 0 ELSE round(coalesce(s, 0), 6) END AS subjectivity FROM w LEFT JOIN r USING (doc_id)""")
+def c15n(spark, sf):
+    """The nine legacy columns: polarity and subjectivity over the same letters-only text, 0 below ten words."""
+    out = valence.legacy_scores(docs(spark, sf), learned(spark, sf))
+    return rounded(out.select("doc_id", "num_words", "polarity", "subjectivity"), 6)
+
+
 STYLE_SQL = f"""CASE WHEN live THEN n ELSE 0 END AS num_words, CASE WHEN live THEN round(coalesce(u / nullif(n, 0), 0), 6) ELSE 0 END AS word_diversity,
  CASE WHEN live THEN round(coalesce(c / nullif(n, 0), 0), 6) ELSE 0 END AS average_word_length, CASE WHEN live THEN round(n / s, 6) ELSE 0 END AS avg_sentence_length,
  CASE WHEN live THEN round(coalesce(f / nullif(n, 0), 0), 6) ELSE 0 END AS function_word_ratio, CASE WHEN live THEN round(1 - coalesce(f / nullif(n, 0), 0), 6) ELSE 0 END AS content_word_ratio,
@@ -163,10 +239,9 @@ def c16(spark, sf):
     return rounded(X.style_features(holed).drop("text"), 6)
 
 
-def document_features(df, keys, lex):
-    """All fifteen features in one pass: style columns ride along while the tokens meet the lexicon."""
-    styled = X.style_features(df)
-    return lexicon.all_scores(styled, keys, lex, carry=[c for c in styled.columns if c not in [*keys, "text"]])
+def document_features(df, lex):
+    """All fifteen features in one pass: style columns ride along in the document's row, whose words meet the lexicon there."""
+    return valence.lexicon_scores(X.style_features(df), lex)
 
 
 @query("C17_all_features", DC.rstrip() + f""", {LEX_SQL}, x AS (SELECT doc_id, unnest(tok) AS token FROM tk), j AS (SELECT * FROM x LEFT JOIN lex USING (token)),
@@ -175,7 +250,7 @@ def document_features(df, keys, lex):
  o AS (SELECT doc_id, {VSEL.replace(', 8)', ', 6)')}, round(pol, 6) + 0.0 AS polarity, round(sub, 6) AS subjectivity, round(vr, 6) AS verb_ratio FROM q)
  SELECT * FROM o JOIN (SELECT doc_id, {STYLE_SQL} FROM ct) USING (doc_id)""")
 def c17(spark, sf):
-    return rounded(document_features(docs(spark, sf), ["doc_id"], lexicon_table(spark)), 6)
+    return rounded(document_features(docs(spark, sf), lexicon_table(spark)), 6)
 
 
 @query("C18_whitespace_words", f"WITH {MESSAGES_SQL} SELECT author_id, item, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS words FROM msgs")
