@@ -49,28 +49,3 @@ def class_ratio(df: DataFrame, keys: list[str], classes: DataFrame, wanted: str,
     n = F.nullif(F.count("token"), F.lit(0))
     return _lookup(df.select(*keys, text), text, classes).groupBy(*keys).agg(
         F.coalesce(F.count_if(F.col("class") == wanted) / n, F.lit(0.0)).alias(out))
-
-
-def all_scores(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text",
-               verb_class: str = "VB", carry: list[str] | None = None) -> DataFrame:
-    """All lexicon features in one token pass; ``lexicon``: (token, valence, polarity, subjectivity, class).
-
-    ``carry`` columns hold one value per document and are kept, so features
-    computed before need no join. The tokens of a document sit in one task and
-    are combined there, before the shuffle.
-    """
-    carry = carry or []
-    v, has = F.coalesce("valence", F.lit(0.0)), F.col("token").isNotNull()
-    agg = _lookup(df.select(*keys, *carry, text), text, lexicon).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry],
-        F.sum(v).alias("_s"), F.sum(F.when(v > 0, v + 1.0).otherwise(0.0)).alias("_p"),
-        F.sum(F.when(v < 0, 1.0 - v).otherwise(0.0)).alias("_g"), F.sum(F.when(has & (v == 0), 1.0).otherwise(0.0)).alias("_z"),
-        F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"), F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("subjectivity"),
-        F.coalesce(F.count_if(F.col("class") == verb_class) / F.nullif(F.count("token"), F.lit(0)), F.lit(0.0)).alias("verb_ratio"),
-    )
-    total = F.nullif(F.col("_p") + F.col("_g") + F.col("_z"), F.lit(0.0))
-    share = lambda c: F.coalesce(F.col(c) / total, F.lit(0.0))
-    return agg.select(
-        *keys, *carry, "polarity", "subjectivity", (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15.0)).alias("vader_compound"),
-        share("_p").alias("vader_pos"), share("_z").alias("vader_neu"), share("_g").alias("vader_neg"), "verb_ratio",
-    )

@@ -92,28 +92,6 @@ def fold_predictions(d: DataFrame, fold: str, k: int, make, importances: list |
     return materialize(reduce(DataFrame.unionByName, parts))
 
 
-def sliced_validation(df: DataFrame, slices: list[str], features: list[str], target: str, key: str, seed: int = 42) -> DataFrame:
-    """Logistic validation inside every slice (e.g. domain and year); NULLs become 0 first.
-
-    Slices are few and named; each is one fit on the distributed slice.
-    """
-    d = materialize(_labelled(df.fillna(0.0, subset=features), target))
-    keys = [tuple(r) for r in d.groupBy(*slices).agg(F.count_distinct("label").alias("_k")).where("_k >= 2").drop("_k").orderBy(*slices).collect()]
-    def one(values):
-        cond = F.lit(True)
-        for c, v in zip(slices, values):
-            cond = cond & F.col(c).eqNullSafe(F.lit(v))
-        part = with_class_weights(split(d.where(cond), key, "label", 0.7, seed), "label")
-        train, test = part.where("is_train"), part.where("NOT is_train")
-        n = train.count()
-        pred = impute_scale_logistic(features, n, "zero").fit(train).transform(test)
-        m = pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"))
-        return m.select(*[F.lit(v).alias(c) for c, v in zip(slices, values)], F.lit(n).alias("n_train"), "n_test", "test_accuracy")
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, keys))
-
-
 def year_split(df: DataFrame, year: str, train_years: list[int], test_years: list[int]) -> tuple[DataFrame, DataFrame]:
     train, test = df.where(F.col(year).isin(train_years)), df.where(F.col(year).isin(test_years))
     if train.isEmpty() or test.isEmpty():
