@@ -49,6 +49,19 @@ def test_suffix_dedup(spark, length, kgram, shard):
     assert sorted((tuple(x) for x in got), key=str) == brute_substrings(rows, length)
 
 
+def test_suffix_dedup_in_slices_and_parts(spark):
+    """Long documents come in overlapping slices, and one anchor's fingerprints in several parts."""
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh") for _ in range(300))
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = [(i, noise(60) + base[: r.randrange(50, 90)] + noise(r.randrange(20, 200))) for i in range(80)]
+    rows += [(500, noise(900) + base + noise(700) + base[40:200]), (501, base[20:] * 6), (502, noise(2000)), (None, noise(50) + base[:70])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for merge_rows, slice_bytes in [(50, 150), (1 << 20, 64), (7, 1 << 20)]:
+        got = suffix_dedup.dedup_substrings(df, length=40, kgram=12, shard=8, with_text=False, merge_rows=merge_rows, slice_bytes=slice_bytes).collect()
+        assert sorted((tuple(x) for x in got), key=str) == brute_substrings(rows, 40)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.sampled_from([4, 8, 9, 16]))
 def test_suffix_groups(texts, length):

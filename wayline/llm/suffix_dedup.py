@@ -11,8 +11,11 @@ Suffix arrays are only built over text that can hold a repeated string:
    time by the rank twice as far ahead), and common prefixes of neighbouring suffixes by Kasai's rule, in its permuted form:
    a prefix shrinks by at most one from a position to the next, so only positions whose neighbour does not follow the
    former one's neighbour are compared.
-3. An anchor with more segments than a shard takes is spread over several; these shards' sorted fingerprints of strings
-   without a partner are merged by binary search.
+3. An anchor with more segments than a shard takes is spread over several; the fingerprints of these shards' strings are
+   dealt by ranges of their first hash, as many as their counted number asks for, and strings without a partner in their
+   own shard are found by binary search among a range's sorted fingerprints of all shards.
+
+A long document is read in slices that overlap by a string; which anchor owns a position depends on its string alone.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm.common import Rolling, scratch, text_slices, with_columns
+from wayline.llm.common import SLICE_BYTES, Rolling, scratch, text_slices, with_columns
 
 KGRAM = 100
 SHARD = 1024
-#: Parts that the merging of one spread anchor's fingerprints is divided into.
-MERGE_PARTS = 16
+#: Fingerprints of spread anchors that one task merges, on average.
+MERGE_ROWS = 1 << 20
+#: Low bits of an anchor's order that hold its place in a slice.
+PLACE_BITS = np.uint64(32)
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 ANCHORS = "key long, d1 long, d2 long, n long, rk long, id long, start long, stop long"
@@ -46,15 +51,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, kgram: int) -> t
         return none
     one, two = Rolling(data, 1), Rolling(data, 2)
     at = np.arange(n - kgram + 1)
-    bits = np.uint64(max(1, int(n).bit_length()))
     gram = one.of(at, at + kgram)
-    least = (gram >> bits << bits) | at.astype(np.uint64)
+    least = (gram >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64)
     width, have = length - kgram + 1, 1
     while have < width:  # least over windows of twice the width
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    owner = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    owner = (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     sizes = np.diff(offsets)
     row_of = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
     skipped = offsets[:-1] - np.concatenate([[0], np.cumsum(np.maximum(0, sizes - length + 1))[:-1]])
@@ -68,13 +72,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, kgram: int) -> t
     return row_of[first], a, b, p, gram[p], one.of(a, b + length - 1), two.of(a, b + length - 1)
 
 
-def _anchor_rows(length: int, kgram: int):
+def _pieces(column: pa.Array, length: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, bytes before, bytes, offsets) of slices; rows of slices over ``most`` bytes come one by one, in pieces that share length - 1 bytes."""
+    step = max(1, most - length + 1)
+    for first, end, data, offsets in text_slices(column):
+        if len(data) <= most:
+            yield first, 0, data, offsets
+            continue
+        for row in range(end - first):
+            one = data[offsets[row] : offsets[row + 1]]
+            for at in range(0, len(one) - length + 1, step):
+                piece = one[at : at + step + length - 1]
+                yield first + row, at, piece, np.array([0, len(piece)])
+
+
+def _anchor_rows(length: int, kgram: int, most: int = SLICE_BYTES):
     """rk, id, text -> ANCHORS. Segments that a slice holds several times leave one row that counts them; the others are marked (n = 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rk, ids = np.asarray(batch.column(0)), batch.column(1)
-            for first, end, data, offsets in text_slices(batch.column(2)):
+            for first, before, data, offsets in _pieces(batch.column(2), length, most):
                 row, a, b, _, key, d1, d2 = anchors(data, offsets, length, kgram)
                 if not len(row):
                     continue
@@ -89,7 +107,7 @@ def _anchor_rows(length: int, kgram: int):
                 use = np.concatenate([np.flatnonzero(n), rest[joined]])
                 stop = np.concatenate([b[n > 0], stops])
                 where = first + row[use]
-                base = offsets[row[use]]
+                base = offsets[row[use]] - before
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[use].view(np.int64)), pa.array(d1[use].view(np.int64)), pa.array(d2[use].view(np.int64)), pa.array(n[use]),
                      pa.array(rk[where]), ids.take(pa.array(where)), pa.array(a[use] - base), pa.array(stop - base)],
@@ -180,7 +198,7 @@ def repeated_groups(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[
     return sa[whole], group[whole]
 
 
-def _shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def _shard(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     """Repeated strings of one shard as marks, and the sorted fingerprints of those of spread anchors."""
     raw = [np.frombuffer(x, np.uint8) for x in frame["bytes"]]
     bounds = np.cumsum([0, *(len(x) for x in raw)])
@@ -207,9 +225,10 @@ def _shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         for name, v in (("d1", d1), ("d2", d2), ("lone", lone), ("rk", rk[segment[use]]), ("id", np.where(pd.isna(ids[segment[use]]), 0, ids[segment[use]]).astype(np.int64)), ("none", pd.isna(ids[segment[use]])), ("at", place)):
             table[name] = v
         table.sort(order=["d1", "d2"])
-        part = (table["d1"] >> np.uint64(60)).astype(np.int64) % MERGE_PARTS
-        for p in np.unique(part):
-            rows.append((0, None, 0, 0, int(p), int(frame["shard"].iloc[0]), table[part == p].tobytes()))
+        part = (table["d1"] >> np.uint64(32)).astype(np.int64) * parts >> 32
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(table)]):
+            rows.append((0, None, 0, 0, int(part[a]), int(frame["shard"].iloc[0]), table[a:b].tobytes()))
     return pd.DataFrame(rows, columns=["rk", "id", "start", "stop", "part", "shard", "prints"]).astype({"rk": "int64", "id": "Int64", "start": "int64", "stop": "int64", "part": "Int64", "shard": "Int64"})
 
 
@@ -229,21 +248,20 @@ def _runs(segment: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """Strings without a partner in their own shard that another shard holds: binary search in its sorted fingerprints."""
-    tables = [np.frombuffer(x, _PRINT) for x in frame["prints"]]
-    rows = []
-    for i, mine in enumerate(tables):
-        lone = mine[mine["lone"]]
-        hit = np.zeros(len(lone), bool)
-        for j, other in enumerate(tables):
-            if i == j or not len(lone):
-                continue
-            lo = np.searchsorted(other["d1"], lone["d1"], side="left")
-            hi = np.searchsorted(other["d1"], lone["d1"], side="right")
-            found = np.flatnonzero((hi > lo) & ~hit)
-            hit[found] = [lone["d2"][k] in other["d2"][lo[k] : hi[k]] for k in found]
-        rows.extend((int(x["rk"]), None if x["none"] else int(x["id"]), int(x["at"]), int(x["at"]) + 1) for x in lone[hit])
-    return pd.DataFrame(rows, columns=["rk", "id", "start", "stop"]).astype({"rk": "int64", "id": "Int64", "start": "int64", "stop": "int64"})
+    """Strings without a partner in their own shard that another shard holds: binary search in a range's sorted fingerprints.
+
+    A shard names each of its strings once, so a fingerprint that is there twice comes from two shards.
+    """
+    table = np.concatenate([np.frombuffer(x, _PRINT) for x in frame["prints"]])
+    order = np.lexsort((table["d2"], table["d1"]))
+    d1, d2 = table["d1"][order], table["d2"][order]
+    rank = np.cumsum(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]))
+    lone = np.flatnonzero(table["lone"][order])
+    hit = np.searchsorted(rank, rank[lone], side="right") - np.searchsorted(rank, rank[lone], side="left") > 1
+    found = table[order[lone[hit]]]
+    ids = pd.array(np.where(found["none"], 0, found["id"]), dtype="Int64")
+    ids[found["none"]] = pd.NA
+    return pd.DataFrame({"rk": found["rk"], "id": ids, "start": found["at"], "stop": found["at"] + 1})
 
 
 def removed_spans(starts: np.ndarray, stops: np.ndarray, length: int) -> np.ndarray:
@@ -315,7 +333,8 @@ def _segments(length: int):
     return run
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, kgram: int = KGRAM, shard: int = SHARD, with_text: bool = True) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, kgram: int = KGRAM, shard: int = SHARD, with_text: bool = True,
+                     merge_rows: int = MERGE_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per input row: the id column, n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text.
 
     Texts are UTF-8 bytes, null counts as empty; strings never cross rows and are judged on the input. Texts shorter than
@@ -324,7 +343,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
-    seen = scratch(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, kgram), ANCHORS), "anchors")
+    seen = scratch(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, kgram, slice_bytes), ANCHORS), "anchors")
     live = seen.where("n > 0").groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     held = scratch(seen.where("n > 0").join(live, "key"), "held")
     segments = scratch(held.groupBy("key", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("rk", "id", "start", "stop")).alias("at")), "segments")
@@ -344,10 +363,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     waiting = first.where("n_bytes IS NULL").select("rk", "id", "text", "found")
     # A repeated row is one occurrence here; its twin has marked it as repeated already.
     cut = waiting.mapInArrow(_segments(length), SEGMENTS)
-    total = waiting.agg(F.sum(F.size(F.filter("found", lambda x: x["open"] == 1)))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard))
+    prints = F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + F.when((x["open"] == 1) & (x["pieces"] > 1), x["stop"] - x["start"]).otherwise(0))
+    counted = waiting.agg(F.sum(F.size(F.filter("found", lambda x: x["open"] == 1))), F.sum(prints)).first()
+    shards, parts = (max(1, -(-int(n or 0) // size)) for n, size in zip(counted, (shard, merge_rows)))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("rk", "start"), F.col("pieces"))), F.lit(shards)))
-    sorted_shards = scratch(dealt.groupBy("shard").applyInPandas(lambda f: _shard(f, length), SHARD_OUT), "shards")
+    sorted_shards = scratch(dealt.groupBy("shard").applyInPandas(lambda f: _shard(f, length, parts), SHARD_OUT), "shards")
     merged = sorted_shards.where("part IS NOT NULL").groupBy("part").applyInPandas(_merge, "rk long, id long, start long, stop long")
     more = sorted_shards.where("part IS NULL").select(*place).union(merged)
     more = more.select(*place, *nothing).groupBy("rk", "id").agg(F.collect_list(F.struct("start", "stop", "open", "key", "n", "pieces", "m")).alias("more"))
