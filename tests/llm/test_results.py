@@ -187,10 +187,36 @@ def test_search_is_exact(spark, seed):
 def test_block_stops_on_proof():
     r = np.random.default_rng(0)
     v = np.floor(r.normal(size=(2000, 16)) ** 3 * 50)
-    for q, member, scores in topk_search.Block(v).best(v[:20], np.arange(20), 5):
+    block = topk_search.Block(np.arange(2000), v)
+    for q in range(20):
+        member, done = block.members(v[q], np.array([q]), 5, -np.inf)
         exact = v @ v[q]
         exact[q] = -np.inf
         assert set(np.argsort(-exact)[:5]) <= set(member.tolist())
+        assert done < np.count_nonzero(v) and len(member) <= 40
+        assert block.scores(v[q], member) == exact[member].tolist()
+
+
+def test_block_stops_on_given_table(spark):
+    """Every query of the given table ends before its postings do."""
+    rows = topk_search.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding", 256).toPandas()
+    block = topk_search.Block(rows.id.to_numpy(), np.stack(rows.v))
+    asked = np.flatnonzero(block.ids % 50 == 0)
+    assert all(block.members(block.vectors[q], np.array([q]), 5, -np.inf)[1] < 0.95 * len(block.place) for q in asked)
+
+
+def test_search_in_batches_with_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i) % 90, r.integers(-9, 9, 6).astype(float).tolist()) for i in range(200)] + [(3, [1.0]), (50, [2.0]), (60, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).withColumns({c: F.lit("x") for c in ("id", "v", "rank", "score")})
+    whole = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in rows]
+    asked = {i: min([v.tolist() for j, v in whole if j == i]) for i in range(0, 90, 10)}
+    want = []
+    for i, q in asked.items():
+        scored = sorted((-int(v @ np.array(q, int)), j) for j, v in whole if j != i and len(v) == len(q))[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    got = topk_search.search(df, F.col("id") % 10 == 0, batch_values=20).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
 
 
 def test_toxicity_held_out(spark):
@@ -276,6 +302,58 @@ def test_mixing_scarce_domain(spark, share):
     assert solution.settled
 
 
+def dense_totals(n, p, targets, low, high, rounds=200_000):
+    """Expected totals by plain accelerated projected gradient on the rates themselves, in the operator's metric."""
+    total = n.sum()
+    metric = np.linalg.pinv((p * n[:, None]).T @ p / total + mixing.RIDGE * ((p * n[:, None]) * p).sum() / total * np.eye(p.shape[1]), hermitian=True)
+    x = last = np.clip(np.ones(len(n)), low, high)
+    t = 1.0
+    for _ in range(rounds):
+        u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y = x + (t - 1) / u * (x - last)
+        step = np.clip(y - p @ (metric @ ((n * y) @ p - targets) / total), low, high)
+        t = 1.0 if (y - step) @ (step - x) > 0 else u
+        moved = np.abs(step - x).max()
+        x, last = step, x
+        if moved < 1e-13:
+            break
+    return (n * x) @ p
+
+
+@pytest.mark.parametrize(("domains", "most"), [(2, None), (3, None), (4, 1.0), (3, 2.0)])
+def test_mixing_against_dense_solver(spark, domains, most):
+    """Domains of a hundredth and of three thousandths of the tokens, targets in and out of reach."""
+    r = np.random.default_rng(domains)
+    share = np.array([0.987, 0.01, 0.003, 0.0][:domains])
+    kind = r.choice(domains, 1500, p=share / share.sum())
+    p = r.dirichlet(np.full(domains, 0.3), 1500) * 0.2 + np.eye(domains)[kind] * 0.8
+    n = r.integers(20, 400, 1500)
+    names = list("abcd")[:domains]
+    weights = dict(zip(names, [0.5, 0.3, 0.2, 0.4]))
+    members = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(n, p)], "tokens long, posteriors array<double>")
+    solution = mixing.solve(members, names, weights, most)
+    want = dense_totals(n.astype(float), p, solution.targets, 0.0, np.inf if most is None else most)
+    assert solution.settled and (solution.rates(p) >= 0).all()
+    assert solution.expected == pytest.approx((n * solution.rates(p)) @ p)
+    assert solution.expected / n.sum() == pytest.approx(want / n.sum(), abs=2e-4)
+
+
+def test_mixing_deals_repeats(spark):
+    """A document that is repeated some hundred times is written by several tasks, as often as its rate says."""
+    rows = [(i, " ".join(["good words here"] * 20)) for i in range(300)] + [(1000, "poor bad text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "good") for i in range(100)] + [(1000, "poor")], "doc_id long, domain string")
+    mixed = mixing.mixed_rows(df, labels, {"good": 0.9, "poor": 0.1}, least=1.0)
+    n = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert len(n) == 301 and n[1000] > 4 * mixing.REPEATS and mixed.columns == df.columns
+    assert 3 * n[1000] / (3 * n[1000] + sum(60 * c for i, c in n.items() if i < 1000)) > 0.09
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        assert mixed.where("doc_id = 1000").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("share", [0.3, 0.05, 0.003])
 def test_mixing_keeps_everything(spark, share):
     """With a least rate of 1 nothing goes, whichever domain is the scarcer one."""

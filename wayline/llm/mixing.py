@@ -2,15 +2,19 @@
 
 A classifier trained on a labelled table gives every document posterior probabilities over the domains. Each document gets
 a nonnegative rate (how many times it is expected in the mix), and the expected tokens of a domain are the sum over
-documents of rate * tokens * posterior. Rates solve a least-squares problem:
+documents of rate * tokens * posterior. Rates solve a least-squares problem within their bounds:
 
-    minimise  1/2 |E(rates) - targets|^2 / total^2  +  PULL/2 * sum tokens (rate - 1)^2 / total,   0 <= rates (<= most).
+    minimise  1/2 miss' W miss,   miss = (E(rates) - targets) / total,   least <= rates <= most.
 
-With a least rate the total is free: the residual is E(rates) less its domain's share of all expected tokens.
-At its solution a rate is 1 + posteriors . push, projected to the bounds, with one push for each domain, so the search is
-for the pushes alone: Newton steps on the problem's dual, whose gradient are the residuals and whose curvature is the
-moment matrix of the documents within the bounds. Only these travel between a round's Spark job and the next, and no round
-writes the documents anew. Steps in the moments' metric fit a scarce domain as well as a plentiful one.
+W is the inverse of the posteriors' moments (weighed by tokens), so a scarce domain's miss weighs as its size asks for, and a
+gradient step of length 1 never overshoots. With a least rate the total is free: the miss is E(rates) less its domain's share of
+all expected tokens.
+
+The search is projected gradient from rate 1: a round moves every rate along its document's part of the gradient, which is
+posteriors . push with one push for all documents, and projects it to its bounds. Expected totals are linear in the rates, so
+the gradient needs them alone, also at the extrapolated rates of an accelerated step. A round tries many step lengths, with and without
+acceleration, in one pass and takes the one with the least miss. Only totals by domain travel: a task works a document's rate
+out of its posteriors and the pushes so far, so no round writes the documents anew.
 """
 
 from __future__ import annotations
@@ -32,16 +36,20 @@ SAMPLE_ROWS = 3000
 BITS = 14
 STEPS = 200
 PENALTY = 1e-4
-#: So weak that it only chooses between rates that meet the targets: a rate of 100 costs its domain 0.01 % of all tokens.
-PULL = 1e-6
-#: The rounds end when the dual's gradient is below this share of all tokens for every domain; ROUNDS only guards, with a warning.
+#: The rounds end when no domain misses by more than SETTLED of all tokens, or no step lowers the sum of squares by more than STALLED of it.
 SETTLED = 1e-7
+STALLED = 1e-9
+#: Guards only, with a warning.
 ROUNDS = 200
-#: Parts of a Newton step that one round tries.
-PARTS = 4.0 ** -np.arange(12)
+#: Step lengths that a round tries. Longer ones than 1 serve where most documents are held at a bound.
+LENGTHS = 2.0 ** np.arange(-1, 18)
+#: Share of the moments' trace that is added to them before they are inverted.
+RIDGE = 1e-10
 #: A domain that misses its target by more than this share of all tokens is warned of.
 MISSED = 0.005
 ADDED = ["tokens", "posteriors", "rate"]
+#: Copies of one row that one task writes.
+REPEATS = 64
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,11 +145,19 @@ def memberships(df: DataFrame, model: Classifier, text_col: str = "text", carry:
     return kept.mapInArrow(run, schema)
 
 
+def walk(posteriors: np.ndarray, path: list[tuple[float, np.ndarray]], least: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the rounds of ``path``, (carry, push) each, and before the last one."""
+    now = before = np.full(len(posteriors), np.clip(1.0, least, most))
+    for carry, push in path:
+        now, before = np.clip(now + carry * (now - before) + posteriors @ push, least, most), now
+    return now, before
+
+
 @dataclass
 class Solution:
     domains: list[str]
     targets: np.ndarray  # tokens
-    push: np.ndarray  # what a rate gains for each domain's posterior
+    path: list[tuple[float, np.ndarray]]  # of every round, what it carried on of the one before and its push by domain
     expected: np.ndarray
     most: float = np.inf
     least: float = 0.0
@@ -149,7 +165,23 @@ class Solution:
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         """Nonnegative rates of documents with these posteriors (document x domain)."""
-        return np.clip(1 + posteriors @ self.push, self.least, self.most)
+        return walk(posteriors, self.path, self.least, self.most)[0]
+
+
+def _sums(members: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
+    """``add(tokens, posteriors)`` over batches of documents, summed up; an array of that shape."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                sums += add(np.asarray(batch.column(0)).astype(float), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "v"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for r in members.select("tokens", "posteriors").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out.reshape(shape)
 
 
 def solve(members: DataFrame, domains: list[str], weights: dict[str, float], most: float | None = None, least: float = 0.0) -> Solution:
@@ -164,65 +196,59 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float], mos
     """
     size = len(domains)
     high = np.inf if most is None else most
-
-    def totals(pushes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each push: tokens by domain, moments of documents within the bounds, and the dual's sum over documents."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(pushes), size + 1, size + 1))
-            for batch in batches:
-                p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
-                n = np.asarray(batch.column(0)).astype(float)
-                for out, push in zip(sums, pushes):
-                    gain = p @ push
-                    rate = np.clip(1 + gain, least, high)
-                    out[0, :size] += (n * rate) @ p
-                    out[0, size] += n @ (rate * gain - (rate - 1) ** 2 / 2)
-                    out[1:, :size] += (p * (n * ((gain >= least - 1) & (gain <= high - 1)))[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "v"])
-
-        out = np.zeros(len(pushes) * (size + 1) ** 2)
-        for r in members.select("tokens", "posteriors").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-            out[r["at"]] = r["v"]
-        out = out.reshape(len(pushes), size + 1, size + 1)
-        return out[:, 0, :size], out[:, 1:, :size], out[:, 0, size]
-
-    push = np.zeros(size)
-    expected, moments, sums = (x[0] for x in totals(push[None]))
-    held = float(np.clip(1, least, high))
-    first = expected / held if held else expected  # at rate 1
+    first = _sums(members, (size,), lambda n, p: n @ p)  # at rate 1
     total = float(first.sum())
     wanted = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     if total <= 0 or wanted.sum() <= 0:
-        return Solution(domains, first, push, first)
+        return Solution(domains, first, [], first)
     wanted = wanted / wanted.sum()
     budget = total if most is None else most * float((first[wanted > 0] / wanted[wanted > 0]).min())
     targets = wanted * budget
-    # Multipliers to pushes, and tokens by domain to residuals; posteriors sum to 1.
+    # Tokens by domain to misses; posteriors sum to 1.
     turn = np.eye(size) - wanted if least else np.eye(size)
     goal = np.zeros(size) if least else targets
-    multipliers = np.zeros(size)
-    value, settled = sums / total, False
+    moments = _sums(members, (size, size), lambda n, p: (p * n[:, None]).T @ p)
+    moments = turn.T @ moments @ turn / total
+    metric = np.linalg.pinv(moments + RIDGE * np.trace(moments) * np.eye(size), hermitian=True)
+
+    def miss(expected: np.ndarray) -> np.ndarray:
+        return (expected @ turn - goal) / total
+
+    def squares(expected: np.ndarray) -> float:
+        return float(miss(expected) @ metric @ miss(expected)) / 2
+
+    path: list[tuple[float, np.ndarray]] = []
+    now = before = first * float(np.clip(1, least, high))
+    pace, settled = 1.0, False
     for _ in range(ROUNDS):
-        slope = (expected @ turn - goal) / total + PULL * multipliers
-        settled = bool(np.abs(slope).max() < SETTLED)
+        settled = bool(np.abs(miss(now)).max() < SETTLED)
         if settled:
             break
-        step = np.linalg.solve(turn.T @ moments @ turn / total + PULL * np.eye(size), slope)
-        tried = multipliers - PARTS[:, None] * step
-        found = totals(tried @ turn.T)
-        values = (found[2] - tried @ goal) / total + PULL / 2 * (tried**2).sum(axis=1)
+        next_pace = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        tried = []
+        for carry in sorted({0.0, (pace - 1) / next_pace}):
+            slope = turn @ metric @ miss(now + carry * (now - before))
+            tried.extend((carry, -length * slope) for length in LENGTHS)
+
+        def add(n, p, path=tuple(path), tried=tuple(tried)):
+            rate, last = walk(p, path, least, high)
+            return np.stack([(n * np.clip(rate + carry * (rate - last) + p @ push, least, high)) @ p for carry, push in tried])
+
+        found = _sums(members, (len(tried), size), add)
+        values = np.array([squares(e) for e in found])
         best = int(values.argmin())
-        if values[best] >= value and np.abs((found[0][best] @ turn - goal) / total + PULL * tried[best]).max() >= np.abs(slope).max():
+        if values[best] >= squares(now) * (1 - STALLED):
+            settled = True
             break
-        multipliers, value, expected, moments = tried[best], values[best], found[0][best], found[1][best]
-    push = turn @ multipliers
+        pace = next_pace if tried[best][0] or not path else 1.0
+        path.append(tried[best])
+        now, before = found[best], now
     if least:
-        targets = wanted * expected.sum()
-    missed = {d: f"{e:.0f} of {t:.0f} tokens" for d, e, t in zip(domains, expected, targets) if abs(e - t) > MISSED * total}
+        targets = wanted * now.sum()
+    missed = {d: f"{e:.0f} of {t:.0f} tokens" for d, e, t in zip(domains, now, targets) if abs(e - t) > MISSED * total}
     if missed or not settled:
         warnings.warn(f"mixing: targets {'missed' if missed else 'met'}, rounds {'settled' if settled else 'not settled'}: {missed}", stacklevel=2)
-    return Solution(domains, targets, push, expected, high, least, settled)
+    return Solution(domains, targets, path, now, high, least, settled)
 
 
 def with_rates(members: DataFrame, solution: Solution) -> DataFrame:
@@ -270,4 +296,9 @@ def mixed_rows(df: DataFrame, labels: DataFrame, weights: dict[str, float], id_c
     members = scratch(memberships(whole, model, "t", ["row", "id"]), "members")
     solution = solve(members, model.domains, weights, most, least)
     dealt = with_rates(members, solution).withColumn("copies", copies(F.col("rate"), "id"))
-    return dealt.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    rows = lambda df, n: df.withColumn("nth", F.explode(F.sequence(F.lit(1), n))).select("row")
+    few = rows(dealt.where(F.col("copies").between(1, REPEATS)), F.col("copies"))
+    # A row that is repeated often is dealt to the tasks in portions.
+    many = dealt.where(F.col("copies") > REPEATS).withColumn("portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / REPEATS).cast("int"))))
+    many = many.repartition(F.xxhash64("id", "portion"))
+    return few.union(rows(many, F.least(F.lit(REPEATS), F.col("copies") - F.col("portion") * REPEATS))).select("row.*")
