@@ -200,3 +200,10 @@ def test_exact_p_of_groups(spark):
     ks = {r["g"]: r["p_value"] for r in ranks.kolmogorov_smirnov(df, ["g"], "v", F.col("first")).collect()}
     assert mw["a"] == pytest.approx(2 / 3) and mw["c"] is None
     assert ks["a"] == pytest.approx(2 / 3) and ks["b"] == 1.0 and ks["c"] is None
+
+
+def test_binomial_tails_of_millions():
+    n = np.array([11.0, 100_001.0, 7_200_001.0])
+    assert np.abs(pvalues.binomial_tails((n + 1) / 2, n)[0] - 0.5).max() < 1e-12  # by symmetry
+    # Sum of exact terms to 50 digits: half of the central term's rest less the terms in between.
+    assert abs(pvalues.binomial_tails(np.array([3_600_940.0]), np.array([7_200_000.0]))[0][0] - 0.24188186454787783) < 1e-12
