@@ -207,3 +207,12 @@ def test_binomial_tails_of_millions():
     assert np.abs(pvalues.binomial_tails((n + 1) / 2, n)[0] - 0.5).max() < 1e-12  # by symmetry
     # Sum of exact terms to 50 digits: half of the central term's rest less the terms in between.
     assert abs(pvalues.binomial_tails(np.array([3_600_940.0]), np.array([7_200_000.0]))[0][0] - 0.24188186454787783) < 1e-12
+
+
+def test_slope_within_noise_is_stable(spark):
+    rows = [("tie", 1, 0.1 + 0.2), ("tie", 2, 0.3), ("up", 1, 0.3), ("up", 2, 0.3 + 1e-9), ("flat", 1, 5.0), ("flat", 2, 5.0), ("one", 1, 1.0)]
+    d = spark.createDataFrame(rows, "k string, year int, difference double")
+    got = {r["k"]: r["trend"] for r in trend.convergence(d, ["k"]).collect()}
+    assert got == {"tie": "flat", "up": "diverging", "flat": "flat", "one": "insufficient"}
+    s = {r["k"]: r["slope"] for r in trend.regress(d, ["k"], "year", F.col("difference")).collect()}
+    assert s["tie"] == 0 and s["up"] > 0

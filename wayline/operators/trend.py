@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from wayline.functions.columns import safe_div
 from wayline.functions.pvalues import t_p, trend_class
+from wayline.operators.geometry import REST
+
+
+def slope_of(y: Column, x: Column) -> Column:
+    """Aggregate: least-squares slope; one that moves y by less than rounding noise over the range of x is 0."""
+    s, at = F.regr_slope(y, x), F.when(y.isNotNull(), x)
+    return F.when(F.abs(s) * (F.max(at) - F.min(at)) <= REST * F.max(F.abs(y)), 0.0).otherwise(s)
 
 
 def moments(df: DataFrame, groups: list[str], features: list[str]) -> DataFrame:
@@ -52,7 +59,7 @@ def regress(df: DataFrame, groups: list[str], x: str, y: Column, prefix: str = "
     y_, x_ = F.col("_y"), F.col(x).cast("double")
     known = y_.isNotNull() & x_.isNotNull()
     a = d.where(known).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.regr_slope("_y", x_).alias("_s"), F.regr_intercept("_y", x_).alias("_i"),
+        F.count(F.lit(1)).alias("_n"), slope_of(y_, x_).alias("_s"), F.regr_intercept("_y", x_).alias("_i"),
         F.var_pop("_y").alias("_vy"), F.var_pop(x_).alias("_vx"), F.covar_pop("_y", x_).alias("_c"),
     )
     flat = F.col("_vy") == 0
@@ -88,7 +95,7 @@ def yearly_differences(means: DataFrame, keys: list[str], reference: Column, mod
 def convergence(diffs: DataFrame, keys: list[str], year: str = "year") -> DataFrame:
     """Slope of |difference| over the years and its class; one year is 'insufficient'."""
     agg = diffs.where("difference IS NOT NULL").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.regr_slope(F.abs("difference"), F.col(year).cast("double")).alias("slope_abs"))
+        F.count(F.lit(1)).alias("_n"), slope_of(F.abs("difference"), F.col(year).cast("double")).alias("slope_abs"))
     slope = F.when(F.col("_n") >= 2, F.col("slope_abs"))
     return agg.select(*keys, slope.alias("slope_abs"), trend_class(slope, flat="flat").alias("trend"))
 

@@ -9,6 +9,7 @@ from wayline.functions.columns import rounded, unpivot
 from wayline.functions.pvalues import stars, trend_class
 from wayline.operators import evaluate, models, report
 from wayline.operators.ordered import top_n
+from wayline.operators.trend import slope_of
 from wayline.plans.comparison import UNI, comparisons, is_human, per_feature_tests, unified, unified_long, win_counts
 from wayline.plans.learning import author_results, model_importances
 from wayline.plans.registry import query
@@ -151,7 +152,7 @@ def b32(spark, sf):
 
 @query("B33_trend_classes", f"WITH {LONG_SQL}, s AS (SELECT {K4}, feature, regr_slope(value, year) AS s FROM f1l GROUP BY ALL) SELECT feature, CASE WHEN s < 0 THEN 'decreasing' WHEN s > 0 THEN 'increasing' WHEN s = 0 THEN 'stable' ELSE 'insufficient' END AS trend, count(*) AS n FROM s GROUP BY ALL")
 def b33(spark, sf):
-    s = long_years(spark, sf).groupBy(*KEYS4, "feature").agg(F.regr_slope("value", F.col("year").cast("double")).alias("s"))
+    s = long_years(spark, sf).groupBy(*KEYS4, "feature").agg(slope_of(F.col("value"), F.col("year").cast("double")).alias("s"))
     return s.groupBy("feature", trend_class(F.col("s"), "decreasing", "increasing").alias("trend")).agg(F.count(F.lit(1)).alias("n"))
 
 
