@@ -216,3 +216,14 @@ def test_slope_within_noise_is_stable(spark):
     assert got == {"tie": "flat", "up": "diverging", "flat": "flat", "one": "insufficient"}
     s = {r["k"]: r["slope"] for r in trend.regress(d, ["k"], "year", F.col("difference")).collect()}
     assert s["tie"] == 0 and s["up"] > 0
+
+
+def test_equal_values_win_nothing(spark):
+    rows = [("a", "N", 0.1 + 0.2, 1.0), ("a", "A", 0.3, 1.0 - 1e-9), ("b", "N", 0.3, 2.0), ("b", "A", 0.1 + 0.2, 3.0)]
+    wide = spark.createDataFrame(rows, "author string, model string, x double, y double")
+    got = {r["feature"]: (r["n"], r["human_wins"]) for r in compare.win_counts(wide, ["author"], ["x", "y"], F.col("model") == "N", []).collect()}
+    assert got == {"x": (2, 0), "y": (2, 1)}
+    long = compare.matched_wide(wide, ["author"], ["x", "y"], F.col("model") == "N")
+    assert [r["human_wins"] for r in long.orderBy("author", "feature").collect()] == [0, 1, 0, 0]
+    tall = wide.unpivot(["author", "model"], ["x", "y"], "feature", "value")
+    assert [r["human_wins"] for r in compare.matched_comparison(tall, ["author"], F.col("model") == "N").orderBy("author", "feature").collect()] == [0, 1, 0, 0]

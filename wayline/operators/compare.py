@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from wayline.functions.columns import safe_div
 from wayline.functions.pvalues import binomial_p, stars
+from wayline.operators.geometry import REST
 from wayline.operators.ordered import cumulative, quantiles
 
 ALTERNATIVES = {"TF-IDF-GEO": "two-sided"}
 
 
+def wins(h: str, m: str) -> Column:
+    """Whether h is larger than m; differences below rounding noise are ties, so the order of summation does not matter."""
+    return F.expr(f"{h} > {m} AND {h} - {m} > {REST} * greatest(abs({h}), abs({m}))")
+
+
 def matched_comparison(long: DataFrame, keys: list[str], reference: Column, model: str = "model",
                        feature: str = "feature", value: str = "value") -> DataFrame:
     """One row per (keys, feature, model) with both values; NULL keys or values never match.
@@ -27,7 +33,7 @@ def matched_comparison(long: DataFrame, keys: list[str], reference: Column, mode
     ref = F.max(F.when(reference, F.col(value))).over(Window.partitionBy(*keys, feature))
     both = rows.withColumn("human_value", ref).where(~reference & F.col("human_value").isNotNull())
     return both.select(*keys, feature, model, "human_value", F.col(value).alias("llm_value")).withColumn(
-        "human_wins", (F.col("human_value") > F.col("llm_value")).cast("int"))
+        "human_wins", wins("human_value", "llm_value").cast("int"))
 
 
 def with_reference(wide: DataFrame, keys: list[str], features: list[str], reference: Column, model: str = "model") -> DataFrame:
@@ -47,13 +53,13 @@ def matched_wide(wide: DataFrame, keys: list[str], features: list[str], referenc
     both = with_reference(wide, keys, features, reference, model)
     pairs = ", ".join(f"struct('{f}' AS feature, _h.{f} AS human_value, {f} AS llm_value)" for f in features)
     long = both.selectExpr(*keys, model, f"inline(array({pairs}))").where("human_value IS NOT NULL AND llm_value IS NOT NULL")
-    return long.selectExpr(*keys, "feature", model, "human_value", "llm_value", "CAST(human_value > llm_value AS INT) AS human_wins")
+    return long.select(*keys, "feature", model, "human_value", "llm_value", wins("human_value", "llm_value").cast("int").alias("human_wins"))
 
 
 def win_counts(wide: DataFrame, keys: list[str], features: list[str], reference: Column, by: list[str], model: str = "model") -> DataFrame:
     """(by, feature, n, human_wins): wins counted on wide rows, so only a few numbers per group are ever long."""
     both = with_reference(wide, keys, features, reference, model)
-    counts = [F.expr(x) for f in features for x in (f"count(_h.{f} + {f}) AS _n_{f}", f"count_if(_h.{f} > {f}) AS _w_{f}")]
+    counts = [x for f in features for x in (F.expr(f"count(_h.{f} + {f}) AS _n_{f}"), F.count_if(wins(f"_h.{f}", f)).alias(f"_w_{f}"))]
     rows = ", ".join(f"struct('{f}' AS feature, _n_{f} AS n, _w_{f} AS human_wins)" for f in features)
     return both.groupBy(*by).agg(*counts).selectExpr(*by, f"inline(array({rows}))").where("n > 0")
 
