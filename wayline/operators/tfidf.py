@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayline.operators.batches import pieces
 from wayline.operators.ordered import top_n
 from wayline.session import materialize
 
@@ -39,7 +40,7 @@ def term_lists(docs: DataFrame, domain: str, doc: str, text: str = "text", stop_
     stops = pa.array(sorted(stop_words or []), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             lists = batch.column(2)
             sizes = np.diff(np.asarray(lists.offsets))
             sizes[np.asarray(lists.is_null())] = 0
@@ -80,7 +81,7 @@ def _summaries(lists: DataFrame, domain: str, size: int) -> DataFrame:
             held.clear()
             return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             tf, words = np.asarray(batch.column(2).flatten()), batch.column(1).flatten()
             sizes = np.diff(np.asarray(batch.column(1).offsets))
             coded = batch.column(0).dictionary_encode()
@@ -181,7 +182,7 @@ def tfidf(docs: DataFrame, domain: str, doc: str, text: str = "text", stop_words
     sent = _sent(vocab, domain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             for row, at, weight, terms in _weighted(batch, sent.value):
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), terms.take(pa.array(at)), pa.array(weight)], names=[domain, doc, "term", "weight"])
@@ -209,7 +210,7 @@ def _multiplied(rows: DataFrame, domain: str, blocks: dict) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[object, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches, 1):
             lists, weight = batch.column(1), np.asarray(batch.column(2).flatten())
             sizes = np.diff(np.asarray(lists.offsets))
             row, at = np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten())
@@ -288,7 +289,7 @@ def numbered_rows(docs: DataFrame, domain: str, doc: str, text: str, stop_words:
     sent = _sent(vocab, domain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             n = batch.num_rows
             parts = list(_weighted(batch, sent.value))
             row = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -307,7 +308,7 @@ def projected(rows: DataFrame, domain: str, doc: str, svd: SparseSVD) -> DataFra
     sent = rows.sparkSession.sparkContext.broadcast(svd.vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             lists, weight = batch.column(2), np.asarray(batch.column(3).flatten())
             sizes = np.diff(np.asarray(lists.offsets))
             row, at = np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten())
