@@ -254,3 +254,16 @@ def test_neighbours_when_cells_are_smaller_than_k(spark):
     assert len(got) == 10 and all(r["count"] == 8 for r in got)
     few = knn.nearest(train.limit(3), train.limit(2), "id", "vec", "y", k=8).groupBy("id").count().collect()
     assert [r["count"] for r in few] == [3, 3]
+
+
+def test_cells_keep_their_size_as_rows_grow():
+    assert [knn.pivots_for(n) for n in (0, 1, 100, 1 << 20)] == [1, 1, 10, 1024]
+    assert all(n / knn.pivots_for(n) <= knn.CELL for n in (1 << 20, 10_000_000, 60_000_000))
+
+
+def test_equal_distances_go_by_id(spark):
+    rows = [(i, [float(i % 2), 0.0], i % 3) for i in range(40)]
+    train = spark.createDataFrame(rows, "id long, vec array<double>, y int")
+    got = knn.nearest(train, train.where("id < 2"), "id", "vec", "y", k=5, n_pivots=2, chunk=7)
+    near = {r["id"]: sorted(r["ids"]) for r in got.groupBy("id").agg(F.collect_list("_nid").alias("ids")).collect()}
+    assert near == {0: [0, 2, 4, 6, 8], 1: [1, 3, 5, 7, 9]}

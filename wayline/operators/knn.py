@@ -21,6 +21,8 @@ from wayline.session import materialize
 
 #: Numbers in the largest array of differences.
 CUBE = 4_000_000
+#: Training rows of a cell on average, and pivots at most.
+CELL, PIVOTS = 1024, 1 << 16
 #: Relative slack of distances by norms and products; candidates within it are measured again by differences.
 SLACK = 1e-9
 
@@ -184,19 +186,22 @@ def _search(test: DataFrame, train: DataFrame, key: str, vec: str, label: str, k
             return pd.DataFrame({f.name: [] for f in schema})
         t = t.sort_values(key, kind="stable")
         tx, ids, labels = np.stack(t[vec].to_numpy()).astype(float), t[key].to_numpy(), t[label].to_numpy()
-        out = []
-        for start in range(0, len(q), 512):
-            part = q.iloc[start:start + 512]
-            x = np.stack(part[vec].to_numpy()).astype(float)
-            rough, m = _rough(x, tx), min(k, len(tx))
-            limit = np.partition(rough, m - 1, axis=1)[:, m - 1]
-            slack = SLACK * ((x * x).sum(1) + (tx * tx).sum(1).max())
-            for i, key_value in enumerate(part[key].to_numpy()):
-                near = np.flatnonzero(rough[i] <= limit[i] + slack[i])
-                d = np.sqrt(((tx[near] - x[i]) ** 2).sum(1))
-                order = np.argsort(d, kind="stable")[:m]
-                out.extend(zip([key_value] * m, ids[near[order]], labels[near[order]], d[order]))
-        return pd.DataFrame(out, columns=schema.names)
+        keys, out, m = q[key].to_numpy(), [], min(k, len(tx))
+        qx = np.stack(q[vec].to_numpy()).astype(float)
+        size = (tx * tx).sum(1).max()
+        step = max(1, min(512, CUBE // tx.size))  # all rows of a chunk may be equally near
+        for start in range(0, len(q), step):
+            x = qx[start:start + step]
+            rough = _rough(x, tx)
+            limit = np.partition(rough, m - 1, axis=1)[:, m - 1] + SLACK * ((x * x).sum(1) + size)
+            row, near = np.nonzero(rough <= limit[:, None])
+            d = np.sqrt(((tx[near] - x[row]) ** 2).sum(1))
+            order = np.lexsort((near, d, row))  # ties stay in the order of the ids
+            row, near, d = row[order], near[order], d[order]
+            first = np.searchsorted(row, np.arange(len(x)))
+            best = np.arange(len(row)) - first[row] < m
+            out.append((keys[start + row[best]], ids[near[best]], labels[near[best]], d[best]))
+        return pd.DataFrame(dict(zip(schema.names, map(np.concatenate, zip(*out)))))
 
     g = ["_cell", "_tc", "_qc"]
     return test.groupBy(*g).cogroup(train.groupBy(*g)).applyInPandas(run, schema)
@@ -222,10 +227,16 @@ def _best(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
 
 
+def pivots_for(n: int) -> int:
+    """Number of pivots for n training rows."""
+    return max(1, min(PIVOTS, max(math.isqrt(n), -(-n // CELL))))
+
+
 def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None, chunk: int = 4096) -> DataFrame:
     """(key, _nid, _nlabel, _d, _r): the exact k nearest training rows of every test row.
 
-    Pivots, and with them cells, grow with the square root of the training rows unless their number is given.
+    Unless their number is given, pivots, and with them cells, grow with the square root of the training rows, and in proportion
+    from a million rows on, so that the size of a cell, and with it the work of a query, stays the same.
     """
     return _nearest(train, test, key, vec, label, k, n_pivots, chunk)[0]
 
@@ -238,7 +249,7 @@ def visited_cells(train: DataFrame, test: DataFrame, key: str, vec: str, label:
 
 def _nearest(train, test, key, vec, label, k, n_pivots, chunk):
     sc = train.sparkSession.sparkContext
-    tree = PivotTree(_pivots(train, key, vec, n_pivots or max(1, math.isqrt(train.count()))))
+    tree = PivotTree(_pivots(train, key, vec, n_pivots or pivots_for(train.count())))
     bare = sc.broadcast(tree)
     t = materialize(_assign(train.select(key, label, vec), vec, bare))
     q = materialize(_assign(test.select(key, vec), vec, bare))  # both are read by several searches
