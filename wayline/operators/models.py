@@ -11,7 +11,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import evaluate, knn, ranks
+from wayline.operators.forests import forests
 from wayline.operators.permute import shuffled_partners
 from wayline.operators.split import folds, split, with_class_weights
 from wayline.session import materialize, materialize_spread
@@ -75,7 +76,7 @@ def static_validation(df: DataFrame, features: list[str], target: str, key: str,
     return rep.join(auc, "g").join(acc, "g").join(sizes, "g").drop("g")
 
 
-def fold_predictions(d: DataFrame, fold: str, k: int, make, importances: list | None = None) -> DataFrame:
+def fold_predictions(d: DataFrame, fold: str, k: int, make) -> DataFrame:
     """Out-of-fold predictions of k fits, pooled; ``make(train)`` builds the estimator."""
     def fit(i):
         train = d.where(F.col(fold) != i)
@@ -83,8 +84,6 @@ def fold_predictions(d: DataFrame, fold: str, k: int, make, importances: list |
 
     with ThreadPool(min(k, PARALLEL_FITS)) as pool:  # folds are independent, as in ml.tuning's parallelism
         fitted = pool.map(fit, range(k))
-    if importances is not None:
-        importances.extend(fitted)
     parts = [
         _score(m.transform(d.where(F.col(fold) == i))).select("label", "prediction", "score", F.lit(i).alias(fold)) for i, m in enumerate(fitted)
     ]
@@ -114,11 +113,10 @@ def multiclass_experiment(train: DataFrame, test: DataFrame, features: list[str]
     return evaluate.class_report(evaluate.confusion(pred.withColumn("g", F.lit(1)), ["g"]), ["g"]).drop("g")
 
 
-def panel(n_features: int, n_rows: int, trees: int = 100, seed: int = 42) -> dict:
-    """The classifiers of the panel that Spark ML offers; unlimited depth is 30 there, unit ridge strength is 1 / rows."""
+def panel(n_features: int, n_rows: int, seed: int = 42) -> dict:
+    """The classifiers of the panel that Spark ML offers, besides the forest; unit ridge strength is 1 / rows."""
     return {
         "Logistic Regression": LogisticRegression(maxIter=1000, standardization=False, regParam=1.0 / max(n_rows, 1)),
-        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed),
         "Gradient Boosting": GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
         "Decision Tree": DecisionTreeClassifier(maxDepth=10, seed=seed),
@@ -126,7 +124,9 @@ def panel(n_features: int, n_rows: int, trees: int = 100, seed: int = 42) -> dic
     }
 
 
-NEIGHBOURS = "K-Nearest Neighbors"
+NEIGHBOURS, FOREST = "K-Nearest Neighbors", "Random Forest"
+#: Trees of the panel's forest.
+TREES = 100
 
 
 def scaled(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -154,11 +154,17 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
     spark = train.sparkSession
     tr, te = scaled(train, test, features)
     tr, te = (materialize_spread(d.select(F.col(key).cast("string").alias("_id"), "label", "features")) for d in (tr, te))
-    named = list((models or panel(len(features), tr.count())).items())
+    named = list((panel(len(features), tr.count()) if models is None else models).items())
     with ThreadPool(PARALLEL_FITS) as pool:
         fitted = pool.map(lambda x: x[1].fit(tr.select("label", "features")), named)
     columns = ["model", "label", "prediction", "score"]
     parts = [_score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]
+    grown = None
+    if models is None:
+        both = tr.withColumn("fold", F.lit(1)).unionByName(te.withColumn("fold", F.lit(0)))
+        rows = both.select(F.col("_id").alias("key"), "label", "fold", vector_to_array("features").alias("x"))
+        scored, grown = forests(rows, features, [0], TREES, seed, balanced=False)
+        parts.append(scored.select(F.lit(FOREST).alias("model"), "label", "prediction", "score"))
     if neighbours:
         parts.append(_neighbour_scores(tr, te, []).withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
     scores = materialize(reduce(DataFrame.unionByName, parts))
@@ -190,7 +196,10 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
     total = F.sum("v").over(Window.partitionBy("model"))
     names = F.array(*map(F.lit, features))
     lost = drops.select("model", names[F.col("_j")].alias("feature"), F.when(total > 0, F.col("v") / total).otherwise(F.col("v")).alias("importance"))
-    return scores, spark.createDataFrame(rows, "model string, feature string, importance double").unionByName(lost)
+    known = spark.createDataFrame(rows, "model string, feature string, importance double")
+    if grown is not None:
+        known = known.unionByName(grown.select(F.lit(FOREST).alias("model"), "feature", "importance"))
+    return scores, known.unionByName(lost)
 
 
 def panel_report(scores: DataFrame, groups: list[str]) -> DataFrame:
@@ -215,30 +224,20 @@ def author_experiment(df: DataFrame, sets: dict[str, list[str]], key: str) -> tu
     return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, weights)
 
 
-def forest(trees: int, seed: int = 42, max_depth: int = 30) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, weightCol="weight", featuresCol="features")
-
-
-def forest_folds(df: DataFrame, features: list[str], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42,
-                 importances: list | None = None) -> DataFrame:
-    """Out-of-fold predictions of a balanced random forest; NULL features become 0."""
-    d = _labelled(df.fillna(0.0, subset=features), target)
-    d = with_class_weights(folds(d, key, "label", k, seed, exact=True), "label")
-    d = materialize_spread(VectorAssembler(inputCols=features, outputCol="features").transform(d).select(key, "label", "fold", "weight", "features"))
-    return fold_predictions(d, "fold", k, lambda _: forest(trees, seed), importances)
+def forest_folds(df: DataFrame, features: list[str], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold predictions of a balanced random forest, and every fold's importances; NULL features become 0."""
+    d = folds(_labelled(df.fillna(0.0, subset=features), target), key, "label", k, seed, exact=True)
+    rows = d.select(F.col(key).cast("string").alias("key"), "label", "fold", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    scores, weights = forests(materialize(rows), features, list(range(k)), trees, seed)
+    return materialize(scores.select("label", "prediction", "score", "fold")), weights
 
 
 def forest_sets(df: DataFrame, sets: dict[str, list[str]], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions of a forest on every feature set, and the importances of every fold's forest."""
     d = materialize(df)
 
-    def one(item):
-        fitted: list = []
-        p = forest_folds(d, item[1], target, key, trees, k, seed, fitted)
-        return p, importance_rows(df.sparkSession, fitted, item[1])
-
     with ThreadPool(PARALLEL_FITS) as pool:  # feature sets are independent
-        made = pool.map(one, sets.items())
+        made = pool.map(lambda item: forest_folds(d, item[1], target, key, trees, k, seed), sets.items())
     tag = lambda d, name: d.select(F.lit(name).alias("feature_set"), F.lit(len(sets[name])).alias("n_features"), "*")
     return tuple(reduce(DataFrame.unionByName, [tag(m[i], name) for name, m in zip(sets, made)]) for i in (0, 1))
 
@@ -257,12 +256,6 @@ def evaluate_feature_sets(df: DataFrame, sets: dict[str, list[str]], target: str
     return feature_set_report(forest_sets(df, sets, target, key, trees, k, seed)[0])
 
 
-def importance_rows(spark, models: list, features: list[str]) -> DataFrame:
-    """Tree importances of fitted models as rows (one per fold and feature)."""
-    rows = [(i, f, float(m.featureImportances[j])) for i, m in enumerate(models) for j, f in enumerate(features)]
-    return spark.createDataFrame(rows, "fold int, feature string, importance double")
-
-
 def wald_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Coefficient, standard error, z, p and odds ratio of a logistic model on standardised features."""
     spark = df.sparkSession
