@@ -270,3 +270,81 @@ def vote(neighbours: DataFrame, key: str) -> DataFrame:
     c = neighbours.groupBy(key, "_nlabel").agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy(key).orderBy(F.desc("votes"), "_nlabel")
     return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, F.col("_nlabel").alias("prediction"), "votes")
+
+
+#: Training rows nearest without a feature that are measured for its variants first; rows of a block of training rows and of queries.
+NEAR, BLOCK, ASKED = 512, 32_768, 1024
+
+
+def _variant_neighbours(q: np.ndarray, others: np.ndarray, tx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(variant, training row, distance) of the k nearest rows of every variant of ``q``; variant r * features + j has feature j from row r of ``others``.
+
+    A row is at least as far from a variant as it is without the feature, so those nearest without it are measured first; where their
+    k-th best does not rule out the rest, all rows are.
+    """
+    repeats, width = others.shape
+    squares = (tx - q).T ** 2
+    without = np.maximum(0, squares.sum(axis=0) - squares)
+    m, n = min(k, len(tx)), min(NEAR, len(tx))
+    near = np.argpartition(without, n - 1, axis=1)[:, :n]
+    part = np.take_along_axis(without, near, axis=1)
+    edge = part.max(axis=1) if n < len(tx) else np.full(width, np.inf)
+    feature = np.arange(width)[:, None]
+    rough = part + (others[:, :, None] - tx[near, feature]) ** 2
+    slack = SLACK * ((q * q).sum() + (tx * tx).sum(axis=1).max() + (others * others).max() + 1)
+    limit = np.partition(rough, m - 1, axis=2)[:, :, m - 1] + slack
+    proven = limit + slack < edge
+    r, j, at = np.nonzero((rough <= limit[:, :, None]) & proven[:, :, None])
+    variant, row = [r * width + j], [near[j, at]]
+    for r, j in zip(*np.nonzero(~proven)):
+        rough_all = without[j] + (others[r, j] - tx[:, j]) ** 2
+        found = np.flatnonzero(rough_all <= np.partition(rough_all, m - 1)[m - 1] + slack)
+        variant.append(np.full(len(found), r * width + j))
+        row.append(found)
+    variant, row = np.concatenate(variant), np.concatenate(row)
+    x = np.repeat(q[None], len(variant), axis=0)
+    x[np.arange(len(variant)), variant % width] = others[variant // width, variant % width]
+    d = np.sqrt(((tx[row] - x) ** 2).sum(1))
+    order = np.lexsort((row, d, variant))  # ties stay in the order of the rows
+    variant, row, d = variant[order], row[order], d[order]
+    best = np.arange(len(variant)) - np.searchsorted(variant, variant) < m
+    return variant[best], row[best], d[best]
+
+
+def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, others: str, label: str, k: int = 5) -> DataFrame:
+    """(key, _rep, _j, _near): the exact k nearest training rows of every variant of every test row, as an array of (_d, _nid, _nlabel).
+
+    ``others`` holds vectors; variant (_rep, _j) has component _j of the vector with index _rep. Blocks of test and training rows meet
+    in tasks, in which a test row is measured once for all of its variants; the k best of all blocks are merged.
+    """
+    nt, nq = train.count(), test.count()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tb = max(1, -(-nt // BLOCK))
+    qb = max(1, -(-nq // ASKED), min(nq, -(-2 * cores // tb)))
+    kt, qt, lt = (next(f.dataType for f in d.schema if f.name == c) for d, c in ((train, key), (test, key), (train, label)))
+    schema = T.StructType([T.StructField(key, qt), T.StructField("_rep", T.IntegerType()), T.StructField("_j", T.IntegerType()), T.StructField("_d", T.ArrayType(T.DoubleType())),
+                           T.StructField("_nid", T.ArrayType(kt)), T.StructField("_nlabel", T.ArrayType(lt))])
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(t):
+            t = t.sort_values(key, kind="stable")
+            tx, ids, labels = np.stack(t[vec].to_numpy()).astype(float), t[key].to_numpy(), t[label].to_numpy()
+            for one, x, o in zip(q[key], q[vec], q[others]):
+                x, o = np.asarray(x, float), np.stack(list(o)).astype(float)
+                variant, row, d = _variant_neighbours(x, o, tx, k)
+                m = min(k, len(tx))
+                for v, r, far in zip(variant[::m].tolist(), row.reshape(-1, m), d.reshape(-1, m)):
+                    out.append((one, v // len(x), v % len(x), far, ids[r], labels[r]))
+        return pd.DataFrame(out, columns=schema.names)
+
+    g = ["_qb", "_tb"]
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = test.select(key, vec, others, block(qb).alias("_qb"), every(tb).alias("_tb")).repartition(qb * tb, *g)
+    given = train.select(key, vec, label, block(tb).alias("_tb"), every(qb).alias("_qb")).repartition(qb * tb, *g)
+    found = asked.groupBy(*g).cogroup(given.groupBy(*g)).applyInPandas(run, schema)
+    near = found.select(key, "_rep", "_j", F.arrays_zip("_d", "_nid", "_nlabel").alias("_near"))
+    if tb == 1:
+        return near
+    return near.groupBy(key, "_rep", "_j").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))

@@ -136,12 +136,12 @@ def scaled(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[Data
     return m.transform(train).drop("_raw"), m.transform(test).drop("_raw")
 
 
-def _neighbour_scores(train: DataFrame, test: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """keys, label, prediction, score of the k-nearest vote; both sides have ``features``, and ``_id`` tells their rows apart."""
+def _neighbour_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+    """label, prediction, score of the k-nearest vote; both sides have ``features``, and ``_id`` tells their rows apart."""
     vec = lambda d: d.withColumn("_vec", vector_to_array("features")).drop("features")
     near = knn.nearest(vec(train).select("_id", "_vec", "label"), vec(test).select("_id", "_vec"), "_id", "_vec", "label", k)
     score = near.groupBy("_id").agg(F.avg("_nlabel").alias("score"))
-    return test.select("_id", "label", *keys).join(score, "_id").withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop("_id")
+    return test.select("_id", "label").join(score, "_id").withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop("_id")
 
 
 def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str, models: dict | None = None, neighbours: bool = True, importance: bool = False,
@@ -166,7 +166,7 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
         scored, grown = forests(rows, features, [0], TREES, seed, balanced=False)
         parts.append(scored.select(F.lit(FOREST).alias("model"), "label", "prediction", "score"))
     if neighbours:
-        parts.append(_neighbour_scores(tr, te, []).withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
+        parts.append(_neighbour_scores(tr, te).withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
     scores = materialize(reduce(DataFrame.unionByName, parts))
     if not importance:
         return scores, None
@@ -182,13 +182,17 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
             continue
         rows += [(name, f, float(x)) for f, x in zip(features, v)]
     # Each permuted feature of each repeat is one variant of the test rows; all models score the same variants.
-    met = shuffled_partners(te.withColumn("_a", vector_to_array("features")), "_id", ["_a"], repeats, seed)
+    met = materialize(shuffled_partners(te.withColumn("_a", vector_to_array("features")), "_id", ["_a"], repeats, seed))
     other = met.withColumn("_o", F.explode("_others")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     mixed = F.transform("_a", lambda x, i: F.when(i == F.col("_j"), F.col("_o.row._a")[i]).otherwise(x))
     variants = materialize(other.select(F.concat_ws("#", "_id", "_o.repeat", "_j").alias("_id"), "label", F.col("_j"), F.col("_o.repeat").alias("_rep"), array_to_vector(mixed).alias("features")))
     each = [m.transform(variants).select(F.lit(n).alias("model"), "_j", "_rep", "label", "prediction") for n, m in permuted_for]
     if neighbours:
-        each.append(_neighbour_scores(tr, variants, ["_j", "_rep"]).select(F.lit(NEIGHBOURS).alias("model"), "_j", "_rep", "label", "prediction"))
+        given = tr.withColumn("_a", vector_to_array("features")).select("_id", "_a", F.col("label").alias("_l"))
+        near = knn.nearest_of_variants(given, met.select("_id", "_a", F.col("_others.row._a").alias("_rows")), "_id", "_a", "_rows", "_l")
+        share = F.aggregate("_near", F.lit(0.0), lambda a, x: a + x["_nlabel"]) / F.size("_near")
+        voted = near.withColumn("prediction", (share > 0.5).cast("double")).join(te.select("_id", "label"), "_id")
+        each.append(voted.select(F.lit(NEIGHBOURS).alias("model"), "_j", "_rep", "label", "prediction"))
     hit = F.avg((F.col("label") == F.col("prediction")).cast("double"))
     base = scores.groupBy("model").agg(hit.alias("_base"))
     drops = reduce(DataFrame.unionByName, each).groupBy("model", "_j", "_rep").agg(hit.alias("_acc")).groupBy("model", "_j").agg(F.avg("_acc").alias("_acc"))
