@@ -46,3 +46,11 @@ def test_blocks_are_merged(spark, monkeypatch, block):
 def test_fewer_rows_than_neighbours():
     variant, row, _ = knn._variant_neighbours(np.zeros(2), np.ones((1, 2)), np.array([[0.0, 1.0], [2.0, 2.0]]), 5)
     assert variant.tolist() == [0, 0, 1, 1] and row.tolist() == [0, 1, 0, 1]
+
+
+def test_blocks_even_out():
+    """Six copies of the smallest author table: a task that gets several blocks has a small share of the work."""
+    tb, qb = knn._blocks(28_800, 7_200, 8)
+    assert tb * qb >= 64
+    assert knn._blocks(28_800, 3, 8) == (1, 3)
+    assert knn._blocks(10_000_000, 1_000_000, 8)[1] == 977

@@ -311,6 +311,12 @@ def _variant_neighbours(q: np.ndarray, others: np.ndarray, tx: np.ndarray, k: in
     return variant[best], row[best], d[best]
 
 
+def _blocks(nt: int, nq: int, cores: int) -> tuple[int, int]:
+    """Blocks of ``nt`` training and ``nq`` test rows. Pairs of blocks fall on tasks by a hash, so there are many small ones, which even out."""
+    tb = max(1, -(-nt // BLOCK))
+    return tb, max(1, -(-nq // ASKED), min(nq, -(-8 * cores // tb)))
+
+
 def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, others: str, label: str, k: int = 5) -> DataFrame:
     """(key, _rep, _j, _near): the exact k nearest training rows of every variant of every test row, as an array of (_d, _nid, _nlabel).
 
@@ -318,9 +324,7 @@ def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, o
     in tasks, in which a test row is measured once for all of its variants; the k best of all blocks are merged.
     """
     nt, nq = train.count(), test.count()
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    tb = max(1, -(-nt // BLOCK))
-    qb = max(1, -(-nq // ASKED), min(nq, -(-2 * cores // tb)))
+    tb, qb = _blocks(nt, nq, train.sparkSession.sparkContext.defaultParallelism)
     kt, qt, lt = (next(f.dataType for f in d.schema if f.name == c) for d, c in ((train, key), (test, key), (train, label)))
     schema = T.StructType([T.StructField(key, qt), T.StructField("_rep", T.IntegerType()), T.StructField("_j", T.IntegerType()), T.StructField("_d", T.ArrayType(T.DoubleType())),
                            T.StructField("_nid", T.ArrayType(kt)), T.StructField("_nlabel", T.ArrayType(lt))])
