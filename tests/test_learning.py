@@ -177,6 +177,12 @@ def test_vocabulary_from_summaries(spark, monkeypatch, summary, distinct, most):
         assert {t: n for (x, t), n in got.items() if x == d} == {w: df[w] for w in want}
 
 
+def test_svd_tasks_do_not_grow_with_partitions(spark):
+    rows = spark.range(1000).repartition(300)
+    assert tfidf._gathered(rows).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert tfidf._gathered(rows).count() == 1000
+
+
 def test_svd_of_all_domains_at_once(spark):
     rng = np.random.default_rng(5)
     shapes, rows, whole = {"a": (60, 35), "b": (8, 50), "c": (30, 4), "d": (5, 1)}, [], {}

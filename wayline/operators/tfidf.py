@@ -204,11 +204,17 @@ class SparseSVD:
         self.terms, self.values, self.vectors, self.residuals = terms, values, vectors, residuals
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """The rows in two partitions a core at most, without a shuffle: every task hands on sums of the vocabulary's size, so their number must not grow with the input."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _multiplied(rows: DataFrame, domain: str, blocks: dict) -> dict:
     """A'A V of every domain in one pass: rows are multiplied and added up in tasks, then by blocks of terms over all tasks."""
     sent = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_direction = {d: np.ascontiguousarray(v.T) for d, v in sent.value.items()}
         held: dict[object, np.ndarray] = {}
         for batch in pieces(batches, 1):
             lists, weight = batch.column(1), np.asarray(batch.column(2).flatten())
@@ -216,24 +222,27 @@ def _multiplied(rows: DataFrame, domain: str, blocks: dict) -> dict:
             row, at = np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten())
             names = np.array(batch.column(0).to_pylist(), object)
             for d in dict.fromkeys(names.tolist()):
-                if d not in sent.value:
+                if d not in by_direction:
                     continue
-                v = sent.value[d]
+                v = by_direction[d]
                 use = (names == d)[row]
-                r, a, w = row[use], at[use], weight[use]
+                r, a, w = row[use], at[use].astype(np.int64), weight[use]
                 into = held.setdefault(d, np.zeros(v.shape))
-                for c in range(v.shape[1]):  # one direction at a time keeps the memory at the size of the batch
-                    y = np.bincount(r, weights=w * v[a, c], minlength=len(sizes))
-                    into[:, c] += np.bincount(a, weights=w * y[r], minlength=len(v))
+                for c in range(len(v)):  # one direction at a time keeps the memory at the size of the batch
+                    y = np.bincount(r, weights=w * v[c][a], minlength=len(sizes))
+                    into[c] += np.bincount(a, weights=w * y[r], minlength=v.shape[1])
         for d, z in held.items():
-            flat = z.ravel()
+            flat = np.ascontiguousarray(z.T).ravel()
             for at in range(0, len(flat), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.string()), pa.array([at], pa.int64()), pa.array([flat[at : at + BLOCK].tolist()], pa.list_(pa.float64()))], names=["d", "at", "z"])
+                part = flat[at : at + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.string()), pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], names=["d", "at", "z"])
 
-    summed = rows.select(F.col(domain).cast("string"), "at", "weight").mapInArrow(run, "d string, at long, z array<double>").groupBy("d", "at").agg(vector_to_array(Summarizer.sum(array_to_vector("z"))).alias("z"))
+    summed = _gathered(rows.select(F.col(domain).cast("string"), "at", "weight")).mapInArrow(run, "d string, at long, z array<double>").groupBy("d", "at").agg(vector_to_array(Summarizer.sum(array_to_vector("z"))).alias("z"))
     out = {d: np.zeros(v.size) for d, v in blocks.items()}
-    for r in summed.collect():  # terms x directions, bounded by the vocabulary
-        out[r["d"]][r["at"] : r["at"] + len(r["z"])] = r["z"]
+    for batch in summed.toArrow().to_batches():  # terms x directions, bounded by the vocabulary
+        for i, (d, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            z = np.asarray(batch.column(2)[i].values)
+            out[d][at : at + len(z)] = z
     sent.destroy()
     return {d: z.reshape(blocks[d].shape) for d, z in out.items()}
 
@@ -261,6 +270,7 @@ def sparse_svd(rows: DataFrame, domain: str, terms: dict, k: int = 10, seed: int
     block = {d: np.linalg.qr(rng.standard_normal((len(t), wide[d])))[0] for d, t in terms.items()}
     basis = {d: np.zeros((len(t), 0)) for d, t in terms.items()}
     image = {d: np.zeros((len(t), 0)) for d, t in terms.items()}
+    small = {d: np.zeros((0, 0)) for d in terms}
     values, vectors, residuals = {}, {}, {}
     for _ in range(STEPS):
         open_ = {d: b for d, b in block.items() if b.shape[1]}
@@ -268,8 +278,10 @@ def sparse_svd(rows: DataFrame, domain: str, terms: dict, k: int = 10, seed: int
             break
         for d, z in _multiplied(rows, domain, open_).items():
             basis[d], image[d] = np.concatenate([basis[d], block[d]], axis=1), np.concatenate([image[d], z], axis=1)
-            small = basis[d].T @ image[d]
-            value, y = np.linalg.eigh((small + small.T) / 2)
+            with_new, n = basis[d].T @ z, len(small[d])
+            corner = with_new[n:]
+            small[d] = np.block([[small[d], with_new[:n]], [with_new[:n].T, (corner + corner.T) / 2]])
+            value, y = np.linalg.eigh(small[d])
             top = np.argsort(-value)[: min(k, len(value))]
             v = basis[d] @ y[:, top]
             left = np.linalg.norm(image[d] @ y[:, top] - v * value[top], axis=0)
