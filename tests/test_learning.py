@@ -177,6 +177,20 @@ def test_vocabulary_from_summaries(spark, monkeypatch, summary, distinct, most):
         assert {t: n for (x, t), n in got.items() if x == d} == {w: df[w] for w in want}
 
 
+def test_prepared_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    df = spark.range(400).selectExpr("cast(id as string) AS id", "'a' AS level", "cast(id % 2 as int) AS target", "cast(id % 7 as double) AS x")
+    rows, slices = batched.prepared(df.mapInPandas(counted, df.schema), ["level"], ["x"], "target", "id")
+    assert rows.count() == 400 and slices == [("a",)]
+    assert read.value == 400
+
+
 def test_svd_tasks_do_not_grow_with_partitions(spark):
     rows = spark.range(1000).repartition(300)
     assert tfidf._gathered(rows).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism

@@ -242,7 +242,7 @@ def prepared(df: DataFrame, names: list[str], features: list[str], target: str,
     ``train_share=None`` holds nothing out. Slice columns are read as text; a slice needs both classes, and rows with a NULL in a
     slice column belong to none.
     """
-    df = df.dropna(how="any", subset=[*names, target])
+    df = materialize(df.select(*dict.fromkeys([*names, key, target, *features])).dropna(how="any", subset=[*names, target]))  # read by many passes
     both = df.groupBy(*names).agg(F.count_distinct(target).alias("_k")).where("_k = 2").select(*names).orderBy(*names)
     slices = [tuple(r) for r in both.select(*[F.col(n).cast("string") for n in names]).collect()]
     table = df.sparkSession.createDataFrame([(*v, i) for i, v in enumerate(slices)], ", ".join([*(f"_s_{n} string" for n in names), "s int"]))
