@@ -272,35 +272,42 @@ def vote(neighbours: DataFrame, key: str) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, F.col("_nlabel").alias("prediction"), "votes")
 
 
-#: Training rows nearest without a feature that are measured for its variants first; rows of a block of training rows and of queries.
+#: Training rows near without a feature that are measured for its variants first, about; rows of a block of training rows and of queries.
 NEAR, BLOCK, ASKED = 512, 32_768, 1024
+#: Of the training rows nearest without a feature, how many a sample tells them by.
+SAMPLED = 32
 
 
 def _variant_neighbours(q: np.ndarray, others: np.ndarray, tx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(variant, training row, distance) of the k nearest rows of every variant of ``q``; variant r * features + j has feature j from row r of ``others``.
 
-    A row is at least as far from a variant as it is without the feature, so those nearest without it are measured first; where their
-    k-th best does not rule out the rest, all rows are.
+    A row is at least as far from a variant as it is without the feature. Rows near without it, about NEAR of them, are measured first;
+    their k-th best bounds the variant's, and only rows that are no farther without the feature are measured for it.
     """
     repeats, width = others.shape
-    squares = (tx - q).T ** 2
-    without = np.maximum(0, squares.sum(axis=0) - squares)
-    m, n = min(k, len(tx)), min(NEAR, len(tx))
-    near = np.argpartition(without, n - 1, axis=1)[:, :n]
-    part = np.take_along_axis(without, near, axis=1)
-    edge = part.max(axis=1) if n < len(tx) else np.full(width, np.inf)
-    feature = np.arange(width)[:, None]
-    rough = part + (others[:, :, None] - tx[near, feature]) ** 2
-    slack = SLACK * ((q * q).sum() + (tx * tx).sum(axis=1).max() + (others * others).max() + 1)
-    limit = np.partition(rough, m - 1, axis=2)[:, :, m - 1] + slack
-    proven = limit + slack < edge
-    r, j, at = np.nonzero((rough <= limit[:, :, None]) & proven[:, :, None])
-    variant, row = [r * width + j], [near[j, at]]
-    for r, j in zip(*np.nonzero(~proven)):
-        rough_all = without[j] + (others[r, j] - tx[:, j]) ** 2
-        found = np.flatnonzero(rough_all <= np.partition(rough_all, m - 1)[m - 1] + slack)
-        variant.append(np.full(len(found), r * width + j))
-        row.append(found)
+    m, step = min(k, len(tx)), max(1, NEAR // SAMPLED)
+    squares = (tx.T - q[:, None]) ** 2
+    whole = squares.sum(axis=0)
+    slack = SLACK * ((q * q).sum() + 2 * (whole.max() + (q * q).sum()) + (others * others).max() + 1)
+    rank = max(m, NEAR // step) - 1
+    variant, row = [], []
+    for j in range(width):
+        without, at_j = whole - squares[j], tx[:, j]
+        part = without[::step]
+        edge = np.partition(part, rank)[rank] if rank < len(part) else np.inf
+        near = np.flatnonzero(without <= edge)
+        rough = without[near] + (others[:, j, None] - at_j[near]) ** 2
+        limit = np.partition(rough, m - 1, axis=1)[:, m - 1] + slack
+        proven = limit + slack < edge
+        r, at = np.nonzero((rough <= limit[:, None]) & proven[:, None])
+        variant.append(r * width + j)
+        row.append(near[at])
+        for r in np.flatnonzero(~proven):
+            may = np.flatnonzero(without <= limit[r] + slack)
+            rough_all = without[may] + (others[r, j] - at_j[may]) ** 2
+            found = may[rough_all <= np.partition(rough_all, m - 1)[m - 1] + slack]
+            variant.append(np.full(len(found), r * width + j))
+            row.append(found)
     variant, row = np.concatenate(variant), np.concatenate(row)
     x = np.repeat(q[None], len(variant), axis=0)
     x[np.arange(len(variant)), variant % width] = others[variant // width, variant % width]
@@ -333,7 +340,7 @@ def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, o
         out = []
         if len(q) and len(t):
             t = t.sort_values(key, kind="stable")
-            tx, ids, labels = np.stack(t[vec].to_numpy()).astype(float), t[key].to_numpy(), t[label].to_numpy()
+            tx, ids, labels = np.asfortranarray(np.stack(t[vec].to_numpy()).astype(float)), t[key].to_numpy(), t[label].to_numpy()
             for one, x, o in zip(q[key], q[vec], q[others]):
                 x, o = np.asarray(x, float), np.stack(list(o)).astype(float)
                 variant, row, d = _variant_neighbours(x, o, tx, k)

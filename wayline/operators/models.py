@@ -155,18 +155,25 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
     tr, te = scaled(train, test, features)
     tr, te = (materialize_spread(d.select(F.col(key).cast("string").alias("_id"), "label", "features")) for d in (tr, te))
     named = list((panel(len(features), tr.count()) if models is None else models).items())
-    with ThreadPool(PARALLEL_FITS) as pool:
-        fitted = pool.map(lambda x: x[1].fit(tr.select("label", "features")), named)
     columns = ["model", "label", "prediction", "score"]
-    parts = [_score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]
-    grown = None
-    if models is None:
+
+    def grow():
         both = tr.withColumn("fold", F.lit(1)).unionByName(te.withColumn("fold", F.lit(0)))
         rows = both.select(F.col("_id").alias("key"), "label", "fold", vector_to_array("features").alias("x"))
-        scored, grown = forests(rows, features, [0], TREES, seed, balanced=False)
+        return forests(rows, features, [0], TREES, seed, balanced=False)
+
+    # Fits that run many small jobs one after the other leave room for the forest and the neighbours.
+    with ThreadPool(PARALLEL_FITS + 2) as pool:
+        grown = pool.apply_async(grow) if models is None else None
+        voted = pool.apply_async(_neighbour_scores, (tr, te)) if neighbours else None
+        fitted = pool.map(lambda x: x[1].fit(tr.select("label", "features")), named, 1)
+        scored, grown = grown.get() if grown else (None, None)
+        voted = voted.get() if voted else None
+    parts = [_score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]
+    if scored is not None:
         parts.append(scored.select(F.lit(FOREST).alias("model"), "label", "prediction", "score"))
-    if neighbours:
-        parts.append(_neighbour_scores(tr, te).withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
+    if voted is not None:
+        parts.append(voted.withColumn("model", F.lit(NEIGHBOURS)).select(*columns))
     scores = materialize(reduce(DataFrame.unionByName, parts))
     if not importance:
         return scores, None
@@ -217,15 +224,14 @@ def evaluate_panel(train: DataFrame, test: DataFrame, features: list[str], key:
     return panel_report(fit_panel(train, test, features, key, models)[0], ["model"])
 
 
-def author_experiment(df: DataFrame, sets: dict[str, list[str]], key: str) -> tuple[DataFrame, DataFrame]:
-    """The panel on every statistic's features over one shared split (``label``, ``is_train``): (statistic, model, label, prediction,
-    score) of the test rows, and (statistic, model, feature, importance)."""
+def author_experiment(df: DataFrame, sets: dict[str, list[str]], key: str, importance: bool = True) -> dict[str, dict[str, DataFrame]]:
+    """The panel on every statistic's features over one shared split (``label``, ``is_train``). For each statistic ``scores``: (statistic,
+    model, label, prediction, score) of the test rows, and on request ``importances``: (statistic, model, feature, importance)."""
     train, test = df.where("is_train"), df.where("NOT is_train")
     with ThreadPool(PARALLEL_FITS) as pool:  # statistics are independent
-        made = pool.map(lambda x: fit_panel(train, test, x[1], key, importance=True), sets.items())
-    scores = [s.select(F.lit(name).alias("statistic"), "*") for name, (s, _) in zip(sets, made)]
-    weights = [w.select(F.lit(name).alias("statistic"), "*") for name, (_, w) in zip(sets, made)]
-    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, weights)
+        made = pool.map(lambda x: fit_panel(train, test, x[1], key, importance=importance), sets.items(), 1)
+    tables = lambda name, pair: {t: df.select(F.lit(name).alias("statistic"), "*") for t, df in zip(("scores", "importances"), pair) if df is not None}
+    return {name: tables(name, pair) for name, pair in zip(sets, made)}
 
 
 def forest_folds(df: DataFrame, features: list[str], target: str, key: str, trees: int = 300, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:

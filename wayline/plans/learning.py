@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import features as feat
@@ -585,32 +588,38 @@ def author_dataset(spark, sf, stat):
 
 
 STATISTICS = ("cv", "rmssd_norm", "masd_norm")
+EVERY = (*STATISTICS, "all")
 
 
-def author_results(spark, sf):
-    """Predictions and importances of the whole author experiment: ids complete in every statistic, one shared split, the panel on each
-    statistic and on all side by side. Kept under a key of the author table."""
+def author_results(spark, sf, statistics, importance=False):
+    """Tables of the author experiment on the given statistics, "all" standing for all side by side: ids complete in every statistic, one
+    shared split, the panel on each. Predictions, and on request importances; each statistic is kept under a key of the author table, so a
+    report only waits for what it reads."""
     t = materialize(author_table(spark, sf).dropna(how="any", subset=[f"{f}_{s}" for f in FEATURES for s in STATISTICS]))
+    key = store.fingerprint(t)
+    sets = {s: [f"{f}_{s}" for f in FEATURES] for s in STATISTICS}
+    sets["all"] = [c for cols in sets.values() for c in cols]
 
-    def make():
+    def make(missing):
         d = materialize(split.split(t.withColumn("label", F.col("target").cast("double")), "id", "label", 0.8, exact=True))
-        sets = {s: [f"{f}_{s}" for f in FEATURES] for s in STATISTICS}
-        sets["all"] = [c for cols in sets.values() for c in cols]
-        scores, weights = models.author_experiment(d, sets, "id")
-        return {"scores": scores, "importances": weights}
+        return models.author_experiment(d, {s: sets[s] for s in missing}, "id", importance)
 
-    return store.stored(spark, "author-experiment", store.fingerprint(t), make)
+    parts = store.stored_parts(spark, ["author-experiment"] if importance else ["author-experiment", "author-scores"], {s: f"{s}-{key}" for s in statistics}, make)
+    return {name: reduce(DataFrame.unionByName, [p[name] for p in parts.values()]) for name in ("scores", "importances")[: 1 + importance]}
 
 
 @query("K20_author_experiment")
 def k20(spark, sf):
-    return rounded(models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]), 4)
+    return rounded(models.panel_report(author_results(spark, sf, EVERY)["scores"], ["statistic", "model"]), 4)
 
 
 def model_importances(spark, sf):
     """(statistic, model, feature, importance) of the fitted panel, features by their bare names."""
-    w = author_results(spark, sf)["importances"].where("statistic <> 'all'")
-    return w.withColumn("feature", F.regexp_replace("feature", "_(cv|rmssd_norm|masd_norm)$", ""))
+    return bare_importances(author_results(spark, sf, STATISTICS, importance=True))
+
+
+def bare_importances(results):
+    return results["importances"].withColumn("feature", F.regexp_replace("feature", "_(cv|rmssd_norm|masd_norm)$", ""))
 
 
 @query("K14_panel_importances")
@@ -633,6 +642,6 @@ def f17p(spark, sf):
 @query("G4_best_panel_model")
 def g4p(spark, sf):
     """The most accurate model of each statistic, and overall; ties go by name."""
-    acc = models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]).select("statistic", "model", "accuracy")
+    acc = models.panel_report(author_results(spark, sf, EVERY)["scores"], ["statistic", "model"]).select("statistic", "model", "accuracy")
     best = acc.groupBy("statistic").agg(F.min_by("model", F.struct(-F.col("accuracy"), "model")).alias("model"), F.max("accuracy").alias("accuracy"))
     return rounded(best, 4)

@@ -11,7 +11,7 @@ from wayline.operators import evaluate, models, report
 from wayline.operators.ordered import top_n
 from wayline.operators.trend import slope_of
 from wayline.plans.comparison import UNI, comparisons, is_human, per_feature_tests, unified, unified_long, win_counts
-from wayline.plans.learning import author_results, model_importances
+from wayline.plans.learning import STATISTICS, author_results, bare_importances, model_importances
 from wayline.plans.registry import query
 from wayline.plans.trajectory import K4, KEYS4, YL, long_years, yearly_stats
 from wayline.sources.bindings import (
@@ -327,9 +327,10 @@ def e23pc(spark, sf):
 
 @query("E24_panel_importance_of_best_models")
 def e24p(spark, sf):
-    acc = models.panel_report(author_results(spark, sf)["scores"], ["statistic", "model"]).where("statistic <> 'all'")
+    made = author_results(spark, sf, STATISTICS, importance=True)
+    acc = models.panel_report(made["scores"], ["statistic", "model"])
     best = report.best_model(acc, ["statistic"]).select("statistic", "model")
-    f = model_importances(spark, sf).join(best, ["statistic", "model"]).groupBy("feature").agg(F.avg("importance").alias("importance"))
+    f = bare_importances(made).join(best, ["statistic", "model"]).groupBy("feature").agg(F.avg("importance").alias("importance"))
     return rounded(feat.with_layer(f, feat.feature_dim(spark, LAYER)).groupBy("layer").agg(
         F.sum("importance").alias("total"), F.avg("importance").alias("mean"), F.count(F.lit(1)).alias("n")), 6)
 
