@@ -1,9 +1,11 @@
 """Exact k-nearest-neighbour vote without a cross join.
 
-Training rows are assigned to their nearest pivot; a metric tree over the pivots finds it without measuring them all. A query
-first searches its own cell, which bounds its k-th distance; it then goes down the tree, whose nodes know the radius around all
-rows below them, and visits only cells that the triangle inequality cannot rule out. Large cells are cut into chunks on both
-sides, so a task sees at most ``chunk`` training and ``chunk`` query rows, and the k best of all chunks are merged.
+Space is cut into regions of about as many training rows each, along the main axes of a sample. A query searches its own region,
+which bounds its k-th distance, and then visits only regions whose box is no farther than that. Inside a task, training rows
+lie in small boxes and queries in small groups, and a group is measured only against boxes that its bounds cannot rule out.
+Large regions are cut into chunks on both sides, so a task sees a bounded number of rows, and the k best of all parts are merged.
+
+``visited_cells`` tells how the same search goes with cells around pivots and the triangle inequality.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,22 +235,309 @@ def pivots_for(n: int) -> int:
     return max(1, min(PIVOTS, max(math.isqrt(n), -(-n // CELL))))
 
 
-def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None, chunk: int = 4096) -> DataFrame:
+#: Training rows of a region and of a small box in it, queries of a group, rows of the sample that cuts space, rows of a region on small tables.
+REGION, BOX, TOGETHER, SAMPLE, LEAST = 65_536, 32, 64, 20_000, 4096
+#: Boxes that a query is measured against first; numbers of an array of distances between queries and rows of single boxes.
+AHEAD, PAIRS = 6, 200_000
+
+
+class Regions:
+    """Space cut by planes across the main axes of a sample, each time in halves of the sample; a region holds rows of the sample."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.axes, self.cuts, self.count = np.eye(sample.shape[1]), [], 1
+        if len(sample) > 1:
+            self.axes = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(sample.shape[1], -1))[1]
+        y = self.turned(sample)
+        sizes = {0: np.arange(len(y))}
+        whole = set()
+        while len(sizes) < n and len(whole) < len(sizes):
+            place = max(sizes.keys() - whole, key=lambda r: (len(sizes[r]), -r))
+            at = sizes[place]
+            part = y[at]
+            axis = int(np.ptp(part, axis=0).argmax())
+            values = np.sort(part[:, axis])
+            # The step next to the middle; steps that are rounding noise are none.
+            steps = np.flatnonzero(np.diff(values) > SLACK * np.abs(values).max(initial=0))
+            if not len(steps):
+                whole.add(place)  # equal rows: they are dealt in chunks
+                continue
+            step = steps[np.abs(steps - len(at) // 2 + 1).argmin()]
+            value, new = float(values[step] + values[step + 1]) / 2, self.count
+            self.cuts.append((place, axis, value, new))
+            self.count += 1
+            right = part[:, axis] > value
+            sizes[place], sizes[new] = at[~right], at[right]
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """Rows in the main axes: distances stay."""
+        return x @ self.axes
+
+    def places(self, y: np.ndarray) -> np.ndarray:
+        """The region of every turned row; cuts are gone through in the order in which they were made."""
+        place, held = np.zeros(len(y), np.int32), {0: np.arange(len(y))}
+        for region, axis, value, new in self.cuts:
+            at = held[region]
+            right = y[at, axis] > value
+            held[region], held[new] = at[~right], at[right]
+        for region, at in held.items():
+            place[at] = region
+        return place
+
+
+def _packed(y: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of small boxes of at most ``size`` rows that lie near each other."""
+    out, todo = [], [np.arange(len(y))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        part = y[at]
+        half = len(at) // 2
+        order = np.argpartition(part[:, int(np.ptp(part, axis=0).argmax())], half)
+        todo += [at[order[:half]], at[order[half:]]]
+    return out
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes (from_, to) from boxes (low, high), one row for each of the former."""
+    out = np.zeros((len(from_), len(low)))
+    for j in range(low.shape[1]):
+        gap = np.maximum(low[:, j] - to[:, j, None], from_[:, j, None] - high[:, j])
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        out += gap
+    return out
+
+
+def _near_rows(qx: np.ndarray, tx: np.ndarray, axes: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, training row, distance) of the k nearest training rows of every query, nearest first, ties in the order of the rows.
+
+    Rows farther than a query's ``bound`` may be left out. A query is measured against its nearest boxes, and then against all others
+    within the distance that is known from them.
+    """
+    qy, ty, width = qx @ axes, tx @ axes, tx.shape[1]
+    m = min(k, len(tx))
+    boxes = _packed(ty, BOX)
+    held = np.full((len(boxes), max(map(len, boxes))), -1)
+    for i, at in enumerate(boxes):
+        held[i, : len(at)] = at
+    lanes = [np.where(held >= 0, ty[held, j], np.inf) for j in range(width)]
+    low, high = (np.stack([f(x, axis=1) for x in lanes], axis=1) for f in (np.min, lambda x, axis: np.where(np.isinf(x), -np.inf, x).max(axis=axis)))
+    slack = SLACK * ((qy * qy).sum(1) + (ty * ty).sum(1).max())
+    known = (np.minimum(bound, 1e150) * (1 + SLACK)) ** 2 + 2 * slack
+    ahead = min(len(boxes), max(AHEAD, -(-4 * m // BOX)))
+    found = []
+
+    def apart(query: np.ndarray, box: np.ndarray) -> np.ndarray:
+        """Squared distances of the queries from the rows of one box each."""
+        out = np.zeros((len(query), held.shape[1]))
+        for j, lane in enumerate(lanes):
+            gap = lane[box]
+            gap -= qy[query, j][:, None]
+            gap *= gap
+            out += gap
+        return out
+
+    def bounded(query: np.ndarray, boxes_: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Squared distances of each query from the rows of its boxes; their k-th lowers its limit."""
+        near = apart(np.repeat(query, boxes_.shape[1]), boxes_.reshape(-1)).reshape(len(query), -1)
+        if near.shape[1] >= m:
+            limit[query] = np.minimum(limit[query], np.partition(near, m - 1, axis=1)[:, m - 1] + 2 * slack[query])
+        return near
+
+    def pairs(query: np.ndarray, box: np.ndarray, limit: np.ndarray) -> None:
+        """Keep the rows of the boxes within the limit."""
+        for i in range(0, len(query), max(1, PAIRS // held.shape[1])):
+            q, b = query[i:i + max(1, PAIRS // held.shape[1])], box[i:i + max(1, PAIRS // held.shape[1])]
+            at, place = np.nonzero(apart(q, b) <= limit[q, None])
+            found.append((q[at], held[b[at], place]))
+
+    def together(query: np.ndarray, boxes_: np.ndarray, limit: np.ndarray) -> None:
+        """The same for all of the queries next to all of the boxes."""
+        rows = held[boxes_].reshape(-1)
+        rows = rows[rows >= 0]
+        for i in range(0, len(query), max(1, CUBE // len(rows))):
+            mine = query[i:i + max(1, CUBE // len(rows))]
+            at, place = np.nonzero(_rough(qy[mine], ty[rows]) <= limit[mine, None])
+            found.append((mine[at], rows[place]))
+
+    done, limit = [], np.zeros(len(qy))
+    for group in _packed(qy, TOGETHER):
+        y, found = qy[group], []
+        around = y.min(axis=0)[None], y.max(axis=0)[None]
+        middle = (around[0] + around[1]) / 2
+        # A first bound from boxes near the group, a close one from those nearest to each query.
+        limit[group] = known[group]
+        first = np.argpartition(_gaps(low, high, middle, middle)[0], ahead - 1)[:ahead]
+        bounded(group, first[None].repeat(len(group), axis=0), limit)
+        may = np.flatnonzero(_gaps(low, high, *around)[0] <= limit[group].max())
+        may = np.union1d(may, first)
+        gaps = _gaps(low[may], high[may], y, y)
+        first = np.argpartition(gaps, ahead - 1, axis=1)[:, :ahead]
+        near = bounded(group, may[first], limit)
+        within = gaps <= limit[group, None]
+        np.put_along_axis(within, first, True, axis=1)
+        some = may[within.any(axis=0)]
+        if within.sum() * width < 2 * len(group) * len(some):
+            at, place = np.nonzero(near <= limit[group, None])
+            found.append((group[at], held[may[first]].reshape(len(group), -1)[at, place]))
+            np.put_along_axis(within, first, False, axis=1)
+            at, box = np.nonzero(within)
+            pairs(group[at], may[box], limit)
+        else:
+            together(group, some, limit)
+        query, row = (np.concatenate(x) for x in zip(*found))
+        query, row = query[row >= 0], row[row >= 0]
+        d = np.sqrt(((tx[row] - qx[query]) ** 2).sum(1))
+        order = np.lexsort((row, d, query))
+        query, row, d = query[order], row[order], d[order]
+        best = np.arange(len(query)) - np.searchsorted(query, query) < m
+        done.append((query[best], row[best], d[best]))
+    query, row, d = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(query, kind="stable")
+    return query[order], row[order], d[order]
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _placed(df: DataFrame, vec: str, sent) -> DataFrame:
+    """Every row with ``_cell``, its region. Rows without a vector of finite numbers are near to none and left out."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType())])
+    at, names = df.columns.index(vec), [*df.columns, "_cell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(at).is_valid())
+            if b.num_rows:
+                x = _vectors(b.column(at))
+                fine = np.isfinite(x).all(axis=1)
+                b = b.filter(pa.array(fine))
+                if not b.num_rows:
+                    continue
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.places(sent.value.turned(x[fine])))], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _boxes(train: DataFrame, vec: str, sent) -> DataFrame:
+    """Rows of every region in each batch, and the box around them in the main axes."""
+    at, cell_at = train.columns.index(vec), train.columns.index("_cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, cell = sent.value.turned(_vectors(b.column(at))), np.asarray(b.column(cell_at))
+            order = np.argsort(cell, kind="stable")
+            cells, first = np.unique(cell[order], return_index=True)
+            y = y[order]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.diff(np.r_[first, len(y)]), pa.int64()), *(pa.array(f.reduceat(y, first, axis=0).tolist(), pa.list_(pa.float64())) for f in (np.minimum, np.maximum))],
+                                             names=["_cell", "n", "low", "high"])
+
+    return train.mapInArrow(run, "_cell int, n long, low array<double>, high array<double>")
+
+
+def _searched(asked: DataFrame, given: DataFrame, key: str, vec: str, label: str, k: int, sent, boxes, units: int) -> DataFrame:
+    """``asked`` with ``_near``, the k nearest rows in a chunk of its region, ``_bound``, the distance that it has k rows within, and on
+    the way home (``boxes`` given) ``_to``, the other regions that are in reach."""
+    kt, lt = (next(f.dataType for f in given.schema if f.name == c) for c in (key, label))
+    near = T.ArrayType(T.StructType([T.StructField("_d", T.DoubleType()), T.StructField("_nid", kt), T.StructField("_nlabel", lt)]))
+    names = [c for c in asked.columns if c not in ("_bound", "_qc")]
+    schema = T.StructType([*(asked.schema[c] for c in names), T.StructField("_bound", T.DoubleType()), T.StructField("_near", near), T.StructField("_to", T.ArrayType(T.IntegerType()))])
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            q, t = q.slice(0, 0), t.slice(0, 0)
+        t = t.sort_by(key).combine_chunks()  # ties go by the key
+        m = q.num_rows
+        row, d, ends, to, to_ends = np.zeros(0, np.int64), np.zeros(0), np.zeros(m + 1, np.int64), np.zeros(0, np.int32), np.zeros(m + 1, np.int64)
+        bound = np.zeros(0)
+        if m:
+            qx, bound = _vectors(q.column(vec)), np.asarray(q.column("_bound"), float)
+            query, row, d = _near_rows(qx, _vectors(t.column(vec)), sent.value.axes, k, bound)
+            ends = np.searchsorted(query, np.arange(m + 1))
+            full = np.diff(ends) >= k
+            bound = bound.copy()
+            bound[full] = np.minimum(bound[full], d[ends[1:][full] - 1])
+        if m and boxes is not None:
+            cells, low, high = boxes.value
+            y, away = sent.value.turned(qx), cells != q.column("_cell")[0].as_py()
+            reach = (np.minimum(bound, 1e150) * (1 + SLACK)) ** 2 + SLACK * ((y * y).sum(1) + np.maximum(low * low, high * high).sum(1).max())
+            out, step = [], max(1, CUBE // len(low))
+            for i in range(0, m, step):
+                out.append((_gaps(low, high, y[i:i + step], y[i:i + step]) <= reach[i:i + step, None]) & away)
+            out = np.concatenate(out)
+            to, to_ends = cells[np.nonzero(out)[1]], np.r_[0, np.cumsum(out.sum(axis=1))]
+        pick = lambda c: t.column(c).combine_chunks().take(pa.array(row))
+        found = pa.StructArray.from_arrays([pa.array(d), pick(key), pick(label)], names=["_d", "_nid", "_nlabel"])
+        return pa.table([*(q.column(c) for c in names), pa.array(bound), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), pa.ListArray.from_arrays(pa.array(to_ends, pa.int32()), pa.array(to, pa.int32()))], names=schema.names)
+
+    g = ["_cell", "_tc", "_qc"]
+    return asked.repartition(units, *g).groupBy(*g).cogroup(given.repartition(units, *g).groupBy(*g)).applyInArrow(run, schema)
+
+
+def _chunked(asked: DataFrame, given: DataFrame, key: str, sizes: dict[int, int], chunk: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with chunk numbers, each copied to the chunks of the other, and the number of pairs of chunks. A chunk of queries is
+    an eighth of one of training rows."""
+    counts = {r["_cell"]: (-(-sizes[r["_cell"]] // chunk), -(-r["count"] // max(1, chunk // 8))) for r in asked.groupBy("_cell").count().collect()}  # one row for each region
+    size = F.broadcast(asked.sparkSession.createDataFrame([(c, t, q) for c, (t, q) in counts.items()], "_cell int, _tn int, _qn int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = asked.join(size, "_cell").withColumn("_qc", part("_q", "_qn")).withColumn("_tc", every("_tn")).withColumnRenamed("_tn", "_parts").drop("_qn")
+    t = given.join(size, "_cell").withColumn("_tc", part(key, "_tn")).withColumn("_qc", every("_qn")).drop("_tn", "_qn")
+    return q, t, max(1, sum(t * q for t, q in counts.values()))
+
+
+def _by_regions(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int, n_regions: int | None = None, chunk: int = 2 * REGION) -> DataFrame:
+    """``test`` with ``_near``, the exact k nearest training rows of every row, as an array of (_d, _nid, _nlabel), nearest first."""
+    sc, n = train.sparkSession.sparkContext, train.count()
+    wanted = n_regions or max(1, -(-n // REGION), min(2 * sc.defaultParallelism, n // LEAST))
+    sample = _pivots(train.where(F.col(vec).isNotNull()), key, vec, max(SAMPLE, 64 * wanted))
+    sample = sample[np.isfinite(sample).all(axis=1)] if sample.ndim == 2 else sample
+    regions = Regions(sample.reshape(len(sample), -1) if len(sample) else np.zeros((0, 1)), wanted)
+    sent = sc.broadcast(regions)
+    t = materialize(_placed(train.select(key, label, vec), vec, sent))
+    width = len(regions.axes)
+    side = lambda f, c: F.array(*[f(F.col(c)[j]) for j in range(width)]).alias(c)
+    held = _boxes(t, vec, sent).groupBy("_cell").agg(F.sum("n").alias("n"), side(F.min, "low"), side(F.max, "high")).collect()  # one row for each region
+    sizes = {r["_cell"]: r["n"] for r in held}
+    q = test.select(F.monotonically_increasing_id().alias("_q"), "*")
+    keys = [c for c in q.columns if c != vec]
+    q = materialize(_placed(q, vec, sent) if held else _placed(q.limit(0), vec, sent))
+    boxes = sc.broadcast((np.array([r["_cell"] for r in held], np.int32), *(np.array([r[c] for r in held], float) for c in ("low", "high"))))
+
+    def search(asked: DataFrame, bounds) -> DataFrame:
+        q, t_, units = _chunked(asked, t, key, sizes, chunk)
+        return materialize(_searched(q, t_, key, vec, label, k, sent, bounds, units))
+
+    home = search(q.withColumn("_bound", F.lit(float("inf"))), boxes)
+    whole = home.where("_parts = 1")
+    cut = home.where("_parts > 1").groupBy(*keys).agg(F.min_by(vec, "_bound").alias(vec), F.min_by("_to", "_bound").alias("_to"), F.min("_bound").alias("_bound"))
+    more = whole.select(*keys, vec, "_to", "_bound").unionByName(cut).where("size(_to) > 0").select(*keys, vec, "_bound", F.explode("_to").alias("_cell"))
+    alone = (F.col("_parts") == 1) & (F.size("_to") == 0)
+    parts = home.where(~alone).select(*keys, "_near").unionByName(search(more, None).select(*keys, "_near"))
+    merged = parts.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+    return home.where(alone).select(*keys, "_near").unionByName(merged).drop("_q")
+
+
+def nearest(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None, chunk: int = 2 * REGION) -> DataFrame:
     """(key, _nid, _nlabel, _d, _r): the exact k nearest training rows of every test row.
 
-    Unless their number is given, pivots, and with them cells, grow with the square root of the training rows, and in proportion
-    from a million rows on, so that the size of a cell, and with it the work of a query, stays the same.
+    Space is cut into ``n_pivots`` regions, or as many as regions of REGION training rows ask for.
     """
-    return _nearest(train, test, key, vec, label, k, n_pivots, chunk)[0]
+    found = _by_regions(train, test.select(key, vec), key, vec, label, k, n_pivots, chunk).select(key, F.inline("_near"))
+    return _best(found.select(key, "_nid", "_nlabel", "_d"), key, k)
 
 
 def visited_cells(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, n_pivots: int | None = None) -> DataFrame:
     """(key, visited, measured, cells): how many cells each query searches, how many nodes and pivots it is measured against on
     the way, and how many cells there are."""
-    return _nearest(train, test, key, vec, label, k, n_pivots, 4096)[1]
-
-
-def _nearest(train, test, key, vec, label, k, n_pivots, chunk):
+    chunk = 4096
     sc = train.sparkSession.sparkContext
     tree = PivotTree(_pivots(train, key, vec, n_pivots or pivots_for(train.count())))
     bare = sc.broadcast(tree)
@@ -259,10 +549,7 @@ def _nearest(train, test, key, vec, label, k, n_pivots, chunk):
     full = sc.broadcast(tree.filled({r["_cell"]: (r["r"], r["n"]) for r in cells}))
     queries = q.join(bound, key, "left").select(key, vec, "_bound", F.col("_cell").alias("_home"))
     visits = materialize(_visits(queries, key, vec, full, k))
-    more = visits.where("_cell IS NOT NULL").select(key, vec, "_cell")
-    away = _search(*_paired(more, t.select(key, label, vec, "_cell"), key, chunk), key, vec, label, k)
-    counts = visits.groupBy(key).agg((F.count("_cell") + 1).alias("visited"), F.first("_looked").alias("measured"), F.lit(len(cells)).alias("cells"))
-    return _best(home.drop("_r").unionByName(away), key, k), counts
+    return visits.groupBy(key).agg((F.count("_cell") + 1).alias("visited"), F.first("_looked").alias("measured"), F.lit(len(cells)).alias("cells"))
 
 
 def vote(neighbours: DataFrame, key: str) -> DataFrame:
@@ -327,11 +614,15 @@ def _blocks(nt: int, nq: int, cores: int) -> tuple[int, int]:
 def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, others: str, label: str, k: int = 5) -> DataFrame:
     """(key, _rep, _j, _near): the exact k nearest training rows of every variant of every test row, as an array of (_d, _nid, _nlabel).
 
-    ``others`` holds vectors; variant (_rep, _j) has component _j of the vector with index _rep. Blocks of test and training rows meet
-    in tasks, in which a test row is measured once for all of its variants; the k best of all blocks are merged.
+    ``others`` holds vectors; variant (_rep, _j) has component _j of the vector with index _rep. Next to a few training rows, a test
+    row is measured in a task once for all of its variants; beyond LEAST of them the variants search by regions.
     """
     nt, nq = train.count(), test.count()
     tb, qb = _blocks(nt, nq, train.sparkSession.sparkContext.defaultParallelism)
+    if nt > min(BLOCK, LEAST):
+        changed = F.transform(vec, lambda x, i: F.when(i == F.col("_j"), F.col("_o")[i]).otherwise(x))
+        every = test.select(key, vec, F.posexplode(others).alias("_rep", "_o")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.size(vec) - 1)))
+        return _by_regions(train, every.select(key, "_rep", "_j", changed.alias(vec)), key, vec, label, k).select(key, "_rep", "_j", "_near")
     kt, qt, lt = (next(f.dataType for f in d.schema if f.name == c) for d, c in ((train, key), (test, key), (train, label)))
     schema = T.StructType([T.StructField(key, qt), T.StructField("_rep", T.IntegerType()), T.StructField("_j", T.IntegerType()), T.StructField("_d", T.ArrayType(T.DoubleType())),
                            T.StructField("_nid", T.ArrayType(kt)), T.StructField("_nlabel", T.ArrayType(lt))])
@@ -349,13 +640,8 @@ def nearest_of_variants(train: DataFrame, test: DataFrame, key: str, vec: str, o
                     out.append((one, v // len(x), v % len(x), far, ids[r], labels[r]))
         return pd.DataFrame(out, columns=schema.names)
 
-    g = ["_qb", "_tb"]
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = test.select(key, vec, others, block(qb).alias("_qb"), every(tb).alias("_tb")).repartition(qb * tb, *g)
-    given = train.select(key, vec, label, block(tb).alias("_tb"), every(qb).alias("_qb")).repartition(qb * tb, *g)
+    g = ["_qb"]
+    asked = test.select(key, vec, others, F.pmod(F.xxhash64(key), F.lit(qb)).cast("int").alias("_qb")).repartition(qb, *g)
+    given = train.select(key, vec, label, F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb")).repartition(qb, *g)
     found = asked.groupBy(*g).cogroup(given.groupBy(*g)).applyInPandas(run, schema)
-    near = found.select(key, "_rep", "_j", F.arrays_zip("_d", "_nid", "_nlabel").alias("_near"))
-    if tb == 1:
-        return near
-    return near.groupBy(key, "_rep", "_j").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+    return found.select(key, "_rep", "_j", F.arrays_zip("_d", "_nid", "_nlabel").alias("_near"))
