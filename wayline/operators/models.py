@@ -162,13 +162,23 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
         rows = both.select(F.col("_id").alias("key"), "label", "fold", vector_to_array("features").alias("x"))
         return forests(rows, features, [0], TREES, seed, balanced=False)
 
-    # Fits that run many small jobs one after the other leave room for the forest and the neighbours.
-    with ThreadPool(PARALLEL_FITS + 2) as pool:
+    def met_rows():
+        """Every test row with its partners of each repeat, and the neighbours of all its variants."""
+        met = materialize(shuffled_partners(te.withColumn("_a", vector_to_array("features")), "_id", ["_a"], repeats, seed))
+        if not neighbours:
+            return met, None
+        given = tr.withColumn("_a", vector_to_array("features")).select("_id", "_a", F.col("label").alias("_l"))
+        return met, knn.nearest_of_variants(given, met.select("_id", "_a", F.col("_others.row._a").alias("_rows")), "_id", "_a", "_rows", "_l")
+
+    # Fits that run many small jobs one after the other leave room for the forest and the neighbours, also those of permuted rows.
+    with ThreadPool(PARALLEL_FITS + 3) as pool:
+        met = pool.apply_async(met_rows) if importance else None
         grown = pool.apply_async(grow) if models is None else None
         voted = pool.apply_async(_neighbour_scores, (tr, te)) if neighbours else None
         fitted = pool.map(lambda x: x[1].fit(tr.select("label", "features")), named, 1)
         scored, grown = grown.get() if grown else (None, None)
         voted = voted.get() if voted else None
+        met, near = met.get() if met else (None, None)
     parts = [_score(m.transform(te)).select(F.lit(n).alias("model"), "label", "prediction", "score") for (n, _), m in zip(named, fitted)]
     if scored is not None:
         parts.append(scored.select(F.lit(FOREST).alias("model"), "label", "prediction", "score"))
@@ -189,14 +199,11 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], key: str,
             continue
         rows += [(name, f, float(x)) for f, x in zip(features, v)]
     # Each permuted feature of each repeat is one variant of the test rows; all models score the same variants.
-    met = materialize(shuffled_partners(te.withColumn("_a", vector_to_array("features")), "_id", ["_a"], repeats, seed))
     other = met.withColumn("_o", F.explode("_others")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     mixed = F.transform("_a", lambda x, i: F.when(i == F.col("_j"), F.col("_o.row._a")[i]).otherwise(x))
     variants = materialize(other.select(F.concat_ws("#", "_id", "_o.repeat", "_j").alias("_id"), "label", F.col("_j"), F.col("_o.repeat").alias("_rep"), array_to_vector(mixed).alias("features")))
     each = [m.transform(variants).select(F.lit(n).alias("model"), "_j", "_rep", "label", "prediction") for n, m in permuted_for]
     if neighbours:
-        given = tr.withColumn("_a", vector_to_array("features")).select("_id", "_a", F.col("label").alias("_l"))
-        near = knn.nearest_of_variants(given, met.select("_id", "_a", F.col("_others.row._a").alias("_rows")), "_id", "_a", "_rows", "_l")
         share = F.aggregate("_near", F.lit(0.0), lambda a, x: a + x["_nlabel"]) / F.size("_near")
         voted = near.withColumn("prediction", (share > 0.5).cast("double")).join(te.select("_id", "label"), "_id")
         each.append(voted.select(F.lit(NEIGHBOURS).alias("model"), "_j", "_rep", "label", "prediction"))
